@@ -2,7 +2,7 @@
 
 Lexicons of words and word beginnings are drawn from a bounded sample of labelled rows. They and a few patterns give
 ``VOTERS`` yes/no votes on every document. A generative label model (two latent classes, a yes rate of every voter in
-each) is fitted by EM to the counts of the vote patterns of all documents; the correlations of voters within a class are
+each) is fitted by EM to the counts of the vote patterns of all documents, started from the labelled rows; the correlations of voters within a class are
 estimated as well, and correlated voters share their weight. A linear classifier over the lexicon entries then learns the
 posterior labels of a bounded sample, and scores every document.
 """
@@ -25,6 +25,7 @@ from .quality import labelled_sample
 #: The lexicons are drawn from at most this many labelled rows, and the classifier learns from as many documents.
 FIT_DOCS = 8000
 ENTRIES = 4000
+EVIDENCE = 11
 PREFIXES = (5, 6, 7, 8)
 WORD = re.compile(r"[^\W\d_]+")
 VOTERS = ("words_a", "words_b", "words_c", "beginnings", "several", "dense", "shouted", "weak_words")
@@ -46,7 +47,8 @@ def _entries(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def lexicon(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> tuple[dict[str, tuple[int, int]], float]:
     """({entry: (number, kind)}, rate of label 1): kinds 0-2 are strong words, 3 strong beginnings, 4 weak entries.
 
-    Strong: in at least four toxic texts of the sample and ten times likelier there. Weak: three times likelier.
+    Strong: ten times likelier in toxic texts of the sample; weak: three times. Both need ``EVIDENCE``: the log likelihood
+    ratio of as many toxic texts against the number that chance would give.
     """
     sample = stored(labelled_sample(docs, labels, "toxic", 0, 5, most), "sample")
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -57,8 +59,10 @@ def lexicon(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> tuple[d
         F.sum("label").alias("yes"), F.count("*").alias("all")
     )
     lift = ((F.col("yes") + 0.1) / toxic) / ((F.col("all") - F.col("yes") + 0.1 * (n - toxic) / toxic) / (n - toxic))
-    ranked = counts.where("yes >= 4").withColumn("lift", lift).where("lift >= 3")
-    top = ranked.orderBy(F.desc(F.expr("yes * ln(lift)")), "entry").limit(ENTRIES).collect()
+    chance = F.col("all") * (toxic / n)
+    evidence = F.col("yes") * F.ln(F.col("yes") / chance) - (F.col("yes") - chance)
+    ranked = counts.where("yes > 0").withColumns({"lift": lift, "evidence": evidence}).where(f"lift >= 3 and evidence >= {EVIDENCE}")
+    top = ranked.orderBy(F.desc("evidence"), "entry").limit(ENTRIES).collect()
     for r in top:
         if r.entry not in names:
             k = len(names)
@@ -121,29 +125,36 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60) -> LabelModel:
-    """EM over the counts of the vote patterns, of which there are at most 2 ** voters."""
+def label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, prior: float, rounds: int = 60) -> LabelModel:
+    """EM over the counts of the vote patterns, of which there are at most 2 ** voters.
+
+    ``known`` (pattern, class): the labelled rows among them, which start the rates and keep their class in every round.
+    """
     m = len(VOTERS)
     v = ((patterns[:, None] >> np.arange(m)) & 1).astype(float)
-    n = counts.astype(float)
-    model = LabelModel(np.vstack([np.full(m, 0.01), np.full(m, 0.4)]), prior, np.ones(m), np.eye(m))
+    known = known.astype(float)
+    free = np.maximum(counts - known.sum(1), 0)
+    guess = np.array([0.002, 0.2])
+    model = LabelModel(np.zeros((2, m)), prior, np.ones(m), np.eye(m))
+    p = None
     for k in range(rounds):
-        p = model.posterior(patterns)
-        for c, w in ((0, n * (1 - p)), (1, n * p)):
-            model.rates[c] = (w @ v + (0.02, 0.8)[c]) / (w.sum() + 2)
-        model.rates[0] = np.minimum(model.rates[0], model.rates[1] / 1.5)
-        model.rates = np.clip(model.rates, 1e-4, 1 - 1e-4)
-        model.prior = float(np.clip((n @ p + 20 * prior) / (n.sum() + 20), prior / 2, min(0.5, prior * 2)))
-        if k % 10 == 9:
+        weights = [known[:, 0], known[:, 1]] if p is None else [known[:, 0] + free * (1 - p), known[:, 1] + free * p]
+        for c, w in enumerate(weights):
+            model.rates[c] = (w @ v + 5 * guess[c]) / (w.sum() + 5)
+        model.rates = np.clip(model.rates, 1e-5, 1 - 1e-5)
+        if p is not None:
+            model.prior = float(np.clip((weights[1].sum() + 20 * prior) / (sum(w.sum() for w in weights) + 20), prior / 2, prior * 2))
+        if k % 10 == 0:
             inside = np.zeros((m, m))
-            for c, w in ((0, n * (1 - p)), (1, n * p)):
+            for c, w in enumerate(weights):
                 d = v - model.rates[c]
                 cov = (d * w[:, None]).T @ d / (w.sum() + 1e-9)
                 s = np.sqrt(np.diag(cov)) + 1e-9
-                inside += np.abs(cov / np.outer(s, s)) * (w.sum() / (n.sum() + 1e-9))
+                inside += np.abs(cov / np.outer(s, s)) * (w.sum() / (sum(x.sum() for x in weights) + 1e-9))
             np.fill_diagonal(inside, 1)
             model.correlation = inside
             model.share = 1 / np.where(inside > 0.2, inside, 0).sum(1)
+        p = model.posterior(patterns)
     return model
 
 
@@ -173,8 +184,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> DataFr
     """
     names, rate = lexicon(docs, labels, most)
     seen = votes(docs, names)
-    patterns = seen.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
-    model = label_model(np.array([r.votes for r in patterns], np.int64), np.array([r.n for r in patterns], np.int64), rate)
+    learnt = labels.where((remainder("doc_id", 5) != 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max("toxic").alias("label")
+    )
+    marked = seen.select("doc_id", "votes").join(learnt, "doc_id", "left")
+    patterns = (
+        marked.groupBy("votes")
+        .agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic"))
+        .orderBy("votes")
+        .collect()
+    )
+    model = label_model(
+        np.array([r.votes for r in patterns], np.int64),
+        np.array([r.n for r in patterns], np.int64),
+        np.array([(r.clean, r.toxic) for r in patterns], np.int64).reshape(-1, 2),
+        rate,
+    )
     some = seen.where(F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)).select("doc_id", "hits", "votes")
     sample = some.orderBy(F.xxhash64("doc_id", F.lit(1)), "votes").limit(most).collect()
     target = model.posterior(np.array([r.votes for r in sample], np.int64))
