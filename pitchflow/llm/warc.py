@@ -15,6 +15,7 @@ import zlib
 from base64 import b32encode
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import column_function, shared_folder, stored
 
 ROLL_BYTES = 16 << 20
+#: Records are dealt to at most this many shards, each of whole files; their bounds are all that the driver sends.
+SHARDS = 4096
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,13 +85,6 @@ def _revisit_bytes(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series
         yield pd.Series([len(record(_int(p), u, b"", d, int(r))) + len(EMPTY_MEMBER) for p, u, d, r in rows], dtype="int64")
 
 
-@column_function("binary")
-def _member(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    for page, url, html, digest, head in parts:
-        rows = zip(page, url, html, digest, head, strict=True)
-        yield pd.Series([record(_int(p), u, _payload(h), d, _int(r)) for p, u, h, d, r in rows])
-
-
 def _int(x) -> int | None:
     return None if x is None or x != x else int(x)
 
@@ -124,7 +120,40 @@ def plan(pages: DataFrame, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = RE
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("base") + F.sum(size).over(inside) - size
     placed = ranged.join(base, "part").withColumn("start", start)
-    return stored(placed.withColumn("file", F.floor(F.col("start") / roll_bytes)).drop("part", "base"), "placed")
+    of_page = F.min("start").over(Window.partitionBy("page_id"))  # the records of a page share a file
+    return stored(placed.withColumn("file", F.floor(of_page / roll_bytes)).drop("part", "base"), "placed")
+
+
+def _bounds(placed: DataFrame) -> np.ndarray:
+    """The least page_id of each shard but the first."""
+    last = placed.agg(F.max("file")).first()[0]
+    shard = F.floor(F.col("file") / -(-((last or 0) + 1) // SHARDS))
+    least = placed.where("page_id is not null").groupBy(shard.alias("shard")).agg(F.min("page_id").alias("least"))
+    return np.array(sorted(r.least for r in least.collect())[1:], np.int64)
+
+
+MEMBER = pa.schema([("file", pa.int64()), ("seq", pa.int64()), ("member", pa.binary())])
+
+
+def _members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from rows in order, where each page's plan row stands before its content."""
+    known, seq = None, 0
+    for batch in batches:
+        rows, size = [], 0
+        for x in batch.to_pylist():
+            if x["html"] is None:
+                known = x
+                continue
+            if any(known[k] != x[k] for k in ("page_id", "digest", "url")):
+                raise ValueError("a page without a plan")
+            out = record(x["page_id"], x["url"], _payload(x["html"]), x["digest"], known["refers_to"])
+            rows.append({"file": known["file"], "seq": seq, "member": out})
+            seq += 1
+            size += len(out)
+            if size > 8 << 20:
+                yield pa.RecordBatch.from_pylist(rows, MEMBER)
+                rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, MEMBER)
 
 
 def write_archives(pages: DataFrame, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> str:
@@ -142,13 +171,22 @@ def write_archives(pages: DataFrame, roll_bytes: int = ROLL_BYTES, revisit_bytes
     content = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    to = placed.select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("digest").alias("d"), "refers_to", "file")
-    same = F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("digest") == F.col("d"))
-    args = [F.col(c).cast("string") for c in ("page_id", "url", "html", "digest", "refers_to")]
-    members = content.join(to, same).select("file", "page_id", "digest", "url", _member(*args).alias("member"))
+    plans = placed.select("page_id", "digest", "url", "refers_to", "file", F.lit(None).cast("string").alias("html"))
+    none = F.lit(None).cast("long")
+    rows = plans.unionByName(content.withColumns({"refers_to": none, "file": none}))
+    bounds = spark.sparkContext.broadcast(_bounds(placed))
+
+    @F.pandas_udf("long")
+    def shard(page: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, page, side="right"))
+
+    order = ["page_id", "digest", "url", F.col("html").isNotNull()]
     (
-        members.repartition("file")
-        .sortWithinPartitions("file", "page_id", "digest", "url")
+        rows.withColumn("shard", shard(F.coalesce("page_id", F.lit(-(1 << 63)))))
+        .repartition("shard")
+        .sortWithinPartitions("shard", *order)
+        .mapInArrow(_members_of, "file long, seq long, member binary")
+        .sortWithinPartitions("file", "seq")
         .select("file", F.col("member").cast("string").alias("value"))
         .write.partitionBy("file")
         .options(lineSep=EMPTY_MEMBER.decode("latin-1"), encoding="ISO-8859-1")
