@@ -90,11 +90,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         .toDF("doc_id", "first", "size", "h1", "h2")
     )
     runs = stored(runs, "runs")
-    heads = (
+    heads = stored(  # a table of its own, so that Spark can split the join's hot hashes
         runs.groupBy("h1", "h2")
         .agg(F.min(F.struct("doc_id", "first")).alias("head"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("h1", "h2", F.col("head.doc_id").alias("of_doc"), F.col("head.first").alias("of_sentence"))
+        .select("h1", "h2", F.col("head.doc_id").alias("of_doc"), F.col("head.first").alias("of_sentence")),
+        "heads",
     )
     return (
         runs.join(heads, ["h1", "h2"])
