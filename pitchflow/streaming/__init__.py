@@ -1,0 +1 @@
+"""Every job of this library is a batch pass over finished videos; there is no streaming operator to rebuild."""
