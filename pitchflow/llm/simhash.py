@@ -208,6 +208,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = reps.join(tied, reps.rep == tied.node, "left").select(
         F.col("fp").alias("of"), F.coalesce("root", "rep").alias("component_id")
     )
+    named = stored(named, "named")  # a table of its own, so that Spark can split the join's hot fingerprints
     return every.join(named, every.fp == named.of).select("doc_id", "fp", "component_id")
 
 
