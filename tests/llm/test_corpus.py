@@ -5,18 +5,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
+from tests_llm_helpers import fingerprint, shingle_set, words
+
 from pitchflow.llm import chat, components, decontam, lines, mixing, quality, rules, simhash, substring, toxicity, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def words(rng, n, size=400):
-    return " ".join(f"w{rng.randrange(size)}" for _ in range(n))
-
-
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(5)
@@ -46,13 +43,6 @@ def odd(spark):
     return spark.createDataFrame(rows, DOC)
 
 
-def fingerprint(text):
-    tokens = (text or "").encode().lower().split()
-    shingles = [b" ".join(tokens[k : k + 3]) for k in range(max(1, len(tokens) - 2))] if tokens else []
-    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
-
-
 def test_simhash_brute_force(docs, corpus):
     fp = {r[0]: fingerprint(r[1]) for r in corpus if r[0] != 403}
     ids = sorted(fp)
@@ -127,11 +117,6 @@ def test_cuckoo_filter():
     assert lines.CuckooFilter.loads(f.dumps()).lookup(keys[2500:]).all()
 
 
-def shingle_set(text):
-    tokens = decontam.WORD.findall((text or "").lower())
-    return {tuple(tokens[k : k + 5]) for k in range(max(1, len(tokens) - 4))} if tokens else set()
-
-
 def test_containment_brute_force(spark, docs, corpus):
     rng = random.Random(9)
     items = []
