@@ -50,3 +50,22 @@ def overrides(text: Column) -> Column:
     parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x.rlike(r"^(\d+:)?\d+$"))
     pair = lambda x: F.struct(F.when(x.contains(":"), F.split(x, ":")[0]).otherwise("0").cast("int").alias("take_id"), F.regexp_extract(x, r"(\d+)$", 1).cast("int").alias("track_id"))
     return F.array_distinct(F.transform(parts, pair))
+
+
+def best_ball_per_frame(candidates: DataFrame) -> DataFrame:
+    """The most confident ball of each frame out of tile-local boxes shifted by tile_x and tile_y; ties: the leftmost."""
+    box = F.struct((F.col("x1") + F.col("tile_x")).alias("x1"), (F.col("y1") + F.col("tile_y")).alias("y1"), (F.col("x2") + F.col("tile_x")).alias("x2"), (F.col("y2") + F.col("tile_y")).alias("y2"), "conf")
+    best = candidates.withColumn("__box", box).groupBy("video_id", "frame_index", "t").agg(F.max_by("__box", F.struct("conf", -F.col("__box.x1"), -F.col("__box.y1"))).alias("b"))
+    return best.select("video_id", "frame_index", "t", "b.*")
+
+
+def suppress_overlaps(detections: DataFrame, most: float = 0.5, by_class: bool = True) -> DataFrame:
+    """Of each frame (and class), best confidence first, the boxes whose IoU with every kept one is at most ``most``."""
+    keys = ["video_id", "frame_index", *(["cls"] if by_class else [])]
+    rest = [c for c in detections.columns if c not in (*keys, "conf")]
+    held = detections.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("conf", *rest)), asc=False).alias("__all"))
+    both = "greatest(least(k.x2, r.x2) - greatest(k.x1, r.x1), 0D) * greatest(least(k.y2, r.y2) - greatest(k.y1, r.y1), 0D)"
+    area = "greatest({0}.x2 - {0}.x1, 0D) * greatest({0}.y2 - {0}.y1, 0D)"
+    hit = f"{both} > {most} * ({area.format('k')} + {area.format('r')} - {both})"
+    kept = F.expr(f"aggregate(__all, slice(__all, 1, 0), (acc, r) -> if(exists(acc, k -> {hit}), acc, concat(acc, array(r))))")
+    return held.select(*keys, F.inline(kept)).select(*detections.columns)

@@ -110,3 +110,14 @@ def drop_near(rows: DataFrame, times: DataFrame, tol: float, keys: Sequence[str]
     for c in keys:
         match = match & (F.col(c) == F.col(f"__{c}"))
     return rows.join(spread, match, "left_anti")
+
+
+def active_events(grid: DataFrame, events: DataFrame, keys: Sequence[str] = ("video_id",), width: float = 5.0) -> DataFrame:
+    """``grid`` rows with each event (columns prefixed e_) whose closed span holds t, and ``elapsed``: the share of the
+    span that is over (1 for an empty span). Spans are dealt to buckets of ``width`` seconds."""
+    spread = events.select(*[F.col(c).alias(f"e_{c}") for c in events.columns]).withColumn("__b", F.explode(F.sequence(F.floor(F.col("e_t_start") / width), F.floor(F.col("e_t_end") / width))))
+    match = (F.floor(F.col("t") / width) == F.col("__b")) & F.col("t").between(F.col("e_t_start"), F.col("e_t_end"))
+    for c in keys:
+        match = match & (F.col(c) == F.col(f"e_{c}"))
+    span = F.col("e_t_end") - F.col("e_t_start")
+    return grid.join(spread, match).drop("__b").withColumn("elapsed", F.when(span > 0, (F.col("t") - F.col("e_t_start")) / span).otherwise(1.0))

@@ -359,3 +359,31 @@ select video_id, chunk_id, chunk_id * 35 + i as index, round(chunk_id * 7 + i /
 def s6_frame_manifest(spark, sf_dir):
     videos = ad.frames(spark, sf_dir).groupBy("video_id").agg((F.count("*") / 25.0).alias("duration"))
     return rounded(records.frame_manifest(videos, 5.0, 7.0))
+
+
+@query("select video_id, frame_index, round(x1 + 640 * 0, 6) as x1, round(conf, 6) as conf from (select video_id, frame_index, x1 + (track_id % 3) * 10 as x1, conf, row_number() over (partition by video_id, frame_index order by conf desc, x1 + (track_id % 3) * 10, y1) as rn from boxes) where rn = 1")
+def w25_best_ball_per_frame(spark, sf_dir):
+    tiles = ad.boxes(spark, sf_dir).withColumns({"tile_x": (F.col("track_id") % 3) * 10, "tile_y": F.lit(0)})
+    return rounded(filters.best_ball_per_frame(tiles).select("video_id", "frame_index", "x1", "conf"))
+
+
+@query()
+def w24_suppress_overlaps(spark, sf_dir):
+    rows = ad.boxes(spark, sf_dir).withColumn("cls", F.lit("player"))
+    return rounded(filters.suppress_overlaps(rows, 0.1))
+
+
+@query("select f.video_id, f.frame_index, h.player_track_id, h.type, round(h.t_start, 6) as t_start, round((f.t - h.t_start) / (h.t_end - h.t_start), 6) as elapsed from frames f join happened h on f.video_id = h.video_id and f.t between h.t_start and h.t_end where f.frame_index % 25 = 0")
+def w17_active_events(spark, sf_dir):
+    grid = ad.frames(spark, sf_dir).where("frame_index % 25 = 0").select("video_id", "frame_index", "t")
+    found = timejoin.active_events(grid, _happened(spark, sf_dir))
+    return rounded(found.select("video_id", "frame_index", F.col("e_player_track_id").alias("player_track_id"), F.col("e_type").alias("type"), F.col("e_t_start").alias("t_start"), "elapsed"))
+
+
+@query(""", pts as (select video_id, take_id, frame_index, t, x1 from balls where frame_index % 5 = 0)
+select f.video_id, f.take_id, f.frame_index, round(arg_max(b.t, b.t) filter (b.t <= f.t), 6) as t_before, round(arg_min(b.t, b.t) filter (b.t >= f.t), 6) as t_after from frames f left join pts b on f.video_id = b.video_id and f.take_id = b.take_id group by 1, 2, 3""")
+def j5_bracket(spark, sf_dir):
+    samples = ad.balls(spark, sf_dir).where("frame_index % 5 = 0").select("video_id", "take_id", "t", "x1")
+    grid = ad.frames(spark, sf_dir).select("video_id", "take_id", "frame_index", "t")
+    out = timejoin.bracket(grid, samples, ("x1",))
+    return rounded(out.select("video_id", "take_id", "frame_index", F.col("before.t").alias("t_before"), F.col("after.t").alias("t_after")))
