@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text
 from ..operators import events as ev
-from ..operators import filters, identity, possession, series, stats, timejoin
+from ..operators import filters, goals, identity, possession, series, stats, timejoin
 from ..sources import records
 from . import adapters as ad
 
@@ -387,3 +387,10 @@ def j5_bracket(spark, sf_dir):
     grid = ad.frames(spark, sf_dir).select("video_id", "take_id", "frame_index", "t")
     out = timejoin.bracket(grid, samples, ("x1",))
     return rounded(out.select("video_id", "take_id", "frame_index", F.col("before.t").alias("t_before"), F.col("after.t").alias("t_after")))
+
+
+@query()
+def e19_attribute_goals(spark, sf_dir):
+    rows = ad.frames(spark, sf_dir).selectExpr("video_id", "take_id", "t", "cast(floor(frame_index / 40) as int) as score")
+    scored = ev.score_increments(rows).select("video_id", "take_id", "t_after", F.lit(goals.GOAL["occurrence"]).alias("confidence"))
+    return rounded(goals.attribute_goals(scored, _possession(spark, sf_dir), ad.tracks(spark, sf_dir)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchflow.functions import geometry as g
 from pitchflow.functions import text
-from pitchflow.operators import events, filters, identity, possession, series, stats, timejoin
+from pitchflow.operators import events, filters, goals, identity, possession, series, stats, timejoin
 from pitchflow.sources import records
 
 
@@ -144,3 +144,22 @@ def test_empty_tables(spark):
     assert events.detect_sprints(boxes, 25.0).count() == 0
     assert possession.possession_runs(possession.possession_series(balls, boxes)).count() == 0
     assert events.detect_shots(balls, 1280.0).count() == 0
+
+
+def test_goals_and_assists(spark):
+    goals_df = spark.createDataFrame([(0, 0, 20.0, 0.75), (0, 1, 20.0, 0.75)], "video_id long, take_id long, t_after double, confidence double")
+    runs = spark.createDataFrame([(0, 0, 1, 13.0, 15.0, [1]), (0, 0, 2, 16.0, 17.0, [2]), (0, 0, 3, 17.5, 19.0, [3, 4]), (0, 0, 5, 1.0, 11.0, [5])], "video_id long, take_id long, player_track_id long, t_start double, t_end double, raw_track_ids array<long>")
+    tracks = spark.createDataFrame([(0, 0, i, i % 2, 0.9) for i in range(1, 6)], "video_id long, take_id long, track_id long, team int, team_confidence double")
+    got = {r.take_id: r for r in goals.attribute_goals(goals_df, runs, tracks).collect()}
+    assert (got[0].team, got[0].scorer, got[0].confidence) == (0, 3, pytest.approx(0.6))  # run 3 counts for track 4's team
+    assert (got[1].team, got[1].scorer, got[1].confidence) == (None, None, pytest.approx(0.375))
+    passes = spark.createDataFrame([(0, 0, "pass", 5, 3, 16.0, 17.0, 0.35), (0, 0, "pass", 1, 3, 3.0, 4.0, 0.35)], "video_id long, take_id long, type string, passer long, receiver long, t_start double, t_end double, confidence double")
+    (a,) = goals.detect_assists(goals.attribute_goals(goals_df, runs, tracks), passes, tracks).collect()
+    assert (a.player_track_id, a.scorer, a.confidence) == (5, 3, pytest.approx(0.21))
+
+
+def test_suppressed_boxes(spark):
+    rows = [(0, 0, "player", 0.9, 0.0, 0.0, 10.0, 10.0), (0, 0, "player", 0.8, 1.0, 0.0, 11.0, 10.0), (0, 0, "ball", 0.1, 0.0, 0.0, 10.0, 10.0), (0, 0, "player", 0.5, 9.0, 0.0, 19.0, 10.0)]
+    df = spark.createDataFrame(rows, "video_id long, frame_index long, cls string, conf double, x1 double, y1 double, x2 double, y2 double")
+    assert sorted(r.conf for r in filters.suppress_overlaps(df).collect()) == [0.1, 0.5, 0.9]
+    assert sorted(r.conf for r in filters.suppress_overlaps(df, by_class=False).collect()) == [0.5, 0.9]
