@@ -56,7 +56,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     holder = "cast(floor(frame_index / 20) as bigint) % 10"
     x = f"100 + 80 * ({holder}) + {_wave(f'frame_index * (({holder}) % 6 + 1)', 300)} + (frame_index * 7) % 60 - 10"
-    y = f"250 + 40 * (({holder}) % 5)"
+    y = f"250 + 40 * (({holder}) % 5) + case when frame_index % 20 >= 12 then 300 else 0 end"  # in flight
     return frames(spark, sf_dir).where("event_id % 11 <> 0").selectExpr(
         "video_id", "take_id", "frame_index", "t", f"cast({x} - 5 as double) as x1", f"cast({y} - 5 as double) as y1",
         f"cast({x} + 5 as double) as x2", f"cast({y} + 5 as double) as y2", "(2 + event_id % 8) / 10D as conf",

@@ -18,7 +18,7 @@ SQL: dict[str, str] = {}
 WAVE = "abs(({n}) % 600 - 300)"
 HOLDER = "(cast(floor(frame_index / 20) as bigint) % 10)"
 BALL_X = f"(100 + 80 * {HOLDER} + {WAVE.format(n=f'frame_index * ({HOLDER} % 6 + 1)')} + (frame_index * 7) % 60 - 10)"
-BALL_Y = f"(250 + 40 * ({HOLDER} % 5))"
+BALL_Y = f"(250 + 40 * ({HOLDER} % 5) + case when frame_index % 20 >= 12 then 300 else 0 end)"
 BASE = f"""with recursive frames as (select event_id, cast(floor(event_id / 1500) as bigint) as video_id, event_id % 1500 as frame_index,
   cast(floor((event_id % 1500) / 250) as bigint) as take_id, (event_id % 1500) / 25e0 as t from events),
 takes as (select video_id, take_id, min(t) as t_start, min(t) + 10e0 as t_end from frames group by 1, 2),
