@@ -121,3 +121,9 @@ def expanded(fx: float, fy: float, frame_w: Column, frame_h: Column, p: str = ""
         keep(F.col(f"{p}x2") + fx * w, frame_w).alias("x2"),
         keep(F.col(f"{p}y2") + fy * h, frame_h).alias("y2"),
     )
+
+
+def goal_line(posts: Column) -> Column:
+    """struct<left, right> of the outermost post feet (array of boxes); null with fewer than two posts."""
+    feet = F.array_sort(F.transform(posts, lambda b: F.struct(((b["x1"] + b["x2"]) / 2).alias("x"), b["y2"].alias("y"))))
+    return F.when(F.size(posts) >= 2, F.struct(F.element_at(feet, 1).alias("left"), F.element_at(feet, -1).alias("right")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import COLOURS, PHRASES
+from ..config import CARD_COUNTS, COLOURS, PHRASES
 
 
 def slug(name: Column) -> Column:
@@ -76,3 +76,35 @@ def frame_rate(text: Column) -> Column:
     parts = F.split(text, "/")
     n, d = parts[0].cast("double"), F.coalesce(F.try_element_at(parts, F.lit(2)).cast("double"), F.lit(1.0))
     return F.when(d == 0, F.lit(0.0)).otherwise(n / d)
+
+
+def number_answer(text: Column) -> Column:
+    """struct<digits, confidence> of a NUMBER answer: a read, an honest UNKNOWN, or nothing usable."""
+    got = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)NUMBER\s*=\s*(UNKNOWN|\d{1,2})", 1)
+    digits = F.when(got.rlike(r"^\d+$"), got)
+    conf = F.when(digits.isNotNull(), 0.75).when(F.upper(got) == "UNKNOWN", 0.15).otherwise(0.0)
+    return F.struct(digits.alias("digits"), conf.alias("confidence"))
+
+
+def goal_box_answer(text: Column) -> Column:
+    """struct<x1, y1, x2, y2> in shares of the frame of a GOAL answer in thousandths; null unless in order."""
+    form = r"(?i)GOAL\s*=\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)"
+    side = [F.regexp_extract(text, form, k).cast("double") / 1000 for k in (1, 2, 3, 4)]
+    ordered = text.rlike(form) & (side[0] < side[2]) & (side[1] < side[3])
+    return F.when(ordered, F.struct(*[c.alias(n) for c, n in zip(side, ("x1", "y1", "x2", "y2"), strict=True)]))
+
+
+def stat_card(text: Column) -> Column:
+    """The counts, texts and timeline rows of an archived card: a count that is no number is 0, a missing status Unknown, a
+    confidence that is no number 0.9."""
+    value = lambda label: F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?im)^\s*\*\*{label}:\*\*[ \t]*([^\r\n]*)$", 1)), F.lit(""))
+    counts = [F.coalesce(F.regexp_extract(value(name), r"^(-?\d+)(?:\s|$)", 1).try_cast("int"), F.lit(0)).alias(name) for name in CARD_COUNTS]
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
+    table = F.filter(lines, lambda x: x.startswith("|") & ~x.startswith("| Time") & ~x.startswith("|---"))
+    cells = F.transform(table, lambda x: F.filter(F.transform(F.split(x, r"\|"), lambda c: F.trim(c)), lambda c: c != ""))
+    row = lambda c: F.struct(c[0].alias("time"), c[1].alias("event"), F.coalesce(c[2].try_cast("double"), F.lit(0.9)).alias("confidence"))
+    return F.struct(
+        F.coalesce(value("Identity Status"), F.lit("Unknown")).alias("identity_status"), *counts,
+        F.coalesce(value("Possession Time"), F.lit("uncertain")).alias("possession_time"), F.coalesce(value("Distance Covered"), F.lit("uncertain")).alias("distance_covered"),
+        F.transform(F.filter(cells, lambda c: F.size(c) >= 3), row).alias("events"),
+    )

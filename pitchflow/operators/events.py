@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.text import verdict
 from .possession import clamp, emitted
 from .series import TRACK, ball_speed, threshold_segments, track_speed
-from .timejoin import TAKE
+from .timejoin import TAKE, overlaps
 
 
 def detect_sprints(boxes: DataFrame, fps: float, params: dict = config.SPRINT) -> DataFrame:
@@ -58,3 +59,30 @@ def score_increments(readings: DataFrame, need: int = 2) -> DataFrame:
     changed = stable.withColumn("prior", F.lag("score").over(order))
     firm = changed.where("prior is null or prior <> score").withColumn("from", F.lag("t_first").over(order)).withColumn("was", F.lag("score").over(order))
     return firm.where("score = was + 1").select(*TAKE, F.col("from").alias("t_before"), F.col("t_first").alias("t_after"), "score")
+
+
+def candidate_windows(boxes: DataFrame, taken: DataFrame, params: dict = config.KEY_MOMENT) -> DataFrame:
+    """Fast segments of each track that overlap none of its ``taken`` spans (player_track_id, t_start, t_end); of each take
+    and track those of highest peak."""
+    moving = track_speed(boxes, params["window"])
+    found = threshold_segments(moving, "speed", params["threshold"], params["duration"], params["merge"], TRACK).select(*TRACK, "t_start", "t_end", "peak")
+    spans = taken.select(*TAKE, F.col("player_track_id").alias("track_id"), "t_start", "t_end")
+    free = overlaps(found, spans, keys=TRACK, how="left_anti")
+    w = Window.partitionBy(*TRACK).orderBy(F.desc("peak"), "t_start")
+    return free.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= params["top"])
+
+
+def key_moments(candidates: DataFrame, answers: DataFrame, params: dict = config.KEY_MOMENT) -> DataFrame:
+    """Candidates whose answer (``answers``: video_id, take_id, track_id, t_start, text) is a YES; anything else is a no."""
+    said = candidates.join(answers, [*TRACK, "t_start"]).where(verdict(F.col("text")) & F.lit(params["yes"] >= params["min"]))
+    return said.select(*TAKE, F.lit("key_moment").alias("type"), F.col("track_id").alias("player_track_id"), "t_start", "t_end", F.lit(params["yes"]).alias("confidence"), "text")
+
+
+def all_events(*parts: DataFrame) -> DataFrame:
+    """One table of the detectors' common columns."""
+    cols = [*TAKE, "type", "player_track_id", "t_start", "t_end", "confidence"]
+    rows = [p.select(*[F.col(c) if c in p.columns else F.lit(None).cast("long").alias(c) for c in cols]) for p in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

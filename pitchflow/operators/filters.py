@@ -47,7 +47,7 @@ def source_profile(p: dict = config.PROFILE) -> tuple[Column, Column, Column]:
 
 def overrides(text: Column) -> Column:
     """'take:track,track' as array<struct<take_id, track_id>> without repeats, in order; a bare id is of take 0."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x.rlike(r"^(\d+:)?\d+$"))
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^(\d+:)?\d+$"))
     pair = lambda x: F.struct(F.when(x.contains(":"), F.split(x, ":")[0]).otherwise("0").cast("int").alias("take_id"), F.regexp_extract(x, r"(\d+)$", 1).cast("int").alias("track_id"))
     return F.array_distinct(F.transform(parts, pair))
 

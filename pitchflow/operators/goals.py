@@ -1,12 +1,15 @@
-"""Who scored and who gave the pass."""
+"""When a goal fell, who scored and who gave the pass."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import MIN_EMIT
-from .timejoin import TAKE, overlaps
+from ..config import LINE, MIN_EMIT, REGION, SCOREBOARD
+from ..functions.geometry import crossing, cx, cy, in_polygon
+from .events import score_increments
+from .series import debounced
+from .timejoin import TAKE, asof_backward, overlaps
 
 GOAL = {"lookback": 8.0, "scorer": 0.8, "unknown": 0.5, "min": 0.1, "max": 0.8, "occurrence": 0.75}
 ASSIST = {"lookback": 15.0, "factor": 0.6, "team": 0.5, "min": 0.1, "max": 0.35}
@@ -46,3 +49,60 @@ def detect_assists(goals: DataFrame, passes: DataFrame, tracks: DataFrame, p: di
     conf = F.least(F.greatest(F.col("p.pass_confidence") * p["factor"], F.lit(p["min"])), F.lit(p["max"]))
     out = last.where(sure).select(*TAKE, F.lit("assist").alias("type"), F.col("p.passer").alias("player_track_id"), "scorer", F.col("p.pass_start").alias("t_start"), F.col("p.pass_end").alias("t_end"), "t_after", conf.alias("confidence"))
     return out.where(F.col("confidence") >= MIN_EMIT)
+
+
+def region_goals(balls: DataFrame, regions: DataFrame, fast: DataFrame, p: dict = REGION) -> DataFrame:
+    """Balls inside a marked region (``regions``: video_id, polygon) soon after a fast ball (``fast``: spans) ended; once a
+    ``window``."""
+    marked = regions.groupBy("video_id").agg(F.collect_list("polygon").alias("polygons"))
+    rows = balls.select(*TAKE, "t", cx().alias("x"), cy().alias("y")).join(marked, "video_id")
+    inside = rows.where(F.exists("polygons", lambda area: in_polygon(F.col("x"), F.col("y"), area))).select(*TAKE, "t", "x", "y")
+    led = asof_backward(inside, fast.select(*TAKE, F.col("t_end").alias("t")), p["window"]).where("t_before is not null")
+    once = debounced(led, p["window"], list(TAKE), strict=True)
+    return once.select(*TAKE, F.lit("goal").alias("type"), F.col("t_before").alias("t_start"), F.col("t").alias("t_end"), F.col("t").alias("t_after"), F.lit(p["confidence"]).alias("confidence"), F.lit("goal_region").alias("source"))
+
+
+def line_goals(balls: DataFrame, lines: DataFrame, p: dict = LINE) -> DataFrame:
+    """Neighbouring sure balls whose way crosses the goal line nearest in time (``lines``: t, left, right; ties: the first).
+    A take has few lines, which ride along as an array."""
+    held = lines.groupBy(*TAKE).agg(F.array_sort(F.collect_list(F.struct("t", "left", "right"))).alias("lines"))
+    w = Window.partitionBy(*TAKE).orderBy("t", "frame_index")
+    now = F.struct("t", cx().alias("x"), cy().alias("y"), "conf")
+    pairs = balls.select(*TAKE, F.lag(now).over(w).alias("a"), now.alias("b"))
+    sure = (F.col("a.conf") >= p["conf"]) & (F.col("b.conf") >= p["conf"]) & (F.round(F.col("b.t") - F.col("a.t"), 9) <= p["gap"])
+    rows = pairs.where(sure).join(held, list(TAKE))
+    mid = (F.col("a.t") + F.col("b.t")) / 2
+    near = F.array_min(F.transform("lines", lambda x: F.struct(F.abs(x["t"] - mid).alias("far"), x["t"].alias("t"), x["left"].alias("left"), x["right"].alias("right"))))
+    at = rows.withColumn("line", near)
+    hit = crossing(*[F.col(c) for c in ("a.x", "a.y", "b.x", "b.y", "line.left.x", "line.left.y", "line.right.x", "line.right.y")])
+    out = at.withColumn("crossing", hit).where("crossing is not null")
+    return out.select(*TAKE, F.lit("goal").alias("type"), F.col("a.t").alias("t_start"), F.col("b.t").alias("t_end"), F.col("b.t").alias("t_after"), F.lit(p["conf"]).alias("confidence"), F.lit("goal_line_crossing").alias("source"))
+
+
+def scoreboard_goals(readings: DataFrame, p: dict = SCOREBOARD) -> DataFrame:
+    """Goals of the first listed region whose early samples agree on a score. ``readings``: region (its place in the list),
+    t, home, away; a sample without a score has nulls."""
+    keys = [*TAKE, "region"]
+    early = readings.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("t"))).where(F.col("__n") <= p["frames"])
+    agreed = early.where("home is not null and away is not null").groupBy(*keys, "home", "away").agg(F.count("*").alias("n")).where(F.col("n") >= p["stable"])
+    active = agreed.groupBy(*TAKE).agg(F.min("region").alias("region"))
+    series = readings.join(active, keys, "left_semi").withColumn("score", F.col("home") + F.col("away"))
+    steps = score_increments(series, p["debounce"])
+    return steps.select(*TAKE, F.lit("goal").alias("type"), F.col("t_before").alias("t_start"), F.col("t_after").alias("t_end"), "t_after", F.lit(p["confidence"]).alias("confidence"), F.lit("scoreboard").alias("source"))
+
+
+def goal_occurrences(scoreboard: DataFrame, crossed: DataFrame, in_region: DataFrame, lines: DataFrame) -> DataFrame:
+    """Scoreboard goals always; of the others, line crossings in takes that have lines and marked regions elsewhere."""
+    return scoreboard.unionByName(crossed).unionByName(in_region.join(lines.select(*TAKE).distinct(), list(TAKE), "left_anti"))
+
+
+def goal_availability(videos: DataFrame, activated: DataFrame, goals: DataFrame, assists: DataFrame) -> DataFrame:
+    """Per video whether goals can be told and why: ``activated`` (video_id) lists videos with a scoreboard."""
+    kinds = goals.groupBy("video_id").agg(F.count("*").alias("n_goals"), F.count_if(F.col("source") == "scoreboard").alias("n_scoreboard"), F.count_if(F.col("source") == "goal_region").alias("n_region"))
+    given = assists.groupBy("video_id").agg(F.count("*").alias("n_assists"))
+    out = videos.select("video_id").join(activated.select("video_id", F.lit(True).alias("board")).distinct(), "video_id", "left").join(kinds, "video_id", "left").join(given, "video_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    other = count(F.col("n_goals")) - count(F.col("n_scoreboard")) - count(F.col("n_region"))
+    status = F.when(count(F.col("n_goals")) > 0, "available").when(F.col("board"), "no_increment").otherwise("no_scoreboard")
+    reason = F.when(status == "available", F.format_string("%d by scoreboard, %d in marked regions, %d unspecified", count(F.col("n_scoreboard")), count(F.col("n_region")), other))
+    return out.select("video_id", status.alias("status"), reason.alias("reason"), count(F.col("n_goals")).alias("n_goals"), count(F.col("n_assists")).alias("n_assists"))

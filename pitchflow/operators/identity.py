@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.geometry import cx, cy, height
+from ..functions.geometry import cx, cy, height, iou
 from .timejoin import TAKE
 
 
@@ -96,3 +96,89 @@ def balance_cap(tracks: DataFrame, share: float = 0.25, cap: float = 0.3) -> Dat
 
 def active_windows(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy(*TAKE, "track_id").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
+
+
+def assign_teams(colours: DataFrame, p: dict = config.TEAMS) -> DataFrame:
+    """Two clusters of the tracks of each take by colour (l, a, b): team and team_confidence, 0.5 half way between the
+    clusters. Team 0 is the darker one. With fewer than two usable tracks there is no team. A take has a colour a track."""
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("track_id", ignore_index=True)
+        points = pdf[["l", "a", "b"]].to_numpy(float)
+        usable = ~np.isnan(points).any(axis=1)
+        team, conf = np.full(len(pdf), -1), np.zeros(len(pdf))
+        x = points[usable]
+        if len(x) >= 2:
+            draw, best = np.random.default_rng(p["seed"]), None
+            for _ in range(p["restarts"]):
+                centres = x[draw.choice(len(x), 2, replace=False)]
+                for _ in range(100):
+                    label = np.argmin(((x[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)
+                    moved = np.stack([x[label == k].mean(axis=0) if (label == k).any() else centres[k] for k in (0, 1)])
+                    if np.array_equal(moved, centres):
+                        break
+                    centres = moved
+                far = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(axis=2))
+                spread = round(float((far.min(axis=1) ** 2).sum()), 9)
+                if best is None or spread < best[0]:
+                    best = (spread, centres, far)
+            _, centres, far = best
+            order = np.lexsort(centres.T[::-1])
+            far = far[:, order]
+            own, total = far.argmin(axis=1), far.sum(axis=1)
+            team[usable] = own
+            conf[usable] = np.where(total > 0, far.max(axis=1) / np.where(total > 0, total, 1), 0.5)
+        return pdf[[*TAKE, "track_id"]].assign(team=pd.array(np.where(team < 0, None, team), dtype="Int32"), team_confidence=conf)
+
+    rows = colours.select(*TAKE, "track_id", "l", "a", "b")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*TAKE, "track_id").schema)
+    return rows.groupBy(*TAKE).applyInPandas(split, f"{kind}, team int, team_confidence double")
+
+
+def majority_teams(crops: DataFrame) -> DataFrame:
+    """Team of each track by its crops' labels (ties: the label seen first), with its share."""
+    votes = crops.where("label is not null").groupBy(*TAKE, "track_id", "label").agg(F.count("*").alias("n"), F.min("crop").alias("seen"))
+    out = votes.groupBy(*TAKE, "track_id").agg(F.max_by("label", F.struct("n", -F.col("seen"))).alias("team"), (F.max("n") / F.sum("n")).alias("team_confidence"))
+    return out
+
+
+def confident_reads(reads: DataFrame, keys: Sequence[str], least: float = 0.4) -> DataFrame:
+    """The number of each crop: certain if only one number of one or two digits is read with enough confidence, else the
+    surest read."""
+    ok = reads.where(F.col("digits").rlike("^[0-9]{1,2}$"))
+    sure = F.when(F.col("confidence") >= least, F.col("digits"))
+    out = ok.groupBy(*keys).agg(F.count_distinct(sure).alias("n"), F.max_by("digits", F.struct("confidence", "digits")).alias("digits"), F.max("confidence").alias("confidence"))
+    return out.select(*keys, "digits", "confidence", (F.col("n") == 1).alias("confident"))
+
+
+def prune_chain(chain: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Members (video_id, take_id, seed, track_id) whose number is not another than their seed's; unread ones stay."""
+    read = numbers.select(*TAKE, F.col("track_id").alias("id_"), "digits")
+    own = chain.join(read.withColumnRenamed("id_", "track_id").withColumnRenamed("digits", "own"), [*TAKE, "track_id"], "left")
+    both = own.join(read.withColumnRenamed("id_", "seed").withColumnRenamed("digits", "wanted"), [*TAKE, "seed"], "left")
+    return both.where(F.coalesce(F.col("own") == F.col("wanted"), F.lit(True))).select(*chain.columns)
+
+
+def claimed_track(votes: DataFrame, keys: Sequence[str], margin: float = 0.2) -> DataFrame:
+    """Of the tracks verified for a claimed number the only one, or the one that leads the next in agreement by ``margin``."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("agreement"), "track_id")
+    ranked = votes.withColumn("lead_", F.col("agreement") - F.lead("agreement").over(w)).withColumn("__n", F.row_number().over(w))
+    return ranked.where((F.col("__n") == 1) & (F.col("lead_").isNull() | (F.round("lead_", 9) >= margin))).drop("__n", "lead_")
+
+
+def merge_fragments(boxes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Boxes of a target's tracks as one track of each take, with the smallest of their ids; of equal instants one box."""
+    own = targets.select(*TAKE, "track_id").distinct()
+    rows = boxes.join(own, [*TAKE, "track_id"], "left_semi")
+    rest = [c for c in boxes.columns if c not in (*TAKE, "track_id", "t")]
+    one = rows.groupBy(*TAKE, "t").agg(F.min_by(F.struct(*rest), "track_id").alias("b"))
+    ids = rows.groupBy(*TAKE).agg(F.min("track_id").alias("track_id"))
+    return one.join(ids, list(TAKE)).select(*TAKE, "track_id", "t", "b.*").select(*boxes.columns)
+
+
+def structure_votes(candidates: DataFrame, least: float = 0.3, need: int = 2) -> DataFrame:
+    """A goal box a take: the median box of the candidates that overlap the median of all enough, if there are enough."""
+    box = ("x1", "y1", "x2", "y2")
+    middle = lambda df: df.groupBy(*TAKE).agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in box], F.count("*").alias("n_inliers"))
+    near = candidates.join(middle(candidates).drop("n_inliers"), list(TAKE)).where(iou("", "m_") >= least)
+    return middle(near.select(*candidates.columns)).where(F.col("n_inliers") >= need).select(*TAKE, *[F.col(f"m_{c}").alias(c) for c in box], "n_inliers")

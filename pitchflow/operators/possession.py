@@ -32,8 +32,9 @@ def possession_series(balls: DataFrame, boxes: DataFrame, params: dict = config.
     return near.withColumn("track_id", F.when(F.col("dist") <= params["distance"], F.col("track_id")))
 
 
-def possession_runs(series: DataFrame, identities: DataFrame | None = None, params: dict = config.POSSESSION) -> DataFrame:
-    """Runs of samples of one identity. A loose ball does not end a run; another identity or a gap of ``merge`` does."""
+def run_samples(series: DataFrame, identities: DataFrame | None = None, params: dict = config.POSSESSION) -> DataFrame:
+    """The samples with a track, with identity and run_id. A loose ball does not end a run; another identity or a gap of
+    ``merge`` does."""
     held = series.where("track_id is not null")
     if identities is not None:
         held = held.join(identities.select(*TAKE, "track_id", "identity"), [*TAKE, "track_id"], "left").withColumn("identity", F.coalesce("identity", "track_id"))
@@ -41,9 +42,17 @@ def possession_runs(series: DataFrame, identities: DataFrame | None = None, para
         held = held.withColumn("identity", F.col("track_id"))
     w = Window.partitionBy(*TAKE).orderBy("t", "frame_index")
     new = (F.col("identity") != F.lag("identity").over(w)) | (F.round(F.col("t") - F.lag("t").over(w), 9) >= params["merge"])
-    runs = held.withColumn("run_id", F.sum(F.when(new, 1).otherwise(0)).over(w))
+    return held.withColumn("run_id", F.sum(F.when(new, 1).otherwise(0)).over(w))
+
+
+def possession_runs(series: DataFrame, identities: DataFrame | None = None, params: dict = config.POSSESSION) -> DataFrame:
+    """Runs of samples of one identity, as ``run_samples`` cuts them."""
+    return runs_of(run_samples(series, identities, params))
+
+
+def runs_of(samples: DataFrame) -> DataFrame:
     at = lambda f: f(F.struct("t", "track_id", "x", "y"), F.struct("t", "frame_index"))
-    return runs.groupBy(*TAKE, "run_id").agg(
+    return samples.groupBy(*TAKE, "run_id").agg(
         F.first("identity").alias("identity"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n"),
         F.avg("dist").alias("mean_dist"), F.sort_array(F.collect_set("track_id")).alias("raw_track_ids"), at(F.min_by).alias("first"), at(F.max_by).alias("last"),
     )

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.geometry import cx, cy, height
-from .timejoin import TAKE
+from .timejoin import TAKE, bracket, nearest_in_time
 
 TRACK = (*TAKE, "track_id")
 
@@ -108,3 +110,97 @@ def running_counts(grid: DataFrame, events: DataFrame, keys: Sequence[str]) -> D
     rows = grid.select(*keys, "t", F.lit(1).alias("__g")).union(events.select(*keys, F.col("t_start"), F.lit(0)))
     w = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("n", F.sum(1 - F.col("__g")).over(w)).where("__g = 1").drop("__g")
+
+
+def plausible_balls(balls: DataFrame, frame_width: float, params: dict = config.BALL) -> DataFrame:
+    """``balls`` of each video without jumps faster than ``speed`` frame widths a second from the last accepted one. As many
+    rejected samples in a row as ``reseed`` that agree with one another are accepted after all; they replace a first sample
+    that nothing has confirmed. A video's balls are one group: at most one sample a frame."""
+    if frame_width <= 0:
+        return balls
+    rows = balls.select("video_id", "frame_index", "t", cx().alias("x"), cy().alias("y"))
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "frame_index"], ignore_index=True)
+        t, x, y = (pdf[c].to_numpy() for c in ("t", "x", "y"))
+
+        def near(a: int, b: int) -> bool:
+            if t[b] <= t[a]:
+                return x[a] == x[b] and y[a] == y[b]
+            return np.hypot(x[b] - x[a], y[b] - y[a]) / (t[b] - t[a]) / frame_width <= params["speed"]
+
+        keep, last, kept, firm, doubt = np.zeros(len(pdf), bool), 0, 1, False, []
+        keep[0] = True
+        for k in range(1, len(pdf)):
+            if near(last, k):
+                keep[k], last, kept, firm, doubt = True, k, kept + 1, True, []
+                continue
+            doubt = [*doubt, k] if doubt and near(doubt[-1], k) else [k]
+            if len(doubt) >= params["reseed"]:
+                if not firm and kept == 1:
+                    keep[last] = False
+                keep[doubt] = True
+                last, kept, firm, doubt = k, kept + len(doubt), True, []
+        return pdf.loc[keep, ["video_id", "frame_index", "t"]]
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("video_id", "frame_index", "t").schema)
+    good = rows.groupBy("video_id").applyInPandas(scan, kind)
+    return balls.join(good.distinct(), ["video_id", "frame_index", "t"], "left_semi")
+
+
+def cumulative_motion(pairs: DataFrame) -> DataFrame:
+    """The affine map from the first instant of each take to every other: the product of the frame-to-frame maps a, b, tx,
+    c, d, ty in order of t. An instant whose map is null keeps the one before."""
+    names = ["a", "b", "tx", "c", "d", "ty"]
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", ignore_index=True)
+        step, now, out = pdf[names].to_numpy(float), np.eye(3), np.empty((len(pdf), 6))
+        for k in range(len(pdf)):
+            if not np.isnan(step[k]).any():
+                now = np.vstack([step[k].reshape(2, 3), [0.0, 0.0, 1.0]]) @ now
+            out[k] = now[:2].ravel()
+        pdf[names] = out
+        return pdf
+
+    rows = pairs.select(*TAKE, "t", *[F.col(c).cast("double").alias(c) for c in names])
+    return rows.groupBy(*TAKE).applyInPandas(product, rows.schema)
+
+
+def to_reference(points: DataFrame, motion: DataFrame) -> DataFrame:
+    """``points`` (x, y, t) with ref_x, ref_y in the take's first frame, by the motion nearest in time; null when that is
+    farther than two sampling periods or has no inverse."""
+    w = Window.partitionBy(*TAKE).orderBy("t")
+    period = motion.select(*TAKE, (F.lead("t").over(w) - F.col("t")).alias("p"), F.row_number().over(w).alias("n")).where("n = 1").select(*TAKE, F.greatest(F.coalesce(F.col("p") * 2, F.lit(1e9)), F.lit(0.1)).alias("__most"))
+    flat = motion.select(*TAKE, "t", "a", "b", "tx", "c", "d", "ty")
+    near = nearest_in_time(points.select(*TAKE, "t").distinct(), flat, 1.0, tie="earlier").select(*TAKE, "t", F.col("near").alias("__m"))
+    rows = points.join(near, [*TAKE, "t"], "left").join(period, list(TAKE), "left")
+    det = F.col("__m.a") * F.col("__m.d") - F.col("__m.b") * F.col("__m.c")
+    u, v = F.col("x") - F.col("__m.tx"), F.col("y") - F.col("__m.ty")
+    ok = (F.round(F.abs(F.col("__m.t") - F.col("t")), 9) <= F.col("__most")) & (det != 0)
+    out = rows.withColumn("ref_x", F.when(ok, (F.col("__m.d") * u - F.col("__m.b") * v) / det)).withColumn("ref_y", F.when(ok, (F.col("__m.a") * v - F.col("__m.c") * u) / det))
+    return out.select(*points.columns, "ref_x", "ref_y")
+
+
+def resample_boxes(grid: DataFrame, boxes: DataFrame, gap: float, tolerance: float) -> DataFrame:
+    """A box of each track at every grid instant: between two samples at most ``gap`` apart, else the nearest (ties: the
+    earlier) within ``tolerance``. ``grid``: video_id, take_id, t."""
+    sides = ("x1", "y1", "x2", "y2")
+    ids = boxes.select(*TRACK).distinct()
+    asked = grid.select(*TAKE, "t").distinct().join(ids, list(TAKE))
+    held = bracket(asked, boxes.select(*TRACK, "t", *sides), sides, keys=TRACK)
+    before, after = F.col("t") - F.col("before.t"), F.col("after.t") - F.col("t")
+    span = F.round(F.col("after.t") - F.col("before.t"), 9)
+    near = F.when(after.isNull() | (before <= after), F.struct(before.alias("d"), F.col("before").alias("b"))).otherwise(F.struct(after.alias("d"), F.col("after").alias("b")))
+    rows = held.withColumn("__n", near).withColumn("__in", F.coalesce((span > 0) & (span <= gap), F.lit(False)))
+    value = lambda c: F.when(F.col("__in"), F.col(f"before.{c}") + F.col("fraction") * (F.col(f"after.{c}") - F.col(f"before.{c}"))).otherwise(F.col(f"__n.b.{c}")).alias(c)
+    return rows.where(F.col("__in") | (F.round("__n.d", 9) <= tolerance)).select(*TRACK, "t", *[value(c) for c in sides], F.col("__in").alias("interpolated"))
+
+
+def evenly_sampled(rows: DataFrame, k: int, keys: Sequence[str] = TRACK) -> DataFrame:
+    """All rows of a key with up to k, else its rows number floor(i n / k) for i below k."""
+    w = Window.partitionBy(*keys)
+    n, i = F.count("*").over(w), F.row_number().over(w.orderBy("t")) - 1
+    marked = rows.withColumn("__n", n).withColumn("__i", i)
+    nth = F.ceil(F.col("__i") * k / F.col("__n"))
+    return marked.where((F.col("__n") <= k) | ((nth < k) & (F.floor(nth * F.col("__n") / k) == F.col("__i")))).drop("__n", "__i")

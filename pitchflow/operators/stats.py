@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.geometry import cx, cy, height
 from .series import TRACK, track_speed
+from .timejoin import TAKE, nearest_in_time
 
 PLAYER = ("video_id", "player_track_id")
 
@@ -77,3 +79,40 @@ def video_profile(takes: DataFrame, videos: DataFrame, motion: DataFrame) -> Dat
     out = videos.join(cuts, "video_id", "left").join(score, "video_id", "left").withColumn("n_cuts", F.coalesce("n_cuts", F.lit(0)))
     rate = F.when(F.col("duration") > 0, F.round(F.col("n_cuts") * 60 / F.col("duration"), 4)).otherwise(0.0)
     return out.withColumn("cuts_per_min", rate).withColumn("motion_score", F.coalesce("motion_score", F.lit(0.0)))
+
+
+def attribute_shots(shots: DataFrame, boxes: DataFrame, balls: DataFrame, targets: DataFrame, p: dict = config.ATTRIBUTION) -> DataFrame:
+    """Shots that began near one of the target's tracks: its box and the ball nearest in time, at most ``gap`` away, lie
+    within ``heights`` box heights."""
+    own = boxes.join(targets.select(*TAKE, "track_id"), [*TAKE, "track_id"], "left_semi")
+    at = shots.select(*TAKE, F.col("t_start").alias("t")).distinct()
+    near = nearest_in_time(at, own, p["gap"], by=("track_id",))
+    gap = F.round(F.abs(F.col("near.t") - F.col("t")), 9)
+    body = near.groupBy(*TAKE, "t").agg(F.min_by("near", F.struct(gap, -F.col("near.track_id"))).alias("near")).select(*TAKE, "t", F.col("near.track_id").alias("player_track_id"), cx("near.").alias("px"), cy("near.").alias("py"), height("near.").alias("ph"))
+    ball = nearest_in_time(at, balls, p["gap"], tie="earlier").select(*TAKE, "t", cx("near.").alias("bx"), cy("near.").alias("by"))
+    dist = F.hypot(F.col("px") - F.col("bx"), F.col("py") - F.col("by")) / F.col("ph")
+    hit = body.join(ball, [*TAKE, "t"]).where((F.col("ph") > 0) & (dist <= p["heights"])).select(*TAKE, F.col("t").alias("t_start"), "player_track_id")
+    return shots.drop("player_track_id").join(hit, [*TAKE, "t_start"])
+
+
+def category_clips(events: DataFrame, takes: DataFrame, categories: dict[str, str] = config.CATEGORIES, keys: Sequence[str] = PLAYER) -> DataFrame:
+    """Clips of each player and category, surest first, without near repeats."""
+    names = F.create_map(*[F.lit(x) for name, kind in categories.items() for x in (kind, name)])
+    rows = events.withColumn("category", names[F.col("type")]).where("category is not null")
+    w = Window.partitionBy(*keys, "category").orderBy(F.desc("confidence"), "t_start", "take_id")
+    ranked = clip_ranges(rows.withColumn("rank", F.row_number().over(w)), takes)
+    return dedupe_clips(ranked, keys=(*keys, "category"))
+
+
+def timeline(events: DataFrame, text: str | None = None, labels: dict[str, str] = config.LABELS) -> DataFrame:
+    """Labelled events; possession has no row, and a key moment whose ``text`` column speaks of celebrating is a celebration."""
+    names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    glad = F.lower(F.coalesce(F.col(text), F.lit(""))).contains("celebrat") if text else F.lit(False)
+    label = F.when(F.col("type") == "key_moment", F.when(glad, "Celebration").otherwise("Other Key Moment")).otherwise(names[F.col("type")])
+    return events.withColumn("label", label).where("label is not null")
+
+
+def identity_report(verified: DataFrame) -> DataFrame:
+    """Takes and verified takes of each video and the distinct verified numbers."""
+    sure = F.col("status") == "verified"
+    return verified.groupBy("video_id").agg(F.count("*").alias("n_takes"), F.count_if(sure).alias("n_verified"), F.sort_array(F.collect_set(F.when(sure, F.col("jersey_number")))).alias("numbers"))

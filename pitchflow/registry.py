@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import more  # noqa: F401
 from .plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
