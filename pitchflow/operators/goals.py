@@ -96,13 +96,15 @@ def goal_occurrences(scoreboard: DataFrame, crossed: DataFrame, in_region: DataF
     return scoreboard.unionByName(crossed).unionByName(in_region.join(lines.select(*TAKE).distinct(), list(TAKE), "left_anti"))
 
 
-def goal_availability(videos: DataFrame, activated: DataFrame, goals: DataFrame, assists: DataFrame) -> DataFrame:
-    """Per video whether goals can be told and why: ``activated`` (video_id) lists videos with a scoreboard."""
+def goal_availability(videos: DataFrame, takes: DataFrame, activated: DataFrame, goals: DataFrame, assists: DataFrame) -> DataFrame:
+    """Per video whether goals can be told and why: not attempted without takes, else by what was found; ``activated``
+    (video_id) lists videos with a scoreboard."""
     kinds = goals.groupBy("video_id").agg(F.count("*").alias("n_goals"), F.count_if(F.col("source") == "scoreboard").alias("n_scoreboard"), F.count_if(F.col("source") == "goal_region").alias("n_region"))
     given = assists.groupBy("video_id").agg(F.count("*").alias("n_assists"))
-    out = videos.select("video_id").join(activated.select("video_id", F.lit(True).alias("board")).distinct(), "video_id", "left").join(kinds, "video_id", "left").join(given, "video_id", "left")
+    cut = takes.select("video_id", F.lit(True).alias("cut")).distinct()
+    out = videos.select("video_id").join(cut, "video_id", "left").join(activated.select("video_id", F.lit(True).alias("board")).distinct(), "video_id", "left").join(kinds, "video_id", "left").join(given, "video_id", "left")
     count = lambda c: F.coalesce(c, F.lit(0))
     other = count(F.col("n_goals")) - count(F.col("n_scoreboard")) - count(F.col("n_region"))
-    status = F.when(count(F.col("n_goals")) > 0, "available").when(F.col("board"), "no_increment").otherwise("no_scoreboard")
+    status = F.when(F.col("cut").isNull(), "not_attempted").when(count(F.col("n_goals")) > 0, "available").when(F.col("board"), "no_increment").otherwise("no_scoreboard")
     reason = F.when(status == "available", F.format_string("%d by scoreboard, %d in marked regions, %d unspecified", count(F.col("n_scoreboard")), count(F.col("n_region")), other))
     return out.select("video_id", status.alias("status"), reason.alias("reason"), count(F.col("n_goals")).alias("n_goals"), count(F.col("n_assists")).alias("n_assists"))

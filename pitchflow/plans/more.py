@@ -79,6 +79,15 @@ def e18_goal_occurrences(spark, sf_dir):
     return rounded(goals.goal_occurrences(goals.scoreboard_goals(readings), goals.line_goals(balls, lines), inside, lines))
 
 
+@query("""select video_id, case when video_id % 4 = 3 then 'not_attempted' when video_id % 4 = 0 then 'no_scoreboard' when video_id % 4 = 1 then 'no_increment' else 'available' end as status,
+case when video_id % 4 = 2 then '2 by scoreboard, 1 in marked regions, 1 unspecified' end as reason, case when video_id % 4 = 2 then 4 else 0 end::bigint as n_goals, case when video_id % 4 = 2 then 1 else 0 end::bigint as n_assists from (select distinct video_id from frames)""")
+def p13_goal_availability(spark, sf_dir):
+    takes = ad.takes(spark, sf_dir).where("video_id % 4 <> 3")
+    videos = ad.frames(spark, sf_dir).select("video_id").distinct()
+    found = videos.where("video_id % 4 = 2").selectExpr("video_id", "explode(array('scoreboard', 'scoreboard', 'goal_region', 'goal_line_crossing')) as source")
+    return goals.goal_availability(videos, takes, videos.where("video_id % 4 = 1"), found, videos.where("video_id % 4 = 2"))
+
+
 @query()
 def w13_plausible_balls(spark, sf_dir):
     jumpy = ad.balls(spark, sf_dir).withColumns({c: F.expr(f"if(frame_index % 37 < 2, {c} + 900, {c})") for c in ("x1", "x2")})
