@@ -182,3 +182,30 @@ def structure_votes(candidates: DataFrame, least: float = 0.3, need: int = 2) ->
     middle = lambda df: df.groupBy(*TAKE).agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in box], F.count("*").alias("n_inliers"))
     near = candidates.join(middle(candidates).drop("n_inliers"), list(TAKE)).where(iou("", "m_") >= least)
     return middle(near.select(*candidates.columns)).where(F.col("n_inliers") >= need).select(*TAKE, *[F.col(f"m_{c}").alias(c) for c in box], "n_inliers")
+
+
+def extend_chains(chain: DataFrame, tracks: DataFrame, least: float = config.TARGET["height"]) -> DataFrame:
+    """``chain`` (video_id, take_id, seed, track_id) with the other tracks of the take that may be its seed's player.
+
+    ``tracks``: track_id, t_start, t_end, team, height, digits. A track of another team or number or of a very different
+    height is not; what is unknown does not count. In order of (t_start, id), one that overlaps an accepted one in time is
+    left out. ``added`` tells the new rows.
+    """
+    who = ("team", "height", "digits")
+    seed = tracks.select(*TAKE, F.col("track_id").alias("seed"), *[F.col(c).alias(f"s_{c}") for c in who])
+    spans = chain.join(tracks.select(*TAKE, "track_id", "t_start", "t_end"), [*TAKE, "track_id"])
+    held = spans.groupBy(*TAKE, "seed").agg(F.collect_list(F.struct("t_start", "t_end", "track_id")).alias("held"))
+    rows = held.select(*TAKE, "seed").join(seed, [*TAKE, "seed"]).join(tracks, list(TAKE)).join(chain, [*TAKE, "seed", "track_id"], "left_anti")
+    both = (F.col("height") > 0) & (F.col("s_height") > 0)
+    ratio = F.when(both, F.least("height", "s_height") / F.greatest("height", "s_height"))
+    fit = rows
+    for unlike in (F.col("team") != F.col("s_team"), ratio < least, F.col("digits") != F.col("s_digits")):
+        fit = fit.where(~F.coalesce(unlike, F.lit(False)))
+    more = fit.groupBy(*TAKE, "seed").agg(F.array_sort(F.collect_list(F.struct("t_start", "track_id", "t_end"))).alias("more"))
+    scan = F.expr(
+        """aggregate(more, held, (acc, c) -> if(exists(acc, k -> c.t_start < k.t_end and k.t_start < c.t_end), acc,
+            concat(acc, array(named_struct('t_start', c.t_start, 't_end', c.t_end, 'track_id', c.track_id)))))"""
+    )
+    grown = more.join(held, [*TAKE, "seed"]).select(*TAKE, "seed", F.explode(scan).alias("m")).select(*TAKE, "seed", F.col("m.track_id").alias("track_id"))
+    new = grown.join(chain, [*TAKE, "seed", "track_id"], "left_anti").withColumn("added", F.lit(True))
+    return chain.select(*TAKE, "seed", "track_id").withColumn("added", F.lit(False)).unionByName(new)

@@ -162,6 +162,15 @@ def t11_select_targets(spark, sf_dir):
     return rounded(target.select_targets(ad.takes(spark, sf_dir), manual, votes, target.fallback_seeds(ad.boxes(spark, sf_dir), ad.tracks(spark, sf_dir), ad.WIDTH, HEIGHT)))
 
 
+@query()
+def t18_extend_chains(spark, sf_dir):
+    pieces = ad.boxes(spark, sf_dir).selectExpr("video_id", "take_id", "track_id + 12 * cast(floor(frame_index % 250 / 50) as bigint) as track_id", "t", "y2 - y1 + track_id % 3 as h").groupBy("video_id", "take_id", "track_id").agg(
+        F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.percentile("h", 0.5).alias("height"))
+    rows = pieces.selectExpr("*", "track_id % 2 as team", "if(track_id % 5 = 0, cast(track_id % 12 as string), null) as digits")
+    chain = rows.where("track_id in (2, 5)").selectExpr("video_id", "take_id", "track_id as seed", "track_id")
+    return identity.extend_chains(chain, rows)
+
+
 @query()
 def t21_verify_candidates(spark, sf_dir):
     lab = "named_struct('l', 40D + 25 * (track_id % 2) + take_id, 'a', 0D, 'b', 0D)"

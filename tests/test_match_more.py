@@ -275,3 +275,27 @@ def test_colours(spark):
 def test_overrides(spark):
     rows = spark.createDataFrame([("0:30,1:10, 7 ,0:30,x",)], "s string").select(filters.overrides(F.col("s")).alias("o"))
     assert [tuple(p) for p in rows.first().o] == [(0, 30), (1, 10), (0, 7)]
+
+
+def test_extended_chains(spark):
+    random.seed(7)
+    rows, chains = [], []
+    for k in range(6):
+        for i in range(14):
+            start = random.randrange(60) / 2
+            rows.append((0, k, i, start, start + random.randrange(1, 8) / 2, random.choice([0, 1, None]), random.choice([100.0, 90.0, 50.0, None]), random.choice(["7", "9", None, None])))
+        chains.append((0, k, 0, 0))
+    tracks = spark.createDataFrame(rows, "video_id long, take_id long, track_id long, t_start double, t_end double, team int, height double, digits string")
+    got = identity.extend_chains(spark.createDataFrame(chains, "video_id long, take_id long, seed long, track_id long"), tracks).collect()
+    want = set()
+    for k in range(6):
+        own = sorted((r for r in rows if r[1] == k), key=lambda r: (r[3], r[2]))
+        (seed,) = (r for r in own if r[2] == 0)
+        taken = [seed]
+        for c in own:
+            unlike = any(a is not None and b is not None and a != b for a, b in ((c[5], seed[5]), (c[7], seed[7])))
+            unlike = unlike or c[6] is not None and seed[6] is not None and min(c[6], seed[6]) / max(c[6], seed[6]) < 0.6
+            if c is not seed and not unlike and not any(c[3] < t[4] and t[3] < c[4] for t in taken):
+                taken.append(c)
+        want |= {(k, c[2], c is not seed) for c in taken}
+    assert {(r.take_id, r.track_id, r.added) for r in got} == want and any(added for _, _, added in want)
