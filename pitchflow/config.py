@@ -16,7 +16,7 @@ RANK = {"goal": 100.0, "assist": 80.0, "shot": 60.0, "dribble": 40.0, "key_pass"
 CLIP = {"before": 3.0, "after": 2.0, "iou": 0.6, "top": 15}
 VOTE = {"reads": 2, "agreement": 0.4, "confidence": 0.3}
 PROFILE = {"cuts_per_min": 3.0, "static": 1.5, "panning": 6.0, "low_res": 640}
-STITCH = {"gap": 1.5, "jump": 3.0, "speed": 2.5, "decay": 0.92}
+STITCH = {"gap": 1.5, "jump": 3.0, "speed": 2.5, "decay": 0.92, "team": 0.5}
 PHRASES = (("pass", "pass"), ("touch", "touch"), ("out of bounds", "out_of_bounds"), ("shot", "shot"), ("goal", "goal"), ("dribble", "dribble"), ("tackle", "tackle"), ("save", "save"), ("sprint", "sprint"))
 COLOURS = ("white", "black", "red", "blue", "green", "yellow", "orange", "purple", "grey", "light blue", "dark blue")
 DRIBBLE = {"duration": 1.0, "contest": 2.0, "travel": 1.0, "team": 0.5, "min": 0.1, "max": 0.35}
@@ -26,11 +26,13 @@ LINE = {"conf": 0.5, "gap": 0.3}
 SCOREBOARD = {"frames": 8, "stable": 5, "debounce": 2, "confidence": 0.75}
 KEY_MOMENT = {"window": 5, "threshold": 1.0, "duration": 0.5, "merge": 0.5, "top": 6, "yes": 0.55, "min": 0.2}
 TIMELINE = {"age": 0.04, "occlusion": 0.10, "partial": 0.15, "grace": 2.0, "hold": 1.5}
-TARGET = {"height": 0.6, "strong": 0.9, "uncertain": 0.75, "reach": 6.0, "weights": {"kit": 0.4, "jersey": 0.3, "height": 0.15, "trajectory": 0.15}}
+TARGET = {"height": 0.6, "bank": 20, "learn": 0.75, "strong": 0.9, "uncertain": 0.75, "reach": 6.0, "weights": {"kit": 0.4, "jersey": 0.3, "height": 0.15, "trajectory": 0.15}}
 SELECTION = {"tolerance": 0.15, "tip": 200.0, "duration": 0.5, "share": 0.4, "fallback": 0.35, "weights": (0.4, 0.3, 0.3)}
 ATTRIBUTION = {"heights": 4.0, "gap": 1.0}
+LOCK = {"colour": 8.0, "margin": 0.2}
 TEAMS = {"restarts": 10, "seed": 0}
 COLOUR_DISTANCE = 8.0
 CATEGORIES = {"ball_possession": "possession", "passes": "pass", "turnovers": "turnover", "dribbles": "dribble", "assists": "assist", "goals": "goal", "key_moments": "key_moment"}
 LABELS = {"touch": "Touch", "pass": "Pass", "turnover": "Turnover", "sprint": "Sprint", "dribble": "Dribble", "shot": "Shot", "tackle": "Tackle", "save": "Save", "goal": "Goal", "assist": "Assist", "out_of_bounds": "Out of bounds"}
 CARD_COUNTS = ("touches", "passes", "turnovers", "sprints", "goals", "assists", "shots", "tackles", "saves", "dribbles")
+ANCHORS = {"motion": 3.75, "moving": 5.0, "still": 30.0, "most": 10}

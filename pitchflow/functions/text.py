@@ -67,8 +67,8 @@ def score(text: Column) -> Column:
 
 
 def clock(t: Column) -> Column:
-    """M:SS.s"""
-    return F.format_string("%d:%04.1f", F.floor(t / 60).cast("int"), t - F.floor(t / 60) * 60)
+    """M:SS.s; ties go to the even digit."""
+    return F.format_string("%d:%04.1f", F.floor(t / 60).cast("int"), F.bround(t - F.floor(t / 60) * 60, 1))
 
 
 def frame_rate(text: Column) -> Column:
@@ -98,7 +98,7 @@ def stat_card(text: Column) -> Column:
     """The counts, texts and timeline rows of an archived card: a count that is no number is 0, a missing status Unknown, a
     confidence that is no number 0.9."""
     value = lambda label: F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?im)^\s*\*\*{label}:\*\*[ \t]*([^\r\n]*)$", 1)), F.lit(""))
-    counts = [F.coalesce(F.regexp_extract(value(name), r"^(-?\d+)(?:\s|$)", 1).try_cast("int"), F.lit(0)).alias(name) for name in CARD_COUNTS]
+    counts = [F.coalesce(F.regexp_extract(value("sprints/runs" if name == "sprints" else name), r"^(-?\d+)(?:\s|$)", 1).try_cast("int"), F.lit(0)).alias(name) for name in CARD_COUNTS]
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
     table = F.filter(lines, lambda x: x.startswith("|") & ~x.startswith("| Time") & ~x.startswith("|---"))
     cells = F.transform(table, lambda x: F.filter(F.transform(F.split(x, r"\|"), lambda c: F.trim(c)), lambda c: c != ""))
@@ -108,3 +108,46 @@ def stat_card(text: Column) -> Column:
         F.coalesce(value("Possession Time"), F.lit("uncertain")).alias("possession_time"), F.coalesce(value("Distance Covered"), F.lit("uncertain")).alias("distance_covered"),
         F.transform(F.filter(cells, lambda c: F.size(c) >= 3), row).alias("events"),
     )
+
+
+def stat_card_text(number: Column, counts: dict[str, Column], possession: Column, distance: Column, rows: Column, reason: Column, identity: Column) -> Column:
+    """A card that ``stat_card`` reads. ``counts``: by the names in CARD_COUNTS; ``rows``: array of t_start, label and
+    confidence in order of time. Goals and assists of 0 show the reason why they are unknown, where there is one; a null
+    possession or distance is uncertain."""
+    line = lambda label, value: F.concat(F.lit(f"**{label}:** "), value)
+    count = lambda name: F.coalesce(counts.get(name, F.lit(0)), F.lit(0))
+    known = lambda name: F.when((count(name) > 0) | reason.isNull(), count(name).cast("string")).otherwise(reason)
+    labels = {"Touches": "touches", "Passes": "passes", "Turnovers": "turnovers", "Sprints/Runs": "sprints", "Goals": "goals", "Assists": "assists", "Shots": "shots", "Tackles": "tackles", "Saves": "saves", "Dribbles": "dribbles"}
+    shown = [line(label, known(name) if name in ("goals", "assists") else count(name).cast("string")) for label, name in labels.items()]
+    table = F.transform(rows, lambda r: F.concat(F.lit("| "), clock(r["t_start"]), F.lit(" | "), r["label"], F.lit(" | "), F.format_string("%.2f", F.bround(r["confidence"], 2)), F.lit(" |")))
+    empty = F.array(F.lit("| _(no events attributed to this player)_ | | |"))
+    who = F.coalesce(F.concat(F.lit("## Player #"), number.cast("string")), F.lit("## Target player (jersey number not readable)"))
+    uncertain = F.lit("uncertain")
+    head = [F.lit("# Player Statistics"), F.lit(""), who, F.lit(""), line("Identity Status", identity), F.lit(""), *shown]
+    head += [line("Possession Time", F.when(possession.isNotNull(), F.format_string("%.1fs", F.bround(possession, 1))).otherwise(uncertain))]
+    head += [line("Distance Covered", F.when(distance.isNotNull(), F.format_string("%.2f bbox_heights (uncalibrated)", F.bround(distance, 2))).otherwise(uncertain))]
+    head += [F.lit(""), F.lit("## Event Timeline"), F.lit(""), F.lit("| Time | Event | Confidence |"), F.lit("|------|-------|------------|")]
+    return F.concat(F.array_join(F.concat(F.array(*head), F.when(F.size(rows) > 0, table).otherwise(empty)), "\n"), F.lit("\n"))
+
+
+def annotation_template(video: Column, takes: Column) -> Column:
+    """Text to fill in for a video: an example line under every take of ``takes`` (array of take_id, status, confidence) whose
+    player is not verified."""
+    open_ = F.filter(takes, lambda k: ~k["status"].eqNullSafe("verified"))
+    example = "# 00:00 player #0 in white makes a pass"
+    block = lambda k: F.format_string(f"#\n# Take %d: %s, confidence %.2f\n{example}", k["take_id"], F.coalesce(k["status"], F.lit("unknown")), F.coalesce(k["confidence"], F.lit(0.0)))
+    head = F.concat(F.lit("# Annotations of "), video.cast("string"), F.lit("\n# One event a line: MM:SS player #<number> in <colour> <what happens>"))
+    return F.concat(head, F.lit("\n"), F.when(F.size(open_) > 0, F.array_join(F.transform(open_, block), "\n")).otherwise(F.lit("#\n# Every take is verified.")), F.lit("\n"))
+
+
+def player_key(number: Column, target: Column) -> Column:
+    """Name of a player's folder: by number, else by the target's id, else unknown."""
+    return F.coalesce(F.concat(F.lit("player_"), number.cast("string")), F.nullif(F.lower(target), F.lit("")), F.lit("player_unknown"))
+
+
+def touch_player(typed: Column, produced: Column) -> Column:
+    """struct<number, how>: the number that typed touches belong to, the typed one or the only one that has events."""
+    numbers = F.array_compact(F.array_distinct(produced))
+    only = F.when(F.size(numbers) == 1, F.get(numbers, F.lit(0)))
+    how = F.when(typed.isNotNull(), "typed").when(only.isNotNull(), "single_jersey_inferred").otherwise("ambiguous_not_attached")
+    return F.struct(F.coalesce(typed, only).alias("number"), how.alias("how"))

@@ -26,11 +26,13 @@ def assemble_tracks(detections: DataFrame) -> DataFrame:
 
 def stitch_identities(tracks: DataFrame, p: dict = config.STITCH) -> DataFrame:
     """Greedy forward chains of the track headers of a take in order of (t_start, id): identity (the chain's first id)
-    and confidence of each track. A take's headers are few; its boxes stay where they are."""
+    and confidence of each track. The nearest follower wins, among equals one of the same sure team (where ``tracks`` has
+    team and team_confidence), then the lowest id. A take's headers are few; its boxes stay where they are."""
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t_start", "track_id"], ignore_index=True)
         start, end = pdf["t_start"].to_numpy(), pdf["t_end"].to_numpy()
+        team, sure = pdf["team"].to_numpy(float, na_value=np.nan), pdf["team_confidence"].fillna(0).to_numpy(float)
         free = np.ones(len(pdf), bool)
         identity, conf = np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
         for k in range(len(pdf)):
@@ -46,18 +48,21 @@ def stitch_identities(tracks: DataFrame, p: dict = config.STITCH) -> DataFrame:
                         continue
                     mean = (pdf["last_h"][tail] + pdf["first_h"][j]) / 2
                     jump = np.hypot(pdf["first_x"][j] - pdf["last_x"][tail], pdf["first_y"][j] - pdf["last_y"][tail]) / mean if mean > 0 else np.inf
-                    if jump < p["jump"] and jump / gap < p["speed"] and (best is None or jump < best[0]):
-                        best = (jump, j)
+                    if jump < p["jump"] and jump / gap < p["speed"]:
+                        alike = min(sure[tail], sure[j]) >= p["team"] and team[tail] == team[j]
+                        rank = (jump, not alike, pdf["track_id"][j], j)
+                        best = rank if best is None else min(best, rank)
                 if best is None:
                     break
-                tail = best[1]
+                tail = best[-1]
                 free[tail] = False
                 members.append(tail)
             identity[members] = pdf["track_id"][k]
             conf[members] = p["decay"] ** (len(members) - 1) * pdf["mean_conf"][members].mean()
         return pdf[[*TAKE, "track_id"]].assign(identity=identity, confidence=conf)
 
-    flat = tracks.select(*TAKE, "track_id", "t_start", "t_end", "mean_conf", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("first", "last") for c in "xyh"])
+    sides = [F.col(c) if c in tracks.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("team", "int"), ("team_confidence", "double"))]
+    flat = tracks.select(*TAKE, "track_id", "t_start", "t_end", "mean_conf", *sides, *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("first", "last") for c in "xyh"])
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.select(*TAKE, "track_id").schema)
     return flat.groupBy(*TAKE).applyInPandas(chain, f"{kind}, identity long, confidence double")
 
@@ -98,6 +103,24 @@ def active_windows(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy(*TAKE, "track_id").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
 
 
+def _two_means(x: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Two centres of at least two points, the best of some fixed starts, and every point's distances to them."""
+    draw, best = np.random.default_rng(p["seed"]), None
+    for _ in range(p["restarts"]):
+        centres = x[draw.choice(len(x), 2, replace=False)]
+        for _ in range(100):
+            label = np.argmin(((x[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)
+            moved = np.stack([x[label == k].mean(axis=0) if (label == k).any() else centres[k] for k in (0, 1)])
+            if np.array_equal(moved, centres):
+                break
+            centres = moved
+        far = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(axis=2))
+        spread = round(float((far.min(axis=1) ** 2).sum()), 9)
+        if best is None or spread < best[0]:
+            best = (spread, centres, far)
+    return best[1:]
+
+
 def assign_teams(colours: DataFrame, p: dict = config.TEAMS) -> DataFrame:
     """Two clusters of the tracks of each take by colour (l, a, b): team and team_confidence, 0.5 half way between the
     clusters. Team 0 is the darker one. With fewer than two usable tracks there is no team. A take has a colour a track."""
@@ -109,20 +132,7 @@ def assign_teams(colours: DataFrame, p: dict = config.TEAMS) -> DataFrame:
         team, conf = np.full(len(pdf), -1), np.zeros(len(pdf))
         x = points[usable]
         if len(x) >= 2:
-            draw, best = np.random.default_rng(p["seed"]), None
-            for _ in range(p["restarts"]):
-                centres = x[draw.choice(len(x), 2, replace=False)]
-                for _ in range(100):
-                    label = np.argmin(((x[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)
-                    moved = np.stack([x[label == k].mean(axis=0) if (label == k).any() else centres[k] for k in (0, 1)])
-                    if np.array_equal(moved, centres):
-                        break
-                    centres = moved
-                far = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(axis=2))
-                spread = round(float((far.min(axis=1) ** 2).sum()), 9)
-                if best is None or spread < best[0]:
-                    best = (spread, centres, far)
-            _, centres, far = best
+            centres, far = _two_means(x, p)
             order = np.lexsort(centres.T[::-1])
             far = far[:, order]
             own, total = far.argmin(axis=1), far.sum(axis=1)
@@ -135,6 +145,31 @@ def assign_teams(colours: DataFrame, p: dict = config.TEAMS) -> DataFrame:
     return rows.groupBy(*TAKE).applyInPandas(split, f"{kind}, team int, team_confidence double")
 
 
+def teams_by_embedding(crops: DataFrame, p: dict = config.TEAMS) -> DataFrame:
+    """Team and share of each track by the vectors of its crops (video_id, take_id, track_id, crop, vector).
+
+    Vectors are scaled to length one (zero ones stay) and the crops of a take fall into two clusters; a track gets the label
+    of most of its crops. Team 0 is the cluster of the smaller centre. Crops without a vector do not count; a track without
+    a usable crop, or in a take with one, has no team and share 0. A take has a bounded number of crops a track.
+    """
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = np.zeros(len(pdf), int)
+        if len(pdf) >= 2:
+            pdf = pdf.sort_values(["track_id", "crop"], ignore_index=True)
+            centres, far = _two_means(np.stack(pdf["unit"].to_numpy()).astype(float), p)
+            label = far[:, np.lexsort(centres.T[::-1])].argmin(axis=1)
+        return pdf[[*TAKE, "track_id", "crop"]].assign(label=pd.array(label if len(pdf) >= 2 else [None] * len(pdf), dtype="Int32"))
+
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v))
+    usable = crops.where(F.size("vector") > 0).withColumn("__n", norm)
+    unit = usable.select(*TAKE, "track_id", "crop", F.transform("vector", lambda v: F.when(F.col("__n") > 0, v.cast("double") / F.col("__n")).otherwise(0.0)).alias("unit"))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in unit.select(*TAKE, "track_id", "crop").schema)
+    teams = majority_teams(unit.groupBy(*TAKE).applyInPandas(split, f"{kind}, label int"))
+    every = crops.select(*TAKE, "track_id").distinct().join(teams, [*TAKE, "track_id"], "left")
+    return every.withColumn("team_confidence", F.coalesce("team_confidence", F.lit(0.0)))
+
+
 def majority_teams(crops: DataFrame) -> DataFrame:
     """Team of each track by its crops' labels (ties: the label seen first), with its share."""
     votes = crops.where("label is not null").groupBy(*TAKE, "track_id", "label").agg(F.count("*").alias("n"), F.min("crop").alias("seen"))

@@ -204,3 +204,25 @@ def evenly_sampled(rows: DataFrame, k: int, keys: Sequence[str] = TRACK) -> Data
     marked = rows.withColumn("__n", n).withColumn("__i", i)
     nth = F.ceil(F.col("__i") * k / F.col("__n"))
     return marked.where((F.col("__n") <= k) | ((nth < k) & (F.floor(nth * F.col("__n") / k) == F.col("__i")))).drop("__n", "__i")
+
+
+def midpoints(start: Column, end: Column, k: Column) -> Column:
+    """The middles of k equal parts of a span; its start alone where the span is empty."""
+    spread = F.transform(F.sequence(F.lit(0), F.greatest(k.cast("int"), F.lit(1)) - 1), lambda i: start + (end - start) * (i + 0.5) / F.greatest(k, F.lit(1)))
+    return F.when(end > start, spread).otherwise(F.array(start))
+
+
+def sample_times(first: Column, last: Column, t: Column, take: tuple[Column, Column], window: float, k: int, most: float | None = None) -> Column:
+    """Up to k instants over a track's life, which is widened to ``window`` round t, held inside the take and cut to ``most``
+    seconds round t; t alone for one instant or an empty span."""
+    lo, hi = F.greatest(F.least(first, t - window), take[0]), F.least(F.greatest(last, t + window), take[1])
+    if most:
+        lo, hi = F.greatest(lo, t - most / 2), F.least(hi, t + most / 2)
+    return F.when((hi > lo) & F.lit(k > 1), midpoints(lo, hi, F.lit(k))).otherwise(F.array(t))
+
+
+def anchor_times(t_start: Column, t_end: Column, motion: Column, p: dict = config.ANCHORS) -> Column:
+    """Instants at which a take's goal is looked for: more of them where the camera moves."""
+    span = F.greatest(t_end - t_start, F.lit(1e-3))
+    every = F.when(motion > p["motion"], p["moving"]).otherwise(p["still"])
+    return midpoints(t_start, t_start + span, F.least(F.greatest(F.ceil(F.round(span / every, 9)), F.lit(1)), F.lit(p["most"])))

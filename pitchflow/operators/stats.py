@@ -116,3 +116,27 @@ def identity_report(verified: DataFrame) -> DataFrame:
     """Takes and verified takes of each video and the distinct verified numbers."""
     sure = F.col("status") == "verified"
     return verified.groupBy("video_id").agg(F.count("*").alias("n_takes"), F.count_if(sure).alias("n_verified"), F.sort_array(F.collect_set(F.when(sure, F.col("jersey_number")))).alias("numbers"))
+
+
+def event_table(events: DataFrame, clips: DataFrame) -> DataFrame:
+    """Events (with event_id) with rank_score and clip of their clip, and ``place``: best first, those without a clip last in
+    order of time."""
+    cut = clips.select("video_id", "event_id", "rank_score", F.struct("clip_start", "clip_end").alias("clip"))
+    w = Window.partitionBy("video_id").orderBy(F.desc(F.coalesce("rank_score", F.lit(-1.0))), "t_start", "event_id")
+    return events.drop("rank_score").join(cut, ["video_id", "event_id"], "left").withColumn("place", F.row_number().over(w))
+
+
+def annotation_report(lines: DataFrame, keys: Sequence[str] = ("video_id",)) -> DataFrame:
+    """Counts of parsed, faulty and unassigned lines of each video. ``lines``: skipped, parsed and take_id (null: none)."""
+    parsed, skipped = F.coalesce("parsed", F.lit(False)), F.coalesce("skipped", F.lit(False))
+    return lines.groupBy(*keys).agg(F.count_if(parsed & ~skipped).alias("n_parsed"), F.count_if(~parsed & ~skipped).alias("n_problems"), F.count_if(parsed & ~skipped & F.col("take_id").isNull()).alias("n_unassigned"))
+
+
+def players_at(points: DataFrame, boxes: DataFrame, tracks: DataFrame, frame_w: float, frame_h: float, tol: float = 0.3) -> DataFrame:
+    """Every player near each instant of ``points`` (referees left out): its track, chain (``identity``, else the track), box
+    in shares of the frame, team and height. The box nearest in time counts, of equals the earlier."""
+    near = nearest_in_time(points, boxes, tol, by=("track_id",), tie="earlier").withColumn("track_id", F.col("near.track_id"))
+    chain = F.coalesce("identity", "track_id") if "identity" in tracks.columns else F.col("track_id")
+    who = tracks.where(~F.col("dominant_class").eqNullSafe("referee")).select(*TAKE, "track_id", chain.alias("chain"), "team", "team_confidence")
+    sides = [(F.col(f"near.{c}") / size).alias(c) for c, size in (("x1", frame_w), ("y1", frame_h), ("x2", frame_w), ("y2", frame_h))]
+    return near.join(who, [*TAKE, "track_id"]).select(*points.columns, "track_id", "chain", *sides, height("near.").alias("height"), "team", "team_confidence")

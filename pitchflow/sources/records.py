@@ -54,3 +54,11 @@ def frame_manifest(videos: DataFrame, fps: float, chunk_s: float) -> DataFrame:
     full = F.bround(F.lit(chunk_s * fps)).cast("long")
     rows = chunks.withColumn("n", size(F.col("chunk_id"))).where("n > 0").select("video_id", "chunk_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     return rows.select("video_id", "chunk_id", (F.col("chunk_id") * full + F.col("i")).alias("index"), (start + F.col("i") / fps).alias("t"))
+
+
+def write_player_tree(cards: DataFrame, timeline: DataFrame, clips: DataFrame, path: str) -> None:
+    """Cards, timeline rows and clip lists under ``path``, each in folders by video_id and player (see ``text.player_key``).
+    Rows of one player are sorted and lie together, so that a player's folder holds few files. Folders of
+    other players stay."""
+    for name, df, order in (("cards", cards, ()), ("timeline", timeline, ("t_start",)), ("clips", clips, ("category", "rank"))):
+        df.repartition("video_id", "player").sortWithinPartitions("video_id", "player", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id", "player").parquet(f"{path}/{name}")
