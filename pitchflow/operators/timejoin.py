@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import point_to_box
 
 TAKE = ("video_id", "take_id")
+#: Buckets are a little wider than the tolerance, so that rounding never parts two rows a whole tolerance apart.
+BROADER = 1.001
 
 
 def assign_take(points: DataFrame, takes: DataFrame) -> DataFrame:
@@ -33,9 +35,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tol: float, by: Sequence[
     """For each row of ``left`` and value of ``by``, the row of ``right`` (struct ``near``) least far in time and at most
     ``tol`` away. Equal distances: the ``later`` or ``earlier`` row. Rows without one are left out; equal left rows are one.
     """
-    bucket = F.floor(F.col("t") / tol)
+    wide = tol * BROADER
+    bucket = F.floor(F.col("t") / wide)
     spread = left.withColumn("__b", F.explode(F.sequence(bucket - 1, bucket + 1)))
-    other = right.select(*[F.col(c).alias(f"__{c}") for c in keys], F.floor(F.col("t") / tol).alias("__rb"), F.struct(*right.columns).alias("near"))
+    other = right.select(*[F.col(c).alias(f"__{c}") for c in keys], F.floor(F.col("t") / wide).alias("__rb"), F.struct(*right.columns).alias("near"))
     match = (F.col("__b") == F.col("__rb")) & F.lit(True)
     for c in keys:
         match = match & (F.col(c) == F.col(f"__{c}"))
@@ -105,8 +108,9 @@ def asof_backward(left: DataFrame, ends: DataFrame, tol: float, keys: Sequence[s
 def drop_near(rows: DataFrame, times: DataFrame, tol: float, keys: Sequence[str] = ("video_id",)) -> DataFrame:
     """``rows`` with no time of ``times`` within ``tol`` seconds (inclusive) of t_start: automatic touches that a manual
     one replaces."""
-    spread = times.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("t").alias("__t"), F.explode(F.sequence(F.floor((F.col("t") - tol) / tol), F.floor((F.col("t") + tol) / tol))).alias("__rb"))
-    match = (F.floor(F.col("t_start") / tol) == F.col("__rb")) & (F.abs(F.col("t_start") - F.col("__t")) <= tol)
+    wide = tol * BROADER
+    spread = times.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("t").alias("__t"), F.explode(F.sequence(F.floor(F.col("t") / wide) - 1, F.floor(F.col("t") / wide) + 1)).alias("__rb"))
+    match = (F.floor(F.col("t_start") / wide) == F.col("__rb")) & (F.abs(F.col("t_start") - F.col("__t")) <= tol)
     for c in keys:
         match = match & (F.col(c) == F.col(f"__{c}"))
     return rows.join(spread, match, "left_anti")

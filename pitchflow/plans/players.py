@@ -20,7 +20,7 @@ def _pieces(spark, sf_dir):
     none = "cast(null as struct<l:double,a:double,b:double>)"
     return identity.assemble_tracks(rows).selectExpr(
         "*", "cast(track_id % 2 as int) as team", "0.8D as team_confidence", f"named_struct('torso', if(track_id % 3 = 0, {none}, {lab}), 'shorts', {lab}, 'socks', {none}) as kit",
-        "if(track_id % 4 = 0, null, cast(track_id % 5 as string)) as jersey", "90D + track_id % 20 as height",
+        "if(track_id % 4 = 0, null, cast(track_id % 5 as string)) as jersey", "90D + track_id % 20 + track_id / 200D as height",
     )
 
 

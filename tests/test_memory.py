@@ -201,3 +201,13 @@ def test_event_table_and_report(spark):
     assert [r.event_id for r in stats.event_table(events, clips).orderBy("place").collect()] == ["c", "b", "a"]
     lines = spark.createDataFrame([(0, True, False, None), (0, False, True, 1), (0, False, True, None), (0, False, False, None)], "video_id long, skipped boolean, parsed boolean, take_id long")
     assert tuple(stats.annotation_report(lines).first()) == (0, 2, 1, 1)
+
+
+def test_a_whole_tolerance_apart_is_near(spark):
+    from pitchflow.operators import timejoin
+
+    left = spark.createDataFrame([(0, 0, k / 25 - 0.2) for k in range(0, 3000, 5)], "video_id long, take_id long, t double")
+    right = spark.createDataFrame([(0, 0, k / 25) for k in range(0, 3000, 5)], "video_id long, take_id long, t double").where("t > 0")
+    assert timejoin.nearest_in_time(left, right, 0.2).count() == 600
+    events = right.selectExpr("video_id", "t as t_start")
+    assert timejoin.drop_near(events, left.selectExpr("video_id", "round(t, 9) as t"), 0.21).count() == 0
