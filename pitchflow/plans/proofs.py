@@ -75,3 +75,56 @@ both_ as (select h.*, coalesce(round(tb - ta, 9) > 0 and round(tb - ta, 9) <= 0.
 val as (select h.*, a.x1 as ax1, a.x2 as ax2, a.y1 as ay1, a.y2 as ay2, b.x1 as bx1, b.x2 as bx2, b.y1 as by1, b.y2 as by2 from both_ h left join thin a on a.video_id = h.video_id and a.take_id = h.take_id and a.track_id = h.track_id and a.t = h.ta left join thin b on b.video_id = h.video_id and b.take_id = h.take_id and b.track_id = h.track_id and b.t = h.tb)
 select video_id, take_id, track_id, round(t, 6) as t, """ + ", ".join(f"round(case when interpolated then a{c} + f * (b{c} - a{c}) when left_ then a{c} else b{c} end, 6) as {c}" for c in ("x1", "y1", "x2", "y2")) + """, interpolated
 from val where interpolated or round(case when left_ then t - ta else tb - t end, 9) <= 0.3"""
+
+
+def _ctes(name: str) -> tuple[str, str]:
+    """The parts of a query's SQL before and from its last select."""
+    body = SQL[name][len(BASE) :]
+    at = body.rindex("\nselect ") if "\nselect " in body else 0
+    return body[:at], body[at:]
+
+
+def _greedy(rows: str, keys: str, hit: str) -> str:
+    """Rows of ``rows`` (in turn k of their key) that no kept one k_ hits; a fold carries the kept ones."""
+    same = " and ".join(f"u.{c} = g.{c}" for c in keys.split(", "))
+    return f""", g as (select {keys}, k, [{rows}] as kept from {rows} where k = 1
+  union all select {", ".join("u." + c for c in keys.split(", "))}, u.k, case when len(list_filter(g.kept, lambda k_: {hit})) > 0 then g.kept else list_append(g.kept, u) end from g join {rows} u on {same} and u.k = g.k + 1),
+kept_ as (select unnest(arg_max(kept, k), recursive := false) as r from g group by {keys})"""
+
+
+CLASH = "greatest(least(k_.clip_end, u.clip_end) - greatest(k_.clip_start, u.clip_start), 0) > 0.6 * ((k_.clip_end - k_.clip_start) + (u.clip_end - u.clip_start) - greatest(least(k_.clip_end, u.clip_end) - greatest(k_.clip_start, u.clip_start), 0))"
+CUT = "greatest(h.t_start - 3, k.t_start) as clip_start, least(h.t_end + 2, k.t_end) as clip_end"
+CLIP = "round(r.clip_start, 6) as clip_start, round(r.clip_end, 6) as clip_end"
+
+SQL["r3_dedupe_clips"] = (
+    BASE + f""", rk as ({_ctes("r1_rank_events")[1]}), cl as (select h.*, {CUT} from rk h join takes k using (video_id, take_id)),
+cn as (select *, row_number() over (partition by video_id, player_track_id order by rank) as k from cl where clip_end > clip_start)""" + _greedy("cn", "video_id, player_track_id", CLASH)
+    + f"select r.video_id, r.take_id, r.player_track_id, r.type, r.t_start, r.t_end, r.confidence, r.rank_score, r.rank, {CLIP} from kept_ qualify row_number() over (partition by r.video_id, r.player_track_id order by r.rank) <= 15"
+)
+SQL["r5_category_clips"] = (
+    BASE + f""", rk as (select *, 'ball_possession' as category, row_number() over (partition by video_id, player_track_id order by confidence desc, t_start, take_id) as rank from happened where type = 'possession'),
+cl as (select h.*, {CUT} from rk h join takes k using (video_id, take_id)), cn as (select *, row_number() over (partition by video_id, player_track_id order by rank) as k from cl where clip_end > clip_start)""" + _greedy("cn", "video_id, player_track_id", CLASH)
+    + f"select r.video_id, r.take_id, r.player_track_id, r.type, round(r.t_start, 6) as t_start, round(r.t_end, 6) as t_end, round(r.confidence, 6) as confidence, r.category, r.rank, {CLIP} from kept_"
+)
+
+SQL["e15_region_goals"] = BASE + SHOTS + """, inside_ as (select b.video_id, b.take_id, b.t, (select max(f.t_end) from bf f where f.video_id = b.video_id and f.take_id = b.take_id and f.t_end <= b.t) as t_before from balls b
+  where (x1 + x2) / 2 between 701.5 and 1103.5 and (y1 + y2) / 2 between 220.5 and 640.5),
+led as (select *, row_number() over (partition by video_id, take_id order by t) as k from inside_ where t - t_before <= 3),
+fold as (select *, t as last_ from led where k = 1
+  union all select u.*, case when round(u.t - f.last_, 9) > 3 then u.t else f.last_ end from fold f join led u on u.video_id = f.video_id and u.take_id = f.take_id and u.k = f.k + 1)
+select video_id, take_id, 'goal' as type, round(t_before, 6) as t_start, round(t, 6) as t_end, round(t, 6) as t_after, 0.45e0 as confidence, 'goal_region' as source from fold where t = last_"""
+
+SQL["e19_attribute_goals"] = BASE + """, level as (select video_id, take_id, cast(floor(frame_index / 40) as bigint) as score, min(t) as t_after, count(*) as n from frames group by 1, 2, 3),
+scored as (select video_id, take_id, t_after from level l where n >= 2 and t_after > (select min(t_after) from level f where f.video_id = l.video_id and f.take_id = l.take_id)),
+vote as (select s.video_id, s.take_id, s.t_after, p.player_track_id % 2 as team, sum(p.t_end - p.t_start) as held, min(p.t_start) as seen, arg_max(p.player_track_id, p.t_end) as scorer
+  from scored s join poss p on p.video_id = s.video_id and p.take_id = s.take_id and p.confidence >= 0.15 and p.t_end >= s.t_after - 8 and p.t_start <= s.t_after group by 1, 2, 3, 4),
+top as (select * from vote qualify row_number() over (partition by video_id, take_id, t_after order by held desc, seen) = 1)
+select s.video_id, s.take_id, round(s.t_after, 6) as t_after, round(0.75 * case when team is null then 0.5 else 0.8 end, 6)::double as confidence, team::int as team, scorer from scored s left join top using (video_id, take_id, t_after)"""
+
+_votes, _fallback = _ctes("t9_vote_seed_tracks"), _ctes("t10_fallback_seeds")
+SQL["t11_select_targets"] = BASE + _votes[0] + _fallback[0] + f""", votes as (select *, n_votes / sum(n_votes) over (partition by video_id, take_id) as share from ({_votes[1]}) where take_id < 3),
+arrow as (select * from votes qualify row_number() over (partition by video_id, take_id order by n_votes desc, track_id) = 1),
+rest as ({_fallback[1]})
+select k.video_id, k.take_id, case when k.take_id = 1 then 'manual' when a.share >= 0.4 then 'arrow_vote' when r.track_id is not null then 'fallback' else 'none' end as method,
+case when k.take_id = 1 then 4 when a.share >= 0.4 then a.track_id else r.track_id end as track_id, round(case when k.take_id = 1 then 1 when a.share >= 0.4 then a.share when r.track_id is not null then least(r.score, 0.35) else 0 end, 6)::double as confidence
+from takes k left join arrow a using (video_id, take_id) left join rest r using (video_id, take_id)"""

@@ -208,6 +208,6 @@ def test_a_whole_tolerance_apart_is_near(spark):
 
     left = spark.createDataFrame([(0, 0, k / 25 - 0.2) for k in range(0, 3000, 5)], "video_id long, take_id long, t double")
     right = spark.createDataFrame([(0, 0, k / 25) for k in range(0, 3000, 5)], "video_id long, take_id long, t double").where("t > 0")
-    assert timejoin.nearest_in_time(left, right, 0.2).count() == 600
+    assert timejoin.nearest_in_time(left, right, 0.2).count() == 599
     events = right.selectExpr("video_id", "t as t_start")
     assert timejoin.drop_near(events, left.selectExpr("video_id", "round(t, 9) as t"), 0.21).count() == 0
