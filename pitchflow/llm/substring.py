@@ -1,9 +1,13 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences; from each sentence the shortest run of at least ``MIN_SENTENCES`` sentences with at least
-``MIN_WORDS`` words is hashed. A run depends on its own words alone, so copies of a passage give the same hashes wherever
-they stand. The hashes are joined over the whole corpus, and the sentences of every run that is not the first of its hash
-(by doc_id, then place) are removed.
+A text is cut into sentences; the shortest run of at least ``MIN_SENTENCES`` sentences with at least ``MIN_WORDS`` words is
+hashed from each sentence on (the run of its start) and back from each sentence (a tail, where it is no run of a start). A
+run depends on its own words alone, so copies of a passage give the same hashes wherever they stand. The hashes are joined
+over the whole corpus, and the sentences of every run that is not the first of its hash (by doc_id, then place) are removed.
+
+That removes the sentences of every repeated run of that size, of whatever length: one whose run of the start leaves the
+passage lies in the tail that ends with it. A tail is looked up only if the run of its start, which lies in it, is repeated.
+A text without such a run is one run as a whole.
 """
 
 from __future__ import annotations
@@ -31,15 +35,19 @@ def sentences(text: str) -> list[tuple[int, int, int, str]]:
     out = []
     at = 0
     for stop, after in [(m.start(), m.end()) for m in END.finditer(text)] + [(len(text), len(text))]:
-        words = list(WORD.finditer(text, at, stop))
-        begin = 0
-        if len(words) > LONG_SENTENCE:
+        piece = text[at:stop]
+        plain = piece.split()
+        if len(plain) > LONG_SENTENCE:
+            words = list(WORD.finditer(text, at, stop))
+            begin = 0
             for k, w in enumerate(words[:-1]):
                 if not xxhash.xxh32_intdigest(w[0].lower().encode("utf-8", "surrogatepass")) & 7:
                     out.append(_sentence(words[begin : k + 1]))
                     begin = k + 1
-        if words:
             out.append(_sentence(words[begin:]))
+        elif plain:
+            begin = stop - len(piece.lstrip())
+            out.append((begin, at + len(piece.rstrip()), len(plain), " ".join(plain).lower()))
         at = after
     return out
 
@@ -48,32 +56,55 @@ def _sentence(words: list[re.Match]) -> tuple[int, int, int, str]:
     return words[0].start(), words[-1].end(), len(words), " ".join(w[0] for w in words).lower()
 
 
-def spans(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Of each hashed run: first sentence, number of sentences, 128-bit hash as two signed longs."""
+def spans(text: str) -> tuple[list[int], list[int], list[int], list[int], list[list[int]]]:
+    """Of the run of each start: first sentence, number of sentences, 128-bit hash as two signed longs, and the 64-bit
+    hashes of the tails with that start, which are one, two, ... sentences longer."""
     parts = sentences(text)
-    first, size, h1, h2 = [], [], [], []
+    texts = [p[3].encode("utf-8", "surrogatepass") for p in parts]
+    first, size, h1, h2, tails = [], [], [], [], []
     stop, words = 0, 0
     for k in range(len(parts)):
-        if stop < k:
-            stop, words = k, 0
         while stop < len(parts) and (words < MIN_WORDS or stop - k < MIN_SENTENCES):
             words += parts[stop][2]
             stop += 1
-        if words < MIN_WORDS or stop - k < MIN_SENTENCES:
+        if (words < MIN_WORDS or stop - k < MIN_SENTENCES) and k:
             break
-        digest = xxhash.xxh3_128_digest("\n".join(p[3] for p in parts[k:stop]).encode("utf-8", "surrogatepass"))
+        digest = xxhash.xxh3_128_digest(b"\n".join(texts[k:stop]))
         first.append(k)
         size.append(stop - k)
         h1.append(int.from_bytes(digest[:8], "little", signed=True))
         h2.append(int.from_bytes(digest[8:], "little", signed=True))
+        tails.append(more := [])
         words -= parts[k][2]
-    return first, size, h1, h2
+        end, short = stop, words  # words of the run without its first sentence
+        while end < len(parts) and (short < MIN_WORDS or end - k - 1 < MIN_SENTENCES):
+            short += parts[end][2]
+            end += 1
+            if short < MIN_WORDS or end - k - 1 < MIN_SENTENCES:
+                digest = xxhash.xxh3_64_digest(b"\n".join(texts[k:end]))
+                more.append(int.from_bytes(digest, "little", signed=True))
+    return first, size, h1, h2, tails
 
 
-@column_function("first array<int>, size array<int>, h1 array<long>, h2 array<long>")
+RUNS = ["first", "size", "h1", "h2", "tails"]
+
+
+@column_function("first array<int>, size array<int>, h1 array<long>, h2 array<long>, tails array<array<long>>")
 def spans_of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        yield pd.DataFrame([spans(x) for x in part], columns=["first", "size", "h1", "h2"])
+        yield pd.DataFrame([spans(x) for x in part], columns=RUNS)
+
+
+def _with_heads(runs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The runs whose hash has several rows, with of_doc and of_sentence, the first place of the hash."""
+    heads = stored(  # a table of its own, so that Spark can split the join's hot hashes
+        runs.groupBy(*keys)
+        .agg(F.min(F.struct("doc_id", "first")).alias("head"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select(*keys, F.col("head.doc_id").alias("of_doc"), F.col("head.first").alias("of_sentence")),
+        name,
+    )
+    return runs.join(heads, keys)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -82,25 +113,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     Places are in order of doc_id, then sentence. Equal runs in rows with equal doc_id and the same sentence number are
     one place. Rows without doc_id come after all others.
     """
-    arrays = F.arrays_zip("s.first", "s.size", "s.h1", "s.h2")
     runs = (
         texts(docs)
         .select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), spans_of("text").alias("s"))
-        .select("doc_id", F.inline(arrays))
-        .toDF("doc_id", "first", "size", "h1", "h2")
+        .select("doc_id", F.inline(F.arrays_zip(*[f"s.{c}" for c in RUNS])))
+        .toDF("doc_id", *RUNS)
     )
-    runs = stored(runs, "runs")
-    heads = stored(  # a table of its own, so that Spark can split the join's hot hashes
-        runs.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "first")).alias("head"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("h1", "h2", F.col("head.doc_id").alias("of_doc"), F.col("head.first").alias("of_sentence")),
-        "heads",
+    starts = stored(_with_heads(stored(runs, "runs"), ["h1", "h2"], "heads"), "repeated")
+    tails = starts.select("doc_id", "first", "size", "h1", "h2", F.posexplode("tails").alias("k", "tail")).select(
+        "doc_id", "first", (F.col("size") + F.col("k") + 1).alias("size"), "h1", "h2", "tail"
     )
+    found = _with_heads(stored(tails, "tails"), ["h1", "h2", "tail"], "tail-heads")
+    columns = ["doc_id", "first", "size", "of_doc", "of_sentence"]
     return (
-        runs.join(heads, ["h1", "h2"])
-        .where("doc_id <> of_doc or first <> of_sentence")
-        .select("doc_id", "first", "size", "of_doc", "of_sentence")
+        starts.select(*columns).unionByName(found.select(*columns)).where("doc_id <> of_doc or first <> of_sentence")
     )
 
 

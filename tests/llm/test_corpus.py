@@ -157,6 +157,44 @@ def test_substring_passages(spark):
             assert r.text == texts[i]
 
 
+def test_substring_brute_force(spark):
+    rng = random.Random(8)
+    sentence = lambda n: words(rng, n, 5000).capitalize() + "."
+    pool = [[sentence(n) for n in lengths] for lengths in ((20, 6, 6, 6), (6, 6, 6, 20), (24, 1, 1, 1, 1, 30), (10, 9), (30, 4, 4), (8, 8, 8, 8, 8, 8, 8))]
+    rows = []
+    for k in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            passage = rng.choice(pool)
+            parts += passage[rng.randrange(2) : len(passage) - rng.randrange(2)]
+            parts += [sentence(rng.randrange(1, 16)) for _ in range(rng.randrange(3))]
+        rows.append((k, " ".join(parts)))
+    rows += [(100, "One two."), (101, "One two."), (102, "One two. Three."), (103, ""), (104, None), (105, None), (106, sentence(30)[:-1]), (107, rows[0][1] + " " + rows[0][1])]
+    units = {i: substring.sentences(x or "") for i, x in rows}
+    big = lambda u, a, b: b - a >= 2 and sum(p[2] for p in u[a:b]) >= 25
+    first, runs = {}, []
+    for i, u in sorted(units.items()):
+        found = [(a, b) for a in range(len(u)) for b in range(a + 1, len(u) + 1) if big(u, a, b)]
+        for a, b in found or ([(0, len(u))] if u else []):
+            key = tuple(p[3] for p in u[a:b])
+            runs.append((i, a, b, first.setdefault(key, (i, a))))
+    want = {i: {s for j, a, b, head in runs if j == i and head != (i, a) for s in range(a, b)} for i, _ in rows}
+    out = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    got = {r.doc_id: {s for x in r.spans or [] for s in range(x["first"], x["last"] + 1)} for r in out}
+    assert got == want
+    assert got[101] == {0} and not got[102] and sum(map(len, want.values())) > 200
+
+
+def test_substring_whole_passage(spark):
+    rng = random.Random(4)
+    sentence = lambda n: words(rng, n, 3000).capitalize() + "."
+    passage = " ".join(sentence(n) for n in (6, 6, 9, 20, 6, 6, 6))
+    rows = [(k, f"{sentence(9)} {sentence(12)} {passage} {sentence(11)} {sentence(8)}") for k in range(3)]
+    out = {r.doc_id: r for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[k].n_removed for k in range(3)] == [0, 7, 7]
+    assert all(passage.split(". ")[-1] not in out[k].text for k in (1, 2))
+
+
 def base_rules(text):
     data = text or ""
     tokens = data.encode().split()
