@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency.
 
 Each text is measured on its own (the base rules). Its lines are hashed in normal form, the documents of the same host
-that hold a line are counted, lines that stand in too large a share of the host's documents are removed as boilerplate, and
-documents that have too little left are rejected.
+that hold a line are counted, lines that stand in several of the host's documents are removed as boilerplate, and documents
+that have too little left are rejected. The number is absolute, so a verdict does not depend on the size of the host.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ SPACES = " \t\n\v\f\r"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent
-#: A line is boilerplate if at least LINE_DOCS documents and LINE_PERCENT percent of its host's documents hold it.
+#: A line is boilerplate if at least LINE_DOCS documents of its host hold it.
 LINE_DOCS = 5
-LINE_PERCENT = 1
 #: A document is depleted if fewer than MIN_WORDS words or LEFT_PERCENT percent of its words are left.
 LEFT_PERCENT = 30
 
@@ -91,14 +90,8 @@ def judge(docs: DataFrame) -> DataFrame:
         "measured",
     )
     lines = base.select("row", "source", F.inline(F.arrays_zip("keys", "sizes"))).toDF("row", "source", "line", "words")
-    hosts = base.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("host_docs"))
     counts = lines.groupBy(F.col("source").alias("of"), F.col("line").alias("key")).agg(F.count("*").alias("docs"))
-    common = (
-        counts.where(F.col("docs") >= LINE_DOCS)
-        .join(hosts, F.col("of").eqNullSafe(F.col("host")))
-        .where(F.col("docs") * 100 >= F.col("host_docs") * LINE_PERCENT)
-        .select("of", "key")
-    )
+    common = counts.where(F.col("docs") >= LINE_DOCS).select("of", "key")
     removed = (
         lines.join(common, (F.col("line") == F.col("key")) & F.col("source").eqNullSafe(F.col("of")))
         .groupBy(F.col("row").alias("at"))

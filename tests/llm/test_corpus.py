@@ -218,6 +218,16 @@ def test_quality_rules(spark, docs, corpus):
     assert got == {k: k >= 8 for k in [*range(30), 99]}
 
 
+def test_quality_rules_hot_host(spark):
+    rng = random.Random(13)
+    banner = words(rng, 20)
+    texts = [f"{banner}\n{words(rng, 4)}" if k < 8 else words(rng, 60, 5000) for k in range(1200)]
+    rows = [(k, t, "en", "hot", 0) for k, t in enumerate(texts)] + [(2000 + k, t, "en", "small", 0) for k, t in enumerate(texts[:30])]
+    rows += [(3000 + k, texts[0], "en", f"rare{k % 2}", 0) for k in range(8)]
+    got = {r.doc_id: r.kept for r in rules.judge(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {i: i % 1000 >= 8 or i >= 3000 for i, *_ in rows if i < 1000 or i >= 2000} | {i: True for i in range(1000, 1200)}
+
+
 def test_mixing_deviation(spark):
     rows = [(k, "t", "en", "a" if k % 10 else "b" if k % 20 else None, 0) for k in range(4000)]
     weights = spark.createDataFrame([("a", 5), ("b", 3), (None, 2)], "source string, w long")
