@@ -298,7 +298,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def digests(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url: of the full payload, which for a revisit is
-    that of the response that it refers to."""
+    that of the response that it refers to. Of several responses of one page it is the one with the stated digest."""
     seen = stored(
         records.select(
             "page_id",
@@ -307,14 +307,19 @@ def digests(records: DataFrame) -> DataFrame:
             "record_type",
             "refers_to",
             "url",
+            "stated_digest",
         ),
         "read",
     )
-    of = seen.where("record_type = 'response'").groupBy(F.col("page_id").alias("to")).agg(
-        F.max("payload_bytes").alias("b"), F.max("payload_digest").alias("d")
+    of = (
+        seen.where("record_type = 'response'")
+        .groupBy(F.col("page_id").alias("to"), F.col("stated_digest").alias("stated"))
+        .agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("p"))
+        .select("to", "stated", F.col("p.payload_bytes").alias("b"), F.col("p.payload_digest").alias("d"))
     )
-    revisits = seen.where("record_type = 'revisit'").join(of, F.col("refers_to") == F.col("to"), "left")
-    return seen.where("record_type = 'response'").unionByName(
+    mine = (F.col("refers_to") == F.col("to")) & (F.col("stated_digest") == F.col("stated"))
+    revisits = seen.where("record_type = 'revisit'").join(of, mine, "left")
+    return seen.where("record_type = 'response'").drop("stated_digest").unionByName(
         revisits.select(
             "page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to", "url"
         )

@@ -338,3 +338,13 @@ def test_odd_and_empty_rows(spark, odd):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(spark, warc.write_archives(pages)).count() == 0
     assert len(decontam.sketch(np.arange(16, dtype=np.uint64))) == 7
+
+
+def test_warc_revisit_of_page_with_two_payloads(spark):
+    one, two = "<p>" + "a" * 3000, "<p>" + "b" * 2000
+    rows = [(9, "http://x/9a", one), (9, "http://x/9b", two), (1, "http://x/1", one), (2, "http://x/2", two)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = warc.digests(warc.read_archives(spark, warc.write_archives(pages))).collect()
+    want = sorted((u, len(h), hashlib.sha1(h.encode()).hexdigest()) for _, u, h in rows)
+    assert sorted((r.url, r.payload_bytes, r.payload_digest) for r in read) == want
+    assert {r.url: r.refers_to for r in read if r.record_type == "revisit"} == {"http://x/1": 9, "http://x/2": 9}
