@@ -16,7 +16,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).where("n_removed > 0")
+    cut = substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
     return cut.select(
         "doc_id",
         F.array_sort(F.array_distinct(F.col("spans.of_doc"))).alias("of_docs"),
@@ -64,7 +64,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

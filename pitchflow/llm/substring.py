@@ -24,7 +24,8 @@ from .common import column_function, stored, texts
 
 MIN_SENTENCES = 2
 MIN_WORDS = 25
-#: A longer sentence is cut after words chosen by their hash, one in eight, so that copies are cut alike.
+#: A longer sentence (text without punctuation) is cut after words chosen by their hash, one in eight. The cuts depend on
+#: the sentence's own words, so that copies of it are cut alike.
 LONG_SENTENCE = 32
 END = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|\n+")
 WORD = re.compile(r"\S+")
@@ -95,45 +96,53 @@ def spans_of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([spans(x) for x in part], columns=RUNS)
 
 
+#: A place is a row's doc_id (null: after all others), the hash of its text, and the sentence where the run begins.
+PLACE = ["doc_id", "text_hash", "first"]
+
+
 def _with_heads(runs: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The runs whose hash has several rows, with of_doc and of_sentence, the first place of the hash."""
+    """The runs whose hash has several rows, with of_doc, of_text and of_sentence, the first place of the hash."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), *PLACE)
     heads = stored(  # a table of its own, so that Spark can split the join's hot hashes
         runs.groupBy(*keys)
-        .agg(F.min(F.struct("doc_id", "first")).alias("head"), F.count("*").alias("n"))
+        .agg(F.min(place).alias("head"), F.count("*").alias("n"))
         .where("n > 1")
-        .select(*keys, F.col("head.doc_id").alias("of_doc"), F.col("head.first").alias("of_sentence")),
+        .select(*keys, *[F.col(f"head.{c}").alias(n) for c, n in zip(PLACE, ("of_doc", "of_text", "of_sentence"), strict=True)]),
         name,
     )
     return runs.join(heads, keys)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, first (sentence), size, of_doc, of_sentence: each run that an earlier place holds as well, with that place.
+    """doc_id, text_hash, first (sentence), size, of_doc, of_text, of_sentence: each run that an earlier place holds as
+    well, with that place.
 
-    Places are in order of doc_id, then sentence. Equal runs in rows with equal doc_id and the same sentence number are
-    one place. Rows without doc_id come after all others.
+    Places are in order of doc_id, then text hash, then sentence. Equal rows are one place. Rows without doc_id come after
+    all others.
     """
     runs = (
         texts(docs)
-        .select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), spans_of("text").alias("s"))
-        .select("doc_id", F.inline(F.arrays_zip(*[f"s.{c}" for c in RUNS])))
-        .toDF("doc_id", *RUNS)
+        .select("doc_id", F.xxhash64("text").alias("text_hash"), spans_of("text").alias("s"))
+        .select("doc_id", "text_hash", F.inline(F.arrays_zip(*[f"s.{c}" for c in RUNS])))
+        .toDF("doc_id", "text_hash", *RUNS)
     )
     starts = stored(_with_heads(stored(runs, "runs"), ["h1", "h2"], "heads"), "repeated")
-    tails = starts.select("doc_id", "first", "size", "h1", "h2", F.posexplode("tails").alias("k", "tail")).select(
-        "doc_id", "first", (F.col("size") + F.col("k") + 1).alias("size"), "h1", "h2", "tail"
+    tails = starts.select(*PLACE, "size", "h1", "h2", F.posexplode("tails").alias("k", "tail")).select(
+        *PLACE, (F.col("size") + F.col("k") + 1).alias("size"), "h1", "h2", "tail"
     )
     found = _with_heads(stored(tails, "tails"), ["h1", "h2", "tail"], "tail-heads")
-    columns = ["doc_id", "first", "size", "of_doc", "of_sentence"]
+    columns = [*PLACE, "size", "of_doc", "of_text", "of_sentence"]
     return (
-        starts.select(*columns).unionByName(found.select(*columns)).where("doc_id <> of_doc or first <> of_sentence")
+        starts.select(*columns)
+        .unionByName(found.select(*columns))
+        .where("not (doc_id <=> of_doc and text_hash = of_text and first = of_sentence)")
     )
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, spans: array of (first, last, of_doc), the sentences to remove; of_doc holds an earlier copy of the first
-    run there. Overlapping and adjoining runs are one span. Only documents that lose something have a row."""
-    runs = repeats(docs).groupBy("doc_id").agg(
+    """doc_id, text_hash, spans: array of (first, last, of_doc), the sentences to remove; of_doc holds an earlier copy of
+    the first run there. Overlapping and adjoining runs are one span. Only texts that lose something have a row."""
+    runs = repeats(docs).groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct("first", "size", "of_doc"))).alias("runs")
     )
     kind = "array<struct<first:int,last:int,of_doc:bigint>>"
@@ -146,7 +155,7 @@ def removed(docs: DataFrame) -> DataFrame:
                    'of_doc', done[size(done) - 1].of_doc))),
                concat(done, array(named_struct('first', r.first, 'last', r.first + r.size - 1, 'of_doc', r.of_doc)))))"""
     )
-    return runs.select("doc_id", merged.alias("spans"))
+    return runs.select("doc_id", "text_hash", merged.alias("spans"))
 
 
 @column_function("text string, n_sentences int, n_removed int, n_words long")
@@ -154,33 +163,34 @@ def _cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]
     for text, gone in parts:
         rows = []
         for x, out in zip(text, gone, strict=True):
-            x = x or ""
+            x, out = x or "", [] if out is None else out
             units = sentences(x)
-            drop = [] if out is None else [(units[s["first"]][0], units[s["last"]][1]) for s in out]
-            n = 0 if out is None else sum(s["last"] - s["first"] + 1 for s in out)
-            at, kept = 0, []
-            for a, b in drop:
-                kept.append(x[at:a])
-                at = b
+            at, kept, n, words = 0, [], 0, 0
+            for s in out:
+                kept.append(x[at : units[s["first"]][0]])
+                at = units[s["last"]][1]
+                n += s["last"] - s["first"] + 1
+                words += sum(u[2] for u in units[s["first"] : s["last"] + 1])
             kept.append(x[at:])
-            words = sum(u[2] for s in ([] if out is None else out) for u in units[s["first"] : s["last"] + 1])
             rows.append(("".join(kept), len(units), n, words))
         yield pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "n_words"])
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, changed_only: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``text`` less the sentences of repeated runs, and n_sentences (before), n_removed,
-    n_words (removed), and spans as of ``removed``.
+    n_words (removed), and spans as of ``removed``; with ``changed_only`` the rows that lose something.
 
-    The text between and round the removed sentences stays as it is. A null text becomes empty. Other columns pass
-    through, but for those with the names of the new ones. Documents keep their row even if nothing is left. Of rows with
-    equal doc_id each loses the same sentence numbers, if it has them.
+    The text between and round the removed sentences stays as it is. A null text becomes empty; an empty text has no
+    sentence and loses nothing; a text of any length is worked through whole. Other columns pass through, but for those
+    with the names of the new ones. Documents keep their row even if nothing is left. Of rows with equal doc_id the texts
+    are told apart by their hash; equal rows lose the same sentences. Rows without doc_id come last, so they lose what any
+    other row holds. An empty table gives an empty table.
     """
     gone = removed(docs).select(
-        F.nullif(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("__id"), F.col("spans").alias("__spans")
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("spans").alias("__spans")
     )
-    joined = docs.join(gone, docs.doc_id.eqNullSafe(F.col("__id")), "left")
-    cut = joined.withColumn("__cut", _cut("text", "__spans"))
+    mine = docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("__text"))
+    cut = docs.join(gone, mine, "inner" if changed_only else "left").withColumn("__cut", _cut("text", "__spans"))
     return cut.withColumns(
         {k: F.col(f"__cut.{k}") for k in ("text", "n_sentences", "n_removed", "n_words")} | {"spans": F.col("__spans")}
-    ).drop("__id", "__spans", "__cut")
+    ).drop("__id", "__text", "__spans", "__cut")
