@@ -10,13 +10,14 @@ from .common import forget, stored
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step. ``edges``: (a, b) with a < b. Every node sends its larger (large) or smaller (small) neighbours to
-    its smallest one. The minimum is a combined aggregate, so a hub's neighbours are never gathered."""
+    its smallest one. The minima are a combined aggregate and a table of their own, so that Spark can split the join at a
+    hub: its neighbours are never gathered in one task."""
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
+        least = stored(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), "least")
         moved = near.join(least, "a").where("b > a").select(F.col("root").alias("a"), "b")
     else:
-        least = edges.groupBy("b").agg(F.min("a").alias("root"))
+        least = stored(edges.groupBy("b").agg(F.min("a").alias("root")), "least")
         pairs = edges.join(least, "b")
         moved = pairs.select(F.col("root").alias("a"), F.col("a").alias("b")).unionByName(
             pairs.select(F.col("root").alias("a"), "b")
@@ -39,6 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         if new == seal or not new[0]:
             break
         seal, before = new, now
-        now = stored(_star(_star(before, True), False), "edges")
+        now = stored(_star(stored(_star(before, True), "half"), False), "edges")
         forget(before)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))

@@ -43,9 +43,8 @@ def odd(spark):
     return spark.createDataFrame(rows, DOC)
 
 
-def test_simhash_brute_force(docs, corpus):
-    fp = {r[0]: fingerprint(r[1]) for r in corpus if r[0] != 403}
-    ids = sorted(fp)
+def classes(ids, linked):
+    """The smallest id that each id is tied to."""
     root = {i: i for i in ids}
 
     def find(i):
@@ -53,30 +52,74 @@ def test_simhash_brute_force(docs, corpus):
             i = root[i]
         return i
 
-    for a, b in itertools.combinations(ids, 2):
-        if (fp[a] ^ fp[b]).bit_count() <= 2:
+    for a, b in itertools.combinations(sorted(ids), 2):
+        if linked(a, b):
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(docs.where("doc_id <> 403")).collect()}
-    assert got == {i: (fp[i], find(i)) for i in ids}
-    assert {r.doc_id for r in simhash.keep_first(docs.where("doc_id <> 403")).collect()} == {i for i in ids if find(i) == i}
+    return {i: find(i) for i in ids}
+
 
+def test_simhash_brute_force(docs, corpus):
+    fp = {r[0]: fingerprint(r[1]) for r in corpus}
+    root = classes(fp, lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2)
+    got = {r.doc_id: (r.fps[0] % 2**64, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: (fp[i], root[i]) for i in fp}
+    assert {r.doc_id for r in simhash.keep_first(docs, words=3, bits=2).collect()} == {i for i in fp if root[i] == i}
 
-def test_gray_pairs_and_links(spark):
+
+def test_simhash_similarity(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        base = words(rng, rng.randrange(1, 200), 5000).split()
+        for _ in range(4):
+            text = [w if rng.random() > 0.01 else "x" for w in base]
+            rows.append((len(rows), " ".join(text)))
+    rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, rows[5][1]), (None, rows[9][1])]
+    sets = {i: {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if (t := (x or "").split()) else set() for i, x in rows if i is not None}
+    alike = lambda a, b: len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])
+    root = classes(sets, alike)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.NEAR).collect()}
+    assert got.pop(None) == got[9]
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if alike(a, b)]
+    assert all(root[i] == root[c] for i, c in got.items())  # no class holds texts that are not alike
+    assert sum(got[a] == got[b] for a, b in pairs) > 0.6 * len(pairs) > 60
+    assert got[1001] == got[1002] == 1000 and got[1003] == got[5]
+
+
+def test_gray_tree_and_links(spark):
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    codes = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(12)]))
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    one = lambda: np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)
+    codes = np.unique(np.concatenate([base] + [base[:40] ^ one() ^ one() for _ in range(12)]))
     codes = codes[np.argsort(simhash.gray_rank(codes))]
-    i, j = simhash.gray_pairs(codes)
-    want = {(a, b) for a, b in itertools.combinations(range(len(codes)), 2) if int(codes[a] ^ codes[b]).bit_count() <= 2}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
-    fps = spark.createDataFrame([(int(c.astype(np.int64)), k) for k, c in enumerate(codes)], "fp long, rep long")
-    found = {r.node: r.root for r in components.components(simhash.links(fps)).collect()}
-    root = list(range(len(codes)))
-    for _ in range(len(codes)):
-        for a, b in want:
-            root[a] = root[b] = min(root[a], root[b])
-    assert {k: r for k, r in enumerate(root) if r != k} == found
+    apart = np.bitwise_count(codes[:, None] ^ codes[None, :])
+    for bits in (2, 6):
+        tree = simhash.GrayTree(codes)
+        a, b = tree.links(bits)
+        i, j = np.nonzero(np.triu(apart <= bits, 1))
+        roots = simhash._roots(len(codes), i, j)
+        assert (apart[a, b] <= bits).all() and (simhash._roots(len(codes), a, b) == roots).all()
+        assert len(a) == len(codes) - len(set(roots.tolist()))  # a forest
+        assert tree.visited > 1000  # nodes carry the search
+        if bits == 2:
+            assert tree.compared < 0.5 * len(codes) ** 2 / 2
+        rows = [([int(c.astype(np.int64))], k, 0) for k, c in enumerate(codes)]
+        fps = spark.createDataFrame(rows, "fps array<long>, rep long, text_hash long")
+        found = {r.node: r.root for r in components.components(simhash.links(fps, bits)).collect()}
+        assert found == {k: r for k, r in enumerate(roots.tolist()) if r != k}
+
+
+def test_hot_node_is_cut_finer(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**20, 300, dtype=np.uint64)
+    codes = np.unique(np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))]))
+    rows = [([int(c.astype(np.int64))], k, 0) for k, c in enumerate(codes)]
+    found = simhash.links(spark.createDataFrame(rows, "fps array<long>, rep long, text_hash long"))
+    i, j = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2, 1))
+    want = simhash._roots(len(codes), i, j).tolist()
+    assert {r.node: r.root for r in components.components(found).collect()} == {k: r for k, r in enumerate(want) if r != k}
 
 
 def test_line_dedup_brute_force(docs, corpus):
@@ -195,6 +238,27 @@ def test_substring_whole_passage(spark):
     assert all(passage.split(". ")[-1] not in out[k].text for k in (1, 2))
 
 
+def test_substring_repeated_ids_and_edges(spark):
+    rng = random.Random(14)
+    sentence = lambda n: words(rng, n, 3000).capitalize() + "."
+    passage = " ".join(sentence(n) for n in (9, 8, 7, 10))
+    long = " ".join(sentence(12) for _ in range(6000))
+    rows = [
+        (1, sentence(9) + " " + passage), (1, passage), (1, "Short one."), (2, f"{sentence(7)} {passage}"), (None, passage), (None, None),
+        (2**63 - 1, "Short one."), (3, ""), (4, long), (5, f"{long} {sentence(5)}"), (6, long), (6, long),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("spans", "n_words", "first", "of_doc", "text_hash")})
+    out = substring.dedup_substrings(df).collect()
+    assert len(out) == len(rows)
+    kept = Counter((r.doc_id, r.n_removed) for r in out)
+    first = substring.dedup_substrings(df.where("doc_id = 1")).collect()
+    assert sum(r.n_removed for r in first) == 4  # one of the two texts of document 1 keeps the passage
+    assert kept[2, 4] == 1 and kept[None, 4] == 1 and kept[None, 0] == 1 and kept[3, 0] == 1
+    assert kept[2**63 - 1, 1] == 1 and kept[4, 0] == 1 and kept[5, 6000] == 1 and kept[6, 6000] == 2
+    assert sorted(r.doc_id or 0 for r in substring.dedup_substrings(df, changed_only=True).collect()) == sorted(i or 0 for (i, n), k in kept.items() if n for _ in range(k))
+    assert all(r.first == "x" for r in out)
+
+
 def base_rules(text):
     data = text or ""
     tokens = data.encode().split()
