@@ -8,7 +8,7 @@ SPRINT = {"window": 5, "threshold": 1.0, "duration": 1.0, "merge": 0.5, "boxes":
 SHOT = {"window": 3, "threshold": 0.12, "duration": 0.3, "merge": 0.3, "direction": 0.7, "conf": 0.3, "min": 0.15, "max": 0.4}
 TOUCH = {"distance": 40.0, "debounce": 0.3, "tolerance": 0.15, "conf": 0.3, "window": 0.2, "delta_v": 2.0, "min": 0.1, "max": 0.45}
 POSSESSION = {"distance": 70.0, "duration": 0.3, "merge": 0.5, "tolerance": 0.15, "conf": 0.3, "min": 0.1, "max": 0.4}
-PASS = {"travel_max": 750.0, "debounce": 1.0, "flight": 0.25, "travel_min": 60.0, "gap": 2.0, "team": 0.5, "min": 0.1, "max": 0.35}
+PASS = {"travel_max": 750.0, "debounce": 1.0, "flight": 0.25, "travel_min": 60.0, "gap": 2.0, "team": 0.5, "min": 0.1, "max": 0.35, "same_colour_required": True, "turnovers": True}
 TACKLE = {"gap": 1.5, "lookback": 1.0, "speed": 1.0, "team": 0.5, "min": 0.1, "max": 0.3}
 TACKLE_WINDOW = 0.5
 BALL = {"speed": 10.0, "reseed": 5, "gap_frames": 15, "penalty": 0.5}
@@ -17,7 +17,12 @@ CLIP = {"before": 3.0, "after": 2.0, "iou": 0.6, "top": 15}
 VOTE = {"reads": 2, "agreement": 0.4, "confidence": 0.3}
 PROFILE = {"cuts_per_min": 3.0, "static": 1.5, "panning": 6.0, "low_res": 640}
 STITCH = {"gap": 1.5, "jump": 3.0, "speed": 2.5, "decay": 0.92, "team": 0.5}
-PHRASES = (("pass", "pass"), ("touch", "touch"), ("out of bounds", "out_of_bounds"), ("shot", "shot"), ("goal", "goal"), ("dribble", "dribble"), ("tackle", "tackle"), ("save", "save"), ("sprint", "sprint"))
+#: Words of an action phrase and its event, the first found in this order.
+PHRASES = (
+    ("touch", "touch"), ("out of bounds", "out_of_bounds"), ("out of play", "out_of_bounds"), ("pass", "pass"), ("shot", "shot"), ("shoots", "shot"), ("shoot", "shot"),
+    ("goal", "goal"), ("scores", "goal"), ("score", "goal"), ("assist", "assist"), ("tackle", "tackle"), ("save", "save"), ("sprint", "sprint"), ("run", "sprint"),
+    ("dribble", "dribble"), ("celebrat", "key_moment"),
+)
 COLOURS = ("white", "black", "red", "blue", "green", "yellow", "orange", "purple", "grey", "light blue", "dark blue")
 DRIBBLE = {"duration": 1.0, "contest": 2.0, "travel": 1.0, "team": 0.5, "min": 0.1, "max": 0.35}
 SAVE = {"window": 3, "threshold": 0.12, "duration": 0.3, "merge": 0.3, "conf": 0.3, "keeper": 300.0, "reaction": 1.0, "ratio": 0.3, "min": 0.1, "max": 0.2}
@@ -29,6 +34,7 @@ TIMELINE = {"age": 0.04, "occlusion": 0.10, "partial": 0.15, "grace": 2.0, "hold
 TARGET = {"height": 0.6, "bank": 20, "learn": 0.75, "strong": 0.9, "uncertain": 0.75, "reach": 6.0, "weights": {"kit": 0.4, "jersey": 0.3, "height": 0.15, "trajectory": 0.15}}
 SELECTION = {"tolerance": 0.15, "tip": 200.0, "duration": 0.5, "share": 0.4, "fallback": 0.35, "weights": (0.4, 0.3, 0.3)}
 ATTRIBUTION = {"heights": 4.0, "gap": 1.0}
+MANUAL = {"window": 1.0, "confidence": 0.95, "merge": 1.0}
 LOCK = {"colour": 8.0, "margin": 0.2}
 TEAMS = {"restarts": 10, "seed": 0}
 COLOUR_DISTANCE = 8.0

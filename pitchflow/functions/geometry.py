@@ -123,6 +123,38 @@ def expanded(fx: float, fy: float, frame_w: Column, frame_h: Column, p: str = ""
     )
 
 
+def native_crop(scale_x: float, scale_y: float, expand: float, frame_w: int, frame_h: int, p: str = "") -> Column:
+    """A box of the scaled frame in pixels of the full one, grown by ``expand`` on each side, rounded half to even and cut
+    at the frame: left and top at 0, right and bottom at its size. It may be empty."""
+    w, h = width(p) * scale_x * expand, height(p) * scale_y * expand
+    near = lambda v: F.greatest(F.lit(0), F.bround(v).cast("int"))
+    far = lambda v, most: F.least(F.lit(most), F.bround(v).cast("int"))
+    return F.struct(
+        near(F.col(f"{p}x1") * scale_x - w).alias("x1"), near(F.col(f"{p}y1") * scale_y - h).alias("y1"),
+        far(F.col(f"{p}x2") * scale_x + w, frame_w).alias("x2"), far(F.col(f"{p}y2") * scale_y + h, frame_h).alias("y2"),
+    )
+
+
+def large_enough(crop: Column, frame_h: int, least: float = 0.05556) -> Column:
+    """Whether a crop has an area and at least that share of the frame's height."""
+    return (crop["y2"] - crop["y1"] >= least * frame_h) & (crop["x2"] > crop["x1"]) & (crop["y2"] > crop["y1"])
+
+
+def band(top: float, bottom: float, left: float, right: float, p: str = "") -> Column:
+    """A part of a box between shares of its height, less shares of its width at the sides: torso, number, shorts or socks.
+    A band without an area is the whole box."""
+    w, h = width(p), height(p)
+    x1, x2 = F.col(f"{p}x1") + left * w, F.col(f"{p}x2") - right * w
+    y1, y2 = F.col(f"{p}y1") + top * h, F.col(f"{p}y1") + bottom * h
+    whole = F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return F.when((x2 > x1) & (y2 > y1), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))).otherwise(whole)
+
+
+def cielab(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
+    """Colours in the 8-bit scale of image libraries as CIELAB."""
+    return F.struct((l * 100 / 255).alias("l"), (a - 128).alias("a"), (b - 128).alias("b"))
+
+
 def goal_line(posts: Column) -> Column:
     """struct<left, right> of the outermost post feet (array of boxes); null with fewer than two posts."""
     feet = F.array_sort(F.transform(posts, lambda b: F.struct(((b["x1"] + b["x2"]) / 2).alias("x"), b["y2"].alias("y"))))

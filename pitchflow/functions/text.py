@@ -21,6 +21,13 @@ def seconds(text: Column) -> Column:
     return F.when(ok, (hours * 3600 + part(2).cast("int") * 60 + part(3).cast("int")).cast("double"))
 
 
+def touch_times(text: Column) -> Column:
+    """array<struct<t, problem>> of a list of times split by commas or lines: an entry that is no time has a null t and
+    stands in ``problem`` as it is."""
+    entries = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(entries, lambda x: F.struct(seconds(x).alias("t"), F.when(seconds(x).isNull(), x).alias("problem")))
+
+
 def event_type(phrase: Column) -> Column:
     """The first listed phrase found in the text; key_moment otherwise."""
     out = None
@@ -71,6 +78,36 @@ def clock(t: Column) -> Column:
     return F.format_string("%d:%04.1f", F.floor(t / 60).cast("int"), F.bround(t - F.floor(t / 60) * 60, 1))
 
 
+def caption_clock(t: Column) -> Column:
+    """M:SS, cut to whole seconds."""
+    return F.format_string("%d:%02d", F.floor(t / 60).cast("int"), F.floor(t - F.floor(t / 60) * 60).cast("int"))
+
+
+def padded_clock(t: Column) -> Column:
+    """MM:SS.s; ties go to the even digit."""
+    return F.format_string("%02d:%04.1f", F.floor(t / 60).cast("int"), F.bround(t - F.floor(t / 60) * 60, 1))
+
+
+def joined_tokens(tokens: Column) -> Column:
+    """The texts of tokens (array of x and text) from left to right, by spaces."""
+    return F.array_join(F.transform(F.array_sort(F.transform(tokens, lambda k: F.struct(k["x"].alias("x"), k["text"].alias("text")))), lambda k: k["text"]), " ")
+
+
+def evidence(*columns: str) -> Column:
+    """What an event rests on, as JSON: the columns by name, without nulls."""
+    return F.to_json(F.struct(*columns))
+
+
+def probed(average: Column, declared: Column, stream_s: Column, format_s: Column, frames: Column) -> Column:
+    """struct<fps, duration, nb_frames> of a video's metadata texts: the average rate or the declared one, the length of the
+    stream or of the file (0 if neither is told), and the frames as told or by length and rate (null without both)."""
+    told = lambda c: F.when(~F.coalesce(c, F.lit("")).isin("", "N/A"), c)
+    fps = frame_rate(F.coalesce(F.nullif(average, F.lit("")), F.nullif(declared, F.lit("")), F.lit("0/1")))
+    length = F.coalesce(told(F.coalesce(F.nullif(stream_s, F.lit("")), F.nullif(format_s, F.lit("")))).cast("double"), F.lit(0.0))
+    made = F.when((length > 0) & (fps > 0), F.bround(length * fps).cast("long"))
+    return F.struct(fps.alias("fps"), length.alias("duration"), F.coalesce(told(frames).cast("long"), made).alias("nb_frames"))
+
+
 def frame_rate(text: Column) -> Column:
     """'n/d' or a decimal; 0 for a zero divisor."""
     parts = F.split(text, "/")

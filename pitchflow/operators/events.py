@@ -78,11 +78,22 @@ def key_moments(candidates: DataFrame, answers: DataFrame, params: dict = config
     return said.select(*TAKE, F.lit("key_moment").alias("type"), F.col("track_id").alias("player_track_id"), "t_start", "t_end", F.lit(params["yes"]).alias("confidence"), "text")
 
 
+COLUMNS = (*TAKE, "type", "player_track_id", "t_start", "t_end", "confidence")
+
+
 def all_events(*parts: DataFrame) -> DataFrame:
-    """One table of the detectors' common columns."""
-    cols = [*TAKE, "type", "player_track_id", "t_start", "t_end", "confidence"]
-    rows = [p.select(*[F.col(c) if c in p.columns else F.lit(None).cast("long").alias(c) for c in cols]) for p in parts]
+    """One table of the detectors' common columns, with ``acting_ids``: the tracks that did it (null where unknown)."""
+    rows = []
+    for p in parts:
+        acting = F.col("acting_ids") if "acting_ids" in p.columns else F.lit(None).cast("array<bigint>")
+        rows.append(p.select(*[F.col(c) if c in p.columns else F.lit(None).cast("long").alias(c) for c in COLUMNS], acting.alias("acting_ids")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def basic_events(boxes: DataFrame, balls: DataFrame, frame_width: float, fps: float = 30.0) -> DataFrame:
+    """Sprints and shots alone."""
+    own = F.array("player_track_id")
+    return all_events(detect_sprints(boxes, fps).withColumn("acting_ids", own), detect_shots(balls, frame_width))

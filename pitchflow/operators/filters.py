@@ -15,6 +15,11 @@ def filter_classes(detections: DataFrame, keep: tuple[str, ...] = TRACKED) -> Da
     return detections.where(F.col("cls").isin(*keep))
 
 
+def dropped_classes(detections: DataFrame, keep: tuple[str, ...] = TRACKED) -> DataFrame:
+    """(cls, n) of the detections that ``filter_classes`` leaves out; those without a class count as well."""
+    return detections.where(~F.coalesce(F.col("cls").isin(*keep), F.lit(False))).groupBy("cls").agg(F.count("*").alias("n"))
+
+
 def filter_overlap(detections: DataFrame, hints: DataFrame, most: float = 0.3) -> DataFrame:
     """Detections that an arrow of their frame does not cover by more than ``most``."""
     arrows = hints.select(F.col("video_id").alias("v_"), F.col("frame_index").alias("f_"), *[F.col(c).alias(f"h_{c}") for c in ("x1", "y1", "x2", "y2")])

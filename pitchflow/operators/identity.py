@@ -79,6 +79,10 @@ def digit_votes(reads: DataFrame, keys: Sequence[str], p: dict = config.VOTE) ->
     return top.select(*keys, F.when(good, F.col("digits")).alias("jersey_number"), F.when(good, "verified").otherwise("unverified").alias("status"), agreement.alias("agreement"), F.when(good, conf).otherwise(0.0).alias("confidence"), "n_reads")
 
 
+def tracks_per_take(tracks: DataFrame) -> DataFrame:
+    return tracks.groupBy(*TAKE).agg(F.count("*").alias("n_tracks"))
+
+
 def coverage_seconds(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Length of the union of [t_start, t_end] spans; touching ones merge."""
     w = Window.partitionBy(*keys).orderBy("t_start", "t_end")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.geometry import cx, cy, height
+from .filters import eligible
 from .series import debounced
-from .timejoin import TAKE, nearest_in_time, nearest_player
+from .timejoin import TAKE, nearest_in_time, nearest_player, settled
 
 
 def clamp(c: Column, params: dict) -> Column:
@@ -25,21 +26,26 @@ def drop_counts(df: DataFrame, stage: str) -> DataFrame:
     return df.where("reject is not null").groupBy(F.lit(stage).alias("stage"), F.col("reject").alias("reason")).agg(F.count("*").alias("n"))
 
 
-def possession_series(balls: DataFrame, boxes: DataFrame, params: dict = config.POSSESSION) -> DataFrame:
-    """Balls with x, y and the track in possession: the nearest eligible box, null beyond the distance."""
+def possession_series(balls: DataFrame, boxes: DataFrame, params: dict = config.POSSESSION, tracks: DataFrame | None = None) -> DataFrame:
+    """Balls with x, y and the track in possession: the nearest box, null beyond the distance. With ``tracks`` only
+    players and goalkeepers can have the ball."""
+    if tracks is not None:
+        boxes = boxes.join(eligible(tracks).select(*TAKE, "track_id"), [*TAKE, "track_id"], "left_semi")
     rows = balls.where(F.col("conf") >= params["conf"]).select(*TAKE, "frame_index", "t", "conf", cx().alias("x"), cy().alias("y"))
     near = nearest_player(rows, boxes, params["tolerance"])
     return near.withColumn("track_id", F.when(F.col("dist") <= params["distance"], F.col("track_id")))
 
 
 def run_samples(series: DataFrame, identities: DataFrame | None = None, params: dict = config.POSSESSION) -> DataFrame:
-    """The samples with a track, with identity and run_id. A loose ball does not end a run; another identity or a gap of
-    ``merge`` does."""
+    """The samples with a track, with identity, identity_confidence and run_id. A loose ball does not end a run; another
+    identity or a gap of ``merge`` does. ``identities``: video_id, take_id, track_id, identity, and confidence if known;
+    tracks that it lacks are identities of their own, and surely so."""
     held = series.where("track_id is not null")
     if identities is not None:
-        held = held.join(identities.select(*TAKE, "track_id", "identity"), [*TAKE, "track_id"], "left").withColumn("identity", F.coalesce("identity", "track_id"))
+        known = identities.select(*TAKE, "track_id", "identity", (F.col("confidence") if "confidence" in identities.columns else F.lit(1.0)).alias("identity_confidence"))
+        held = held.join(known, [*TAKE, "track_id"], "left").withColumns({"identity": F.coalesce("identity", "track_id"), "identity_confidence": F.coalesce("identity_confidence", F.lit(1.0))})
     else:
-        held = held.withColumn("identity", F.col("track_id"))
+        held = held.withColumns({"identity": F.col("track_id"), "identity_confidence": F.lit(1.0)})
     w = Window.partitionBy(*TAKE).orderBy("t", "frame_index")
     new = (F.col("identity") != F.lag("identity").over(w)) | (F.round(F.col("t") - F.lag("t").over(w), 9) >= params["merge"])
     return held.withColumn("run_id", F.sum(F.when(new, 1).otherwise(0)).over(w))
@@ -53,16 +59,16 @@ def possession_runs(series: DataFrame, identities: DataFrame | None = None, para
 def runs_of(samples: DataFrame) -> DataFrame:
     at = lambda f: f(F.struct("t", "track_id", "x", "y"), F.struct("t", "frame_index"))
     return samples.groupBy(*TAKE, "run_id").agg(
-        F.first("identity").alias("identity"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n"),
+        F.first("identity").alias("identity"), F.first("identity_confidence").alias("identity_confidence"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n"),
         F.avg("dist").alias("mean_dist"), F.sort_array(F.collect_set("track_id")).alias("raw_track_ids"), at(F.min_by).alias("first"), at(F.max_by).alias("last"),
     )
 
 
 def run_quality(distance: float = config.POSSESSION["distance"], fps: float = 30.0) -> Column:
-    """Half continuity, half closeness."""
+    """Half continuity, half closeness, times the confidence of the identity."""
     frames = F.greatest(F.lit(1.0), F.bround((F.col("t_end") - F.col("t_start")) * fps)) + 1
     weight = config.CONTINUITY_WEIGHT
-    return weight * F.least(F.lit(1.0), F.col("n") / frames) + (1 - weight) * F.greatest(F.lit(0.0), 1 - F.col("mean_dist") / distance)
+    return F.col("identity_confidence") * (weight * F.least(F.lit(1.0), F.col("n") / frames) + (1 - weight) * F.greatest(F.lit(0.0), 1 - F.col("mean_dist") / distance))
 
 
 def detect_possession(runs: DataFrame, fps: float = 30.0, params: dict = config.POSSESSION) -> DataFrame:
@@ -73,20 +79,30 @@ def detect_possession(runs: DataFrame, fps: float = 30.0, params: dict = config.
 def contact_evidence(times: DataFrame, states: DataFrame, params: dict = config.TOUCH) -> DataFrame:
     """``times`` with ``kicked``: whether the ball's velocity just before and just after differ by at least delta_v."""
     w = params["window"]
-    side = lambda s: nearest_in_time(times.select(*TAKE, F.col("t").alias("__t0"), (F.col("t") + s * w).alias("t")).distinct(), states, w).select(*TAKE, F.col("__t0").alias("t"), F.col("near.vx").alias("vx"), F.col("near.vy").alias("vy"), F.col("near.known").alias("known"))
-    a, b = side(-1).alias("a"), side(1).alias("b")
-    both = a.join(b, [*TAKE, "t"]).select(*TAKE, "t", (F.col("a.known") & F.col("b.known") & (F.hypot(F.col("a.vx") - F.col("b.vx"), F.col("a.vy") - F.col("b.vy")) >= params["delta_v"])).alias("kicked"))
+    sides = times.select(*TAKE, "t").distinct().select(*TAKE, F.col("t").alias("__t0"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("__s")).withColumn("t", F.col("__t0") + F.col("__s") * w)
+    near = nearest_in_time(sides, states.select(*TAKE, "t", "vx", "vy", "known"), w)
+    at = lambda s: F.max(F.when(F.col("__s") == s, F.struct("near.vx", "near.vy", "near.known")))
+    known = near.groupBy(*TAKE, F.col("__t0").alias("t")).agg(at(-1).alias("a"), at(1).alias("b")).where("a.known and b.known")
+    both = known.select(*TAKE, "t", (F.hypot(F.col("a.vx") - F.col("b.vx"), F.col("a.vy") - F.col("b.vy")) >= params["delta_v"]).alias("kicked"))
     return times.join(both, [*TAKE, "t"], "left").withColumn("kicked", F.coalesce("kicked", F.lit(False)))
 
 
-def detect_touches(balls: DataFrame, boxes: DataFrame, states: DataFrame | None = None, params: dict = config.TOUCH) -> DataFrame:
-    """The ball near a box, once per identity and debounce gap; with ball states only where the ball changes its way."""
-    near = possession_series(balls, boxes, params).where("track_id is not null")
-    hits = debounced(near.select(*TAKE, "track_id", "t", "conf", "dist"), params["debounce"], [*TAKE, "track_id"])
+def detect_touches(
+    balls: DataFrame, boxes: DataFrame, states: DataFrame | None = None, params: dict = config.TOUCH, tracks: DataFrame | None = None, identities: DataFrame | None = None
+) -> DataFrame:
+    """The ball near a box, once per identity and debounce gap; with ball states only where the ball changes its way.
+    ``tracks`` as of ``possession_series``, ``identities`` as of ``run_samples``; ``raw_track_id`` is the track that touched."""
+    near = possession_series(balls, boxes, params, tracks).where("track_id is not null").withColumnRenamed("track_id", "raw_track_id")
+    if identities is not None:
+        known = identities.select(*TAKE, F.col("track_id").alias("raw_track_id"), "identity")
+        near = near.join(known, [*TAKE, "raw_track_id"], "left").withColumn("track_id", F.coalesce("identity", "raw_track_id"))
+    else:
+        near = near.withColumn("track_id", F.col("raw_track_id"))
+    hits = debounced(near.select(*TAKE, "track_id", "t", "conf", "dist", "raw_track_id"), params["debounce"], [*TAKE, "track_id"])
     if states is not None:
         hits = contact_evidence(hits, states, params).where("kicked").drop("kicked")
     conf = params["min"] + (1 - F.col("dist") / params["distance"]) * F.col("conf") * (params["max"] - params["min"])
-    return emitted(hits.select(*TAKE, F.lit("touch").alias("type"), F.col("track_id").alias("player_track_id"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), "dist", clamp(conf, params).alias("confidence")))
+    return emitted(hits.select(*TAKE, F.lit("touch").alias("type"), F.col("track_id").alias("player_track_id"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), "dist", "raw_track_id", clamp(conf, params).alias("confidence")))
 
 
 def teammates(a: str, b: str, params: dict = config.KIT, team: float = config.PASS["team"]) -> Column:
@@ -98,12 +114,13 @@ def teammates(a: str, b: str, params: dict = config.KIT, team: float = config.PA
 
 def detect_passes(runs: DataFrame, tracks: DataFrame, states: DataFrame | None = None, fps: float = 30.0, params: dict = config.PASS) -> DataFrame:
     """Passes and turnovers between neighbouring runs, and rejects with their reason: one row a candidate, ``type`` null
-    for a reject. One scan holds the passer's debounce: an emitted pass re-arms it, a turnover does not."""
+    for a reject. One scan holds the passer's debounce: an emitted pass re-arms it, a turnover does not. Without
+    ``same_colour_required`` a change to the other team is a pass too; without ``turnovers`` it is a reject."""
     w = Window.partitionBy(*TAKE).orderBy("run_id")
     now = F.struct("run_id", "identity", "t_start", "t_end", "n", "mean_dist", "first", "last", run_quality(fps=fps).alias("quality"))
     pairs = runs.select(*TAKE, now.alias("a"), F.lead(now).over(w).alias("b")).where("b is not null and a.identity <> b.identity")
     rows = pairs.select(*TAKE, "a", "b", F.col("a.t_end").alias("t"))
-    rows = contact_evidence(rows, states).where("true") if states is not None else rows.withColumn("kicked", F.lit(False))
+    rows = contact_evidence(rows, states) if states is not None else rows.withColumn("kicked", F.lit(False))
     kit = F.struct(*[F.col(c) for c in tracks.columns if c not in TAKE])
     one = tracks.select(F.col("video_id").alias("v1"), F.col("take_id").alias("k1"), F.col("track_id").alias("i1"), kit.alias("ta"))
     two = one.toDF("v2", "k2", "i2", "tb")
@@ -111,14 +128,17 @@ def detect_passes(runs: DataFrame, tracks: DataFrame, states: DataFrame | None =
     rows = rows.join(two, (F.col("video_id") == F.col("v2")) & (F.col("take_id") == F.col("k2")) & (F.col("b.first.track_id") == F.col("i2")), "left")
     gap = F.round(F.col("b.t_start") - F.col("a.t_end"), 9)
     travel = F.hypot(F.col("b.first.x") - F.col("a.last.x"), F.col("b.first.y") - F.col("a.last.y"))
-    rows = rows.withColumns({"gap": gap, "travel": travel, "same": teammates("ta", "tb", team=params["team"])})
+    same = teammates("ta", "tb", team=params["team"])
+    same = same if params["same_colour_required"] else F.when(same.isNotNull(), True)
+    rows = rows.withColumns({"gap": gap, "travel": travel, "same": same})
     kicked, length = F.col("kicked"), F.round(F.col("a.t_end") - F.col("a.t_start"), 9)
     early = F.when((gap < 0) | (gap > params["gap"]), "gap").when(~kicked & (length < config.POSSESSION["duration"]), "not_kicked").when(~kicked & (gap < params["flight"]), "flight")
     late = F.when(travel > params["travel_max"], "too_far").when(~kicked & (travel < params["travel_min"]), "too_near").when(F.col("same").isNull(), "team_unknown")
     closeness = F.greatest(F.lit(0.0), 1 - travel / params["travel_max"])
     conf = clamp(closeness * (F.col("a.quality") + F.col("b.quality")) / 2, params)
-    rows = rows.withColumns({"early": early, "late": F.coalesce(late, F.when(conf < config.MIN_EMIT, "confidence")), "confidence": conf, "passer": F.col("a.identity"), "receiver": F.col("b.identity"), "t_end": F.col("b.t_start")})
-    item = F.struct("t", "t_end", "receiver", "travel", "confidence", "same", "early", "late")
+    off = F.when(~F.col("same") & F.lit(not params["turnovers"]), "turnover_disabled")
+    rows = rows.withColumns({"early": early, "late": F.coalesce(late, off, F.when(conf < config.MIN_EMIT, "confidence")), "confidence": conf, "passer": F.col("a.identity"), "receiver": F.col("b.identity"), "passer_track": F.col("a.last.track_id"), "receiver_track": F.col("b.first.track_id"), "t_end": F.col("b.t_start")})
+    item = F.struct("t", "t_end", "receiver", "travel", "confidence", "same", "early", "late", "passer_track", "receiver_track", "kicked")
     held = rows.groupBy(*TAKE, "passer").agg(F.array_sort(F.collect_list(item)).alias("all"))
     scan = F.expr(
         f"""aggregate(all, named_struct('last', cast(-1e18 as double), 'out', transform(slice(all, 1, 0), r -> struct(r, cast(null as string) as reason))),
@@ -129,7 +149,7 @@ def detect_passes(runs: DataFrame, tracks: DataFrame, states: DataFrame | None =
     )
     out = held.select(*TAKE, "passer", F.explode(scan).alias("o")).select(*TAKE, "passer", "o.r.*", F.col("o.reason").alias("reject"))
     kind = F.when(F.col("reject").isNull(), F.when(F.col("same"), "pass").otherwise("turnover"))
-    return out.select(*TAKE, kind.alias("type"), "passer", "receiver", F.col("t").alias("t_start"), "t_end", "travel", "confidence", "reject")
+    return out.select(*TAKE, kind.alias("type"), "passer", "receiver", F.col("t").alias("t_start"), "t_end", "travel", "confidence", "reject", "passer_track", "receiver_track", "kicked")
 
 
 def detect_tackles(runs: DataFrame, boxes: DataFrame, balls: DataFrame, tracks: DataFrame, fps: float = 30.0, params: dict = config.TACKLE) -> DataFrame:
@@ -138,30 +158,33 @@ def detect_tackles(runs: DataFrame, boxes: DataFrame, balls: DataFrame, tracks:
     now = F.struct("identity", "t_start", "t_end", "first", "last", run_quality(fps=fps).alias("quality"))
     pairs = runs.select(*TAKE, now.alias("a"), F.lead(now).over(w).alias("b")).where("b is not null and a.identity <> b.identity")
     gap = F.round(F.col("b.t_start") - F.col("a.t_end"), 9)
-    pairs = pairs.where((gap >= 0) & (gap <= params["gap"])).select(*TAKE, F.col("a.last.track_id").alias("tackled"), F.col("b.first.track_id").alias("tackler"), F.col("a.t_end").alias("t_a"), F.col("b.t_start").alias("t_b"), ((F.col("a.quality") + F.col("b.quality")) / 2).alias("quality"))
+    pairs = pairs.where((gap >= 0) & (gap <= params["gap"])).select(*TAKE, F.col("a.last.track_id").alias("tackled"), F.col("b.first.track_id").alias("tackler"), F.col("b.identity").alias("player"), F.col("a.t_end").alias("t_a"), F.col("b.t_start").alias("t_b"), ((F.col("a.quality") + F.col("b.quality")) / 2).alias("quality"))
     team = tracks.select(*TAKE, F.col("track_id").alias("id"), "team", F.col("team_confidence").alias("sure"), F.col("t_start").alias("born"))
     for name in ("tackled", "tackler"):
         side = team.toDF("v_", "k_", f"id_{name}", f"team_{name}", f"sure_{name}", f"born_{name}")
         pairs = pairs.join(side, (F.col("video_id") == F.col("v_")) & (F.col("take_id") == F.col("k_")) & (F.col(name) == F.col(f"id_{name}"))).drop("v_", "k_")
     pairs = pairs.where((F.col("sure_tackled") >= params["team"]) & (F.col("sure_tackler") >= params["team"]) & (F.col("team_tackled") != F.col("team_tackler")))
-    pairs = pairs.select(*TAKE, "tackled", "tackler", "t_a", "t_b", "quality", F.greatest(F.col("t_b") - params["lookback"], F.col("born_tackler")).alias("t0"))
+    pairs = pairs.select(*TAKE, "tackled", "tackler", "player", "t_a", "t_b", "quality", F.greatest(F.col("t_b") - params["lookback"], F.col("born_tackler")).alias("t0"))
     tol = config.POSSESSION["tolerance"]
+    pairs = settled(pairs)
+    at = pairs.select(*TAKE, F.col("tackler").alias("track_id"), F.explode(F.array("t0", "t_b")).alias("t")).distinct()
+    box = nearest_in_time(at, boxes.select(*TAKE, "track_id", "t", "x1", "y1", "x2", "y2"), tol, keys=(*TAKE, "track_id")).select(*TAKE, F.col("track_id").alias("tackler"), "t", cx("near.").alias("x"), cy("near.").alias("y"), height("near.").alias("h"))
+    ball = nearest_in_time(at.select(*TAKE, "t").distinct(), balls.select(*TAKE, "t", "x1", "y1", "x2", "y2"), tol).select(*TAKE, "t", cx("near.").alias("bx"), cy("near.").alias("by"))
+    places = box.join(ball, [*TAKE, "t"])
     ends = pairs
     for name, when in (("p0", "t0"), ("p1", "t_b")):
-        at = pairs.select(*TAKE, F.col("tackler").alias("track_id"), F.col(when).alias("t")).distinct()
-        box = nearest_in_time(at, boxes, tol, keys=(*TAKE, "track_id")).select(*TAKE, F.col("track_id").alias("tackler"), F.col("t").alias(when), cx("near.").alias(f"{name}x"), cy("near.").alias(f"{name}y"), height("near.").alias(f"{name}h"))
-        ball = nearest_in_time(at.select(*TAKE, "t").distinct(), balls, tol).select(*TAKE, F.col("t").alias(when), cx("near.").alias(f"{name}bx"), cy("near.").alias(f"{name}by"))
-        ends = ends.join(box, [*TAKE, "tackler", when]).join(ball, [*TAKE, when])
+        side = places.select(*TAKE, "tackler", F.col("t").alias(when), *[F.col(c).alias(f"{name}{c}") for c in ("x", "y", "h", "bx", "by")])
+        ends = ends.join(side, [*TAKE, "tackler", when])
     dist = lambda p: F.hypot(F.col(f"{p}x") - F.col(f"{p}bx"), F.col(f"{p}y") - F.col(f"{p}by"))
     dt = F.col("t_b") - F.col("t0")
     speed = F.when(dt > 0, (dist("p0") - dist("p1")) / dt / ((F.col("p0h") + F.col("p1h")) / 2)).otherwise(0.0)
     out = ends.withColumn("closing_speed", speed).where(F.col("closing_speed") >= params["speed"])
     conf = clamp(F.col("quality") * F.least(F.lit(1.0), (F.col("closing_speed") - params["speed"]) / 2), params)
-    return emitted(out.select(*TAKE, F.lit("tackle").alias("type"), F.col("tackler").alias("player_track_id"), "tackled", F.col("t_a").alias("t_start"), F.col("t_b").alias("t_end"), "closing_speed", conf.alias("confidence")))
+    return emitted(out.select(*TAKE, F.lit("tackle").alias("type"), F.col("player").alias("player_track_id"), "tackler", "tackled", F.col("t_a").alias("t_start"), F.col("t_b").alias("t_end"), "closing_speed", conf.alias("confidence")))
 
 
 def without_tackled_turnovers(turnovers: DataFrame, tackles: DataFrame, window: float = config.TACKLE_WINDOW) -> DataFrame:
-    """Turnovers that are not the loser's side of a tackle."""
-    t = tackles.select(F.col("video_id").alias("v_"), F.col("take_id").alias("k_"), F.col("player_track_id").alias("by_"), F.col("tackled").alias("of_"), F.col("t_end").alias("e_"))
-    same = (F.col("video_id") == F.col("v_")) & (F.col("take_id") == F.col("k_")) & (F.col("receiver") == F.col("by_")) & (F.col("passer") == F.col("of_"))
+    """Turnovers that are not the loser's side of a tackle between the same tracks."""
+    t = tackles.select(F.col("video_id").alias("v_"), F.col("take_id").alias("k_"), F.col("tackler").alias("by_"), F.col("tackled").alias("of_"), F.col("t_end").alias("e_"))
+    same = (F.col("video_id") == F.col("v_")) & (F.col("take_id") == F.col("k_")) & (F.col("receiver_track") == F.col("by_")) & (F.col("passer_track") == F.col("of_"))
     return turnovers.join(t, same & (F.abs(F.col("t_end") - F.col("e_")) <= window), "left_anti")

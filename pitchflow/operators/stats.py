@@ -23,7 +23,9 @@ def attribute(events: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def player_stats(events: DataFrame, keys: Sequence[str] = PLAYER) -> DataFrame:
-    return events.groupBy(*keys, "type").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
+    """Number and mean confidence of each player's events of a type, and their ids where ``events`` has ``event_id``."""
+    ids = [F.sort_array(F.collect_list("event_id")).alias("event_ids")] if "event_id" in events.columns else []
+    return events.groupBy(*keys, "type").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), *ids)
 
 
 def sprint_stats(sprints: DataFrame, keys: Sequence[str] = PLAYER) -> DataFrame:
@@ -35,6 +37,14 @@ def distance_covered(boxes: DataFrame, window: int = config.SPRINT["window"]) ->
     return track_speed(boxes, window).groupBy(*TRACK).agg(F.sum(F.col("speed") * F.col("dt")).alias("distance"), F.count("*").alias("n_samples"))
 
 
+def player_distance(boxes: DataFrame, members: DataFrame, window: int = config.SPRINT["window"]) -> DataFrame:
+    """Heights covered by each player over its tracks and takes, with samples and fragments. ``members``: video_id, take_id,
+    track_id, player_track_id; tracks without boxes count as fragments alone."""
+    own = members.select(*TRACK, "player_track_id").distinct()
+    rows = own.join(distance_covered(boxes.join(own, list(TRACK), "left_semi"), window), list(TRACK), "left")
+    return rows.groupBy(*PLAYER).agg(F.coalesce(F.sum("distance"), F.lit(0.0)).alias("distance"), F.coalesce(F.sum("n_samples"), F.lit(0)).alias("n_samples"), F.count("*").alias("n_fragments"))
+
+
 def stat_card(events: DataFrame, kinds: Sequence[str], keys: Sequence[str] = PLAYER) -> DataFrame:
     """A row a player with a count of each kind."""
     return events.groupBy(*keys).agg(*[F.count_if(F.col("type") == k).alias(f"n_{k}") for k in kinds], F.sum(F.when(F.col("type") == "possession", F.col("t_end") - F.col("t_start")).otherwise(0.0)).alias("possession_s"))
@@ -118,6 +128,16 @@ def identity_report(verified: DataFrame) -> DataFrame:
     return verified.groupBy("video_id").agg(F.count("*").alias("n_takes"), F.count_if(sure).alias("n_verified"), F.sort_array(F.collect_set(F.when(sure, F.col("jersey_number")))).alias("numbers"))
 
 
+def read_counters(reads: DataFrame) -> DataFrame:
+    """Of each take: crops that were too small, considered, legible, and confident reads by source. ``reads``: a row a crop
+    with usable, legible, confident and source."""
+    seen = F.col("usable")
+    return reads.groupBy(*TAKE).agg(
+        F.count_if(~seen).alias("n_too_small"), F.count_if(seen).alias("n_considered"), F.count_if(seen & F.col("legible")).alias("n_legible"),
+        *[F.count_if(seen & F.col("confident") & (F.col("source") == name)).alias(f"n_{name}") for name in ("parseq", "ocr", "vlm")],
+    )
+
+
 def event_table(events: DataFrame, clips: DataFrame) -> DataFrame:
     """Events (with event_id) with rank_score and clip of their clip, and ``place``: best first, those without a clip last in
     order of time."""

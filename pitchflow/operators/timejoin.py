@@ -15,6 +15,12 @@ TAKE = ("video_id", "take_id")
 BROADER = 1.001
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint where the session has a folder for them, so that what reads it several times reads rows and
+    not its plan; without a folder as it is."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+
 def assign_take(points: DataFrame, takes: DataFrame) -> DataFrame:
     """``points`` with take_id: the take with t_start <= t < t_end, else the first whose closed span holds t; points
     outside every take have none. Takes are matched as of time, so each point is looked at once."""
@@ -31,32 +37,48 @@ def assign_take(points: DataFrame, takes: DataFrame) -> DataFrame:
     return both.withColumn("take_id", hit).where("__late = 1").select(*[c for c in cols if c != "take_id"], "take_id")
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, tol: float, by: Sequence[str] = (), tie: str = "later", keys: Sequence[str] = TAKE) -> DataFrame:
+def nearest_in_time(
+    left: DataFrame, right: DataFrame, tol: float, by: Sequence[str] = (), tie: str = "later", keys: Sequence[str] = TAKE, keep: bool = False
+) -> DataFrame:
     """For each row of ``left`` and value of ``by``, the row of ``right`` (struct ``near``) least far in time and at most
-    ``tol`` away. Equal distances: the ``later`` or ``earlier`` row. Rows without one are left out; equal left rows are one.
+    ``tol`` away. Equal distances: the ``later`` or ``earlier`` row. Rows without one are left out, or with ``keep`` have
+    nulls (one row for each value of ``by`` about).
+
+    Both sides are sorted together by time inside their keys and a time bucket, and each row looks at its neighbours before
+    and after; rows near a bucket's edge stand in both buckets. With ``by`` a row goes once to each value in its bucket.
     """
-    wide = tol * BROADER
-    bucket = F.floor(F.col("t") / wide)
-    spread = left.withColumn("__b", F.explode(F.sequence(bucket - 1, bucket + 1)))
-    other = right.select(*[F.col(c).alias(f"__{c}") for c in keys], F.floor(F.col("t") / wide).alias("__rb"), F.struct(*right.columns).alias("near"))
-    match = (F.col("__b") == F.col("__rb")) & F.lit(True)
-    for c in keys:
-        match = match & (F.col(c) == F.col(f"__{c}"))
-    gap = F.round(F.abs(F.col("near.t") - F.col("t")), 9)
-    order = F.struct(gap, -F.col("near.t") if tie == "later" else F.col("near.t"))
-    groups = [*left.columns, *[F.col(f"near.{c}").alias(f"__by_{c}") for c in by]]
-    return spread.join(other, match).where(gap <= tol).groupBy(*groups).agg(F.min_by("near", order).alias("near")).select(*left.columns, "near")
+    wide, cols = tol * BROADER, left.columns
+    width = max(16 * wide, 4.0)
+    group = [f"__k_{c}" for c in (*keys, *by)] + ["__b"]
+    spread = F.explode(F.sequence(F.floor((F.col("t") - wide) / width), F.floor((F.col("t") + wide) / width)))
+    marks = right.select(*[F.col(c).alias(f"__k_{c}") for c in (*keys, *by)], spread.alias("__b"), F.col("t").alias("__t"), F.struct(*right.columns).alias("__near"))
+    points = left.select(*cols, *[F.col(c).alias(f"__k_{c}") for c in keys], F.floor(F.col("t") / width).alias("__b"))
+    if by:
+        there = marks.select(*group).distinct()
+        points = points.join(there, [*[f"__k_{c}" for c in keys], "__b"], "left" if keep else "inner")
+    kind = marks.schema["__near"].dataType
+    rows = points.select(*group, F.col("t").alias("__t"), F.lit(None).cast(kind).alias("__near"), F.lit(1).alias("__p"), *cols)
+    none = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols]
+    both = rows.unionByName(marks.select(*group, "__t", "__near", F.lit(0).alias("__p"), *none))
+    w = Window.partitionBy(*group)
+    last = lambda *order: F.last("__near", ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("__before", last("__t", "__p")).withColumn("__after", last(F.desc("__t"), "__p")).where("__p = 1")
+    back, on = F.round(F.col("__t") - F.col("__before.t"), 9), F.round(F.col("__after.t") - F.col("__t"), 9)
+    ahead = back.isNull() | (on < back) | ((on == back) if tie == "later" else F.lit(False))
+    chosen = F.when(on.isNotNull() & ahead, F.when(on <= tol, F.col("__after"))).otherwise(F.when(back <= tol, F.col("__before")))
+    out = found.select(*cols, chosen.alias("near"))
+    return out if keep else out.where("near is not null")
 
 
 def nearest_player(balls: DataFrame, boxes: DataFrame, tol: float) -> DataFrame:
     """``balls`` (with x, y) with track_id and dist of the nearest box: of each track the box nearest in time (ties: the
-    later), of the tracks the least distance (ties: the lowest id). Balls without a box in reach keep nulls."""
-    near = nearest_in_time(balls, boxes, tol, by=("track_id",))
+    later), of the tracks the least distance (ties: the lowest id). Balls without a box in reach keep nulls; equal balls
+    are one."""
+    near = nearest_in_time(balls, boxes.select(*TAKE, "track_id", "t", "x1", "y1", "x2", "y2"), tol, by=("track_id",), keep=True)
     flat = near.withColumns({f"__{c}": F.col(f"near.{c}") for c in ("x1", "y1", "x2", "y2")})
-    dist = point_to_box(F.col("x"), F.col("y"), "__")
-    best = flat.withColumn("__dist", dist).groupBy(*balls.columns).agg(F.min(F.struct(F.col("__dist").alias("dist"), F.col("near.track_id").alias("track_id"))).alias("best"))
-    keyed = best.select("video_id", "take_id", "frame_index", F.col("best.track_id").alias("track_id"), F.col("best.dist").alias("dist"))
-    return balls.join(keyed, ["video_id", "take_id", "frame_index"], "left")
+    best = F.min(F.when(F.col("near").isNotNull(), F.struct(point_to_box(F.col("x"), F.col("y"), "__").alias("dist"), F.col("near.track_id").alias("track_id"))))
+    found = flat.groupBy(*balls.columns).agg(best.alias("best"))
+    return found.select(*balls.columns, F.col("best.track_id").alias("track_id"), F.col("best.dist").alias("dist"))
 
 
 def bracket(points: DataFrame, samples: DataFrame, value: Sequence[str], keys: Sequence[str] = TAKE) -> DataFrame:
@@ -105,15 +127,15 @@ def asof_backward(left: DataFrame, ends: DataFrame, tol: float, keys: Sequence[s
     return out.select(*cols, F.when(F.col("t") - F.col("__last") <= tol, F.col("__last")).alias("t_before"))
 
 
-def drop_near(rows: DataFrame, times: DataFrame, tol: float, keys: Sequence[str] = ("video_id",)) -> DataFrame:
-    """``rows`` with no time of ``times`` within ``tol`` seconds (inclusive) of t_start: automatic touches that a manual
-    one replaces."""
+def drop_near(rows: DataFrame, times: DataFrame, tol: float, keys: Sequence[str] = ("video_id",), how: str = "left_anti") -> DataFrame:
+    """``rows`` with no time of ``times`` within ``tol`` seconds (inclusive) of t_start: automatic touches that no manual
+    one replaces; with ``how`` left_semi those with one."""
     wide = tol * BROADER
     spread = times.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("t").alias("__t"), F.explode(F.sequence(F.floor(F.col("t") / wide) - 1, F.floor(F.col("t") / wide) + 1)).alias("__rb"))
     match = (F.floor(F.col("t_start") / wide) == F.col("__rb")) & (F.abs(F.col("t_start") - F.col("__t")) <= tol)
     for c in keys:
         match = match & (F.col(c) == F.col(f"__{c}"))
-    return rows.join(spread, match, "left_anti")
+    return rows.join(spread, match, how)
 
 
 def active_events(grid: DataFrame, events: DataFrame, keys: Sequence[str] = ("video_id",), width: float = 5.0) -> DataFrame:

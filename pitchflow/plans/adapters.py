@@ -49,12 +49,19 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).groupBy("video_id", "take_id", "track_id").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n_boxes")).selectExpr(
         "*", "cast(track_id % 2 as int) as team", "if(track_id = 9, 0.3D, 0.8D) as team_confidence",
         "case when track_id in (0, 6) then 'goalkeeper' when track_id = 11 then 'referee' else 'player' end as dominant_class",
-        "named_struct('l', 50D, 'a', cast(null as double), 'b', 0D) as kit",
+        "named_struct('l', 50D, 'a', if(track_id % 4 = 3, cast(null as double), 15D * (track_id % 3)), 'b', 0D) as kit",
     )
 
 
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track 10 goes on as track 9; identities are sure to different degrees."""
+    return tracks(spark, sf_dir).selectExpr(
+        "video_id", "take_id", "track_id", "if(track_id = 10, 9, track_id) as identity", "(8 + if(track_id = 10, 9, track_id) % 3) / 10D as confidence"
+    )
+
+
 def balls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    holder = "cast(floor(frame_index / 20) as bigint) % 10"
+    holder = f"cast(floor(frame_index / 20) as bigint) % {TRACKS}"  # the referee, track 11, is passed as well
     x = f"100 + 80 * ({holder}) + {_wave(f'frame_index * (({holder}) % 6 + 1)', 300)} + (frame_index * 7) % 60 - 10"
     y = f"250 + 40 * (({holder}) % 5) + case when frame_index % 20 >= 12 then 300 else 0 end"  # in flight
     return frames(spark, sf_dir).where("event_id % 11 <> 0").selectExpr(

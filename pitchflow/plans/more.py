@@ -42,8 +42,9 @@ def e9_detect_dribbles(spark, sf_dir):
     boxes = ad.boxes(spark, sf_dir)
     x, y = g.cx(), g.cy()
     held = boxes.where("track_id = take_id % 10 + 1").select("video_id", "take_id", "frame_index", "t", (x - 5).alias("x1"), (y - 5).alias("y1"), (x + 5).alias("x2"), (y + 5).alias("y2"), "conf")
-    samples = possession.run_samples(possession.possession_series(held, boxes))
-    return rounded(duels.detect_dribbles(samples, boxes, ad.tracks(spark, sf_dir), ad.FPS))
+    samples = possession.run_samples(possession.possession_series(held, boxes, tracks=ad.tracks(spark, sf_dir)), ad.identities(spark, sf_dir))
+    found = duels.detect_dribbles(samples, boxes, ad.tracks(spark, sf_dir), ad.FPS)
+    return rounded(found.withColumn("acting", F.array_join(F.transform("raw_track_ids", lambda x: x.cast("string")), ",")).drop("raw_track_ids"))
 
 
 @query()

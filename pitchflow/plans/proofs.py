@@ -6,52 +6,57 @@ from . import more  # noqa: F401
 from .queries import BASE, SQL
 
 #: Neighbouring runs of possession of different tracks, with the ball's places and the runs' quality.
-NEIGHBOURS = """, rq as (select p.video_id, p.take_id, p.run_id, min(p.track_id) as id, min(p.t) as s, max(p.t) as e, count(*) as n, avg(p.dist) as md, arg_min((b.x1 + b.x2) / 2, p.t) as fx, arg_min((b.y1 + b.y2) / 2, p.t) as fy,
-  arg_max((b.x1 + b.x2) / 2, p.t) as lx, arg_max((b.y1 + b.y2) / 2, p.t) as ly from prun p join balls b using (video_id, take_id, frame_index) group by 1, 2, 3),
-rqq as (select *, 0.5 * least(1.0, n / (greatest(1.0, round_even((e - s) * 25, 0)) + 1)) + 0.5 * greatest(0, 1 - md / 70) as q from rq),
-rpair as (select *, lead(id) over w as bid, lead(s) over w as bs, lead(q) over w as bq, lead(fx) over w as bx, lead(fy) over w as by_ from rqq window w as (partition by video_id, take_id order by run_id))"""
+NEIGHBOURS = """, rq as (select p.video_id, p.take_id, p.run_id, min(p.identity) as id, min(p.t) as s, max(p.t) as e, count(*) as n, avg(p.dist) as md, arg_min((b.x1 + b.x2) / 2, p.t) as fx, arg_min((b.y1 + b.y2) / 2, p.t) as fy,
+  arg_max((b.x1 + b.x2) / 2, p.t) as lx, arg_max((b.y1 + b.y2) / 2, p.t) as ly, arg_min(p.track_id, p.t) as ft, arg_max(p.track_id, p.t) as lt from prun p join balls b using (video_id, take_id, frame_index) group by 1, 2, 3),
+rqq as (select *, (8 + id % 3) / 10e0 * (0.5 * least(1.0, n / (greatest(1.0, round_even((e - s) * 25, 0)) + 1)) + 0.5 * greatest(0, 1 - md / 70)) as q from rq),
+rpair as (select *, lead(id) over w as bid, lead(ft) over w as bt, lead(s) over w as bs, lead(q) over w as bq, lead(fx) over w as bx, lead(fy) over w as by_ from rqq window w as (partition by video_id, take_id order by run_id))"""
+
+#: The ball's smoothed velocity, and whether it changes at a time of ``marks`` (video_id, take_id, t).
+STATES = """, st as (select b.*, avg((x1 + x2) / 2) over w as x, avg((y1 + y2) / 2) over w as y from balls b where conf >= 0.3 window w as (partition by video_id, take_id order by t rows between 11 preceding and current row)),
+sv as (select *, t - lag(t) over w as d, x - lag(x) over w as ex, y - lag(y) over w as ey from st window w as (partition by video_id, take_id order by t)),
+states as (select video_id, take_id, t, case when d > 0 and d <= 0.5 then ex / d / 100 else 0 end as vx, case when d > 0 and d <= 0.5 then ey / d / 100 else 0 end as vy, coalesce(d > 0 and d <= 0.5, true) as known from sv)"""
+KICKS = """, sides as (select k.video_id, k.take_id, k.t, g.s, v.vx, v.vy, v.known, row_number() over (partition by k.video_id, k.take_id, k.t, g.s order by round(abs(v.t - (k.t + g.s * 0.2)), 9), v.t desc) as rn
+  from (select distinct video_id, take_id, t from marks) k cross join (values (-1), (1)) g(s) join states v on v.video_id = k.video_id and v.take_id = k.take_id and round(abs(v.t - (k.t + g.s * 0.2)), 9) <= 0.2),
+kicked as (select a.video_id, a.take_id, a.t from sides a join sides b using (video_id, take_id, t) where a.s = -1 and b.s = 1 and a.rn = 1 and b.rn = 1 and a.known and b.known and sqrt(pow(a.vx - b.vx, 2) + pow(a.vy - b.vy, 2)) >= 2)"""
 
 #: Every candidate for a pass in turn of its passer; the fold carries the time of the passer's last pass.
-PASSES = NEIGHBOURS + """, cand as (select video_id, take_id, id as passer, bid as receiver, e as t, bs as t_end, round(bs - e, 9) as gap, round(e - s, 9) as len, sqrt(pow(bx - lx, 2) + pow(by_ - ly, 2)) as travel, (q + bq) / 2 as mq,
-  case when id <> 9 and bid <> 9 then id % 2 = bid % 2 end as same from rpair where bid <> id),
+PASSES = NEIGHBOURS + STATES + ", marks as (select video_id, take_id, e as t from rpair where bid <> id)" + KICKS + """,
+shade as (select *, abs(case when lt % 4 < 3 then lt % 3 end - case when bt % 4 < 3 then bt % 3 end) * 15 as d from rpair where bid <> id),
+cand as (select s.video_id, s.take_id, id as passer, bid as receiver, lt as passer_track, bt as receiver_track, e as t, bs as t_end, round(bs - e, 9) as gap, round(e - s.s, 9) as len, sqrt(pow(bx - lx, 2) + pow(by_ - ly, 2)) as travel, (q + bq) / 2 as mq,
+  case when d <= 8 then true when d >= 24 then false when lt <> 9 and bt <> 9 then lt % 2 = bt % 2 end as same, k.t is not null as kicked from shade s left join kicked k on k.video_id = s.video_id and k.take_id = s.take_id and k.t = s.e),
 conf_ as (select *, least(greatest(greatest(0, 1 - travel / 750) * mq, 0.1), 0.35) as confidence from cand),
-turn as (select *, case when gap < 0 or gap > 2 then 'gap' when len < 0.3 then 'not_kicked' when gap < 0.25 then 'flight' end as early,
-  case when travel > 750 then 'too_far' when travel < 60 then 'too_near' when same is null then 'team_unknown' when confidence < 0.15 then 'confidence' end as late, row_number() over (partition by video_id, take_id, passer order by t) as k from conf_),
+turn as (select *, case when gap < 0 or gap > 2 then 'gap' when not kicked and len < 0.3 then 'not_kicked' when not kicked and gap < 0.25 then 'flight' end as early,
+  case when travel > 750 then 'too_far' when not kicked and travel < 60 then 'too_near' when same is null then 'team_unknown' when confidence < 0.15 then 'confidence' end as late, row_number() over (partition by video_id, take_id, passer order by t) as k from conf_),
 fold as (select *, case when early is null and late is null and same then t else -1e18 end as last_, coalesce(early, late) as reject from turn where k = 1
   union all select u.*, case when u.early is null and u.late is null and u.same and round(u.t - f.last_, 9) >= 1.0 then u.t else f.last_ end, coalesce(u.early, case when round(u.t - f.last_, 9) < 1.0 then 'debounce' end, u.late)
   from fold f join turn u on u.video_id = f.video_id and u.take_id = f.take_id and u.passer = f.passer and u.k = f.k + 1),
-passes as (select video_id, take_id, case when reject is null then case when same then 'pass' else 'turnover' end end as type, passer, receiver, t as t_start, t_end, travel, confidence, reject from fold)"""
+passes as (select video_id, take_id, case when reject is null then case when same then 'pass' else 'turnover' end end as type, passer, receiver, t as t_start, t_end, travel, confidence, reject, passer_track, receiver_track, kicked from fold)"""
 
 TACKLES = """, born as (select video_id, take_id, track_id, min(t) as b0 from boxes group by 1, 2, 3),
-won as (select p.video_id, p.take_id, p.id as tackled, p.bid as tackler, p.e as t_a, p.bs as t_b, (p.q + p.bq) / 2 as quality, greatest(p.bs - 1.0, b.b0) as t0 from rpair p join born b on b.video_id = p.video_id and b.take_id = p.take_id and b.track_id = p.bid
-  where p.bid <> p.id and p.id <> 9 and p.bid <> 9 and p.id % 2 <> p.bid % 2 and round(p.bs - p.e, 9) between 0 and 1.5),
+won as (select p.video_id, p.take_id, p.lt as tackled, p.bt as tackler, p.bid as player, p.e as t_a, p.bs as t_b, (p.q + p.bq) / 2 as quality, greatest(p.bs - 1.0, b.b0) as t0 from rpair p join born b on b.video_id = p.video_id and b.take_id = p.take_id and b.track_id = p.bt
+  where p.bid <> p.id and p.lt <> 9 and p.bt <> 9 and p.lt % 2 <> p.bt % 2 and round(p.bs - p.e, 9) between 0 and 1.5),
 spots as (select distinct video_id, take_id, tackler, t from (select video_id, take_id, tackler, t0 as t from won union all select video_id, take_id, tackler, t_b from won)),
 body as (select s.*, (b.x1 + b.x2) / 2 as px, (b.y1 + b.y2) / 2 as py, b.y2 - b.y1 as ph, row_number() over (partition by s.video_id, s.take_id, s.tackler, s.t order by round(abs(b.t - s.t), 9), b.t desc) as rn from spots s join boxes b on b.video_id = s.video_id and b.take_id = s.take_id and b.track_id = s.tackler and round(abs(b.t - s.t), 9) <= 0.15),
 where_ as (select s.*, (b.x1 + b.x2) / 2 as qx, (b.y1 + b.y2) / 2 as qy, row_number() over (partition by s.video_id, s.take_id, s.tackler, s.t order by round(abs(b.t - s.t), 9), b.t desc) as rn from spots s join balls b on b.video_id = s.video_id and b.take_id = s.take_id and round(abs(b.t - s.t), 9) <= 0.15),
 apart_ as (select b.video_id, b.take_id, b.tackler, b.t, b.ph, sqrt(pow(px - qx, 2) + pow(py - qy, 2)) as d from body b join where_ w using (video_id, take_id, tackler, t) where b.rn = 1 and w.rn = 1),
 closed as (select w.*, case when t_b > t0 then (a.d - b.d) / (t_b - t0) / ((a.ph + b.ph) / 2) else 0 end as speed from won w join apart_ a on a.video_id = w.video_id and a.take_id = w.take_id and a.tackler = w.tackler and a.t = w.t0
   join apart_ b on b.video_id = w.video_id and b.take_id = w.take_id and b.tackler = w.tackler and b.t = w.t_b),
-tackles as (select video_id, take_id, 'tackle' as type, tackler as player_track_id, tackled, t_a as t_start, t_b as t_end, speed as closing_speed, least(greatest(quality * least(1.0, (speed - 1) / 2), 0.1), 0.3) as confidence from closed where speed >= 1)"""
+tackles as (select video_id, take_id, 'tackle' as type, player as player_track_id, tackler, tackled, t_a as t_start, t_b as t_end, speed as closing_speed, least(greatest(quality * least(1.0, (speed - 1) / 2), 0.1), 0.3) as confidence from closed where speed >= 1)"""
 
-PASS_ROW = "video_id, take_id, type, passer, receiver, round(t_start, 6) as t_start, round(t_end, 6) as t_end, round(travel, 6) as travel, round(confidence, 6) as confidence, reject"
+PASS_ROW = "video_id, take_id, type, passer, receiver, round(t_start, 6) as t_start, round(t_end, 6) as t_end, round(travel, 6) as travel, round(confidence, 6) as confidence, reject, passer_track, receiver_track, kicked"
 SQL["e7_e8_passes_turnovers"] = BASE + PASSES + f"select {PASS_ROW} from passes"
 SQL["p7_pass_rejects"] = BASE + PASSES + "select 'passes' as stage, reject as reason, count(*) as n from passes where reject is not null group by 2"
-SQL["e10_detect_tackles"] = BASE + NEIGHBOURS + TACKLES + "select video_id, take_id, type, player_track_id, tackled, round(t_start, 6) as t_start, round(t_end, 6) as t_end, round(closing_speed, 6) as closing_speed, round(confidence, 6) as confidence from tackles where confidence >= 0.15"
+SQL["e10_detect_tackles"] = BASE + NEIGHBOURS + TACKLES + "select video_id, take_id, type, player_track_id, tackler, tackled, round(t_start, 6) as t_start, round(t_end, 6) as t_end, round(closing_speed, 6) as closing_speed, round(confidence, 6) as confidence from tackles where confidence >= 0.15"
 SQL["j9_turnovers_without_tackles"] = BASE + PASSES + TACKLES + f"""select {PASS_ROW} from passes p where type = 'turnover' and not exists
-  (select 1 from tackles k where k.confidence >= 0.15 and k.video_id = p.video_id and k.take_id = p.take_id and k.player_track_id = p.receiver and k.tackled = p.passer and abs(p.t_end - k.t_end) <= 0.5)"""
+  (select 1 from tackles k where k.confidence >= 0.15 and k.video_id = p.video_id and k.take_id = p.take_id and k.tackler = p.receiver_track and k.tackled = p.passer_track and abs(p.t_end - k.t_end) <= 0.5)"""
 
-SQL["e4_detect_touches"] = BASE + """, st as (select b.*, avg((x1 + x2) / 2) over w as x, avg((y1 + y2) / 2) over w as y from balls b where conf >= 0.3 window w as (partition by video_id, take_id order by t rows between 11 preceding and current row)),
-sv as (select *, t - lag(t) over w as d, x - lag(x) over w as ex, y - lag(y) over w as ey from st window w as (partition by video_id, take_id order by t)),
-states as (select video_id, take_id, t, case when d > 0 and d <= 0.5 then ex / d / 100 else 0 end as vx, case when d > 0 and d <= 0.5 then ey / d / 100 else 0 end as vy, coalesce(d > 0 and d <= 0.5, true) as known from sv),
-near40 as (select b.video_id, b.take_id, n.track_id, b.t, b.conf, n.d as dist, row_number() over (partition by b.video_id, b.take_id, n.track_id order by b.t) as k from balls b join nearest n on n.best = 1 and b.video_id = n.video_id and b.take_id = n.take_id and b.frame_index = n.frame_index where b.conf >= 0.3 and n.d <= 40),
+TOUCHES = STATES + """, near40 as (select b.video_id, b.take_id, case when n.track_id = 10 then 9 else n.track_id end as id, n.track_id as raw, b.t, b.conf, n.d as dist, row_number() over (partition by b.video_id, b.take_id, case when n.track_id = 10 then 9 else n.track_id end order by b.t) as k from balls b join nearest n on n.best = 1 and b.video_id = n.video_id and b.take_id = n.take_id and b.frame_index = n.frame_index where b.conf >= 0.3 and n.d <= 40),
 hits as (select *, t as last_ from near40 where k = 1
-  union all select u.*, case when round(u.t - h.last_, 9) >= 0.3 then u.t else h.last_ end from hits h join near40 u on u.video_id = h.video_id and u.take_id = h.take_id and u.track_id = h.track_id and u.k = h.k + 1),
-kept as (select * from hits where last_ = t),
-sides as (select k.video_id, k.take_id, k.track_id, k.t, g.s, v.vx, v.vy, v.known, row_number() over (partition by k.video_id, k.take_id, k.track_id, k.t, g.s order by round(abs(v.t - (k.t + g.s * 0.2)), 9), v.t desc) as rn
-  from kept k cross join (values (-1), (1)) g(s) join states v on v.video_id = k.video_id and v.take_id = k.take_id and round(abs(v.t - (k.t + g.s * 0.2)), 9) <= 0.2),
-kicked as (select a.video_id, a.take_id, a.track_id, a.t from sides a join sides b using (video_id, take_id, track_id, t) where a.s = -1 and b.s = 1 and a.rn = 1 and b.rn = 1 and a.known and b.known and sqrt(pow(a.vx - b.vx, 2) + pow(a.vy - b.vy, 2)) >= 2),
-touches as (select k.*, least(greatest(0.1 + (1 - k.dist / 40) * k.conf * 0.35, 0.1), 0.45) as c from kept k join kicked using (video_id, take_id, track_id, t))
-select video_id, take_id, 'touch' as type, track_id as player_track_id, round(t, 6) as t_start, round(t, 6) as t_end, round(dist, 6) as dist, round(c, 6) as confidence from touches where c >= 0.15"""
+  union all select u.*, case when round(u.t - h.last_, 9) >= 0.3 then u.t else h.last_ end from hits h join near40 u on u.video_id = h.video_id and u.take_id = h.take_id and u.id = h.id and u.k = h.k + 1),
+marks as (select * from hits where last_ = t)""" + KICKS + """,
+touches as (select k.*, least(greatest(0.1 + (1 - k.dist / 40) * k.conf * 0.35, 0.1), 0.45) as c from marks k join kicked using (video_id, take_id, t))"""
+SQL["e4_detect_touches"] = BASE + TOUCHES + """
+select video_id, take_id, 'touch' as type, id as player_track_id, round(t, 6) as t_start, round(t, 6) as t_end, round(dist, 6) as dist, raw as raw_track_id, round(c, 6) as confidence from touches where c >= 0.15"""
 
 _shots = SQL["e2_detect_shots"][len(BASE) :]
 _at = _shots.rindex("\nselect ")

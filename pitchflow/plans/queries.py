@@ -16,7 +16,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 WAVE = "abs(({n}) % 600 - 300)"
-HOLDER = "(cast(floor(frame_index / 20) as bigint) % 10)"
+HOLDER = "(cast(floor(frame_index / 20) as bigint) % 12)"
 BALL_X = f"(100 + 80 * {HOLDER} + {WAVE.format(n=f'frame_index * ({HOLDER} % 6 + 1)')} + (frame_index * 7) % 60 - 10)"
 BALL_Y = f"(250 + 40 * ({HOLDER} % 5) + case when frame_index % 20 >= 12 then 300 else 0 end)"
 BASE = f"""with recursive frames as (select event_id, cast(floor(event_id / 1500) as bigint) as video_id, event_id % 1500 as frame_index,
@@ -44,17 +44,18 @@ sprints as (select s.video_id, s.take_id, s.track_id as player_track_id, s.t_sta
   group by 1, 2, 3, 4, 5),
 near as (select b.video_id, b.take_id, b.frame_index, b.t, (b.x1 + b.x2) / 2 as x, (b.y1 + b.y2) / 2 as y, p.track_id, p.x1, p.y1, p.x2, p.y2,
   row_number() over (partition by b.video_id, b.take_id, b.frame_index, p.track_id order by round(abs(p.t - b.t), 9), p.t desc) as rn
-  from balls b join boxes p on b.video_id = p.video_id and b.take_id = p.take_id and round(abs(p.t - b.t), 9) <= 0.15 where b.conf >= 0.3),
+  from balls b join boxes p on b.video_id = p.video_id and b.take_id = p.take_id and round(abs(p.t - b.t), 9) <= 0.15 where b.conf >= 0.3 and p.track_id <> 11),
 dists as (select *, sqrt(pow(greatest(x1 - x, x - x2, 0), 2) + pow(greatest(y1 - y, y - y2, 0), 2)) as d from near where rn = 1),
 nearest as (select *, row_number() over (partition by video_id, take_id, frame_index order by d, track_id) as best from dists),
 series as (select b.video_id, b.take_id, b.frame_index, b.t, b.conf, case when n.d <= 70 then n.track_id end as track_id, n.d as dist
   from balls b left join nearest n on n.best = 1 and b.video_id = n.video_id and b.take_id = n.take_id and b.frame_index = n.frame_index where b.conf >= 0.3),
-held as (select *, case when track_id <> lag(track_id) over w or round(t - lag(t) over w, 9) >= 0.5 then 1 else 0 end as fresh from series where track_id is not null
+named as (select *, case when track_id = 10 then 9 else track_id end as identity from series where track_id is not null),
+held as (select *, case when identity <> lag(identity) over w or round(t - lag(t) over w, 9) >= 0.5 then 1 else 0 end as fresh from named
   window w as (partition by video_id, take_id order by t)),
 prun as (select *, sum(fresh) over (partition by video_id, take_id order by t) as run_id from held),
-possruns as (select video_id, take_id, run_id, min(track_id) as identity, min(t) as t_start, max(t) as t_end, count(*) as n, avg(dist) as mean_dist from prun group by 1, 2, 3),
-poss as (select video_id, take_id, identity as player_track_id, t_start, t_end, n, mean_dist, least(greatest(0.5 * least(1.0, n / (greatest(1.0, round_even((t_end - t_start) * 25, 0)) + 1))
-  + 0.5 * greatest(0, 1 - mean_dist / 70), 0.1), 0.4) as confidence from possruns where round(t_end - t_start, 9) >= 0.3),
+possruns as (select video_id, take_id, run_id, min(identity) as identity, min(t) as t_start, max(t) as t_end, count(*) as n, avg(dist) as mean_dist from prun group by 1, 2, 3),
+poss as (select video_id, take_id, identity as player_track_id, t_start, t_end, n, mean_dist, least(greatest((8 + identity % 3) / 10e0 * (0.5 * least(1.0, n / (greatest(1.0, round_even((t_end - t_start) * 25, 0)) + 1))
+  + 0.5 * greatest(0, 1 - mean_dist / 70)), 0.1), 0.4) as confidence from possruns where round(t_end - t_start, 9) >= 0.3),
 happened as (select video_id, take_id, player_track_id, 'sprint' as type, t_start, t_end, confidence from sprints where confidence >= 0.15
   union all select video_id, take_id, player_track_id, 'possession', t_start, t_end, confidence from poss where confidence >= 0.15)
 """
@@ -83,7 +84,16 @@ def _happened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return possession.possession_runs(possession.possession_series(ad.balls(spark, sf_dir), ad.boxes(spark, sf_dir)))
+    return possession.possession_runs(_series(spark, sf_dir), ad.identities(spark, sf_dir))
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return possession.possession_series(ad.balls(spark, sf_dir), ad.boxes(spark, sf_dir), tracks=ad.tracks(spark, sf_dir))
+
+
+def _passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = series.ball_states(ad.balls(spark, sf_dir), ad.boxes(spark, sf_dir))
+    return possession.detect_passes(_runs(spark, sf_dir), ad.tracks(spark, sf_dir), states, ad.FPS)
 
 
 def _possession(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +135,7 @@ def j2_nearest_in_time(spark, sf_dir):
 
 @query("select video_id, take_id, frame_index, track_id, round(dist, 6) as dist from series")
 def w7_possession_series(spark, sf_dir):
-    out = possession.possession_series(ad.balls(spark, sf_dir), ad.boxes(spark, sf_dir))
-    return rounded(out.select("video_id", "take_id", "frame_index", "track_id", "dist"))
+    return rounded(_series(spark, sf_dir).select("video_id", "take_id", "frame_index", "track_id", "dist"))
 
 
 @query("select video_id, take_id, run_id::bigint as run_id, identity, round(t_start, 6) as t_start, round(t_end, 6) as t_end, n, round(mean_dist, 6) as mean_dist from possruns")
@@ -188,12 +197,17 @@ def r2_clip_ranges(spark, sf_dir):
 
 @query()
 def e4_detect_touches(spark, sf_dir):
-    return rounded(possession.detect_touches(ad.balls(spark, sf_dir), ad.boxes(spark, sf_dir), series.ball_states(ad.balls(spark, sf_dir), ad.boxes(spark, sf_dir))))
+    return rounded(_touches(spark, sf_dir))
+
+
+def _touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    balls, boxes = ad.balls(spark, sf_dir), ad.boxes(spark, sf_dir)
+    return possession.detect_touches(balls, boxes, series.ball_states(balls, boxes), tracks=ad.tracks(spark, sf_dir), identities=ad.identities(spark, sf_dir))
 
 
 @query()
 def e7_e8_passes_turnovers(spark, sf_dir):
-    return rounded(possession.detect_passes(_runs(spark, sf_dir), ad.tracks(spark, sf_dir), fps=ad.FPS))
+    return rounded(_passes(spark, sf_dir))
 
 
 @query()
@@ -206,13 +220,13 @@ def e10_detect_tackles(spark, sf_dir):
 def j9_turnovers_without_tackles(spark, sf_dir):
     runs = _runs(spark, sf_dir)
     tackles = possession.detect_tackles(runs, ad.boxes(spark, sf_dir), ad.balls(spark, sf_dir), ad.tracks(spark, sf_dir), ad.FPS)
-    lost = possession.detect_passes(runs, ad.tracks(spark, sf_dir), fps=ad.FPS).where("type = 'turnover'")
+    lost = _passes(spark, sf_dir).where("type = 'turnover'")
     return rounded(possession.without_tackled_turnovers(lost, tackles))
 
 
 @query()
 def p7_pass_rejects(spark, sf_dir):
-    return possession.drop_counts(possession.detect_passes(_runs(spark, sf_dir), ad.tracks(spark, sf_dir), fps=ad.FPS), "passes")
+    return possession.drop_counts(_passes(spark, sf_dir), "passes")
 
 
 def _detections(spark, sf_dir):
