@@ -1,17 +1,19 @@
-"""Reversible line dedup: sharded cuckoo filters in front of exact reference-count tables.
-
-The index is two tables in the shared folder. ``postings`` has a row for each document and long line key in it (the exact
-references); ``counts`` has for each key its shard, the number of documents that hold it and the largest of them. Inserting
-documents adds postings, deleting them takes theirs away, and either changes only the counts of the keys concerned, so both
-can be undone. A cuckoo filter a shard holds the keys that too many documents share. It answers most lookups ("this line
-is rare") without touching the counts, and what it lets pass is checked against them, so its errors never show.
+"""Reversible line dedup: sharded cuckoo filters backed by exact reference-count tables.
+
+The index is a set of tables in the shared folder, each a log of what every insertion or deletion added. ``postings`` has a
+row for each document and long line key in it (the exact references); ``deleted`` the documents taken out; ``counts`` has
+for each key the number of documents that hold it and the largest of them, the newest row of a key being the one in force.
+A cuckoo filter a shard holds the keys that too many documents share. A change of the index writes the rows of its own
+documents and keys alone; keys that thereby become common or rare are put into or taken out of the filters of their shards,
+and other filters stay. The filters answer most lookups ("this line is rare") without touching the counts, and what they
+let pass is checked against them, so their errors never show.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -22,9 +24,12 @@ from .common import stored, texts
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-SHARDS = 64
-#: Filters up to this size together go to the executors; beyond it the lookup goes to the exact counts at once.
+#: Common keys that a shard is laid out for; the number of shards grows with the keys.
+SHARD_KEYS = 1 << 16
+#: Filters go to the executors in blocks of shards of at most this size together (or one shard), one block after the other.
 FILTER_BYTES = 64 << 20
+#: After so many changes the logs are written anew as one table each.
+LOG = 8
 SLOTS = 4
 SPACE = b" \t\n\v\f\r"
 
@@ -88,12 +93,23 @@ class CuckooFilter:
 
     def delete(self, keys: np.ndarray) -> None:
         """Take out one fingerprint for each key that is in."""
-        for bucket, tag in zip(*self._places(keys), strict=True):
-            for b in (bucket, self._other(np.array([bucket]), np.array([tag]))[0]):
-                at = np.flatnonzero(self.table[b] == tag)
-                if len(at):
-                    self.table[b, at[0]] = 0
-                    break
+        bucket, tag = self._places(keys)
+        for _ in range(2):  # the first bucket, then the other one
+            missed = []
+            while len(bucket):  # one key of each bucket at a time
+                one = np.unique(bucket, return_index=True)[1]
+                same = self.table[bucket[one]] == tag[one, None]
+                hit = same.any(axis=1)
+                self.table[bucket[one][hit], same[hit].argmax(axis=1)] = 0
+                missed.append(np.stack([bucket[one[~hit]], tag[one[~hit]].astype(np.int64)]))
+                rest = np.ones(len(bucket), bool)
+                rest[one] = False
+                bucket, tag = bucket[rest], tag[rest]
+            if not missed:
+                return
+            bucket, tag = np.concatenate(missed, axis=1)
+            tag = tag.astype(np.uint16)
+            bucket = self._other(bucket, tag)
 
 
 def filter_of(keys: np.ndarray) -> CuckooFilter:
@@ -131,79 +147,162 @@ def keys_of(text: Column, min_chars: int) -> Column:
     return keys(text)
 
 
+KEY = ["k1", "k2"]
+
+
 def postings_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(k1, k2, doc_id) for each row of ``docs`` and distinct long key in it. A null text is empty."""
-    return texts(docs).select("doc_id", F.inline(keys_of(F.col("text"), min_chars))).select("k1", "k2", "doc_id")
+    """(k1, k2, doc_id, row) for each row of ``docs`` and distinct long key in it. ``row`` tells the texts of rows without
+    doc_id apart, and is null elsewhere. A null text is empty."""
+    row = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    found = texts(docs).select("doc_id", row.alias("row"), F.inline(keys_of(F.col("text"), min_chars)))
+    return found.select(*KEY, "doc_id", "row")
 
 
 def _counts(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("k1", "k2").agg(F.count("*").alias("refs"), F.max("doc_id").alias("last_doc"))
+    return postings.groupBy(*KEY).agg(F.count_distinct("doc_id").alias("refs"), F.max("doc_id").alias("last_doc"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @dataclass
 class LineIndex:
-    """An immutable version of the index; ``insert`` and ``delete`` return the next one."""
-
-    postings: DataFrame
-    counts: DataFrame
+    """An immutable version of the index; ``insert`` and ``delete`` return the next one, which shares the older tables."""
+
+    postings: list[DataFrame]  # k1, k2, doc_id, row, version
+    deleted: list[DataFrame]  # doc_id, version
+    counts: list[DataFrame]  # k1, k2, refs, last_doc, version
+    filters: DataFrame | None = None  # shard, data
+    shards: int = 1
+    version: int = 0
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
-    shards: int = SHARDS
 
     @classmethod
     def build(cls, docs: DataFrame, **params) -> LineIndex:
-        made = cls(None, None, **params)
-        made.postings = stored(postings_of(docs, made.min_chars), "postings")
-        made.counts = stored(_counts(made.postings), "counts")
-        return made
-
-    def _merged(self, postings: DataFrame, touched: DataFrame, more: DataFrame) -> LineIndex:
-        """``touched``: the keys whose counts change; ``more``: their new counts."""
-        kept = self.counts.join(touched, ["k1", "k2"], "left_anti")
-        counts = stored(kept.unionByName(more), "counts")
-        return LineIndex(postings, counts, self.min_chars, self.min_docs, self.shards)
-
-    def insert(self, docs: DataFrame) -> LineIndex:
-        """With ``docs`` added. Every row counts as a document of its own."""
-        new = stored(postings_of(docs, self.min_chars), "inserted")
-        batch = _counts(new)
-        old = self.counts.join(batch.select("k1", "k2"), ["k1", "k2"], "left_semi")
-        both = old.unionByName(batch).groupBy("k1", "k2").agg(F.sum("refs").alias("refs"), F.max("last_doc").alias("last_doc"))
-        return self._merged(stored(self.postings.unionByName(new), "postings"), batch.select("k1", "k2"), both)
-
-    def delete(self, doc_ids: DataFrame) -> LineIndex:
-        """Without the documents of ``doc_ids`` (a column doc_id); ids that are not in change nothing."""
-        ids = doc_ids.select(F.col("doc_id").alias("gone")).where("gone is not null").distinct()
-        hit = self.postings.doc_id == ids.gone
-        touched = stored(self.postings.join(ids, hit, "left_semi").select("k1", "k2").distinct(), "touched")
-        postings = stored(self.postings.join(ids, hit, "left_anti"), "postings")
-        return self._merged(postings, touched, _counts(postings.join(touched, ["k1", "k2"], "left_semi")))
+        made = cls([], [], [], **params)
+        postings = stored(postings_of(docs, made.min_chars), "postings")
+        made.postings = [postings.withColumn("version", F.lit(0))]
+        made.counts = [stored(_counts(postings), "counts").withColumn("version", F.lit(0))]
+        return made._filtered()
+
+    def alive(self) -> DataFrame:
+        """(k1, k2, doc_id, row) of the documents that are in."""
+        every = _union(self.postings)
+        if self.deleted:
+            last = _union(self.deleted).groupBy(F.col("doc_id").alias("of")).agg(F.max("version").alias("until"))
+            every = every.join(last, every.doc_id == last.of, "left").where("until is null or version > until")
+        return every.select(*KEY, "doc_id", "row")
+
+    def current(self) -> DataFrame:
+        """(k1, k2, refs, last_doc) of every key, some with no documents any more."""
+        if len(self.counts) == 1:
+            return self.counts[0].drop("version")
+        newest = _union(self.counts).groupBy(*KEY).agg(F.max_by(F.struct("refs", "last_doc"), "version").alias("c"))
+        return newest.select(*KEY, "c.*")
 
     def common(self) -> DataFrame:
         """(k1, k2, last_doc) of the keys that at least ``min_docs`` documents hold."""
-        return self.counts.where(F.col("refs") >= self.min_docs).select("k1", "k2", "last_doc")
+        return self.current().where(F.col("refs") >= self.min_docs).select(*KEY, "last_doc")
 
-    def filters(self) -> DataFrame:
-        """(shard, data): the cuckoo filter of the common keys of each shard.
+    def _shard(self) -> Column:
+        return F.pmod("k2", F.lit(self.shards))
 
-        A shard has a bounded share of the keys: give more ``shards`` to a larger index.
-        """
+    def _built(self, keys: DataFrame) -> DataFrame:
+        """(shard, data) from the common keys of each shard."""
 
         def build(part: pd.DataFrame) -> pd.DataFrame:
             data = filter_of(part["k1"].to_numpy().view(np.uint64)).dumps()
             return pd.DataFrame({"shard": [part["shard"].iloc[0]], "data": [data]})
 
-        keys = self.common().select(F.pmod("k2", F.lit(self.shards)).alias("shard"), "k1")
-        return keys.groupBy("shard").applyInPandas(build, "shard long, data binary")
+        return keys.select(self._shard().alias("shard"), "k1").groupBy("shard").applyInPandas(build, "shard long, data binary")
+
+    def _filtered(self) -> LineIndex:
+        """With all filters made from the counts, in as many shards as the common keys ask for."""
+        shards = max(1, -(-self.common().count() // SHARD_KEYS))
+        out = replace(self, shards=shards)
+        return replace(out, filters=stored(out._built(out.common()), "filters"))
+
+    def _changed(self, after: LineIndex, new: DataFrame) -> LineIndex:
+        """``after`` with the new counts (k1, k2, refs, last_doc) of the keys that change, and filters that follow them."""
+        old = self.current().join(new.select(*KEY), KEY, "left_semi").select(*KEY, F.col("refs").alias("before"))
+        after.counts = [*self.counts, new.withColumn("version", F.lit(after.version))]
+        was, now = F.coalesce("before", F.lit(0)) >= self.min_docs, F.col("refs") >= self.min_docs
+        moved = new.join(old, KEY, "left").where(was != now).select(self._shard().alias("shard"), "k1", now.alias("add"))
+        moved = stored(moved, "moved")
+        if after.common().count() > 2 * self.shards * SHARD_KEYS:
+            return after._filtered()
+
+        def change(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+            made = CuckooFilter.loads(filters["data"].iloc[0]) if len(filters) else CuckooFilter(len(keys))
+            k1 = keys["k1"].to_numpy().view(np.uint64)
+            made.delete(k1[~keys["add"].to_numpy()])
+            full = not made.insert(k1[keys["add"].to_numpy()])
+            return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "data": [None if full else made.dumps()]})
+
+        touched = moved.select("shard").distinct()
+        mine = self.filters.join(touched, "shard", "left_semi")
+        changed = stored(
+            mine.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, "shard long, data binary"), "changed"
+        )
+        full = changed.where("data is null").select("shard")  # these are made anew, larger
+        anew = after._built(after.common().withColumn("shard", self._shard()).join(full, "shard", "left_semi"))
+        kept = self.filters.join(touched, "shard", "left_anti").unionByName(changed.where("data is not null"))
+        after.filters = stored(kept.unionByName(anew), "filters")
+        return after if len(after.counts) <= LOG else after.compacted()
+
+    def compacted(self) -> LineIndex:
+        """The same index with logs of one table each."""
+        postings = stored(self.alive(), "postings").withColumn("version", F.lit(self.version))
+        counts = stored(self.current().where("refs > 0 or last_doc is not null"), "counts")
+        return replace(self, postings=[postings], deleted=[], counts=[counts.withColumn("version", F.lit(self.version))])
+
+    def insert(self, docs: DataFrame) -> LineIndex:
+        """With the rows of ``docs`` added. Lines that a document already has in the index count once."""
+        batch = stored(postings_of(docs, self.min_chars), "batch")
+        known = self.alive().join(batch.select(*KEY, "doc_id").distinct(), [*KEY, "doc_id"], "left_semi").select(*KEY, "doc_id")
+        fresh = stored(batch.join(known.distinct(), [*KEY, "doc_id"], "left_anti").select(*KEY, "doc_id", "row"), "inserted")
+        added = _counts(fresh)
+        old = self.current().join(added.select(*KEY), KEY, "left_semi")
+        both = old.unionByName(added).groupBy(*KEY).agg(F.sum("refs").alias("refs"), F.max("last_doc").alias("last_doc"))
+        version = self.version + 1
+        after = replace(self, version=version, postings=[*self.postings, fresh.withColumn("version", F.lit(version))])
+        return self._changed(after, stored(both, "counts"))
+
+    def delete(self, doc_ids: DataFrame) -> LineIndex:
+        """Without the documents of ``doc_ids`` (a column doc_id); ids that are not in change nothing, nor do nulls."""
+        ids = stored(doc_ids.select("doc_id").where("doc_id is not null").distinct(), "deleted")
+        touched = stored(self.alive().join(ids, "doc_id", "left_semi").select(*KEY).distinct(), "touched")
+        version = self.version + 1
+        after = replace(self, version=version, deleted=[*self.deleted, ids.withColumn("version", F.lit(version))])
+        left = _counts(after.alive().join(touched, KEY, "left_semi"))
+        new = touched.join(left, KEY, "left").select(*KEY, F.coalesce("refs", F.lit(0)).alias("refs"), "last_doc")
+        return self._changed(after, stored(new, "counts"))
 
     def candidates(self) -> DataFrame:
-        """The postings that the filters do not rule out; all of them where the filters are too large to send."""
-        filters = stored(self.filters(), "filters")
-        size = filters.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-        if size > FILTER_BYTES:
-            return self.postings
-        sent = self.postings.sparkSession.sparkContext.broadcast({r.shard: r.data for r in filters.collect()})
-        shards = self.shards
+        """The postings that the filters do not rule out. ``alive`` is read once for each block of filters."""
+        sizes = self.filters.select("shard", F.length("data").alias("n")).orderBy("shard").toLocalIterator()
+        blocks: list[list[int]] = [[]]
+        size = 0
+        for r in sizes:
+            if blocks[-1] and size + r.n > FILTER_BYTES:
+                blocks.append([])
+                size = 0
+            blocks[-1].append(r.shard)
+            size += r.n
+        if len(blocks) == 1:
+            return self._passed(blocks[0])
+        return _union([stored(self._passed(b), "candidates") for b in blocks])
+
+    def _passed(self, block: list[int]) -> DataFrame:
+        low, high = (min(block), max(block)) if block else (0, -1)
+        rows = self.filters.where(F.col("shard").between(low, high)).collect()
+        alive, shards = self.alive(), self.shards
+        sent = alive.sparkSession.sparkContext.broadcast({r.shard: bytes(r.data) for r in rows})
 
         @F.pandas_udf("boolean")
         def maybe(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -217,12 +316,13 @@ class LineIndex:
                         out[at] = ready[s].lookup(k1.to_numpy()[at].view(np.uint64))
                 yield pd.Series(out)
 
-        return self.postings.where(maybe("k1", "k2"))
+        return alive.where(maybe(*KEY))
 
     def surplus(self) -> DataFrame:
-        """(doc_id, drop): of each document the keys it loses, as a set of structs."""
-        held = self.candidates().join(self.common(), ["k1", "k2"]).where("doc_id is null or doc_id <> last_doc")
-        return held.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("drop"))
+        """(doc_id, row, drop): of each document the keys it loses, as a set of structs."""
+        common = stored(self.common(), "common")  # a table of its own, so that Spark can split the join's hot keys
+        held = self.candidates().join(common, KEY).where("doc_id is null or doc_id <> last_doc")
+        return held.groupBy("doc_id", "row").agg(F.collect_set(F.struct(*KEY)).alias("drop"))
 
 
 def _without(min_chars: int):
@@ -249,13 +349,15 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
 
     A line whose key (ends stripped of ASCII white space, A-Z in lower case) has at least ``min_chars`` code points and is
     in at least ``min_docs`` documents stays only in the largest doc_id that holds it. A null or empty text is one empty
-    line. Rows with equal doc_id count as documents of their own and share a verdict; rows without doc_id never count as
-    the largest. Other columns pass through; n_lines and n_dropped replace columns of these names.
+    line; a text of any length is worked through whole. Rows with equal doc_id are one document and share a verdict; rows
+    without doc_id are not counted and never the largest, so they lose every line that others share. Other columns pass
+    through; n_lines and n_dropped replace columns of these names. An empty table gives an empty table.
     """
     index = index or LineIndex.build(docs)
-    lost = index.surplus().select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    joined = docs.join(lost, docs.doc_id.eqNullSafe(F.col("__id")), "left")
+    lost = index.surplus().select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("drop").alias("__drop"))
+    row = F.when(docs.doc_id.isNull(), F.xxhash64(F.coalesce(docs.text, F.lit(""))))
+    joined = docs.join(lost, docs.doc_id.eqNullSafe(F.col("__id")) & row.eqNullSafe(F.col("__row")), "left")
     cut = joined.withColumn("__cut", _without(index.min_chars)("text", "__drop"))
     return cut.withColumns(
         {"text": F.col("__cut.text"), "n_lines": F.col("__cut.n_lines"), "n_dropped": F.col("__cut.n_dropped")}
-    ).drop("__id", "__drop", "__cut")
+    ).drop("__id", "__row", "__drop", "__cut")
