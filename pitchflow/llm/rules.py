@@ -80,8 +80,10 @@ def _measured(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept of each row.
 
-    The host is the column source. A line counts once a row, whatever its doc_id; empty and null texts have no words and
-    fail the base rules. Rows without source are one host. Extra columns are ignored.
+    The host is the column source. A line is counted by the distinct doc_ids of the host that hold it; rows without doc_id
+    are not counted, but lose their lines like any other. Empty and null texts have no words and fail the base rules; a
+    text of any length is worked through whole. Rows without source are one host. Equal rows get equal rows. Extra columns
+    are ignored; an empty table gives an empty table.
     """
     base = stored(
         texts(docs, "source")
@@ -89,9 +91,12 @@ def judge(docs: DataFrame) -> DataFrame:
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "m.*"),
         "measured",
     )
-    lines = base.select("row", "source", F.inline(F.arrays_zip("keys", "sizes"))).toDF("row", "source", "line", "words")
-    counts = lines.groupBy(F.col("source").alias("of"), F.col("line").alias("key")).agg(F.count("*").alias("docs"))
-    common = counts.where(F.col("docs") >= LINE_DOCS).select("of", "key")
+    lines = base.select("row", "doc_id", "source", F.inline(F.arrays_zip("keys", "sizes"))).toDF(
+        "row", "doc_id", "source", "line", "words"
+    )
+    counts = lines.groupBy(F.col("source").alias("of"), F.col("line").alias("key")).agg(F.count_distinct("doc_id").alias("docs"))
+    # a table of its own, so that Spark can split the join at a hot line
+    common = stored(counts.where(F.col("docs") >= LINE_DOCS).select("of", "key"), "common-lines")
     removed = (
         lines.join(common, (F.col("line") == F.col("key")) & F.col("source").eqNullSafe(F.col("of")))
         .groupBy(F.col("row").alias("at"))
