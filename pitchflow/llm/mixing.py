@@ -9,16 +9,21 @@ state is a number a source, and blocks take their slots from it by a join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import stored
 
 #: Documents in a block; slots in a period (sources are at most as many; beyond, W is the number of sources).
 BLOCK = 16
 SLOTS = 400
-#: A source's documents are put in order by bucket, then id; the bucket bounds the rows that one task sorts.
+#: A source's documents are put in order by bucket, then id. There are at least BUCKETS buckets, and as many times twice
+#: that as keeps a bucket of the whole table at about BUCKET_ROWS rows, which bounds what one task sorts.
 BUCKETS = 1024
+BUCKET_ROWS = 1 << 20
+#: The schedule of a period is one row, made in one task, so its slots are bounded; beyond, weights must be made coarser.
+MAX_PERIOD = 1 << 16
 #: Weights and slots of up to this many sources are broadcast (tens of bytes each); more are joined by shuffle.
 MAX_SENT = 10_000
 
@@ -58,12 +63,22 @@ def schedule(weights: DataFrame) -> DataFrame:
     return picked.withColumn("nth", F.row_number().over(by).cast("long") - 1)
 
 
+def bucket_of(docs: DataFrame, buckets: int) -> Column:
+    """The bucket of a row: its id modulo ``buckets`` (of an id that is no integer its checksum); below 0, by the text,
+    without id."""
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    number = F.col("doc_id") if whole else F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    nameless = -1 - F.pmod(F.xxhash64("text"), F.lit(buckets))
+    return F.coalesce(F.pmod(number, F.lit(buckets)), nameless).cast("int")
+
+
 def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``docs`` with __block and __at: the block of its source that a row is in and its place there.
 
     Ranks come from counts of the (source, bucket) pairs, so no task sorts a whole source.
     """
-    put = docs.withColumn("__bucket", F.coalesce(F.pmod("doc_id", F.lit(BUCKETS)), F.lit(-1)).cast("int"))
+    buckets = BUCKETS << max(0, (docs.count() // (BUCKETS * BUCKET_ROWS)).bit_length())
+    put = docs.withColumn("__bucket", bucket_of(docs, buckets))
     counts = put.groupBy(F.col("source").alias("__source"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("__source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("__source", "__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
@@ -82,13 +97,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, s
 
     Ordered by mix_position, the rows are the mixture. While no source has run out, after any number of slots every source
     has had its share to less than one block; later the others go on in the slots they have. No row is dropped or
-    repeated. ``weights``: (source, w), default square roots of the sources' sizes; sources that it lacks get no place
-    and raise no error (null columns). A null source is a source of its own; rows with equal doc_id go by their texts.
-    Columns with the names of the new ones are replaced.
+    repeated. ``weights``: (source, w), default square roots of the sources' sizes; the weights of a source listed several
+    times add up, and sources that it lacks or gives no positive weight get no place (null columns). Weights that add up
+    to over ``MAX_PERIOD`` are a ValueError. A null source is a source of its own; rows with equal or no doc_id go by
+    their texts. Ids may be of any type. Columns with the names of the new ones are replaced; empty tables give empty ones.
     """
     given = weights if weights is not None else square_root_weights(docs.groupBy("source").agg(F.count("*").alias("n")), slots)
-    given = stored(given.select("source", F.col("w").cast("long").alias("w")), "weights")
-    send = F.broadcast if given.count() <= MAX_SENT else (lambda df: df)
+    given = given.groupBy("source").agg(F.sum(F.col("w").cast("long")).alias("w")).where("w > 0")
+    given = stored(given, "weights")
+    sources, period = given.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    if period > MAX_PERIOD:
+        raise ValueError(f"weights add up to {period}, more than {MAX_PERIOD}: give coarser ones")
+    send = F.broadcast if sources <= MAX_SENT else (lambda df: df)
     plan = schedule(given).toDF("__for", "__w", "__period", "__slot", "__nth")
     sizes = given.toDF("__s", "__weight")
     new = ["mix_weight", "mix_period", "mix_block", "mix_slot", "mix_position"]
