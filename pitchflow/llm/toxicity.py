@@ -1,218 +1,343 @@
 """Toxicity by weak supervision.
 
-Lexicons of words and word beginnings are drawn from a bounded sample of labelled rows. They and a few patterns give
-``VOTERS`` yes/no votes on every document. A generative label model (two latent classes, a yes rate of every voter in
-each) is fitted by EM to the counts of the vote patterns of all documents, started from the labelled rows; the correlations of voters within a class are
-estimated as well, and correlated voters share their weight. A linear classifier over the lexicon entries then learns the
-posterior labels of a bounded sample, and scores every document.
+Dozens of voters say yes or no to every document: for each kind of entry (whole words, beginnings and endings of several
+lengths) a lexicon drawn from a bounded sample of labelled rows votes on hits, several hits, dense hits and weak hits, and
+fixed patterns vote on insults, shouting, signs and repetition. A generative label model explains the votes of all documents
+by a latent class: within a class each voter depends on one other voter (the tree of most mutual information, so copies of
+one voter do not count twice), with a yes rate for either vote of that one. EM fits it to counts of vote patterns over the
+whole corpus. A linear classifier over hashed words and parts of words then learns the posterior labels of a bounded sample,
+and scores every document; it sees words that no voter knows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_function, remainder, stored, texts
 from .quality import labelled_sample
 
-#: The lexicons are drawn from at most this many labelled rows, and the classifier learns from as many documents.
-FIT_DOCS = 8000
-ENTRIES = 4000
+#: The lexicons are drawn from at most FIT_DOCS labelled rows; the classifier learns from about LEARN_DOCS documents.
+FIT_DOCS, LEARN_DOCS = 8000, 4000
+#: What a lexicon entry must show: the log likelihood ratio of its toxic rows against the number that chance would give.
 EVIDENCE = 11
-PREFIXES = (5, 6, 7, 8)
+STRONG, WEAK = 10, 3
+BEGINNINGS, ENDINGS = (3, 4, 5, 6, 7), (4,)
+KINDS = ("w", *(f"^{k}" for k in BEGINNINGS), *(f"${k}" for k in ENDINGS))
+VOTES = ("hit", "several", "dense", "weak")
+PATTERNS = ("insult", "insults", "shouted", "capitals", "signs", "exclaims", "repeats", "short")
+VOTERS = (*(f"{kind} {vote}" for kind in KINDS for vote in VOTES), *PATTERNS)
 WORD = re.compile(r"[^\W\d_]+")
-VOTERS = ("words_a", "words_b", "words_c", "beginnings", "several", "dense", "shouted", "weak_words")
-#: Common English insults: fixed values, a voter of the first lexicon that needs no labels.
-INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown")
+#: Common English insults: fixed values, voters that need no labels.
+INSULTS = frozenset(("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown"))
+SIGNS = "#$%&*"
+ROUNDS = 8
+#: Hashed features of the classifier: words and their beginnings of some lengths; how many sample documents must hold one;
+#: and the weight of their squares in the fit. The votes are features as well.
+WIDTH = 1 << 18
+PARTS = (3, 5)
+FEATURE_DOCS = 8
+PENALTY = 2e-4
 
 
-def entries(words: set[str]) -> set[str]:
-    """Words and their beginnings (marked by ^)."""
-    return words | {f"^{w[:k]}" for w in words for k in PREFIXES if len(w) > k}
+def entries(word: str) -> list[str]:
+    """The entry of each kind in a lower-cased word; a beginning or an ending is shorter than the word."""
+    return [f"w{word}", *[f"^{k}{word[:k]}" for k in BEGINNINGS if len(word) > k], *[f"${k}{word[-k:]}" for k in ENDINGS if len(word) > k]]
 
 
 @column_function("array<string>")
 def _entries(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
-        yield pd.Series([list(entries(set(WORD.findall(x.lower())))) for x in part])
+        yield pd.Series([list({e for w in set(WORD.findall(x.lower())) for e in entries(w)}) for x in part])
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> tuple[dict[str, tuple[int, int]], float]:
-    """({entry: (number, kind)}, rate of label 1): kinds 0-2 are strong words, 3 strong beginnings, 4 weak entries.
-
-    Strong: ten times likelier in toxic texts of the sample; weak: three times. Both need ``EVIDENCE``: the log likelihood
-    ratio of as many toxic texts against the number that chance would give.
-    """
+def lexicon(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> tuple[dict[str, bool], float]:
+    """({entry: strong}, rate of label 1 in the sample). Strong: ``STRONG`` times likelier in toxic texts of the sample; the
+    others: ``WEAK`` times. All need ``EVIDENCE``. The sample bounds their number."""
     sample = stored(labelled_sample(docs, labels, "toxic", 0, 5, most), "sample")
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    names = {w: (k, k % 3) for k, w in enumerate(INSULTS)}
     if not toxic or toxic == n:
-        return names, 0.1
+        return {}, 0.1
     counts = sample.select("label", F.explode(_entries("text")).alias("entry")).groupBy("entry").agg(
         F.sum("label").alias("yes"), F.count("*").alias("all")
     )
     lift = ((F.col("yes") + 0.1) / toxic) / ((F.col("all") - F.col("yes") + 0.1 * (n - toxic) / toxic) / (n - toxic))
     chance = F.col("all") * (toxic / n)
     evidence = F.col("yes") * F.ln(F.col("yes") / chance) - (F.col("yes") - chance)
-    ranked = counts.where("yes > 0").withColumns({"lift": lift, "evidence": evidence}).where(f"lift >= 3 and evidence >= {EVIDENCE}")
-    top = ranked.orderBy(F.desc("evidence"), "entry").limit(ENTRIES).collect()
-    for r in top:
-        if r.entry not in names:
-            k = len(names)
-            names[r.entry] = (k, 4 if r.lift < 10 else 3 if r.entry[0] == "^" else k % 3)
-    return names, toxic / n
+    found = counts.where("yes > 0").where((lift >= WEAK) & (evidence >= EVIDENCE)).select("entry", (lift >= STRONG).alias("strong"))
+    return {r.entry: r.strong for r in found.collect()}, toxic / n
 
 
-def look_up(text: str, names: dict[str, tuple[int, int]]) -> tuple[list[int], int]:
-    """(numbers of the entries in the text, votes as bits)."""
+def vote(text: str, names: dict[str, bool], known: dict[str, list[tuple[int, bool]]]) -> int:
+    """The votes on a text as bits, in the order of ``VOTERS``. ``known`` caches the entries of words."""
     words = WORD.findall(text)
-    lower = [w.lower() for w in words]
-    hit = [k for k in sorted(entries(set(lower)) & names.keys(), key=names.get)]
-    if not hit:
-        return [], 0
-    kinds = {names[k][1] for k in hit}
-    strong = {k for k in hit if names[k][1] < 4}
-    plain = {k for k in strong if k[0] != "^"}
-    times = sum(w in plain for w in lower) if plain else 0
-    shouted = any(w.isupper() and len(w) > 2 and w.lower() in plain for w in words) if plain else False
-    weak = sum(names[k][1] == 4 for k in hit)
-    votes = (
-        0 in kinds,
-        1 in kinds,
-        2 in kinds,
-        3 in kinds,
-        len(strong) >= 2,
-        times >= 2 and times * 200 >= len(words),
-        shouted,
-        weak >= 2 + math.log1p(len(words)),
-    )
-    return [names[k][0] for k in hit], sum(v << k for k, v in enumerate(votes))
-
-
-def votes(docs: DataFrame, names: dict[str, tuple[int, int]]) -> DataFrame:
-    """doc_id, hits (entry numbers), votes (bits) of every row."""
+    n = len(words)
+    counts = Counter(w.lower() for w in words)
+    strong, weak, times = [0] * len(KINDS), [0] * len(KINDS), [0] * len(KINDS)
+    for word, k in counts.items():
+        held = known.get(word)
+        if held is None:
+            if len(known) > 500_000:
+                known.clear()
+            held = known[word] = [(KINDS.index(e[0] if e[0] == "w" else e[:2]), names[e]) for e in entries(word) if e in names]
+        for kind, sure in held:
+            if sure:
+                strong[kind] += 1
+                times[kind] += k
+            else:
+                weak[kind] += 1
+    bits = []
+    for s, w, t in zip(strong, weak, times, strict=True):
+        bits += [s > 0, s > 1, t > 1 and t * 200 >= n, w + s > 1 + math.log1p(n) / 2]
+    insults = INSULTS & counts.keys()
+    capitals = sum(w.isupper() and len(w) > 2 for w in words)
+    run = longest = 0
+    last = None
+    for w in words:
+        run = run + 1 if w == last else 1
+        longest, last = max(longest, run), w
+    bits += [
+        bool(insults), len(insults) > 1, bool(insults) and any(w.isupper() and w.lower() in insults for w in words), capitals * 2 > n > 0,
+        sum(map(text.count, SIGNS)) * 5 > n > 0, text.count("!") * 5 > n > 0, longest > 3, n < 20,
+    ]
+    return sum(b << k for k, b in enumerate(bits))
+
+
+def votes(docs: DataFrame, names: dict[str, bool]) -> DataFrame:
+    """doc_id, votes (bits) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(names)
 
-    @F.pandas_udf("hits array<int>, votes int")
-    def look(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def look(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, list[tuple[int, bool]]] = {}
         for part in parts:
-            yield pd.DataFrame([look_up(x, sent.value) for x in part], columns=["hits", "votes"])
+            yield pd.Series([vote(x, sent.value, known) for x in part], dtype="int64")
+
+    return stored(texts(docs).select("doc_id", look("text").alias("votes")), "votes")
 
-    return stored(texts(docs).select("doc_id", look("text").alias("v")).select("doc_id", "v.*"), "votes")
+
+def unpacked(patterns: np.ndarray, m: int) -> np.ndarray:
+    return ((np.asarray(patterns, np.int64)[:, None] >> np.arange(m)) & 1).astype(float)
 
 
 @dataclass
 class LabelModel:
-    """Yes rates of the voters (class, voter), the classes' log odds, and each voter's share of its own evidence."""
+    """P(class) and, of each voter, the voter it depends on (-1: none) and P(yes | class, vote of that one)."""
 
-    rates: np.ndarray
     prior: float
-    share: np.ndarray
-    correlation: np.ndarray
+    parent: np.ndarray
+    rates: np.ndarray  # class, voter, vote of the parent
+    correlation: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # mean within the classes
+
+    def joint(self, v: np.ndarray) -> np.ndarray:
+        """log P(votes, class) of rows of votes."""
+        before = np.where(self.parent >= 0, v[:, self.parent], 0).astype(int)
+        out = np.empty((len(v), 2))
+        for c in (0, 1):
+            yes = np.where(before == 1, self.rates[c, :, 1], self.rates[c, :, 0])
+            out[:, c] = np.log(np.where(v == 1, yes, 1 - yes)).sum(axis=1) + math.log(self.prior if c else 1 - self.prior)
+        return out
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """P(toxic) of vote patterns (bits)."""
-        v = (np.asarray(patterns)[:, None] >> np.arange(self.rates.shape[1])) & 1
-        ratio = np.where(v == 1, np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0])))
-        odds = ratio @ self.share + math.log(self.prior / (1 - self.prior))
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        two = self.joint(unpacked(patterns, len(self.parent)))
+        return 1 / (1 + np.exp(np.clip(two[:, 0] - two[:, 1], -30, 30)))
+
+
+def moments(v: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each class (column of ``weights``) the weighted counts of pairs of yes votes; the last row and column is of a vote
+    that is always yes, so it holds the single votes and the total."""
+    one = np.hstack([v, np.ones((len(v), 1))])
+    return np.stack([(one * weights[:, [c]]).T @ one for c in (0, 1)])
+
+
+def fitted(counts: np.ndarray, smooth: float = 1.0) -> LabelModel:
+    """The model of most likelihood for ``moments``: its tree joins the voters of most mutual information in the classes."""
+    m = counts.shape[1] - 1
+    total = counts[:, -1, -1] + 2 * smooth
+    single = (counts[:, :m, -1] + smooth) / total[:, None]
+    information, correlation = np.zeros((m, m)), np.zeros((m, m))
+    for c in (0, 1):
+        p, both = single[c], (counts[c, :m, :m] + 2 * smooth * np.outer(single[c], single[c])) / total[c]
+        share = total[c] / total.sum()
+        cells = ((both, np.outer(p, p)), (p[:, None] - both, np.outer(p, 1 - p)), (p[None] - both, np.outer(1 - p, p)), (1 - p[:, None] - p[None] + both, np.outer(1 - p, 1 - p)))
+        for seen, free in cells:
+            seen = np.maximum(seen, 1e-12)
+            information += share * seen * np.log(seen / free)
+        spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
+        correlation += share * (both - np.outer(p, p)) / spread
+    parent, inside = np.full(m, -1), np.zeros(m, bool)
+    best, by = np.full(m, -np.inf), np.full(m, -1)
+    for _ in range(m):  # Prim's tree
+        k = int(np.argmax(np.where(inside, -np.inf, np.where(np.isinf(best), -1e9, best))))
+        inside[k], parent[k] = True, by[k]
+        nearer = ~inside & (information[k] > best)
+        best[nearer], by[nearer] = information[k][nearer], k
+    rates = np.empty((2, m, 2))
+    for c in (0, 1):
+        for k in range(m):
+            j = parent[k]
+            yes, both = (0.0, 0.0) if j < 0 else (counts[c, j, -1], counts[c, j, k])
+            rates[c, k, 0] = (counts[c, k, -1] - both + smooth * single[c, k]) / (counts[c, -1, -1] - yes + smooth)
+            rates[c, k, 1] = (both + smooth * single[c, k]) / (yes + smooth)
+    return LabelModel(float(total[1] / total.sum()), parent, np.clip(rates, 1e-5, 1 - 1e-5), correlation)
+
+
+def label_model(patterns: DataFrame, rounds: int = ROUNDS, m: int = len(VOTERS)) -> LabelModel:
+    """EM over a table of (votes, n, clean, toxic): rows with the pattern, and those among them labelled 0 and 1.
+
+    It starts from the labelled rows. Rows without a label count by their posterior, together as much as the labelled ones
+    at most, so that the latent class stays the one that the labels mean, however large the corpus. Without labelled rows of
+    both kinds it starts from the insult voters instead. A round is one job, which returns the moments alone.
+    """
+    known, every = patterns.agg(F.sum("clean") + F.sum("toxic"), F.sum("n")).first()
+    known, free = int(known or 0), int(every or 0) - int(known or 0)
+    share = min(1.0, known / free) if known and free else 1.0
+    first = VOTERS.index("insult")
+
+    def gathered(model: LabelModel | None) -> np.ndarray:
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((2, m + 1, m + 1))
+            for b in batches:
+                weights = b[["clean", "toxic"]].to_numpy(float)
+                rest = (b["n"].to_numpy(float) - weights.sum(axis=1)) * share
+                if model is not None:
+                    p = model.posterior(b["votes"].to_numpy())
+                elif known:
+                    p = rest = np.zeros(len(b))
+                else:
+                    p = np.where(b["votes"].to_numpy() >> first & 1, 0.9, 0.05)
+                total += moments(unpacked(b["votes"].to_numpy(), m), weights + np.stack([rest * (1 - p), rest * p], axis=1))
+            yield pd.DataFrame({"cell": np.arange(total.size), "x": total.ravel()})
+
+        cells = patterns.mapInPandas(part, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(2 * (m + 1) ** 2)
+        for r in cells:
+            out[r.cell] = r.x
+        return out.reshape(2, m + 1, m + 1)
+
+    model = None
+    for _ in range(rounds + 1):
+        model = fitted(gathered(model))
+    return model
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, prior: float, rounds: int = 60) -> LabelModel:
-    """EM over the counts of the vote patterns, of which there are at most 2 ** voters.
+def features(word: str) -> list[int]:
+    """The hashed features of a lower-cased word."""
+    own = [word, *[f"^{word[:k]}" for k in PARTS if len(word) > k]]
+    return [xxhash.xxh32_intdigest(e.encode("utf-8", "surrogatepass")) % WIDTH for e in own]
 
-    ``known`` (pattern, class): the labelled rows among them, which start the rates and keep their class in every round.
-    """
-    m = len(VOTERS)
-    v = ((patterns[:, None] >> np.arange(m)) & 1).astype(float)
-    known = known.astype(float)
-    free = np.maximum(counts - known.sum(1), 0)
-    guess = np.array([0.002, 0.2])
-    model = LabelModel(np.zeros((2, m)), prior, np.ones(m), np.eye(m))
-    p = None
-    for k in range(rounds):
-        weights = [known[:, 0], known[:, 1]] if p is None else [known[:, 0] + free * (1 - p), known[:, 1] + free * p]
-        for c, w in enumerate(weights):
-            model.rates[c] = (w @ v + 5 * guess[c]) / (w.sum() + 5)
-        model.rates = np.clip(model.rates, 1e-5, 1 - 1e-5)
-        if p is not None:
-            model.prior = float(np.clip((weights[1].sum() + 20 * prior) / (sum(w.sum() for w in weights) + 20), prior / 2, prior * 2))
-        if k % 10 == 0:
-            inside = np.zeros((m, m))
-            for c, w in enumerate(weights):
-                d = v - model.rates[c]
-                cov = (d * w[:, None]).T @ d / (w.sum() + 1e-9)
-                s = np.sqrt(np.diag(cov)) + 1e-9
-                inside += np.abs(cov / np.outer(s, s)) * (w.sum() / (sum(x.sum() for x in weights) + 1e-9))
-            np.fill_diagonal(inside, 1)
-            model.correlation = inside
-            model.share = 1 / np.where(inside > 0.2, inside, 0).sum(1)
-        p = model.posterior(patterns)
-    return model
 
+@column_function("array<int>")
+def _features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        yield pd.Series([[f for w in set(WORD.findall(x.lower())) for f in features(w)] for x in part])
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, width: int, steps: int = 300) -> np.ndarray:
-    """Logistic weights (the last is the bias) over sets of entries, by Adam."""
-    w = np.zeros(width + 1)
-    w[-1] = -2.0
+
+def scale_of(n):
+    """What a text's hashed features count, with n of them: less in long texts."""
+    return np.maximum(n, 1.0) ** -0.5
+
+
+@dataclass
+class Linear:
+    """Weights of the hashed features, of the votes, and the bias."""
+
+    hashed: np.ndarray
+    votes: np.ndarray
+    bias: float
+
+
+def fit_linear(rows: list[list[int]], sizes: np.ndarray, v: np.ndarray, target: np.ndarray, steps: int = 150) -> Linear:
+    """A logistic fit by Adam. A row has hashed features (with repeats), their number before any was left out, and votes."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    of = np.fromiter((x for r in rows for x in r), np.int64, len(at))
+    flat = np.fromiter((x for r in rows for x in r), np.int64, len(at))
+    used, of = np.unique(flat, return_inverse=True)
+    value = scale_of(sizes)[at]
+    k = len(used)
+    w = np.zeros(k + v.shape[1] + 1)
+    w[-1] = -2.0
+    penalty = np.append(np.full(k, PENALTY), np.full(v.shape[1] + 1, 1e-5))
     m, s = np.zeros_like(w), np.zeros_like(w)
-    for k in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[of], len(rows)) + w[-1], -30, 30)))
-        d = target - p
-        g = np.append(np.bincount(of, d[at], width), d.sum()) / max(1, len(rows)) - 1e-5 * w
+    for step in range(1, steps + 1):
+        odds = np.bincount(at, w[of] * value, len(rows)) + v @ w[k:-1] + w[-1]
+        d = target - 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        g = np.concatenate([np.bincount(of, d[at] * value, k), v.T @ d, [d.sum()]]) / max(1, len(rows)) - penalty * w
         m = 0.9 * m + 0.1 * g
         s = 0.99 * s + 0.01 * g * g
-        w += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
-    return w
+        w += 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    hashed = np.zeros(WIDTH)
+    hashed[used] = w[:k]
+    return Linear(hashed, w[k:-1], float(w[-1]))
+
+
+def train(docs: DataFrame, seen: DataFrame, model: LabelModel, most: int = LEARN_DOCS) -> Linear:
+    """The classifier, from the posterior labels of about ``most`` documents outside the held-out fold, taken by a threshold
+    on the hash of their ids. Features of fewer than ``FEATURE_DOCS`` of them are left out."""
+    n = seen.count()
+    able = F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)
+    taken = able & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.25 * most / max(1, n))))
+    ids = seen.where(taken).groupBy("doc_id").agg(F.min("votes").alias("votes")).withColumnRenamed("doc_id", "__id")
+    sample = texts(docs).where(taken).join(ids, F.col("doc_id") == F.col("__id")).select("votes", _features("text").alias("all"))
+    sample = stored(sample.withColumn("row", F.monotonically_increasing_id()), "features")
+    one = sample.select("row", F.explode("all").alias("f"))
+    often = one.distinct().groupBy("f").count().where(F.col("count") >= FEATURE_DOCS).select("f")
+    kept = one.join(often, "f").groupBy("row").agg(F.collect_list("f").alias("kept"))
+    rows = sample.select("row", "votes", F.size("all").alias("n")).join(kept, "row", "left").orderBy("row").collect()
+    patterns = np.array([r.votes for r in rows], np.int64)
+    sizes = np.array([r.n for r in rows], float)
+    return fit_linear([sorted(r.kept or []) for r in rows], sizes, unpacked(patterns, len(VOTERS)), model.posterior(patterns))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> DataFrame:
     """doc_id, score (P(toxic)), votes, weak_label (the label model's posterior) of every row.
 
-    Labels of rows whose crc32(doc_id as text) mod 5 is 0 are not used. Null and empty texts have no votes and get the
-    score of a text without lexicon entries. Equal texts get equal scores; without usable labels the fixed insults alone
-    vote. Extra columns are ignored.
+    Labels of rows whose crc32(doc_id as text) mod 5 is 0 are not used. Null and empty texts have no words and get the score
+    of the bias alone; a text of any length is worked through whole. Equal texts get equal scores, whatever their doc_id;
+    without usable labels the fixed voters alone speak. Extra columns are ignored; an empty table gives an empty table.
     """
-    names, rate = lexicon(docs, labels, most)
+    names, _ = lexicon(docs, labels, most)
     seen = votes(docs, names)
     learnt = labels.where((remainder("doc_id", 5) != 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").alias("label")
     )
-    marked = seen.select("doc_id", "votes").join(learnt, "doc_id", "left")
-    patterns = (
-        marked.groupBy("votes")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic"))
-        .orderBy("votes")
-        .collect()
+    label = F.col("label")
+    patterns = seen.join(learnt, "doc_id", "left").groupBy("votes").agg(
+        F.count("*").alias("n"), F.count_if(label == 0).alias("clean"), F.count_if(label == 1).alias("toxic")
     )
-    model = label_model(
-        np.array([r.votes for r in patterns], np.int64),
-        np.array([r.n for r in patterns], np.int64),
-        np.array([(r.clean, r.toxic) for r in patterns], np.int64).reshape(-1, 2),
-        rate,
-    )
-    some = seen.where(F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)).select("doc_id", "hits", "votes")
-    sample = some.orderBy(F.xxhash64("doc_id", F.lit(1)), "votes").limit(most).collect()
-    target = model.posterior(np.array([r.votes for r in sample], np.int64))
-    weights = fit_linear([r.hits for r in sample], target, len(names))
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
-    posterior = model.posterior(np.arange(1 << len(VOTERS)))
-
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w = sent.value
+    model = label_model(stored(patterns, "patterns"))
+    sent = docs.sparkSession.sparkContext.broadcast((train(docs, seen, model), model, names))
+
+    @F.pandas_udf("score double, votes long, weak_label double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        linear, told, lexicons = sent.value
+        cache: dict[str, tuple[float, int]] = {}
+        known: dict[str, list[tuple[int, bool]]] = {}
         for part in parts:
-            odds = np.array([w[np.asarray(x, np.int64)].sum() for x in part]) + w[-1]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
-
-    weak = F.array(*[F.lit(float(x)) for x in posterior])
-    return seen.select("doc_id", score("hits").alias("score"), "votes", F.element_at(weak, F.col("votes") + 1).alias("weak_label"))
+            odds, bits = np.empty(len(part)), np.empty(len(part), np.int64)
+            for k, x in enumerate(part):
+                total, n = 0.0, 0
+                for w in sorted(set(WORD.findall(x.lower()))):
+                    one = cache.get(w)
+                    if one is None:
+                        if len(cache) > 500_000:
+                            cache.clear()
+                        own = features(w)
+                        one = cache[w] = (float(linear.hashed[own].sum()), len(own))
+                    total += one[0]
+                    n += one[1]
+                odds[k] = total * scale_of(n)
+                bits[k] = vote(x, lexicons, known)
+            odds += unpacked(bits, len(VOTERS)) @ linear.votes + linear.bias
+            yield pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(odds, -30, 30))), "votes": bits, "weak_label": told.posterior(bits)})
+
+    return texts(docs).select("doc_id", score("text").alias("s")).select("doc_id", "s.*")
