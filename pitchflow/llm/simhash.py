@@ -27,7 +27,7 @@ from .components import components
 
 WORDS, BITS = 3, 2
 #: The pipeline's stage: five-word shingles, several fingerprints at a wider radius, links verified on the shingles.
-NEAR = {"words": 5, "bits": 6, "prints": 4, "similarity": 0.8}
+NEAR = {"words": 5, "bits": 7, "prints": 4, "similarity": 0.8}
 FAN = 8
 NODE = 1024
 #: A top node of more fingerprints is cut into finer ones, which share more blocks.
