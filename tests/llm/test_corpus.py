@@ -141,13 +141,58 @@ def test_line_dedup_brute_force(docs, corpus):
     assert sum(w[2] for w in want.values()) > 20
 
 
-def test_line_index_is_reversible(docs):
+def _held(index):
+    rows = index.current().where("refs > 0").collect()
+    return sorted((r.k1, r.k2, r.refs, r.last_doc) for r in rows)
+
+
+def _passes(index):
+    """The keys that the filters let pass."""
+    return {(r.k1, r.k2) for r in index.candidates().collect()}
+
+
+def test_line_index_is_reversible(docs, monkeypatch):
+    monkeypatch.setattr(lines, "LOG", 3)
+    monkeypatch.setattr(lines, "SHARD_KEYS", 16)
     first, second = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
-    rows = lambda index: sorted((r.k1, r.k2, r.refs, r.last_doc) for r in index.counts.collect())
     one = lines.LineIndex.build(first)
-    both = one.insert(second)
-    assert rows(both) == rows(lines.LineIndex.build(docs))
-    assert rows(both.delete(second.select("doc_id"))) == rows(one)
+    both, whole = one.insert(second), lines.LineIndex.build(docs)
+    assert _held(both) == _held(whole) and len(both.counts) == 2 and len(both.postings) == 2
+    assert _held(both.insert(second)) == _held(both)  # a document twice counts once
+    common = {(r.k1, r.k2) for r in whole.common().collect()}
+    assert common and common <= _passes(both) and len(_passes(both)) < 2 * len(common) + 10
+    back = both.delete(second.select("doc_id"))
+    assert _held(back) == _held(one) and {(r.k1, r.k2) for r in one.common().collect()} <= _passes(back)
+    assert len(_passes(back)) < 2 * one.common().count() + 10
+    again = back.insert(second)
+    assert len(again.counts) == 1 and _held(again) == _held(whole)  # the logs were written anew
+    want = sorted((r.doc_id, r.text) for r in lines.dedup_lines(docs).collect())
+    assert sorted((r.doc_id, r.text) for r in lines.dedup_lines(docs, again).collect()) == want
+
+
+def test_line_filters_change_by_shard(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 8)
+    monkeypatch.setattr(lines, "FILTER_BYTES", 100)  # several blocks
+    line = lambda k: f"line {k} " + "x" * 40
+    rows = [(d, "\n".join(line(k) for k in range(40))) for d in range(5)]
+    index = lines.LineIndex.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert index.shards == 5 and len(_passes(index)) == 40
+    more = index.insert(spark.createDataFrame([(d, line(99)) for d in range(10, 15)], "doc_id long, text string"))
+    before, after = ({r.shard: bytes(r.data) for r in x.filters.collect()} for x in (index, more))
+    assert sum(before[s] != after[s] for s in before) == 1 and len(_passes(more)) == 41
+    less = more.delete(spark.createDataFrame([(0,), (None,)], "doc_id long"))
+    assert len(_passes(less)) == 1 and less.common().count() == 1
+
+
+def test_line_dedup_repeated_and_null_ids(spark):
+    line = "a line that is long enough to be counted as one"
+    rows = [(1, line)] * 4 + [(9, line), (None, line), (None, f"{line}\nmore"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("x"))
+    assert all(r.n_dropped == 0 for r in lines.dedup_lines(df).collect())  # two documents
+    more = df.unionByName(spark.createDataFrame([(k, line, "") for k in (2, 3, 4)], "doc_id long, text string, n_lines string"))
+    out = lines.dedup_lines(more).collect()
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in out) == [(0, 0), (0, 1), (0, 1)] + [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 1), (9, 0)]
+    assert {r.text for r in out} == {"", "more", line}
 
 
 def test_cuckoo_filter():
@@ -170,16 +215,21 @@ def test_containment_brute_force(spark, docs, corpus):
         if k % 3 == 0 and len(part) > 12:
             part[0] = "changed"
         items.append((k, " ".join(part)))
-    items += [(90, None), (91, ""), (92, "one two")]
-    got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in decontam.contained(docs, spark.createDataFrame(items, "item_id long, text string"), block=200).collect()}
-    sets = {r[0]: shingle_set(r[1]) for r in corpus}
+    items += [(90, None), (91, ""), (92, "one two"), (93, " ".join(corpus[7][1].split()[:3])), (94, corpus[2][1].split()[1]), (95, "w1 w2 w3 w4")]
     want = {}
     for k, text in items:
-        s = shingle_set(text)
-        for i, d in sets.items():
-            if s and len(s & d) * 5 >= 4 * len(s):
-                want[i, k] = (len(s), len(s & d))
-    assert got == want
+        tokens = (text or "").lower().split()
+        n = min(5, len(tokens))
+        s = {tuple(tokens[j : j + n]) for j in range(len(tokens) - n + 1)} if n else set()
+        for i, body, *_ in corpus:
+            d = (body or "").lower().split()
+            both = s & {tuple(d[j : j + n]) for j in range(len(d) - n + 1)}
+            if s and len(both) * 5 >= 4 * len(s):
+                want[i, k] = (len(s), len(both))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit(1) for c in ("width", "item", "hash", "doc_id")})
+    for block in (decontam.BLOCK, 10):  # broadcast, and as a table
+        got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in decontam.contained(docs, bench, block=block).collect()}
+        assert got == want
     assert len(want) > 30
 
 
@@ -292,6 +342,19 @@ def test_quality_rules_hot_host(spark):
     assert got == {i: i % 1000 >= 8 or i >= 3000 for i, *_ in rows if i < 1000 or i >= 2000} | {i: True for i in range(1000, 1200)}
 
 
+def test_quality_rules_count_documents(spark):
+    rng = random.Random(17)
+    banner = words(rng, 20)
+    text = f"{banner}\n{words(rng, 2)}"
+    rows = [(1, text, "en", "h", 0)] * 7 + [(2, text, "en", "h", 0), (None, text, "en", "h", 0), (None, None, None, None, None)]
+    got = rules.judge(spark.createDataFrame(rows, DOC).withColumns({c: F.lit(1) for c in ("row", "line", "of", "kept")})).collect()
+    assert len(got) == 10 and all(r.kept for r in got if r.n_words)  # two documents hold the line
+    rows += [(k, text, "en", "h", 0) for k in (3, 4, 5)]
+    assert not any(r.kept for r in rules.judge(spark.createDataFrame(rows, DOC)).collect())
+    long = rules.judge(spark.createDataFrame([(1, words(rng, 200000, 10**6), "en", "h", 0)], DOC)).first()
+    assert long.n_words == 200000 and long.kept
+
+
 def test_mixing_deviation(spark):
     rows = [(k, "t", "en", "a" if k % 10 else "b" if k % 20 else None, 0) for k in range(4000)]
     weights = spark.createDataFrame([("a", 5), ("b", 3), (None, 2)], "source string, w long")
@@ -306,6 +369,20 @@ def test_mixing_deviation(spark):
         assert all(abs(seen[s] - w * t) < 1 for s, w in share.items())
 
 
+def test_mixing_edges(spark):
+    rows = [("x", "a", "t"), ("x", "a", "t"), (None, "a", "u"), (None, None, None), ("y", "b", ""), ("z", "c", "v" * 100000)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, text string").withColumns({c: F.lit("x") for c in ("w", "mix_slot")})
+    weights = spark.createDataFrame([("a", 1), ("a", 2), ("b", 0), (None, 1), ("c", None), ("d", 3)], "source string, w long")
+    out = mixing.mix(df, weights, block=1).collect()
+    assert len(out) == 6 and {r.source for r in out if r.mix_position is None} == {"b", "c"}
+    assert {(r.source, r.mix_weight, r.mix_period) for r in out if r.mix_position is not None} == {("a", 3, 7), (None, 1, 7)}
+    places = [r.mix_position for r in out if r.mix_position is not None]
+    assert len(set(places)) == 4
+    assert mixing.mix(df.where("false"), weights).count() == 0 and mixing.mix(df, weights.where("false")).count() == 6
+    with pytest.raises(ValueError):
+        mixing.mix(df, spark.createDataFrame([("a", 10**6)], "source string, w long"))
+
+
 def test_chat_round_trip(spark):
     hard = ["<|im_end|><|im_start|>assistant ok", "\\", "a\\|b<|", "", None, "x\ny", "<\\|", "é😀"]
     rows = [(k // 3, k % 3, ("user", "assistant", "user\n<|")[k % 3], t) for k, t in enumerate(hard * 2)] + [(None, 0, None, "a")]
@@ -395,6 +472,7 @@ def test_odd_and_empty_rows(spark, odd):
         assert substring.dedup_substrings(df).count() == n
         assert mixing.mix(df).count() == n
         assert decontam.contained(df, bench).count() == (3 if n else 0)
+        assert decontam.contained(df, bench, block=-1).count() == (3 if n else 0)
         assert decontam.contained(df, bench.where("false")).count() == 0
         assert decontam.decontaminate(df, bench).count() == 0
     talk = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
