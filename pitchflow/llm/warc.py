@@ -2,8 +2,9 @@
 
 Records are put in order of page_id by a range sort of their sizes alone; the running sum of the compressed sizes says
 which file a record goes to, so files roll by compressed size and their bounds depend on the rows, not on partitions or
-retries. Each record is a gzip member. Files are written by Spark's own committer under a temporary name, renamed, and
-become visible when the manifest, written last, names them; the reader reads what the manifest names.
+retries. Copies of one record are cut like others and made anew in each file, so a page that repeats without end rolls on
+too. Each record is a gzip member. Files are written by Spark's own committer in a folder of temporary name, which is
+renamed as a whole; they become visible when the manifest, written last, tells of them.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ import gzip
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from base64 import b32encode
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import column_function, shared_folder, stored
 
 ROLL_BYTES = 16 << 20
-#: Records are dealt to at most this many shards, each of whole files; their bounds are all that the driver sends.
-SHARDS = 4096
+#: A record counts by its compressed bytes, or by its payload's over this if that is more, which bounds a file's content.
+RATIO = 8
+#: Files are dealt to at most this many shards, one task each; the shards' bounds are all that the driver holds.
+SHARDS = 65536
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -89,8 +92,11 @@ def _int(x) -> int | None:
     return None if x is None or x != x else int(x)
 
 
+ORDER = ["page_id", "digest", "url"]
+
+
 def plan(pages: DataFrame, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, digest, bytes, n (equal rows), refers_to, file, start: a row for each distinct record.
+    """page_id, url, digest, bytes, member_bytes, n (equal rows), refers_to, size, start: a row for each distinct record.
 
     page_id goes as text here and in the writer, so that large ids and nulls stay exact.
     """
@@ -99,12 +105,13 @@ def plan(pages: DataFrame, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = RE
     distinct = stored(
         sized.groupBy("page_id", "url", "m").agg(F.count("*").alias("n")).select("page_id", "url", "m.*", "n"), "sizes"
     )
-    heads = (
+    heads = stored(  # a table of its own, so that Spark can split the join at a page found everywhere
         distinct.where(F.col("bytes") >= revisit_bytes)
         .groupBy("digest")
         .agg(F.max("page_id").alias("head"), F.sum("n").alias("copies"))
         .where("copies > 1 and head is not null")
-        .select(F.col("digest").alias("of"), "head")
+        .select(F.col("digest").alias("of"), "head"),
+        "heads",
     )
     typed = distinct.join(heads, distinct.digest == heads.of, "left").withColumn(
         "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))
@@ -112,110 +119,132 @@ def plan(pages: DataFrame, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = RE
     texts = [F.col(c).cast("string") for c in ("page_id", "url", "digest", "refers_to")]
     revisits = typed.where("refers_to is not null").withColumn("member_bytes", _revisit_bytes(*texts))
     final = typed.where("refers_to is null").unionByName(revisits).drop("of", "head")
-    order = ["page_id", "digest", "url"]
-    ranged = stored(final.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
-    size = F.col("member_bytes") * F.col("n")
+    weight = F.when(F.col("refers_to").isNull(), F.ceil(F.col("bytes") / RATIO)).otherwise(0)
+    sizes = final.withColumn("size", F.greatest("member_bytes", weight))
+    ranged = stored(sizes.repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id()), "ranged")
+    size = F.col("size") * F.col("n")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = ranged.groupBy("part").agg(F.sum(size).alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("base") + F.sum(size).over(inside) - size
-    placed = ranged.join(base, "part").withColumn("start", start)
-    of_page = F.min("start").over(Window.partitionBy("page_id"))  # the records of a page share a file
-    return stored(placed.withColumn("file", F.floor(of_page / roll_bytes)).drop("part", "base"), "placed")
+    return stored(ranged.join(base, "part").withColumn("start", start).drop("part", "base"), "placed")
+
+
+def cells(placed: DataFrame, roll_bytes: int) -> DataFrame:
+    """The rows of ``plan`` once for each file they go to, with file and copies: of n copies those that start in it."""
+    file = lambda k: F.floor((F.col("start") + F.col("size") * k) / roll_bytes)
+    spread = placed.withColumn("file", F.explode(F.sequence(file(F.lit(0)), file(F.col("n") - 1))))
+    first = lambda f: F.greatest(F.lit(0), F.least("n", F.ceil((f * roll_bytes - F.col("start")) / F.col("size"))))
+    return stored(spread.withColumn("copies", first(F.col("file") + 1) - first(F.col("file"))).where("copies > 0"), "cells")
+
 
+def _key(page_id, digest: str, url: str | None) -> tuple:
+    """What rows of ORDER sort by, nulls first."""
+    return (page_id is not None, page_id or 0, digest, url is not None, (url or "").encode("utf-8", "surrogatepass"))
 
-def _bounds(placed: DataFrame) -> np.ndarray:
-    """The least page_id of each shard but the first."""
-    last = placed.agg(F.max("file")).first()[0]
-    shard = F.floor(F.col("file") / -(-((last or 0) + 1) // SHARDS))
-    least = placed.where("page_id is not null").groupBy(shard.alias("shard")).agg(F.min("page_id").alias("least"))
-    return np.array(sorted(r.least for r in least.collect())[1:], np.int64)
+
+def _bounds(found: DataFrame, per: int) -> tuple[list[tuple], list[tuple], list[int]]:
+    """The least and the greatest key of each shard of ``per`` files, and its number; a long record leaves gaps."""
+    shard = F.floor(F.col("file") / per)
+    ends = found.groupBy(shard.alias("shard")).agg(F.min(F.struct(*ORDER)).alias("a"), F.max(F.struct(*ORDER)).alias("z"))
+    rows = ends.orderBy("shard").collect()
+    return [_key(*r.a) for r in rows], [_key(*r.z) for r in rows], [r.shard for r in rows]
 
 
 MEMBER = pa.schema([("file", pa.int64()), ("seq", pa.int64()), ("member", pa.binary())])
 
 
 def _members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records from rows in order, where each page's plan row stands before its content."""
-    known, seq = None, 0
+    """Records from rows in order, where the files that a page goes to stand before its content."""
+    waiting: list[dict] = []
+    rows: list[dict] = []
+    seq = size = 0
     for batch in batches:
-        rows, size = [], 0
         for x in batch.to_pylist():
             if x["html"] is None:
-                known = x
+                if waiting and any(waiting[0][k] != x[k] for k in ORDER):
+                    raise ValueError("a plan without its page")
+                waiting.append(x)
                 continue
-            if any(known[k] != x[k] for k in ("page_id", "digest", "url")):
+            if not waiting or any(waiting[0][k] != x[k] for k in ORDER):
                 raise ValueError("a page without a plan")
-            out = record(x["page_id"], x["url"], _payload(x["html"]), x["digest"], known["refers_to"])
-            rows.append({"file": known["file"], "seq": seq, "member": out})
-            seq += 1
-            size += len(out)
-            if size > 8 << 20:
-                yield pa.RecordBatch.from_pylist(rows, MEMBER)
-                rows, size = [], 0
-        yield pa.RecordBatch.from_pylist(rows, MEMBER)
+            out = record(x["page_id"], x["url"], _payload(x["html"]), x["digest"], waiting[0]["refers_to"])
+            for cell in waiting:
+                for _ in range(cell["copies"]):
+                    rows.append({"file": cell["file"], "seq": seq, "member": out})
+                    seq += 1
+                    size += len(out)
+                    if size > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, MEMBER)
+                        rows, size = [], 0
+            waiting = []
+    if waiting:
+        raise ValueError("a plan without its page")
+    yield pa.RecordBatch.from_pylist(rows, MEMBER)
 
 
 def write_archives(pages: DataFrame, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> str:
-    """Write ``pages`` (page_id, url, html) as record-wise compressed WARC files; the folder, which holds the files and
-    ``manifest`` (file, path, n_records, n_bytes, first_page, last_page, as JSON).
+    """Write ``pages`` (page_id, url, html) as record-wise compressed WARC files; the folder, which holds ``archives`` (a
+    folder for each file, by its number) and ``manifest`` (file, path, n_records, first_page, last_page, as JSON).
 
     Of equal payloads of at least ``revisit_bytes`` bytes the largest page_id is a response and the others are revisits of
     it; rows that share that page_id are all responses. A null html is an empty payload, a null url an empty one. Rows
     without page_id are never referred to; they are revisits if some row with an id has their payload. Equal rows give
-    equal records. An empty table gives no file and an empty manifest. Extra columns are ignored.
+    equal records. A page of any length is one record. An empty table gives no file and an empty manifest. Extra columns
+    are ignored.
     """
     spark = pages.sparkSession
     folder = shared_folder(spark)
     placed = plan(pages, roll_bytes, revisit_bytes)
+    found = cells(placed, roll_bytes)
+    last = found.agg(F.max("file")).first()[0]
+    per = -(-((last or 0) + 1) // SHARDS)
     content = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    plans = placed.select("page_id", "digest", "url", "refers_to", "file", F.lit(None).cast("string").alias("html"))
-    none = F.lit(None).cast("long")
-    rows = plans.unionByName(content.withColumns({"refers_to": none, "file": none}))
-    bounds = spark.sparkContext.broadcast(_bounds(placed))
+    several = stored(placed.where("n > 1").select(*[F.col(c).alias(f"of_{c}") for c in ORDER]), "several")
+    if several.limit(1).count():  # one copy of the content is enough
+        same = (F.col("digest") == F.col("of_digest")) & F.col("page_id").eqNullSafe(F.col("of_page_id")) & F.col("url").eqNullSafe(F.col("of_url"))
+        content = content.join(several, same, "left_anti").unionByName(content.join(several, same, "left_semi").dropDuplicates(ORDER))
+    bounds = spark.sparkContext.broadcast(_bounds(found, per))
+
+    @F.pandas_udf("array<long>")
+    def shards(page: pd.Series, digest: pd.Series, url: pd.Series) -> pd.Series:
+        least, most, number = bounds.value
+        keys = [_key(None if p is None else int(p), d, u) for p, d, u in zip(page, digest, url, strict=True)]
+        return pd.Series([number[bisect_left(most, k) : bisect_right(least, k)] for k in keys])
 
-    @F.pandas_udf("long")
-    def shard(page: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds.value, page, side="right"))
-
-    order = ["page_id", "digest", "url", F.col("html").isNotNull()]
+    none = F.lit(None).cast("long")
+    content = content.withColumn("shard", F.explode(shards(F.col("page_id").cast("string"), "digest", "url")))
+    rows = found.select(*ORDER, "refers_to", "file", "copies", F.lit(None).cast("string").alias("html"), F.floor(F.col("file") / per).alias("shard"))
+    rows = rows.unionByName(content.withColumns({"refers_to": none, "file": none, "copies": none}))
     (
-        rows.withColumn("shard", shard(F.coalesce("page_id", F.lit(-(1 << 63)))))
-        .repartition("shard")
-        .sortWithinPartitions("shard", *order)
+        rows.repartition("shard")
+        .sortWithinPartitions("shard", *ORDER, F.col("html").isNotNull(), "file")
         .mapInArrow(_members_of, "file long, seq long, member binary")
         .sortWithinPartitions("file", "seq")
         .select("file", F.col("member").cast("string").alias("value"))
         .write.partitionBy("file")
         .options(lineSep=EMPTY_MEMBER.decode("latin-1"), encoding="ISO-8859-1")
-        .text(f"{folder}/_temporary-archives")
+        .text(f"{folder}/_archives")
     )
-    _publish(spark, folder, placed)
+    _publish(spark, folder, found)
     return folder
 
 
-def _publish(spark: SparkSession, folder: str, placed: DataFrame) -> None:
-    """Rename the files (one metadata call each), then write the manifest under a temporary name and rename it."""
+def _publish(spark: SparkSession, folder: str, found: DataFrame) -> None:
+    """Rename the folder of the files, then write the manifest under a temporary name and rename it: two metadata calls,
+    however many files there are."""
     Path = spark._jvm.org.apache.hadoop.fs.Path
-    root = Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for d in fs.listStatus(Path(f"{folder}/_temporary-archives")):
-        if d.isDirectory() and d.getPath().getName().startswith("file="):
-            number = int(d.getPath().getName().removeprefix("file="))
-            (data,) = [x.getPath() for x in fs.listStatus(d.getPath()) if x.getPath().getName().startswith("part-")]
-            fs.rename(data, Path(f"{folder}/pages-{number:08d}.warc.gz"))
-    name = F.format_string(f"{folder}/pages-%08d.warc.gz", "file")
-    manifest = placed.groupBy("file").agg(
-        F.sum("n").alias("n_records"),
-        F.sum(F.col("member_bytes") * F.col("n")).alias("n_bytes"),
+    fs = Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.rename(Path(f"{folder}/_archives"), Path(f"{folder}/archives"))
+    manifest = found.groupBy("file").agg(
+        F.sum("copies").alias("n_records"),
         F.min("page_id").alias("first_page"),
         F.max("page_id").alias("last_page"),
     )
-    manifest.withColumn("path", name).write.json(f"{folder}/_manifest")
+    manifest.withColumn("path", F.format_string(f"{folder}/archives/file=%d", "file")).write.json(f"{folder}/_manifest")
     fs.rename(Path(f"{folder}/_manifest"), Path(f"{folder}/manifest"))
-    fs.delete(Path(f"{folder}/_temporary-archives"), True)
 
 
 def members(data: bytes) -> Iterator[bytes]:
@@ -286,13 +315,13 @@ def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, url, record_type, refers_to, stated_digest (base 32), payload (null for revisits) of every record."""
-    kind = "file long, path string, n_records long, n_bytes long, first_page long, last_page long"
-    paths = [r.path for r in spark.read.schema(kind).json(f"{folder}/manifest").select("path").collect()]
+    """page_id, url, record_type, refers_to, stated_digest (base 32), payload (null for revisits) of every record. A folder
+    without a manifest was never committed and raises an error."""
+    kind = "file long, path string, n_records long, first_page long, last_page long"
     out = "page_id long, url string, record_type string, refers_to long, stated_digest string, payload binary"
-    if not paths:
+    if not spark.read.schema(kind).json(f"{folder}/manifest").limit(1).count():
         return spark.createDataFrame([], out)
-    files = spark.read.format("binaryFile").load(paths)
+    files = spark.read.format("binaryFile").load(f"{folder}/archives")
     return files.select("content").mapInArrow(_parse_files, out)
 
 
@@ -311,11 +340,12 @@ def digests(records: DataFrame) -> DataFrame:
         ),
         "read",
     )
-    of = (
+    of = stored(  # a table of its own, so that Spark can split the join at a page found everywhere
         seen.where("record_type = 'response'")
         .groupBy(F.col("page_id").alias("to"), F.col("stated_digest").alias("stated"))
         .agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("p"))
-        .select("to", "stated", F.col("p.payload_bytes").alias("b"), F.col("p.payload_digest").alias("d"))
+        .select("to", "stated", F.col("p.payload_bytes").alias("b"), F.col("p.payload_digest").alias("d")),
+        "responses",
     )
     mine = (F.col("refers_to") == F.col("to")) & (F.col("stated_digest") == F.col("stated"))
     revisits = seen.where("record_type = 'revisit'").join(of, mine, "left")
