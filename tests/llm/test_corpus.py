@@ -408,7 +408,7 @@ def test_warc_round_trip(spark):
     rows = [(k, f"http://h/{k}", big[k % 5] if k % 3 else words(rng, 200 + k) if k % 2 else "small") for k in range(100)] + [(200, None, None), (None, "http://n", "x"), (7, "http://h/7", big[2])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit(0))
     folders = [warc.write_archives(p, roll_bytes=4000) for p in (pages.repartition(3), pages.repartition(7))]
-    sums = [[hashlib.sha256(bytes(r.content)).hexdigest() for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(f).orderBy("path").collect()] for f in folders]
+    sums = [[hashlib.sha256(bytes(r.content)).hexdigest() for r in spark.read.format("binaryFile").load(f"{f}/archives").orderBy("file").collect()] for f in folders]
     assert sums[0] == sums[1] and len(sums[0]) > 3
     got = sorted((r.page_id if r.page_id is not None else -1, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to) for r in warc.digests(warc.read_archives(spark, folders[0])).collect())
     heads = {}
@@ -482,6 +482,23 @@ def test_odd_and_empty_rows(spark, odd):
     assert len(decontam.sketch(np.arange(16, dtype=np.uint64))) == 7
 
 
+def test_warc_copies_roll_and_long_pages(spark):
+    rng = random.Random(31)
+    same, long = words(rng, 400, 5000), words(rng, 300000, 10**6)
+    rows = [(None, None, None)] * 300 + [(5, "http://a", same)] * 200 + [(6, "http://b", same)] * 50 + [(7, None, long), (8, "http://c", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("file", "n", "digest", "copies")})
+    folder = warc.write_archives(pages.repartition(4), roll_bytes=5000)
+    files = {r.file: r.length for r in spark.read.format("binaryFile").load(f"{folder}/archives").select("file", "length").collect()}
+    largest = len(warc.record(7, None, long.encode(), hashlib.sha1(long.encode()).hexdigest()))
+    assert len(files) > 50 and sorted(files.values())[-2] < 8000 and max(files.values()) < largest + 8000
+    told = spark.read.json(f"{folder}/manifest").agg(F.sum("n_records"), F.count("*")).first()
+    assert tuple(told) == (len(rows), len(files))
+    read = warc.digests(warc.read_archives(spark, folder))
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in read.collect())
+    want = Counter({(None, 0, "response", None): 300, (5, len(same), "revisit", 6): 200, (6, len(same), "response", None): 50, (7, len(long), "response", None): 1, (8, 0, "response", None): 1})
+    assert got == want
+
+
 def test_warc_revisit_of_page_with_two_payloads(spark):
     one, two = "<p>" + "a" * 3000, "<p>" + "b" * 2000
     rows = [(9, "http://x/9a", one), (9, "http://x/9b", two), (1, "http://x/1", one), (2, "http://x/2", two)]
