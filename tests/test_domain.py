@@ -96,7 +96,7 @@ def test_annotation_lines(spark):
     df = spark.createDataFrame([(x,) for x in lines], "line string").where(~text.skipped(F.col("line"))).select("line", text.annotation(F.col("line")).alias("a"))
     rows = df.collect()
     got = [(r.a.event_type, r.a.t, r.a.jersey_number, r.a.team_colour) for r in rows if r.a]
-    assert got == [("touch", 1616.0, 2, "white"), ("pass", 1618.0, 2, "white"), ("out_of_bounds", 1648.0, 2, "white"), ("key_moment", 3723.0, 4, "unspecified")]
+    assert got == [("touch", 1616.0, 2, "white"), ("pass", 1618.0, 2, "white"), ("out_of_bounds", 1648.0, 2, "white"), ("sprint", 3723.0, 4, "unspecified")]
     assert [r.line for r in rows if not r.a] == ["no time"]
 
 
