@@ -18,25 +18,44 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that ``stored`` has made in this process and nothing has deleted.
+_MADE: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    It cuts lineage, so that a lost executor costs the current stage alone, and nothing is computed twice.
+    It cuts lineage, so that a lost executor costs the current stage alone, and nothing is computed twice. The table stays
+    until ``forget`` or ``sweep`` deletes it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_folder(spark)
+    df.write.parquet(f"{folder}/{name}")
+    _MADE.append(folder)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def forget(df: DataFrame) -> None:
     """Delete a table made by ``stored`` that is no longer read."""
-    spark = df.sparkSession
     files = df.inputFiles()
-    if not files:
-        return
-    path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in [f for f in _MADE if files and f"/{f.rsplit('/', 1)[1]}/" in files[0]]:
+        _delete(df.sparkSession, folder)
+        _MADE.remove(folder)
+
+
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete the tables that ``stored`` has made in this process, but for those that ``keep`` reads: what is left of a run
+    whose results are written."""
+    read = [f for df in keep for f in df.inputFiles()]
+    for folder in list(_MADE):
+        if not any(f"/{folder.rsplit('/', 1)[1]}/" in f for f in read):
+            _delete(spark, folder)
+            _MADE.remove(folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -170,7 +170,13 @@ class Crf:
 
 
 def fit(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Crf | None:
-    """None without labelled rows of both kinds."""
+    """None without labelled rows of both kinds.
+
+    The node weights climb the likelihood of the lines' labels weighted so that both kinds of documents, and all documents
+    of a kind, count alike; the four transition weights climb that of unweighted pairs of neighbouring labels, at a fifth of
+    the step. The two are not the likelihood of one field; the weights are what tells documents apart best. It runs on the
+    driver, over at most ``FIT_DOCS`` documents.
+    """
     bare = labels[[not len(x) for x, _ in parts]] if len(labels) else labels
     keep = [k for k, (x, _) in enumerate(parts) if len(x)]
     docs = [parts[k] for k in keep]
@@ -237,7 +243,8 @@ def _packed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, fold: int, mod: int, most: int) -> DataFrame:
-    """doc_id, text, label of at most ``most`` labelled rows outside the held-out fold (crc32 of the id mod ``mod``)."""
+    """doc_id, text, label of at most ``most`` labelled rows outside the held-out fold (crc32 of the id mod ``mod``). Of
+    several texts of one doc_id the first in order counts, so that repeated rows do not break the bound."""
     chosen = (
         labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", mod) != fold))
         .groupBy("doc_id")
@@ -246,7 +253,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, fold: int,
         .limit(most)
     )
     picked = chosen.select(F.col("doc_id").alias("__id"), "label")
-    return texts(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    rows = texts(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Crf | None:
@@ -262,7 +270,8 @@ def scored(docs: DataFrame, model: Crf | None, name: str = "score") -> DataFrame
     """``docs`` with a column of that name: P(quality 1) of the whole text (null: empty).
 
     Texts without words get the rate of label 1 among such texts in the fit (0.1 if there was none); everything gets 0.5
-    if there was nothing to fit. Rows are scored one by one, whatever their doc_id; other columns pass through.
+    if there was nothing to fit. Rows are scored one by one, whatever their doc_id, texts of any length whole; other columns
+    pass through, but for one with that name. An empty table gives an empty table.
     """
     if model is None:
         return docs.withColumn(name, F.lit(0.5))
@@ -280,5 +289,6 @@ def scored(docs: DataFrame, model: Crf | None, name: str = "score") -> DataFrame
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``least``."""
+    """The rows of ``docs`` whose score is at least ``least``; repeated rows stay or go together, and so do rows without
+    doc_id, by their texts."""
     return scored(docs, train(docs, labels), "__quality").where(F.col("__quality") >= least).drop("__quality")
