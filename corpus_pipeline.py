@@ -1,11 +1,17 @@
-"""A corpus pipeline out of five of the operators."""
+"""A corpus pipeline out of five of the operators.
+
+Every stage takes rows with nulls in any column, empty and very long texts, repeated rows and extra columns, and an empty
+table; it returns the columns of its input (the last stage adds those of the mixture). Null texts count as empty. Rows with
+equal doc_id are one document: they stay or go together, unless the quality of their texts differs. Rows without doc_id are
+judged by their texts; no near duplicate removes them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pitchflow.llm import decontam, lines, mixing, quality, simhash
-from pitchflow.llm.common import stored, table
+from pitchflow.llm.common import stored, sweep, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of what all stages keep. A stage's own tables are deleted when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
