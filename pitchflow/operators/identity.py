@@ -31,7 +31,8 @@ def stitch_identities(tracks: DataFrame, p: dict = config.STITCH) -> DataFrame:
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t_start", "track_id"], ignore_index=True)
-        start, end = pdf["t_start"].to_numpy(), pdf["t_end"].to_numpy()
+        start, end, ids, mean_conf = (pdf[c].to_numpy() for c in ("t_start", "t_end", "track_id", "mean_conf"))
+        fx, fy, fh, lx, ly, lh = (pdf[f"{side}_{c}"].to_numpy(float) for side in ("first", "last") for c in "xyh")
         team, sure = pdf["team"].to_numpy(float, na_value=np.nan), pdf["team_confidence"].fillna(0).to_numpy(float)
         free = np.ones(len(pdf), bool)
         identity, conf = np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
@@ -41,24 +42,19 @@ def stitch_identities(tracks: DataFrame, p: dict = config.STITCH) -> DataFrame:
             members, free[k], tail = [k], False, k
             while True:
                 lo, hi = np.searchsorted(start, (end[tail], end[tail] + p["gap"]), side="right")
-                best = None
-                for j in range(lo, min(hi, len(pdf))):
-                    gap = start[j] - end[tail]
-                    if not free[j] or not 0 < gap < p["gap"]:
-                        continue
-                    mean = (pdf["last_h"][tail] + pdf["first_h"][j]) / 2
-                    jump = np.hypot(pdf["first_x"][j] - pdf["last_x"][tail], pdf["first_y"][j] - pdf["last_y"][tail]) / mean if mean > 0 else np.inf
-                    if jump < p["jump"] and jump / gap < p["speed"]:
-                        alike = min(sure[tail], sure[j]) >= p["team"] and team[tail] == team[j]
-                        rank = (jump, not alike, pdf["track_id"][j], j)
-                        best = rank if best is None else min(best, rank)
-                if best is None:
+                j = lo + np.flatnonzero(free[lo:hi])
+                gap, mean = start[j] - end[tail], (lh[tail] + fh[j]) / 2
+                jump = np.where(mean > 0, np.hypot(fx[j] - lx[tail], fy[j] - ly[tail]) / np.where(mean > 0, mean, 1), np.inf)
+                j = j[(gap > 0) & (gap < p["gap"]) & (jump < p["jump"]) & (jump / np.where(gap > 0, gap, 1) < p["speed"])]
+                if not len(j):
                     break
-                tail = best[-1]
+                jump = np.hypot(fx[j] - lx[tail], fy[j] - ly[tail]) / ((lh[tail] + fh[j]) / 2)
+                alike = (np.minimum(sure[tail], sure[j]) >= p["team"]) & (team[tail] == team[j])
+                tail = j[np.lexsort((ids[j], ~alike, jump))[0]]
                 free[tail] = False
                 members.append(tail)
-            identity[members] = pdf["track_id"][k]
-            conf[members] = p["decay"] ** (len(members) - 1) * pdf["mean_conf"][members].mean()
+            identity[members] = ids[k]
+            conf[members] = p["decay"] ** (len(members) - 1) * mean_conf[members].mean()
         return pdf[[*TAKE, "track_id"]].assign(identity=identity, confidence=conf)
 
     sides = [F.col(c) if c in tracks.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("team", "int"), ("team_confidence", "double"))]

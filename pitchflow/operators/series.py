@@ -73,9 +73,15 @@ def ball_states(balls: DataFrame, boxes: DataFrame, params: dict = config.BALL_S
 
 
 def debounced(rows: DataFrame, gap: float, keys: Sequence[str], strict: bool = False) -> DataFrame:
-    """Greedy keep-first: of the rows in order of t, those at least ``gap`` after the last one kept (``strict``: more than)."""
-    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", *[c for c in rows.columns if c not in (*keys, "t")]))).alias("__all"))
+    """Greedy keep-first: of the rows in order of t, those at least ``gap`` after the last one kept (``strict``: more than).
+
+    A row that far after the row before it is always kept, so a key's rows are cut there, and only the pieces are folded.
+    """
     sign = ">" if strict else ">="
+    w = Window.partitionBy(*keys).orderBy("t")
+    fresh = F.when(F.expr(f"__step {sign} {gap}"), 1).otherwise(0)
+    cut = rows.withColumn("__step", F.round(F.col("t") - F.lag("t").over(w), 9)).withColumn("__piece", F.sum(fresh).over(w)).drop("__step")
+    held = cut.groupBy(*keys, "__piece").agg(F.array_sort(F.collect_list(F.struct("t", *[c for c in rows.columns if c not in (*keys, "t")]))).alias("__all"))
     kept = F.expr(f"aggregate(__all, slice(__all, 1, 0), (acc, r) -> if(size(acc) = 0 or round(r.t - acc[size(acc) - 1].t, 9) {sign} {gap}, concat(acc, array(r)), acc))")
     return held.select(*keys, F.inline(kept)).select(*rows.columns)
 

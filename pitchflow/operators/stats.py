@@ -64,9 +64,13 @@ def clip_ranges(events: DataFrame, takes: DataFrame, p: dict = config.CLIP) -> D
 
 
 def dedupe_clips(clips: DataFrame, keys: Sequence[str] = PLAYER, p: dict = config.CLIP) -> DataFrame:
-    """Best first; a clip goes when its time overlap (over the union) with a kept one exceeds ``iou``."""
+    """Best first; a clip goes when its time overlap (over the union) with a kept one exceeds ``iou``. Clips that no chain of
+    overlaps ties together cannot meet, so each such group is folded on its own."""
     rest = [c for c in clips.columns if c not in (*keys, "rank")]
-    held = clips.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", *rest))).alias("__all"))
+    w = Window.partitionBy(*keys).orderBy("clip_start", "clip_end", "rank")
+    over = F.max("clip_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    tied = clips.withColumn("__new", F.when(F.col("clip_start") < over, 0).otherwise(1)).withColumn("__group", F.sum("__new").over(w))
+    held = tied.groupBy(*keys, "__group").agg(F.array_sort(F.collect_list(F.struct("rank", *rest))).alias("__all"))
     both = "greatest(least(k.clip_end, r.clip_end) - greatest(k.clip_start, r.clip_start), 0D)"
     hit = f"{both} > {p['iou']} * ((k.clip_end - k.clip_start) + (r.clip_end - r.clip_start) - {both})"
     kept = F.expr(f"aggregate(__all, slice(__all, 1, 0), (acc, r) -> if(exists(acc, k -> {hit}), acc, concat(acc, array(r))))")

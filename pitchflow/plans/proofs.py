@@ -73,8 +73,8 @@ cb as (select c.*, b.track_id, b.x1, b.y1, b.x2, b.y2, row_number() over (partit
 cd as (select *, not (x between x1 and x2 and y between y1 and y2) as outside, case when x between x1 and x2 and y between y1 and y2 then 0 else sqrt(pow((x1 + x2) / 2 - x, 2) + pow((y1 + y2) / 2 - y, 2)) end as dist from cb where rn = 1)
 select video_id, take_id, frame_index, round(t, 6) as t, round(x, 6) as x, round(y, 6) as y, track_id, round(dist, 6) as dist from (select *, row_number() over (partition by video_id, take_id, frame_index order by outside, dist, track_id) as best from cd) where best = 1 and (not outside or dist <= 108)"""
 
-SQL["w15_resample_boxes"] = BASE + """, thin as (select * from boxes where frame_index % 3 = 0 and frame_index % 100 < 70),
-cell as (select g.video_id, g.take_id, k.track_id, g.t from (select video_id, take_id, t from frames where frame_index % 7 = 0) g join (select distinct video_id, take_id, track_id from thin) k on k.video_id = g.video_id and k.take_id = g.take_id),
+SQL["w15_resample_boxes"] = BASE + """, thin as (select * from boxes where frame_index % 100 < 70),
+cell as (select g.video_id, g.take_id, k.track_id, g.t from (select video_id, take_id, t from frames) g join (select distinct video_id, take_id, track_id from thin) k on k.video_id = g.video_id and k.take_id = g.take_id),
 held_ as (select c.video_id, c.take_id, c.track_id, c.t, max(b.t) filter (b.t <= c.t) as ta, min(b.t) filter (b.t >= c.t) as tb from cell c join thin b on b.video_id = c.video_id and b.take_id = c.take_id and b.track_id = c.track_id group by 1, 2, 3, 4),
 both_ as (select h.*, coalesce(round(tb - ta, 9) > 0 and round(tb - ta, 9) <= 0.5, false) as interpolated, (h.t - ta) / (tb - ta) as f, (tb is null or h.t - ta <= tb - h.t) as left_ from held_ h),
 val as (select h.*, a.x1 as ax1, a.x2 as ax2, a.y1 as ay1, a.y2 as ay2, b.x1 as bx1, b.x2 as bx2, b.y1 as by1, b.y2 as by2 from both_ h left join thin a on a.video_id = h.video_id and a.take_id = h.take_id and a.track_id = h.track_id and a.t = h.ta left join thin b on b.video_id = h.video_id and b.take_id = h.take_id and b.track_id = h.track_id and b.t = h.tb)

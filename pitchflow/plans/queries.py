@@ -279,11 +279,12 @@ def w14_interpolate_ball(spark, sf_dir):
     return rounded(out.select("video_id", "frame_index", "x1", "conf", "interpolated"))
 
 
-@query("select video_id, frame_index, count(h.t_start) as n from (select video_id, frame_index, t from frames where frame_index % 25 = 0) f left join (select video_id as v, t_start from happened) h on h.v = f.video_id and h.t_start <= f.t group by 1, 2")
+@query("select g.video_id, g.player_track_id, g.type, g.frame_index, count(h.t_start) as n from (select f.video_id, f.frame_index, f.t, k.player_track_id, k.type from frames f join (select distinct video_id, player_track_id, type from happened) k using (video_id)) g left join happened h on h.video_id = g.video_id and h.player_track_id = g.player_track_id and h.type = g.type and h.t_start <= g.t group by 1, 2, 3, 4")
 def w16_running_counts(spark, sf_dir):
-    grid = ad.frames(spark, sf_dir).where("frame_index % 25 = 0").select("video_id", "t")
-    out = series.running_counts(grid, _happened(spark, sf_dir), ("video_id",))
-    return out.select("video_id", F.round(F.col("t") * 25).cast("long").alias("frame_index"), "n")
+    happened, keys = _happened(spark, sf_dir), ("video_id", "player_track_id", "type")
+    grid = ad.frames(spark, sf_dir).select("video_id", "t").join(happened.select(*keys).distinct(), "video_id")
+    out = series.running_counts(grid, happened, keys)
+    return out.select(*keys, F.round(F.col("t") * 25).cast("long").alias("frame_index"), "n")
 
 
 CUTS = """, vids as (select video_id, count(*) as nb from frames group by 1), st as (select distinct video_id, frame_index as f from frames where frame_index % 200 = 0)
@@ -387,9 +388,9 @@ def w24_suppress_overlaps(spark, sf_dir):
     return rounded(filters.suppress_overlaps(rows, 0.1))
 
 
-@query("select f.video_id, f.frame_index, h.player_track_id, h.type, round(h.t_start, 6) as t_start, round((f.t - h.t_start) / (h.t_end - h.t_start), 6) as elapsed from frames f join happened h on f.video_id = h.video_id and f.t between h.t_start and h.t_end where f.frame_index % 25 = 0")
+@query("select f.video_id, f.frame_index, h.player_track_id, h.type, round(h.t_start, 6) as t_start, round((f.t - h.t_start) / (h.t_end - h.t_start), 6) as elapsed from frames f join happened h on f.video_id = h.video_id and f.t between h.t_start and h.t_end")
 def w17_active_events(spark, sf_dir):
-    grid = ad.frames(spark, sf_dir).where("frame_index % 25 = 0").select("video_id", "frame_index", "t")
+    grid = ad.frames(spark, sf_dir).select("video_id", "frame_index", "t")
     found = timejoin.active_events(grid, _happened(spark, sf_dir))
     return rounded(found.select("video_id", "frame_index", F.col("e_player_track_id").alias("player_track_id"), F.col("e_type").alias("type"), F.col("e_t_start").alias("t_start"), "elapsed"))
 

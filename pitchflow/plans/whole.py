@@ -135,19 +135,19 @@ def j10_merge_touches(spark, sf_dir):
     return rounded(out.groupBy("video_id", "type", "source", "suppressed").agg(F.count("*").alias("n"), F.sum("t_start").alias("at_")))
 
 
-@query("select distinct f.video_id, f.take_id, f.frame_index, b.track_id from (select * from frames where frame_index % 10 = 3) f join (select * from boxes where frame_index % 40 < 9) b on b.video_id = f.video_id and b.take_id = f.take_id and round(abs(b.t - f.t), 9) <= 0.2")
+@query("select distinct f.video_id, f.take_id, f.frame_index, b.track_id from frames f join (select * from boxes where frame_index % 40 < 9) b on b.video_id = f.video_id and b.take_id = f.take_id and round(abs(b.t - f.t), 9) <= 0.2")
 def j11_candidate_tracks(spark, sf_dir):
-    points = ad.frames(spark, sf_dir).where("frame_index % 10 = 3").select("video_id", "take_id", "frame_index", "t")
+    points = ad.frames(spark, sf_dir).select("video_id", "take_id", "frame_index", "t")
     return manual.candidate_tracks(points, ad.boxes(spark, sf_dir).where("frame_index % 40 < 9"), 0.2).drop("t")
 
 
-@query(""", asked as (select video_id, take_id, frame_index, t from frames where frame_index % 10 = 4), hints as (select video_id, take_id, t, (x1 + x2) / 2 as x, (y1 + y2) / 2 - 60 as y from balls where frame_index % 30 < 3),
+@query(""", asked as (select video_id, take_id, frame_index, t from frames), hints as (select video_id, take_id, t, (x1 + x2) / 2 as x, (y1 + y2) / 2 - 60 as y from balls where frame_index % 30 < 3),
 led as (select a.*, h.t as ht, h.x, h.y, row_number() over (partition by a.video_id, a.take_id, a.frame_index order by round(abs(h.t - a.t), 9), h.t) as rn from asked a join hints h on h.video_id = a.video_id and h.take_id = a.take_id and round(abs(h.t - a.t), 9) <= 0.3),
 hb as (select l.*, b.track_id, b.x1, b.x2, b.y1, b.y2, row_number() over (partition by l.video_id, l.take_id, l.frame_index, b.track_id order by round(abs(b.t - l.ht), 9), b.t desc) as r2 from led l join boxes b on l.rn = 1 and b.video_id = l.video_id and b.take_id = l.take_id and round(abs(b.t - l.ht), 9) <= 0.15),
 hd as (select *, not (x between x1 and x2 and y between y1 and y2) as outside, case when x between x1 and x2 and y between y1 and y2 then 0 else sqrt(pow((x1 + x2) / 2 - x, 2) + pow((y1 + y2) / 2 - y, 2)) end as d from hb where r2 = 1)
 select video_id, take_id, frame_index, track_id, round(d, 6) as dist from (select *, row_number() over (partition by video_id, take_id, frame_index order by outside, d, track_id) as best from hd) where best = 1 and (not outside or d <= 200)""")
 def j13_hinted_tracks(spark, sf_dir):
-    points = ad.frames(spark, sf_dir).where("frame_index % 10 = 4").select("video_id", "take_id", "frame_index", "t")
+    points = ad.frames(spark, sf_dir).select("video_id", "take_id", "frame_index", "t")
     hints = ad.balls(spark, sf_dir).where("frame_index % 30 < 3").select("video_id", "take_id", "t", g.cx().alias("x"), (g.cy() - 60).alias("y"))
     return rounded(manual.hinted_tracks(points, hints, ad.boxes(spark, sf_dir), 0.3).drop("t"))
 
