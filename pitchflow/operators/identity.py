@@ -75,6 +75,23 @@ def digit_votes(reads: DataFrame, keys: Sequence[str], p: dict = config.VOTE) ->
     return top.select(*keys, F.when(good, F.col("digits")).alias("jersey_number"), F.when(good, "verified").otherwise("unverified").alias("status"), agreement.alias("agreement"), F.when(good, conf).otherwise(0.0).alias("confidence"), "n_reads")
 
 
+def confirmed_votes(votes: DataFrame, reads: DataFrame, confirmed: DataFrame, keys: Sequence[str], p: dict = config.VOTE) -> DataFrame:
+    """``votes`` as of ``digit_votes`` with numbers that a person confirmed (``confirmed``: keys, number): one read of such a
+    number verifies it, whatever the others say. ``note`` tells of it: accepted, contradicted (another number has more reads)
+    or no_reads (the vote stands). Keys that are in one table alone have a row, unverified without reads."""
+    seen = reads.where("digits is not null").groupBy(*keys, "digits").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"))
+    asked = confirmed.select(*keys, F.col("number").cast("string").alias("wanted"))
+    told = asked.join(seen, list(keys), "left").groupBy(*keys, "wanted").agg(
+        F.max(F.when(F.col("digits") == F.col("wanted"), F.struct("n", "mean"))).alias("own"), F.max(F.when(F.col("digits") != F.col("wanted"), F.col("n"))).alias("rival")
+    )
+    rows, sure = votes.join(told, list(keys), "full"), F.col("own").isNotNull()
+    note = F.when(sure & (F.col("rival") > F.col("own.n")), "contradicted").when(sure, "accepted").when(F.col("wanted").isNotNull(), "no_reads")
+    return rows.select(
+        *keys, F.when(sure, F.col("wanted")).otherwise(F.col("jersey_number")).alias("jersey_number"), F.when(sure, "verified").otherwise(F.coalesce("status", F.lit("unverified"))).alias("status"),
+        F.when(sure, F.least(F.lit(1.0), F.greatest(F.lit(p["confidence"]), F.col("own.mean")))).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), note.alias("note"),
+    )
+
+
 def tracks_per_take(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy(*TAKE).agg(F.count("*").alias("n_tracks"))
 

@@ -26,6 +26,14 @@ def drop_counts(df: DataFrame, stage: str) -> DataFrame:
     return df.where("reject is not null").groupBy(F.lit(stage).alias("stage"), F.col("reject").alias("reason")).agg(F.count("*").alias("n"))
 
 
+def merged_counts(*parts: DataFrame) -> DataFrame:
+    """(stage, reason, n) of several stages' counts in one table."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("stage", "reason").agg(F.sum("n").alias("n"))
+
+
 def possession_series(balls: DataFrame, boxes: DataFrame, params: dict = config.POSSESSION, tracks: DataFrame | None = None) -> DataFrame:
     """Balls with x, y and the track in possession: the nearest box, null beyond the distance. With ``tracks`` only
     players and goalkeepers can have the ball."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.geometry import cx, cy, height
+from ..functions.geometry import cx, cy, height, in_heights
 from .timejoin import TAKE, bracket, nearest_in_time
 
 TRACK = (*TAKE, "track_id")
@@ -59,10 +59,14 @@ def reference_height(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy(*TAKE).agg(F.coalesce(F.percentile(F.when(height() > 0, height()), 0.5), F.lit(0.0)).alias("ref_height"))
 
 
-def ball_states(balls: DataFrame, boxes: DataFrame, params: dict = config.BALL_STATE) -> DataFrame:
-    """Smoothed ball positions with velocity in reference heights a second; ``known`` is false after a gap."""
+def ball_states(balls: DataFrame, boxes: DataFrame, params: dict = config.BALL_STATE, motion: DataFrame | None = None) -> DataFrame:
+    """Smoothed ball positions with velocity in reference heights a second; ``known`` is false after a gap. With ``motion``
+    as of ``to_reference`` positions are those in the take's first frame, where the camera's way is known."""
     w = Window.partitionBy(*TAKE).orderBy("t", "frame_index")
-    smooth = balls.where(F.col("conf") >= params["conf"]).withColumn("x", moving_average(cx(), params["window"], TAKE)).withColumn("y", moving_average(cy(), params["window"], TAKE))
+    rows = balls.where(F.col("conf") >= params["conf"]).withColumns({"x": cx(), "y": cy()})
+    if motion is not None:
+        rows = to_reference(rows, motion).withColumns({"x": F.coalesce("ref_x", "x"), "y": F.coalesce("ref_y", "y")})
+    smooth = rows.withColumns({c: moving_average(F.col(c), params["window"], TAKE) for c in ("x", "y")})
     dt = F.col("t") - F.lag("t").over(w)
     unknown = F.coalesce((dt <= 0) | (dt > params["max_gap"]), F.lit(False))
     v = lambda c: F.when(unknown | dt.isNull() | (F.col("ref_height") <= 0), 0.0).otherwise((F.col(c) - F.lag(c).over(w)) / dt / F.col("ref_height"))
@@ -188,6 +192,15 @@ def to_reference(points: DataFrame, motion: DataFrame) -> DataFrame:
     return out.select(*points.columns, "ref_x", "ref_y")
 
 
+def compensated_jump(a: str, b: str) -> Column:
+    """struct<jump, compensated> between two places (structs x, y, h, ref_x, ref_y): their distance in mean heights, in the
+    take's first frame where both have a place in it, else in the image; infinite without a height."""
+    known = F.col(f"{a}.ref_x").isNotNull() & F.col(f"{b}.ref_x").isNotNull()
+    far = lambda p: F.hypot(F.col(f"{b}.{p}x") - F.col(f"{a}.{p}x"), F.col(f"{b}.{p}y") - F.col(f"{a}.{p}y"))
+    tall = (F.col(f"{a}.h") + F.col(f"{b}.h")) > 0
+    return F.struct(in_heights(F.when(known, far("ref_")).otherwise(far("")), F.col(f"{a}.h"), F.col(f"{b}.h")).alias("jump"), (known & tall).alias("compensated"))
+
+
 def resample_boxes(grid: DataFrame, boxes: DataFrame, gap: float, tolerance: float) -> DataFrame:
     """A box of each track at every grid instant: between two samples at most ``gap`` apart, else the nearest (ties: the
     earlier) within ``tolerance``. ``grid``: video_id, take_id, t."""

@@ -139,12 +139,15 @@ def fallback_seeds(boxes: DataFrame, tracks: DataFrame, frame_w: float, frame_h:
     return best.where("__n = 1").select(*TAKE, "track_id", "score")
 
 
-def select_targets(takes: DataFrame, manual: DataFrame, votes: DataFrame, fallback: DataFrame, p: dict = config.SELECTION) -> DataFrame:
+def select_targets(takes: DataFrame, manual: DataFrame, votes: DataFrame, fallback: DataFrame, p: dict = config.SELECTION, stitched: DataFrame | None = None) -> DataFrame:
     """The seed track of each take and how it was found: a manual choice, else arrow votes with enough of them for one track,
-    else the fallback with a capped confidence, else none."""
+    else the fallback with a capped confidence, else none. ``stitched`` (video_id, take_id, track_id, confidence: of the chain
+    from that seed) lowers the confidence of arrow votes."""
     w = Window.partitionBy(*TAKE)
     share = F.col("n_votes") / F.sum("n_votes").over(w)
     top = votes.withColumn("share", share).withColumn("__n", F.row_number().over(w.orderBy(F.desc("n_votes"), "track_id"))).where((F.col("__n") == 1) & (F.col("share") >= p["share"]))
+    if stitched is not None:
+        top = top.join(stitched.select(*TAKE, "track_id", F.col("confidence").alias("__chain")), [*TAKE, "track_id"], "left").withColumn("share", F.col("share") * F.coalesce("__chain", F.lit(1.0)))
     by = lambda df, name, conf: df.groupBy(*TAKE).agg(F.min_by(F.struct(F.lit(name).alias("method"), F.col("track_id"), conf.alias("confidence")), "track_id").alias(name))
     out = takes.select(*TAKE)
     for part in (by(manual, "manual", F.lit(1.0)), by(top, "arrow_vote", F.col("share")), by(fallback, "fallback", F.least(F.col("score"), F.lit(p["fallback"])))):
@@ -153,6 +156,15 @@ def select_targets(takes: DataFrame, manual: DataFrame, votes: DataFrame, fallba
     return out.withColumn("s", F.coalesce("manual", "arrow_vote", "fallback", none)).select(*TAKE, "s.*")
 
 
+def overall_selection(selected: DataFrame) -> DataFrame:
+    """Of each video the mean confidence of the takes with a target (0 without any), and whether a person should confirm it:
+    unless every target was chosen by hand."""
+    usable = F.col("track_id").isNotNull()
+    return selected.groupBy("video_id").agg(
+        F.coalesce(F.avg(F.when(usable, F.col("confidence"))), F.lit(0.0)).alias("confidence"), F.count_if(usable).alias("n_usable"), (F.count_if(usable & (F.col("method") != "manual")) + F.when(F.count_if(usable) == 0, 1).otherwise(0) > 0).alias("needs_confirmation")
+    )
+
+
 def nearest_colour(colours: DataFrame, asked: DataFrame, most: float = config.COLOUR_DISTANCE) -> DataFrame:
     """``asked`` (video_id, take_id, colour l, a, b as ``ref``) with the track of nearest colour, null beyond ``most``, and
     its distance either way."""

@@ -114,11 +114,30 @@ def w21_evenly_sampled(spark, sf_dir):
     return series.evenly_sampled(ad.boxes(spark, sf_dir), 8).select("video_id", "take_id", "track_id", "frame_index")
 
 
-@query("select video_id, take_id, frame_index, sum(frame_index % 9)::double over w as tx, sum(2 - frame_index % 4)::double over w as ty from frames window w as (partition by video_id, take_id order by t)".replace("::double over w", " over w"))
+#: Steps of camera motion: a quarter turn every fifth frame, and a shift in every frame.
+MOVES = """, moves as (select video_id, take_id, frame_index, t, row_number() over (partition by video_id, take_id order by t) as k, case when frame_index % 5 = 0 then 0 else 1 end as a, case when frame_index % 5 = 0 then -1 else 0 end as b, frame_index % 9 as tx, 2 - frame_index % 4 as ty from frames),
+way as (select video_id, take_id, frame_index, t, k, a, b, tx, -b as c, a as d, ty from moves where k = 1
+  union all select m.video_id, m.take_id, m.frame_index, m.t, m.k, m.a * w.a + m.b * w.c, m.a * w.b + m.b * w.d, m.a * w.tx + m.b * w.ty + m.tx, -m.b * w.a + m.a * w.c, -m.b * w.b + m.a * w.d, -m.b * w.tx + m.a * w.ty + m.ty
+  from way w join moves m on m.video_id = w.video_id and m.take_id = w.take_id and m.k = w.k + 1)"""
+
+
+def _motion(spark, sf_dir):
+    turn = "frame_index % 5 = 0"
+    steps = ad.frames(spark, sf_dir).selectExpr("video_id", "take_id", "t", f"if({turn}, 0D, 1D) as a", f"if({turn}, -1D, 0D) as b", "frame_index % 9 as tx", f"if({turn}, 1D, 0D) as c", f"if({turn}, 0D, 1D) as d", "2 - frame_index % 4 as ty")
+    return series.cumulative_motion(steps)
+
+
+@query(MOVES + " select video_id, take_id, frame_index, a::bigint as a, b::bigint as b, tx::bigint as tx, ty::bigint as ty from way")
 def w23_cumulative_motion(spark, sf_dir):
-    steps = ad.frames(spark, sf_dir).selectExpr("video_id", "take_id", "t", "1D as a", "0D as b", "frame_index % 9 as tx", "0D as c", "1D as d", "2 - frame_index % 4 as ty")
-    out = series.cumulative_motion(steps)
-    return out.select("video_id", "take_id", F.round(F.col("t") * 25).cast("long").alias("frame_index"), F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"))
+    cells = [F.col(c).cast("long").alias(c) for c in ("a", "b", "tx", "ty")]
+    return _motion(spark, sf_dir).select("video_id", "take_id", F.round(F.col("t") * 25).cast("long").alias("frame_index"), *cells)
+
+
+@query(MOVES + """ select b.video_id, b.take_id, b.frame_index, round((w.d * (b.x - w.tx) - w.b * (b.y - w.ty)) / (w.a * w.d - w.b * w.c), 6)::double as ref_x, round((w.a * (b.y - w.ty) - w.c * (b.x - w.tx)) / (w.a * w.d - w.b * w.c), 6)::double as ref_y
+from (select *, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y from balls) b join way w using (video_id, take_id, frame_index)""")
+def t8_to_reference(spark, sf_dir):
+    points = ad.balls(spark, sf_dir).select("video_id", "take_id", "frame_index", "t", g.cx().alias("x"), g.cy().alias("y"))
+    return rounded(series.to_reference(points, _motion(spark, sf_dir)).select("video_id", "take_id", "frame_index", "ref_x", "ref_y"))
 
 
 @query()

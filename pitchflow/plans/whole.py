@@ -10,10 +10,10 @@ from ..config import PHRASES
 from ..functions import geometry as g
 from ..functions import text
 from ..operators import events as ev
-from ..operators import filters, flow, goals, identity, manual, memory, stats, target, timejoin
+from ..operators import filters, flow, goals, identity, manual, memory, possession, stats, target, timejoin
 from . import adapters as ad
 from .proofs import TOUCHES
-from .queries import BASE, SQL, _passes, _possession, _touches, query, rounded
+from .queries import BASE, QUERIES, SQL, _passes, _possession, _touches, query, rounded
 
 HEIGHT = 720
 
@@ -331,3 +331,37 @@ def p15_expressions(spark, sf_dir):
     out = rows.select("video_id", "take_id", "track_id", memory.render_tier(method, status).alias("tier"), memory.active_at(F.col("t_start") + 1, windows).alias("active"), g.scaled_size(F.lit(1920), F.lit(1080), 1280).alias("s"),
         g.to_pitch(F.col("track_id").cast("double"), F.lit(0.0), m).alias("pitch"), F.size(filters.overrides(F.expr("if(track_id % 5 = 0, '3, 1:4,3', '0:3,3,x')"))).alias("n_overrides"))
     return rounded(out.select("video_id", "take_id", "track_id", "tier", "active", "s.width", "s.height", F.col("pitch.x").alias("pitch_x"), "n_overrides"))
+
+
+@query()
+def t13_confirmed_votes(spark, sf_dir):
+    reads, keys = ad.digit_reads(spark, sf_dir), ("take_id", "track_id")
+    people = reads.where("track_id % 2 = 0").selectExpr("take_id", "track_id", "(take_id + track_id) % 6 as number").distinct()
+    people = people.unionByName(reads.selectExpr("take_id", "99L as track_id", "7L as number").distinct())  # tracks without reads
+    return rounded(identity.confirmed_votes(identity.digit_votes(reads, keys), reads, people, keys))
+
+
+SQL["t13_confirmed_votes"] = "with votes_ as (" + SQL["t13_digit_votes"] + """), reads as (select cast(l_suppkey as bigint) as take_id, cast(l_partkey % 4 as bigint) as track_id, case when l_linenumber = 7 then null else cast(l_linenumber % 5 as varchar) end as digits, l_linenumber / 10e0 as confidence from lineitem),
+people as (select distinct take_id, track_id, ((take_id + track_id) % 6)::varchar as wanted from reads where track_id % 2 = 0 union all select distinct take_id, 99, '7' from reads),
+seen as (select take_id, track_id, digits, count(*) as n, avg(confidence) as mean from reads where digits is not null group by 1, 2, 3),
+told as (select p.take_id, p.track_id, wanted, max(n) filter (digits = wanted) as own, max(mean) filter (digits = wanted) as mean, max(n) filter (digits <> wanted) as rival from people p left join seen using (take_id, track_id) group by 1, 2, 3)
+select take_id, track_id, case when own is not null then wanted else jersey_number end as jersey_number, case when own is not null then 'verified' else coalesce(status, 'unverified') end as status,
+round(case when own is not null then least(1.0, greatest(0.3, mean)) else coalesce(confidence, 0) end, 6)::double as confidence, case when rival > own then 'contradicted' when own is not null then 'accepted' when wanted is not null then 'no_reads' end as note
+from votes_ full join told using (take_id, track_id)"""
+
+
+_picked = SQL["t11_select_targets"][len(BASE) :]
+_cut = _picked.rindex("\nselect k.video_id")
+
+
+@query(_picked[:_cut] + ", chosen_ as (" + _picked[_cut:] + ") select video_id, round(coalesce(avg(confidence) filter (track_id is not null), 0), 5)::double as confidence, count(track_id) as n_usable, coalesce(bool_or(track_id is not null and method <> 'manual'), false) or count(track_id) = 0 as needs_confirmation from chosen_ group by 1")
+def t11_overall_selection(spark, sf_dir):
+    picked = QUERIES["t11_select_targets"](spark, sf_dir)
+    return target.overall_selection(picked).withColumn("confidence", F.round("confidence", 5))
+
+
+@query(_runs_sql[:_cut2] + " select 'passes' as stage, reject as reason, count(*)::bigint as n from passes where reject is not null group by 2 union all select 'passes again', reject, count(*) from passes where reject = 'flight' group by 2")
+def p7_merged_counts(spark, sf_dir):
+    rejects = timejoin.settled(_passes(spark, sf_dir).where("reject is not null"))
+    more = rejects.where("reject = 'flight'")
+    return possession.merged_counts(possession.drop_counts(rejects, "passes"), possession.drop_counts(more, "passes again"))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pitchflow import config
 from pitchflow.functions import geometry as g
 from pitchflow.functions import text
-from pitchflow.operators import events, filters, flow, identity, manual, possession, stats, timejoin
+from pitchflow.operators import events, filters, flow, identity, manual, possession, series, stats, timejoin
 from pitchflow.sources import records
 
 BOX = "video_id long, take_id long, track_id long, frame_index long, t double, x1 double, y1 double, x2 double, y2 double, conf double"
@@ -162,3 +162,26 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "s" / "clip2 77.txt").write_text("# note\r\n\n1:02 player #7 shoots\n")
     lines = records.read_sidecars(spark, f"{tmp_path}/s").orderBy("line_no").collect()
     assert [r.line for r in lines] == ["# note", "", "1:02 player #7 shoots", ""] and lines[0].line_no == 1
+
+
+def test_compensated_jump(spark):
+    place = "struct<x:double,y:double,h:double,ref_x:double,ref_y:double>"
+    rows = [((0.0, 0.0, 100.0, 0.0, 0.0), (300.0, 400.0, 100.0, 30.0, 40.0)), ((0.0, 0.0, 100.0, None, None), (300.0, 400.0, 100.0, 30.0, 40.0)), ((0.0, 0.0, 0.0, 0.0, 0.0), (3.0, 4.0, 0.0, 1.0, 1.0))]
+    out = spark.createDataFrame(rows, f"a {place}, b {place}").select(series.compensated_jump("a", "b").alias("j")).collect()
+    assert [tuple(r.j) for r in out] == [(0.5, True), (5.0, False), (float("inf"), False)]
+
+
+def test_ball_states_follow_the_camera(spark):
+    balls = spark.createDataFrame([ball(t / 10, 100.0 + 50 * t) for t in range(20)], BALL)
+    boxes = spark.createDataFrame([box(1, t / 10, 100.0) for t in range(20)], BOX)
+    motion = spark.createDataFrame([(1, 0, t / 10, 1.0, 0.0, 50.0 * t, 0.0, 1.0, 0.0) for t in range(20)], "video_id long, take_id long, t double, a double, b double, tx double, c double, d double, ty double")
+    still = series.ball_states(balls, boxes, motion=motion).collect()
+    assert all(abs(r.vx) < 1e-9 for r in still)
+    assert max(r.vx for r in series.ball_states(balls, boxes).collect()) > 1
+
+
+def test_confirmed_numbers(spark):
+    reads = spark.createDataFrame([(1, "7", 0.2), (1, "9", 0.9), (1, "9", 0.9), (2, "5", 0.9)], "take_id long, digits string, confidence double")
+    said = spark.createDataFrame([(1, 7), (2, 8), (3, 4)], "take_id long, number long")
+    out = {r.take_id: (r.jersey_number, r.status, r.confidence, r.note) for r in identity.confirmed_votes(identity.digit_votes(reads, ("take_id",)), reads, said, ("take_id",)).collect()}
+    assert out == {1: ("7", "verified", 0.3, "contradicted"), 2: (None, "unverified", 0.0, "no_reads"), 3: (None, "unverified", 0.0, "no_reads")}
