@@ -20,8 +20,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less the lines that many documents share; n_chars follows the text."""
-    cut = lines.dedup_lines(docs)
+    """Texts less the lines that many documents share; n_chars follows the text. Counts of lines that ``docs`` has stay."""
+    own = {c: f"__{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}
+    cut = lines.dedup_lines(docs.withColumnsRenamed(own)).drop("n_lines", "n_dropped")
+    cut = cut.withColumnsRenamed({v: k for k, v in own.items()})
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", lines.F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
