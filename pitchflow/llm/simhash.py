@@ -264,13 +264,20 @@ def _search(bits: int, prints: int, most: int):
     return run
 
 
-def _dealt(rows: DataFrame, chosen: list[int], prints: int, t: str, key: str) -> DataFrame:
-    """``rows`` once for each fingerprint and mask, with the number of the two, the masked bits and the fingerprint."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _dealt(rows: DataFrame, chosen: list[int], prints: int) -> DataFrame:
+    """``rows`` once for each fingerprint and mask: the number of the two (t), the masked bits (key), the fingerprint (code)."""
     keys = [
-        F.struct(F.lit(p * len(signed) + k).alias(t), F.col("fps")[p].bitwiseAND(F.lit(m)).alias(key), F.col("fps")[p].alias("code"))
+        F.struct(
+            F.lit(p * len(chosen) + k).alias("t"),
+            F.col("fps")[p].bitwiseAND(F.lit(_signed(m))).alias("key"),
+            F.col("fps")[p].alias("code"),
+        )
         for p in range(prints)
-        for k, m in enumerate(signed)
+        for k, m in enumerate(chosen)
     ]
     return rows.select("*", F.inline(F.array(*keys)))
 
@@ -285,17 +292,19 @@ def links(nodes: DataFrame, bits: int = BITS, prints: int = 1, similarity: float
         most = ceil(64 * prints * rate + 3 * (64 * prints * rate * (1 - rate)) ** 0.5)
     some = nodes.where("rep is not null").select("fps", "rep", "text_hash")
     n = some.count()
-    dealt = _dealt(some, masks(n, bits), prints, "t", "key")
+    dealt = _dealt(some, masks(n, bits), prints)
     hot = stored(dealt.groupBy("t", "key").count().where(F.col("count") > HOT).select("t", "key"), "hot-nodes")
-    none = [F.lit(0).alias("t2"), F.lit(0).cast("long").alias("key2")]
-    dealt = dealt.join(hot, ["t", "key"], "left_anti").select("t", "key", *none, "code", "rep", "text_hash", "fps") if (
-        crowded := hot.limit(1).count()
-    ) else dealt.select("t", "key", *none, "code", "rep", "text_hash", "fps")
-    if crowded:
-        fine = [m - (1 << 64) if m >> 63 else m for m in masks(n, bits, 3)]
-        again = F.array(*[F.struct(F.lit(k + 1).alias("t2"), F.col("code").bitwiseAND(F.lit(m)).alias("key2")) for k, m in enumerate(fine)])
-        split = _dealt(some, masks(n, bits), prints, "t", "key").join(hot, ["t", "key"], "left_semi").select("*", F.inline(again))
-        dealt = dealt.unionByName(split.select(*dealt.columns))
+    columns = ["t", "key", F.lit(0).alias("t2"), F.lit(0).cast("long").alias("key2"), "code", "rep", "text_hash", "fps"]
+    if not hot.limit(1).count():
+        dealt = dealt.select(*columns)
+    else:  # cut the crowded nodes finer
+        cold = dealt.join(hot, ["t", "key"], "left_anti").select(*columns)
+        finer = [
+            F.struct(F.lit(k).alias("t2"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("key2"))
+            for k, m in enumerate(masks(n, bits, 3), 1)
+        ]
+        split = dealt.join(hot, ["t", "key"], "left_semi").select("*", F.inline(F.array(*finer)))
+        dealt = cold.unionByName(split.select(*cold.columns))
     found = dealt.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(
         _search(bits, prints, most), "a long, a_text long, b long, b_text long"
     )
