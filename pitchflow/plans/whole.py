@@ -365,3 +365,25 @@ def p7_merged_counts(spark, sf_dir):
     rejects = timejoin.settled(_passes(spark, sf_dir).where("reject is not null"))
     more = rejects.where("reject = 'flight'")
     return possession.merged_counts(possession.drop_counts(rejects, "passes"), possession.drop_counts(more, "passes again"))
+
+
+def _goal_tables(spark, sf_dir):
+    """Goals by source, and assists, out of the derived matches."""
+    region = QUERIES["e15_region_goals"](spark, sf_dir).selectExpr("video_id", "'goal_region' as source")
+    crossed = QUERIES["e16_line_goals"](spark, sf_dir).selectExpr("video_id", "'goal_line_crossing' as source")
+    shown = QUERIES["e14_score_increments"](spark, sf_dir).where("take_id = 2").selectExpr("video_id", "'scoreboard' as source")
+    return shown.unionByName(region).unionByName(crossed).where("video_id % 3 > 0"), QUERIES["e20_detect_assists"](spark, sf_dir).where("video_id % 2 = 1")
+
+
+_parts = {n: SQL[n][len(BASE) :] for n in ("e14_score_increments", "e15_region_goals", "e16_line_goals", "e20_detect_assists")}
+_split = {n: (b[: b.rindex("\nselect ")], b[b.rindex("\nselect ") :]) for n, b in _parts.items()}
+
+
+@query(f""", found_ as (select video_id, 'scoreboard' as source from {_inner(*_split["e14_score_increments"])} where take_id = 2 union all select video_id, 'goal_region' from {_inner(*_split["e15_region_goals"])} union all select video_id, 'goal_line_crossing' from {_inner(*_split["e16_line_goals"])}),
+kinds_ as (select video_id, count(*) as n, count(*) filter (source = 'scoreboard') as b, count(*) filter (source = 'goal_region') as r from found_ where video_id % 3 > 0 group by 1),
+given_ as (select video_id, count(*) as n from {_inner(*_split["e20_detect_assists"])} where video_id % 2 = 1 group by 1)
+select v.video_id, case when coalesce(k.n, 0) > 0 then 'available' when v.video_id % 2 = 0 then 'no_increment' else 'no_scoreboard' end as status, case when k.n > 0 then printf('%d by scoreboard, %d in marked regions, %d unspecified', k.b, k.r, k.n - k.b - k.r) end as reason,
+coalesce(k.n, 0)::bigint as n_goals, coalesce(g.n, 0)::bigint as n_assists from (select distinct video_id from frames) v left join kinds_ k using (video_id) left join given_ g using (video_id)""")
+def p13_goals_told(spark, sf_dir):
+    videos, (found, given) = ad.frames(spark, sf_dir).select("video_id").distinct(), _goal_tables(spark, sf_dir)
+    return goals.goal_availability(videos, ad.takes(spark, sf_dir), videos.where("video_id % 2 = 0"), found, given)
