@@ -121,7 +121,7 @@ select video_id, take_id, 'goal' as type, round(t_before, 6) as t_start, round(t
 
 SQL["e19_attribute_goals"] = BASE + """, level as (select video_id, take_id, cast(floor(frame_index / 40) as bigint) as score, min(t) as t_after, count(*) as n from frames group by 1, 2, 3),
 scored as (select video_id, take_id, t_after from level l where n >= 2 and t_after > (select min(t_after) from level f where f.video_id = l.video_id and f.take_id = l.take_id)),
-vote as (select s.video_id, s.take_id, s.t_after, p.player_track_id % 2 as team, sum(p.t_end - p.t_start) as held, min(p.t_start) as seen, arg_max(p.player_track_id, p.t_end) as scorer
+vote as (select s.video_id, s.take_id, s.t_after, p.raw % 2 as team, sum(p.t_end - p.t_start) as held, min(p.t_start) as seen, arg_max(p.player_track_id, p.t_end) as scorer
   from scored s join poss p on p.video_id = s.video_id and p.take_id = s.take_id and p.confidence >= 0.15 and p.t_end >= s.t_after - 8 and p.t_start <= s.t_after group by 1, 2, 3, 4),
 top as (select * from vote qualify row_number() over (partition by video_id, take_id, t_after order by held desc, seen) = 1)
 select s.video_id, s.take_id, round(s.t_after, 6) as t_after, round(0.75 * case when team is null then 0.5 else 0.8 end, 6)::double as confidence, team::int as team, scorer from scored s left join top using (video_id, take_id, t_after)"""

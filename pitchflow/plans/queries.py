@@ -49,12 +49,12 @@ dists as (select *, sqrt(pow(greatest(x1 - x, x - x2, 0), 2) + pow(greatest(y1 -
 nearest as (select *, row_number() over (partition by video_id, take_id, frame_index order by d, track_id) as best from dists),
 series as (select b.video_id, b.take_id, b.frame_index, b.t, b.conf, case when n.d <= 70 then n.track_id end as track_id, n.d as dist
   from balls b left join nearest n on n.best = 1 and b.video_id = n.video_id and b.take_id = n.take_id and b.frame_index = n.frame_index where b.conf >= 0.3),
-named as (select *, case when track_id = 10 then 9 else track_id end as identity from series where track_id is not null),
-held as (select *, case when identity <> lag(identity) over w or round(t - lag(t) over w, 9) >= 0.5 then 1 else 0 end as fresh from named
+called as (select *, case when track_id = 10 then 9 else track_id end as identity from series where track_id is not null),
+held as (select *, case when identity <> lag(identity) over w or round(t - lag(t) over w, 9) >= 0.5 then 1 else 0 end as fresh from called
   window w as (partition by video_id, take_id order by t)),
 prun as (select *, sum(fresh) over (partition by video_id, take_id order by t) as run_id from held),
-possruns as (select video_id, take_id, run_id, min(identity) as identity, min(t) as t_start, max(t) as t_end, count(*) as n, avg(dist) as mean_dist from prun group by 1, 2, 3),
-poss as (select video_id, take_id, identity as player_track_id, t_start, t_end, n, mean_dist, least(greatest((8 + identity % 3) / 10e0 * (0.5 * least(1.0, n / (greatest(1.0, round_even((t_end - t_start) * 25, 0)) + 1))
+possruns as (select video_id, take_id, run_id, min(identity) as identity, min(t) as t_start, max(t) as t_end, count(*) as n, avg(dist) as mean_dist, max(track_id) as raw from prun group by 1, 2, 3),
+poss as (select video_id, take_id, identity as player_track_id, raw, t_start, t_end, n, mean_dist, least(greatest((8 + identity % 3) / 10e0 * (0.5 * least(1.0, n / (greatest(1.0, round_even((t_end - t_start) * 25, 0)) + 1))
   + 0.5 * greatest(0, 1 - mean_dist / 70)), 0.1), 0.4) as confidence from possruns where round(t_end - t_start, 9) >= 0.3),
 happened as (select video_id, take_id, player_track_id, 'sprint' as type, t_start, t_end, confidence from sprints where confidence >= 0.15
   union all select video_id, take_id, player_track_id, 'possession', t_start, t_end, confidence from poss where confidence >= 0.15)

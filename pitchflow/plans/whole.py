@@ -44,7 +44,7 @@ dribbles as (select d.*, least(greatest((8 + id % 3) / 10e0 * (0.5 * least(1.0,
 
 _at, _to = BASE.index("near as ("), BASE.index("possruns as (")
 CARRIED = """, carried as (select video_id, take_id, frame_index, t, (x1 + x2) / 2 - 5 as x1, (y1 + y2) / 2 - 5 as y1, (x1 + x2) / 2 + 5 as x2, (y1 + y2) / 2 + 5 as y2, conf from boxes where track_id = take_id % 10 + 1), """ + re.sub(
-    r"\b(near|dists|nearest|series|named|held|prun)\b", r"\g<1>_c", BASE[_at:_to].rstrip().rstrip(",")).replace("from balls b", "from carried b")
+    r"\b(near|dists|nearest|series|called|held|prun)\b", r"\g<1>_c", BASE[_at:_to].rstrip().rstrip(",")).replace("from balls b", "from carried b")
 SQL["e9_detect_dribbles"] = BASE + CARRIED + _dribbles("prun_c") + """
 select video_id, take_id, 'dribble' as type, id as player_track_id, round(s, 6) as t_start, round(e, 6) as t_end, round(travel, 6) as travel, acting, round(c, 6) as confidence from dribbles where c >= 0.15"""
 
