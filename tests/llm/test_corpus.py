@@ -440,6 +440,67 @@ def test_crf_marginals_by_enumeration():
     assert np.allclose(pairs, total)
 
 
+def test_label_model_by_enumeration():
+    rng = np.random.default_rng(4)
+    m, every = 5, np.arange(32)
+    v = toxicity.unpacked(every, m)
+    rates = rng.uniform(0.05, 0.95, (2, m, 2))
+    model = toxicity.LabelModel(0.3, np.array([-1, 0, 0, 1, 3]), rates)
+    joint = np.exp(model.joint(v))
+    assert np.isclose(joint.sum(), 1)
+    for k in (0, 7, 21, 30):
+        p = [1.0, 1.0]
+        for c in (0, 1):
+            p[c] *= (0.7, 0.3)[c]
+            for i, j in enumerate(model.parent):
+                yes = rates[c, i, int(v[k, j]) if j >= 0 else 0]
+                p[c] *= yes if v[k, i] else 1 - yes
+        assert np.isclose(model.posterior(np.array([k]))[0], p[1] / sum(p))
+    # the most likely tree model of the model's own distribution is the model
+    learnt = toxicity.fitted(toxicity.moments(v, joint * 1e7))
+    assert np.allclose(np.exp(learnt.joint(v)), joint, atol=1e-4)
+
+
+def test_label_model_recovers_accuracies(spark):
+    rng = np.random.default_rng(5)
+    n, names = 40000, toxicity.VOTERS
+    truth = rng.random(n) < 0.2
+    votes = np.zeros((n, len(names)), bool)
+    votes[:, 0] = np.where(truth, rng.random(n) < 0.8, rng.random(n) < 0.05)
+    votes[:, 1] = np.where(rng.random(n) < 0.98, votes[:, 0], ~votes[:, 0])  # a copy of the first voter
+    for k in range(2, 7):
+        votes[:, k] = np.where(truth, rng.random(n) < 0.6, rng.random(n) < 0.1)
+    bits = (votes.astype(np.int64) << np.arange(len(names))).sum(axis=1)
+    gold = np.arange(n) < 4000
+    rows = defaultdict(lambda: [0, 0, 0])
+    for b, t, g in zip(bits.tolist(), truth.tolist(), gold.tolist()):
+        rows[b][0] += 1
+        rows[b][1 + t] += g
+    table = spark.createDataFrame([(b, *x) for b, x in rows.items()], "votes long, n long, clean long, toxic long").repartition(3)
+    model = toxicity.label_model(table)
+    assert abs(model.prior - 0.2) < 0.03
+    assert model.correlation[0, 1] > 0.8 and abs(model.correlation[2, 3]) < 0.1
+    assert 1 in (model.parent[0], *np.flatnonzero(model.parent == 0))  # the copy depends on its twin
+    p = model.posterior(bits)
+    twice = votes[:, 0] & votes[:, 1] & ~votes[:, 2:].any(axis=1)
+    want = truth[twice].mean()
+    assert abs(p[twice].mean() - want) < 0.05  # two copies of one voter count once
+    blind = toxicity.label_model(table.withColumns({"clean": F.lit(0), "toxic": F.lit(0)}))
+    assert 0 <= blind.prior <= 1 and np.isfinite(blind.posterior(bits)).all()
+
+
+def test_toxicity_edges(spark):
+    rows = [(1, None), (1, ""), (None, "IDIOT idiot"), (2, "w " * 200000 + "moron"), (3, "moron scum trash"), (3, "moron scum trash")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(3)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("votes", "label", "score", "row", "n")})
+    for truth in (labels, labels.where("false")):
+        out = toxicity.toxicity(docs, truth).collect()
+        assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+        assert len({r.score for r in out if r.doc_id == 3}) == 1 == len({r.score for r in out if r.doc_id == 1})
+        assert next(r for r in out if r.doc_id is None).votes >> toxicity.VOTERS.index("insult") & 1
+    assert toxicity.toxicity(docs.where("false"), labels).count() == 0
+
+
 def test_classifiers_on_held_out_rows(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -466,7 +527,6 @@ def test_odd_and_empty_rows(spark, odd):
     for df, n in ((odd, 4), (none, 0)):
         assert rules.judge(df).count() == n
         assert quality.scored(df, quality.train(df, labels)).count() == n
-        assert toxicity.toxicity(df, labels).count() == n
         assert simhash.near_duplicates(df).count() == n
         assert lines.dedup_lines(df).count() == n
         assert substring.dedup_substrings(df).count() == n

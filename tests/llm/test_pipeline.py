@@ -53,3 +53,32 @@ def test_run_against_brute_force(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in got)
     places = [r.mix_position for r in got]
     assert places == sorted(places) and len(set(places)) == len(places)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, and no rows at all."""
+    from tests_llm_helpers import words
+
+    rng = random.Random(3)
+    text, long = words(rng, 40), words(rng, 100000, 10**6)
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, text, None, None, None), (3, None, None, "b", 0), (4, "", "en", "b", 0), (5, long, "en", "b", 0), (None, text, "en", "a", 1), (None, None, None, None, None)]
+    for name, data, kind in (("labels", [(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, None), (2, "zz yy xx ww vv uu")], "item_id long, text string")):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    odd = spark.createDataFrame(rows, DOC)
+    clash = ["n_lines", "score", "fps", "component_id", "text_hash", "row", "item_id", "hash", "w", "root", "shard"]
+    from pyspark.sql import functions as F
+
+    for extra in ([], clash):
+        docs = odd.withColumns({c: F.lit("x") for c in extra}) if extra else odd
+        left = {}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            kept = [r.asDict() for r in out.collect()]
+            assert out.columns[: len(docs.columns)] == docs.columns, name
+            assert all(k[c] == "x" for k in kept for c in extra), name
+            left[name] = sorted(str(k["doc_id"]) for k in kept)
+            assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+        every = sorted(str(r[0]) for r in rows)
+        assert left["quality classifier"] == every  # nothing to learn from
+        assert left["line dedup"] == every and left["benchmark decontamination"] == every and left["mixing sources to target weights"] == every
+        assert left["SimHash near-dedup"] == sorted(["1", "1", "3", "5", "None", "None"])
