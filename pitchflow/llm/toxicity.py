@@ -5,8 +5,8 @@ lengths) a lexicon drawn from a bounded sample of labelled rows votes on hits, s
 fixed patterns vote on insults, shouting, signs and repetition. A generative label model explains the votes of all documents
 by a latent class: within a class each voter depends on one other voter (the tree of most mutual information, so copies of
 one voter do not count twice), with a yes rate for either vote of that one. EM fits it to counts of vote patterns over the
-whole corpus. A linear classifier over hashed words and parts of words then learns the posterior labels of a bounded sample,
-and scores every document; it sees words that no voter knows.
+whole corpus. A linear classifier over the votes, words and beginnings then learns the posterior
+labels of a bounded sample, and scores every document; it sees words that no voter knows.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +41,8 @@ WORD = re.compile(r"[^\W\d_]+")
 INSULTS = frozenset(("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown"))
 SIGNS = "#$%&*"
 ROUNDS = 8
-#: Hashed features of the classifier: words and their beginnings of some lengths; how many sample documents must hold one;
-#: and the weight of their squares in the fit. The votes are features as well.
-WIDTH = 1 << 18
+#: Features of the classifier: words and their beginnings of some lengths; how many sample documents must hold one; and the
+#: weight of their squares in the fit. The votes are features as well.
 PARTS = (3, 5)
 FEATURE_DOCS = 8
 PENALTY = 2e-4
@@ -77,39 +76,70 @@ def lexicon(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> tuple[d
     return {r.entry: r.strong for r in found.collect()}, toxic / n
 
 
-def vote(text: str, names: dict[str, bool], known: dict[str, list[tuple[int, bool]]]) -> int:
-    """The votes on a text as bits, in the order of ``VOTERS``. ``known`` caches the entries of words."""
+def pieces(word: str) -> list[tuple[int, str]]:
+    """(kind, piece) of each entry of a lower-cased word, as ``entries`` spells them."""
+    n = len(word)
+    return [(0, word), *[(k + 1, word[:m]) for k, m in enumerate(BEGINNINGS) if n > m], *[(len(BEGINNINGS) + 1 + k, word[-m:]) for k, m in enumerate(ENDINGS) if n > m]]
+
+
+class Known(dict):
+    """Of each word as written: its lexicon entries (kind, strong), whether it is an insult, whether it is in capitals,
+    whether any of this holds, and the sum and number of its features; emptied when it gets large."""
+
+    def __init__(self, names: dict[str, bool], weights: dict[str, float] | None = None):
+        super().__init__()
+        self.lexicons: list[dict[str, bool]] = [{} for _ in KINDS]
+        for e, strong in names.items():
+            kind = "w" if e[0] == "w" else e[:2]
+            self.lexicons[KINDS.index(kind)][e[len(kind) :]] = strong
+        self.weights = weights
+
+    def __missing__(self, written: str) -> tuple:
+        if len(self) > 500_000:
+            self.clear()
+        word, lexicons = written.lower(), self.lexicons
+        held = [(kind, lexicons[kind][piece]) for kind, piece in pieces(word) if piece in lexicons[kind]]
+        insult, capitals = word in INSULTS, len(word) > 2 and written.isupper()
+        total, own = 0.0, 0
+        if self.weights is not None:
+            for f in features(word):
+                total += self.weights.get(f, 0.0)
+                own += 1
+        out = self[written] = (held, insult, capitals, bool(held) or capitals or insult, total, own)
+        return out
+
+
+def vote(text: str, known: Known) -> tuple[int, float, int]:
+    """The votes on a text as bits, in the order of ``VOTERS``, and the sum and number of its distinct words' features."""
     words = WORD.findall(text)
     n = len(words)
-    counts = Counter(w.lower() for w in words)
     strong, weak, times = [0] * len(KINDS), [0] * len(KINDS), [0] * len(KINDS)
-    for word, k in counts.items():
-        held = known.get(word)
-        if held is None:
-            if len(known) > 500_000:
-                known.clear()
-            held = known[word] = [(KINDS.index(e[0] if e[0] == "w" else e[:2]), names[e]) for e in entries(word) if e in names]
+    insults, shouted, capitals, total, size = set(), False, 0, 0.0, 0
+    for written, k in Counter(words).items():
+        held, insult, loud, any_, value, own = known[written]
+        total += value
+        size += own
+        if not any_:
+            continue
         for kind, sure in held:
             if sure:
                 strong[kind] += 1
                 times[kind] += k
             else:
                 weak[kind] += 1
+        if insult:
+            insults.add(written.lower())
+            shouted = shouted or loud
+        capitals += loud * k
     bits = []
     for s, w, t in zip(strong, weak, times, strict=True):
         bits += [s > 0, s > 1, t > 1 and t * 200 >= n, w + s > 1 + math.log1p(n) / 2]
-    insults = INSULTS & counts.keys()
-    capitals = sum(w.isupper() and len(w) > 2 for w in words)
-    run = longest = 0
-    last = None
-    for w in words:
-        run = run + 1 if w == last else 1
-        longest, last = max(longest, run), w
+    same = bytes(map(eq, words, words[1:]))  # four equal words in a row are three ones
     bits += [
-        bool(insults), len(insults) > 1, bool(insults) and any(w.isupper() and w.lower() in insults for w in words), capitals * 2 > n > 0,
-        sum(map(text.count, SIGNS)) * 5 > n > 0, text.count("!") * 5 > n > 0, longest > 3, n < 20,
+        bool(insults), len(insults) > 1, shouted, capitals * 2 > n > 0,
+        sum(map(text.count, SIGNS)) * 5 > n > 0, text.count("!") * 5 > n > 0, b"\1\1\1" in same, n < 20,
     ]
-    return sum(b << k for k, b in enumerate(bits))
+    return sum(b << k for k, b in enumerate(bits)), total, size
 
 
 def votes(docs: DataFrame, names: dict[str, bool]) -> DataFrame:
@@ -118,9 +148,9 @@ def votes(docs: DataFrame, names: dict[str, bool]) -> DataFrame:
 
     @F.pandas_udf("long")
     def look(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, list[tuple[int, bool]]] = {}
+        known = Known(sent.value)
         for part in parts:
-            yield pd.Series([vote(x, sent.value, known) for x in part], dtype="int64")
+            yield pd.Series([vote(x, known)[0] for x in part], dtype="int64")
 
     return stored(texts(docs).select("doc_id", look("text").alias("votes")), "votes")
 
@@ -231,37 +261,38 @@ def label_model(patterns: DataFrame, rounds: int = ROUNDS, m: int = len(VOTERS))
     return model
 
 
-def features(word: str) -> list[int]:
-    """The hashed features of a lower-cased word."""
-    own = [word, *[f"^{word[:k]}" for k in PARTS if len(word) > k]]
-    return [xxhash.xxh32_intdigest(e.encode("utf-8", "surrogatepass")) % WIDTH for e in own]
+def features(word: str) -> list[str]:
+    """The features of a lower-cased word: itself and its beginnings."""
+    n = len(word)
+    return [word, *["^" + word[:k] for k in PARTS if n > k]]
 
 
-@column_function("array<int>")
+@column_function("array<string>")
 def _features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
-        yield pd.Series([[f for w in set(WORD.findall(x.lower())) for f in features(w)] for x in part])
+        yield pd.Series([[f for w in dict.fromkeys(WORD.findall(x)) for f in features(w.lower())] for x in part])
 
 
 def scale_of(n):
-    """What a text's hashed features count, with n of them: less in long texts."""
+    """What a text's features count, with n of them: less in long texts."""
     return np.maximum(n, 1.0) ** -0.5
 
 
 @dataclass
 class Linear:
-    """Weights of the hashed features, of the votes, and the bias."""
+    """Weights of the words and beginnings, of the votes, and the bias."""
 
-    hashed: np.ndarray
+    words: dict[str, float]
     votes: np.ndarray
     bias: float
 
 
-def fit_linear(rows: list[list[int]], sizes: np.ndarray, v: np.ndarray, target: np.ndarray, steps: int = 150) -> Linear:
-    """A logistic fit by Adam. A row has hashed features (with repeats), their number before any was left out, and votes."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.fromiter((x for r in rows for x in r), np.int64, len(at))
-    used, of = np.unique(flat, return_inverse=True)
+def fit_linear(rows: list[np.ndarray], names: dict[int, str], sizes: np.ndarray, v: np.ndarray, target: np.ndarray, steps: int = 150) -> Linear:
+    """A logistic fit by Adam. A row has features (keys of ``names``, with repeats), their number before any was left out,
+    and votes."""
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    used, of = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_inverse=True)
+    of = of.astype(np.int32)
     value = scale_of(sizes)[at]
     k = len(used)
     w = np.zeros(k + v.shape[1] + 1)
@@ -275,9 +306,13 @@ def fit_linear(rows: list[list[int]], sizes: np.ndarray, v: np.ndarray, target:
         m = 0.9 * m + 0.1 * g
         s = 0.99 * s + 0.01 * g * g
         w += 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    hashed = np.zeros(WIDTH)
-    hashed[used] = w[:k]
-    return Linear(hashed, w[k:-1], float(w[-1]))
+    return Linear({names[f]: x for f, x in zip(used.tolist(), w[:k].tolist(), strict=True)}, w[k:-1], float(w[-1]))
+
+
+@column_function("binary")
+def _bytes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        yield pd.Series([np.sort(np.array([] if x is None else x, np.int64)).tobytes() for x in part])
 
 
 def train(docs: DataFrame, seen: DataFrame, model: LabelModel, most: int = LEARN_DOCS) -> Linear:
@@ -290,12 +325,15 @@ def train(docs: DataFrame, seen: DataFrame, model: LabelModel, most: int = LEARN
     sample = texts(docs).where(taken).join(ids, F.col("doc_id") == F.col("__id")).select("votes", _features("text").alias("all"))
     sample = stored(sample.withColumn("row", F.monotonically_increasing_id()), "features")
     one = sample.select("row", F.explode("all").alias("f"))
-    often = one.distinct().groupBy("f").count().where(F.col("count") >= FEATURE_DOCS).select("f")
-    kept = one.join(often, "f").groupBy("row").agg(F.collect_list("f").alias("kept"))
-    rows = sample.select("row", "votes", F.size("all").alias("n")).join(kept, "row", "left").orderBy("row").collect()
+    often = one.distinct().groupBy("f").count().where(F.col("count") >= FEATURE_DOCS)
+    often = stored(often.select("f", F.xxhash64("f").alias("key")), "kept-features")
+    kept = one.join(often, "f").groupBy("row").agg(F.collect_list("key").alias("kept"))
+    flat = sample.select("row", "votes", F.size("all").alias("n")).join(kept, "row", "left").select("row", "votes", "n", _bytes("kept").alias("kept"))
+    rows = flat.orderBy("row").collect()  # eight bytes a feature come to the driver
+    held = [np.frombuffer(r.kept, np.int64) for r in rows]
     patterns = np.array([r.votes for r in rows], np.int64)
     sizes = np.array([r.n for r in rows], float)
-    return fit_linear([sorted(r.kept or []) for r in rows], sizes, unpacked(patterns, len(VOTERS)), model.posterior(patterns))
+    return fit_linear(held, {r.key: r.f for r in often.collect()}, sizes, unpacked(patterns, len(VOTERS)), model.posterior(patterns))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> DataFrame:
@@ -320,24 +358,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> DataFr
     @F.pandas_udf("score double, votes long, weak_label double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         linear, told, lexicons = sent.value
-        cache: dict[str, tuple[float, int]] = {}
-        known: dict[str, list[tuple[int, bool]]] = {}
+        known = Known(lexicons, linear.words)
         for part in parts:
-            odds, bits = np.empty(len(part)), np.empty(len(part), np.int64)
-            for k, x in enumerate(part):
-                total, n = 0.0, 0
-                for w in sorted(set(WORD.findall(x.lower()))):
-                    one = cache.get(w)
-                    if one is None:
-                        if len(cache) > 500_000:
-                            cache.clear()
-                        own = features(w)
-                        one = cache[w] = (float(linear.hashed[own].sum()), len(own))
-                    total += one[0]
-                    n += one[1]
-                odds[k] = total * scale_of(n)
-                bits[k] = vote(x, lexicons, known)
-            odds += unpacked(bits, len(VOTERS)) @ linear.votes + linear.bias
+            rows = [vote(x, known) for x in part]
+            bits = np.array([r[0] for r in rows], np.int64)
+            odds = np.array([r[1] for r in rows]) * scale_of(np.array([r[2] for r in rows], float))
+            odds = odds + unpacked(bits, len(VOTERS)) @ linear.votes + linear.bias
             yield pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(odds, -30, 30))), "votes": bits, "weak_label": told.posterior(bits)})
 
     return texts(docs).select("doc_id", score("text").alias("s")).select("doc_id", "s.*")
