@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder where driver and executors share files: under ``SparkContext.setCheckpointDir``, or else under the
+    session's ``spark.checkpoint.dir``. Without either it is an error: a folder of one machine would not do."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("no folder to share tables in: call SparkContext.setCheckpointDir, or set spark.checkpoint.dir when the session starts")
     return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 

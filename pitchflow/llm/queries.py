@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, mixing, quality, rules, simhash, substring, toxicity, warc
+from . import chat, decontam, lines, mixing, phrases, quality, rules, simhash, spelling, substring, toxicity, warc
 from .common import remainder, stored, table
 
 
@@ -72,6 +72,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_simhash,
         op10_line_dedup,
+        op11_phrases,
+        op12_spelling,
         pipeline,
     )
 }
@@ -160,4 +170,34 @@ select doc_id, count(*) as n_lines, count(*) filter (last_doc is not null and do
 from k left join c using (key) group by doc_id
 """
 
-SQL: dict[str, str] = {"op4_warc": OP4, "op5_mix": OP5, "op6_chat": OP6, "op10_line_dedup": OP10}
+OP11 = """
+with t as (select coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') as pieces from documents),
+p as (select lang, unnest(pieces) as piece from t),
+w as (select lang, list_filter(string_split_regex(piece, '[ \\x09]+'), lambda x: x <> '') as ws from p),
+one as (select lang, phrase, count(*) as a from (select lang, unnest(ws) as phrase from w) group by all),
+two as (select lang, w1, w2, w1 || ' ' || w2 as phrase, count(*) as a
+        from (select lang, unnest(ws[:-2]) as w1, unnest(ws[2:]) as w2 from w) group by all having count(*) >= 10),
+three as (select lang, w1, w2, w3, w1 || ' ' || w2 || ' ' || w3 as phrase, count(*) as a
+          from (select lang, unnest(ws[:-3]) as w1, unnest(ws[2:-2]) as w2, unnest(ws[3:]) as w3 from w) group by all having count(*) >= 10),
+cuts as (
+  select two.lang, two.phrase, two.a, 1 as k, x.a as l, y.a as r from two
+  join one x on x.lang = two.lang and x.phrase = w1 join one y on y.lang = two.lang and y.phrase = w2
+  union all
+  select t.lang, t.phrase, t.a, 1, x.a, y.a from three t
+  join one x on x.lang = t.lang and x.phrase = t.w1 join two y on y.lang = t.lang and y.w1 = t.w2 and y.w2 = t.w3
+  union all
+  select t.lang, t.phrase, t.a, 2, x.a, y.a from three t
+  join two x on x.lang = t.lang and x.w1 = t.w1 and x.w2 = t.w2 join one y on y.lang = t.lang and y.phrase = t.w3),
+s as (select *, ((1000000::hugeint * a * a) // (l::hugeint * r))::bigint as score from cuts),
+best as (select *, row_number() over (partition by lang, phrase order by score, k) as nth from s),
+inside as (select lang, phrase, max(a) as inside from (
+  select lang, w1 || ' ' || w2 as phrase, a from three union all select lang, w2 || ' ' || w3, a from three) group by all),
+ranked as (select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+           from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase
+           where nth = 1 and (inside is null or 100 * inside < 50 * a)),
+n as (select lang, sum(a)::bigint as n from one group by lang)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op11_phrases": OP11, "op4_warc": OP4, "op5_mix": OP5, "op6_chat": OP6, "op10_line_dedup": OP10}
