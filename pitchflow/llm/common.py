@@ -21,6 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
 _MADE: list[str] = []
 
 
+def made(folder: str) -> str:
+    """Note a folder that ``sweep`` may delete."""
+    _MADE.append(folder)
+    return folder
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, mixing, phrases, quality, rules, simhash, spelling, substring, toxicity, warc
+from . import chat, decontam, lines, mixing, ngrams, phrases, quality, rules, simhash, spelling, substring, toxicity, warc
 from .common import remainder, stored, table
 
 
@@ -80,6 +80,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.perplexities(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_line_dedup,
         op11_phrases,
         op12_spelling,
+        op13_lm_score,
         pipeline,
     )
 }

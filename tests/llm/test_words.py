@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchflow.llm import common, phrases, spelling
+from pitchflow.llm import common, elias, ngrams, phrases, spelling
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ["a", "l", "phrase", "word", "n", "id", "near", "key", "score", "shard", "held_out"]
@@ -149,3 +149,96 @@ def test_shared_folder_needs_a_shared_place(spark):
     assert common.shared_folder(Session("hdfs://set", "s3a://conf")).startswith("hdfs://set/corpus-")
     with pytest.raises(RuntimeError, match="setCheckpointDir"):
         common.shared_folder(Session(None, None))
+
+
+def test_sequences():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 1), (1, 2**63), (5, 10), (1000, 2000), (3000, 2**64 - 1), (64, 64), (50_000, 2**40)):
+        v = np.unique(rng.integers(0, top, n, dtype=np.uint64)) if n else np.zeros(0, np.uint64)
+        s = elias.Sequence.of(v)
+        assert (s[np.arange(len(v))] == v).all()
+        q = np.concatenate([v, v + np.uint64(1), rng.integers(0, top, 500, dtype=np.uint64)])
+        place = {int(x): k for k, x in enumerate(v)}
+        assert s.find(q).tolist() == [place.get(int(x), -1) for x in q]
+        again = np.sort(np.repeat(v // np.uint64(3), 2))
+        assert (elias.Sequence.of(again)[np.arange(len(again))] == again).all()
+    codes, levels = elias.quantised(np.linspace(0.1, 1, 5000))
+    assert (levels[codes] <= np.linspace(0.1, 1, 5000)).all() and (levels[codes] > np.linspace(0.1, 1, 5000) - 0.01).all()
+
+
+def plain_scores(rows, order, least, discount):
+    """{row: (n_tokens, n_known, N, base, score)} of interpolated absolute discounting, without quantisation."""
+    held = [zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 10 == 0 for r in rows]
+    text = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")), None] for r in rows]
+    f = [Counter() for _ in range(order)]
+    for w, h in zip(text, held):
+        for size in range(1, order + 1):
+            if not h:
+                f[size - 1].update(tuple(w[k : k + size]) for k in range(len(w) - size + 1))
+    seen = [f[0], *[{p: n for p, n in f[size].items() if n >= least} for size in range(1, order)]]
+    after = defaultdict(list)
+    for size in range(1, order):
+        for p in seen[size]:
+            after[p[:-1]].append(p)
+    n, v = sum(f[0].values()), len(f[0])
+
+    def probability(context, w):
+        if not context:
+            return (f[0][w,] + 0.1) / (n + 0.1 * (v + 1))
+        short = probability(context[1:], w)
+        if not after[context]:
+            return short
+        total = f[len(context) - 1][context]
+        own = max(0.0, seen[len(context)].get((*context, w), 0) - discount) / total
+        return own + (1 - sum(seen[len(context)][p] - discount for p in after[context]) / total) * short
+
+    out = []
+    for w in text:
+        base = sum(math.log10(probability((), x)) for x in w)
+        score = sum(math.log10(probability(tuple(w[max(0, k - order + 1) : k]), x)) for k, x in enumerate(w))
+        out.append((len(w), sum(f[0][x,] > 0 for x in w), n, base, score))
+    return held, out
+
+
+@pytest.mark.parametrize("order,shard,chunk", [(3, 1 << 22, 1 << 21), (3, 60, 40), (2, 200, 1000)])
+def test_scores_equal_the_plain_model(spark, monkeypatch, order, shard, chunk):
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(30)]
+    text = lambda n: " ".join(vocab[min(29, int(rng.expovariate(0.2)))] for _ in range(n))
+    rows = [(k, text(rng.randrange(1, 60)) + " The End\tof it " * (k % 3), "en", "s", 0) for k in range(80)]
+    rows += [(k, rows[5][1], "en", None, 0) for k in range(100, 105)]
+    rows += [(None, None, None, None, None), (None, "a b", None, None, None), (3, "", "en", "s", 0), (4, text(300), "en", "s", 0), (10**9, "new words É alone", "en", "s", 0), rows[7]]
+
+    def run(ngrams):  # the functions that Spark sends take these along
+        saved = {k: getattr(ngrams, k) for k in ("SHARD_TOKENS", "CHUNK", "BYTES_A_TOKEN")}
+        ngrams.SHARD_TOKENS, ngrams.CHUNK, ngrams.BYTES_A_TOKEN = shard, chunk, 4
+        try:
+            docs = table(spark, rows)
+            held = common.remainder("doc_id", 10) == 0
+            model = ngrams.train(docs.where(~held), order)
+            return model, ngrams.scored(docs, model).collect()
+        finally:
+            for k, x in saved.items():
+                setattr(ngrams, k, x)
+
+    model, got = run(ngrams)
+    _, want = plain_scores(rows, order, ngrams.LEAST, ngrams.DISCOUNT)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], round(r[3], 6))
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got), key=key)
+    want = sorted(((r[0], *w[:2], *w[3:]) for r, w in zip(rows, want)), key=key)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-9)
+    assert np.allclose([r[4] for r in got], [r[4] for r in want], rtol=0.004)
+    assert all(a[4] <= b[4] + 1e-6 for a, b in zip(got, want))  # quantised downwards
+    assert sum(r[4] > r[3] for r in got) > 0.8 * len(got)
+
+
+def test_scores_of_odd_tables(spark):
+    out = ngrams.perplexities(table(spark, [(1, "a b", "en", "s", 0), (1, "a b", "en", "s", 0), (None, None, None, None, None)]))
+    assert out.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = out.collect()
+    assert len(rows) == 3 and len({r.score for r in rows if r.doc_id == 1}) == 1 and {r.train_tokens for r in rows} == {6}
+    assert ngrams.perplexities(table(spark, []).limit(0)).count() == 0
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
+    alone = ngrams.perplexities(table(spark, [(held, "a b", "en", "s", 0)])).first()
+    assert (alone.train_tokens, alone.n_known, alone.base_score, alone.score) == (0, 0, 0.0, 0.0)
