@@ -124,7 +124,7 @@ OP5 = f"""
 with recursive
 n as (select source, floor(sqrt(cast(count(*) as double)) * 16)::bigint as root from documents group by 1),
 s as (select source, greatest(1, ({mixing.SLOTS} * root) // (sum(root) over ())::bigint)::bigint as w from n),
-i as (select source, w, row_number() over (order by coalesce(source, '')) as i, (sum(w) over ())::bigint as period from s),
+i as (select source, w, row_number() over (order by w desc, coalesce(source, '')) as i, (sum(w) over ())::bigint as period from s),
 a as (select list(w order by i) as ws, any_value(period) as period from i),
 step(t, done, pick) as (
   select 0::bigint, list_transform(ws, lambda x: 0::bigint), 0::bigint from a
@@ -136,7 +136,7 @@ step(t, done, pick) as (
             then ((done[k] + 1) * period + ws[k] - 1) // ws[k] * 100000 + k else null end), 'min') % 100000 as p
         from step, a where t < period)),
 plan as (select t - 1 as slot, pick, row_number() over (partition by pick order by t) - 1 as nth from step where t > 0),
-r as (select doc_id, source, row_number() over (partition by source order by doc_id % {mixing.BUCKETS}, doc_id) - 1 as r
+r as (select doc_id, source, row_number() over (partition by source order by ('0x' || substr(md5(cast(doc_id as varchar)), 1, 8))::bigint % {mixing.BUCKETS}, doc_id) - 1 as r
       from documents)
 select r.doc_id, r.source, i.w as mix_weight, i.period as mix_period, r // {mixing.BLOCK} as mix_block,
        (r // {mixing.BLOCK}) // i.w * i.period + slot as mix_slot,

@@ -20,7 +20,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column_function, remainder, stored, texts
@@ -142,9 +142,9 @@ def vote(text: str, known: Known) -> tuple[int, float, int]:
     return sum(b << k for k, b in enumerate(bits)), total, size
 
 
-def votes(docs: DataFrame, names: dict[str, bool]) -> DataFrame:
-    """doc_id, votes (bits) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(names)
+def _voting(spark: SparkSession, names: dict[str, bool]):
+    """The votes (bits) of a column of texts."""
+    sent = spark.sparkContext.broadcast(names)
 
     @F.pandas_udf("long")
     def look(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -152,7 +152,12 @@ def votes(docs: DataFrame, names: dict[str, bool]) -> DataFrame:
         for part in parts:
             yield pd.Series([vote(x, known)[0] for x in part], dtype="int64")
 
-    return stored(texts(docs).select("doc_id", look("text").alias("votes")), "votes")
+    return look
+
+
+def votes(docs: DataFrame, names: dict[str, bool]) -> DataFrame:
+    """doc_id, votes (bits) of every row."""
+    return stored(texts(docs).select("doc_id", _voting(docs.sparkSession, names)("text").alias("votes")), "votes")
 
 
 def unpacked(patterns: np.ndarray, m: int) -> np.ndarray:
@@ -315,24 +320,24 @@ def _bytes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([np.sort(np.array([] if x is None else x, np.int64)).tobytes() for x in part])
 
 
-def train(docs: DataFrame, seen: DataFrame, model: LabelModel, most: int = LEARN_DOCS) -> Linear:
+def train(docs: DataFrame, rows: int, names: dict[str, bool], model: LabelModel, most: int = LEARN_DOCS) -> Linear:
     """The classifier, from the posterior labels of about ``most`` documents outside the held-out fold, taken by a threshold
-    on the hash of their ids. Features of fewer than ``FEATURE_DOCS`` of them are left out."""
-    n = seen.count()
+    on the hash of their ids; ``rows`` is the number of rows of ``docs``. Of several texts of one doc_id the first in order
+    counts, so that repeated rows do not break the bound. Features of fewer than ``FEATURE_DOCS`` of them are left out."""
     able = F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)
-    taken = able & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.25 * most / max(1, n))))
-    ids = seen.where(taken).groupBy("doc_id").agg(F.min("votes").alias("votes")).withColumnRenamed("doc_id", "__id")
-    sample = texts(docs).where(taken).join(ids, F.col("doc_id") == F.col("__id")).select("votes", _features("text").alias("all"))
+    taken = able & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.25 * most / max(1, rows))))
+    chosen = texts(docs).where(taken).groupBy("doc_id").agg(F.min("text").alias("text"))
+    sample = chosen.select(_voting(docs.sparkSession, names)("text").alias("votes"), _features("text").alias("all"))
     sample = stored(sample.withColumn("row", F.monotonically_increasing_id()), "features")
     one = sample.select("row", F.explode("all").alias("f"))
     often = one.distinct().groupBy("f").count().where(F.col("count") >= FEATURE_DOCS)
     often = stored(often.select("f", F.xxhash64("f").alias("key")), "kept-features")
     kept = one.join(often, "f").groupBy("row").agg(F.collect_list("key").alias("kept"))
     flat = sample.select("row", "votes", F.size("all").alias("n")).join(kept, "row", "left").select("row", "votes", "n", _bytes("kept").alias("kept"))
-    rows = flat.orderBy("row").collect()  # eight bytes a feature come to the driver
-    held = [np.frombuffer(r.kept, np.int64) for r in rows]
-    patterns = np.array([r.votes for r in rows], np.int64)
-    sizes = np.array([r.n for r in rows], float)
+    learnt = flat.orderBy("row").collect()  # eight bytes a feature come to the driver
+    held = [np.frombuffer(r.kept, np.int64) for r in learnt]
+    patterns = np.array([r.votes for r in learnt], np.int64)
+    sizes = np.array([r.n for r in learnt], float)
     return fit_linear(held, {r.key: r.f for r in often.collect()}, sizes, unpacked(patterns, len(VOTERS)), model.posterior(patterns))
 
 
@@ -353,7 +358,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> DataFr
         F.count("*").alias("n"), F.count_if(label == 0).alias("clean"), F.count_if(label == 1).alias("toxic")
     )
     model = label_model(stored(patterns, "patterns"))
-    sent = docs.sparkSession.sparkContext.broadcast((train(docs, seen, model), model, names))
+    sent = docs.sparkSession.sparkContext.broadcast((train(docs, seen.count(), names, model), model, names))
 
     @F.pandas_udf("score double, votes long, weak_label double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

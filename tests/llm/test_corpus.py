@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -379,8 +380,55 @@ def test_mixing_edges(spark):
     places = [r.mix_position for r in out if r.mix_position is not None]
     assert len(set(places)) == 4
     assert mixing.mix(df.where("false"), weights).count() == 0 and mixing.mix(df, weights.where("false")).count() == 6
-    with pytest.raises(ValueError):
-        mixing.mix(df, spark.createDataFrame([("a", 10**6)], "source string, w long"))
+    large = mixing.mix(df, spark.createDataFrame([("a", 10**9), (None, 10**9 - 1)], "source string, w long"), block=1)
+    assert sorted(r.mix_position for r in large.collect() if r.mix_position is not None) == [0, 1, 2, 4]
+
+
+def pfair(weights, slots):
+    """[(source, nth)] by the rule itself, one source after the other."""
+    order = sorted(weights, key=lambda s: (-weights[s], s))
+    period, done, out = sum(weights.values()), dict.fromkeys(weights, 0), []
+    for t in range(slots):
+        able = [s for s in order if done[s] < weights[s] and done[s] * period // weights[s] <= t]
+        best = min(able, key=lambda s: (-(-(done[s] + 1) * period // weights[s]), order.index(s)))
+        out.append((best, done[best]))
+        done[best] += 1
+    return out
+
+
+def test_schedule_equals_the_rule(spark, monkeypatch):
+    rng = random.Random(2)
+    for piece in (1 << 13, 7):
+        monkeypatch.setattr(mixing, "PIECE", piece)
+        weights = {f"s{k:02d}": rng.choice([1, 1, 2, 3, 5, 5, 9, 13]) for k in range(20)}
+        got = mixing.schedule(spark.createDataFrame(list(weights.items()), "source string, w long")).collect()
+        want = pfair(weights, sum(weights.values()))
+        assert [(r.source, r.nth) for r in sorted(got, key=lambda r: r.slot)] == want
+        seen, period = Counter(), sum(weights.values())
+        for t, (s, _) in enumerate(want, 1):
+            seen[s] += 1
+            assert all(abs(seen[x] * period - w * t) < period for x, w in weights.items())
+
+
+def test_mixing_of_many_sources_and_of_ids_in_step(spark):
+    rows = spark.range(140_000).selectExpr("id * 1024 as doc_id", "cast(id % 70000 as string) as source", "'t' as text")
+    out = mixing.mix(rows)
+    r = out.agg(F.count("mix_position"), F.count_distinct("mix_position"), F.max("mix_period"), F.count_distinct("source")).first()
+    assert tuple(r) == (140_000, 140_000, 70_000, 70_000)
+    buckets = rows.groupBy(mixing.bucket_of().alias("b")).count().agg(F.count("*"), F.max("count")).first()
+    assert buckets[0] > 16_000 and buckets[1] < 40
+
+
+def test_a_hot_id_brings_one_row_to_the_toxicity_fit(spark, monkeypatch):
+    """However many rows an id has, the classifier takes one text of it."""
+    rng, seen = random.Random(1), []
+    rows = [(7, words(rng, 30), "en", "s", 0) for _ in range(600)] + [(k, words(rng, 30) + (" idiot" if k % 5 == 0 else ""), "en", "s", 0) for k in range(100, 300)]
+    df = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(100, 300)], "doc_id long, quality int, toxic int")
+    fit = toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda rows_, *more: seen.append(len(rows_)) or fit(rows_, *more))
+    assert toxicity.toxicity(df, labels).count() == 800
+    assert seen == [len({r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 5})]
 
 
 def test_chat_round_trip(spark):
