@@ -32,7 +32,7 @@ COVERED = 50
 #: Bits of a bitmap: at least so many for each phrase in it, up to 2**27 (16 MB, the most that is broadcast of one).
 SPARSE, MOST_BITS = 16, 27
 #: A task counts so many words at a time, and takes them in parts of a text of so many.
-CHUNK, PART = 1 << 21, 1 << 19
+CHUNK, PART = 1 << 20, 1 << 18
 #: The first wave goes to the level that so many times TOP pairs reach; each later one so many times deeper.
 FIRST, DEEPER = 2, 8
 UNIT = 1_000_000
@@ -171,7 +171,7 @@ def counted(docs: DataFrame, size: int, marks: dict[str, np.ndarray] | None = No
                     seq = np.fromiter(map(codes.__getitem__, some), np.int64, len(some))
                     held.setdefault(lang, []).append(np.append(seq, 0))
                     n += len(seq)
-                    if n >= CHUNK or len(codes) >= 1 << 20:
+                    if n >= CHUNK or len(codes) >= 1 << 19:
                         yield from flushed()
                         codes, held, n = Codes(), {}, 0
         yield from flushed()
