@@ -15,19 +15,23 @@ import numpy as np
 from pyarrow import fs
 
 _64 = np.uint64(64)
-_HALVES = tuple(np.uint64(s) for s in (32, 16, 8, 4, 2, 1))
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_1, _2, _4, _8, _56 = (np.uint64(k) for k in (1, 2, 4, 8, 56))
+_PAIRS, _FOURS, _BYTES, _BYTE = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0xFF))
+_IN_BYTE = np.array([[([k for k in range(8) if b >> k & 1] + [0] * 8)[n] for b in range(256)] for n in range(8)], np.int64).ravel()
 
 
 def _nth_one(word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Position of the n-th (from 0) one of each 64-bit word."""
-    word, n, at = word.copy(), n.copy(), np.zeros(len(word), np.int64)
-    for s in _HALVES:
-        ones = np.bitwise_count(word & ((np.uint64(1) << s) - np.uint64(1))).astype(np.int64)
-        up = n >= ones
-        n -= np.where(up, ones, 0)
-        word = np.where(up, word >> s, word)
-        at += np.where(up, int(s), 0)
-    return at
+    """Position of the n-th (from 0) one of each 64-bit word: counts of ones up to each byte in one multiplication, then a
+    table for the byte."""
+    n = n.astype(np.uint64)
+    ones = word - (word >> _1 & _PAIRS)
+    ones = (ones & _FOURS) + (ones >> _2 & _FOURS)
+    upto = (ones + (ones >> _4) & _BYTES) * _ONES
+    at = np.bitwise_count((n * _ONES | _TOPS) - upto & _TOPS).astype(np.uint64) * _8
+    at = np.minimum(at, _56)
+    before = (upto << _8) >> at & _BYTE
+    return at.astype(np.int64) + _IN_BYTE[((n - before) * np.uint64(256) + (word >> at & _BYTE)).astype(np.int64)]
 
 
 class Sequence:
@@ -36,6 +40,7 @@ class Sequence:
     def __init__(self, low: np.ndarray, high: np.ndarray, rank: np.ndarray, size: np.ndarray):
         self.low, self.high, self.rank = low, high, rank
         self.n, self.bits = int(size[0]), int(size[1])
+        self.zeros = np.arange(len(rank)) * 64 - rank
 
     @classmethod
     def of(cls, values: np.ndarray) -> Sequence:
@@ -82,26 +87,52 @@ class Sequence:
         at = word * 64 + _nth_one(self.high[word], i - self.rank[word])
         return (at - i).astype(np.uint64) << np.uint64(self.bits) | self._low(i)
 
+    def _group(self, h: np.ndarray) -> np.ndarray:
+        """Place of the first integer whose upper part is at least h (h below the number of zeros): a select of the zero
+        before its group."""
+        zero = np.maximum(h - 1, 0)
+        word = np.searchsorted(self.zeros, zero, "right") - 1
+        return np.where(h > 0, word * 64 + _nth_one(~self.high[word], zero - self.zeros[word]) + 1 - h, 0)
+
+    def _next_zero(self, at: np.ndarray) -> np.ndarray:
+        """Position of the first zero at or after each position of the upper bits."""
+        word, out = at >> 6, np.full(len(at), -1)
+        free = ~self.high[word] >> (at & 63).astype(np.uint64)
+        near = free != 0
+        low = free[near]
+        out[near] = at[near] + np.bitwise_count((low & (~low + _1)) - _1)
+        far = np.flatnonzero(~near)  # not in this word
+        if len(far):
+            zero = self.zeros[word[far] + 1]
+            beyond = np.searchsorted(self.zeros, zero, "right") - 1
+            out[far] = beyond * 64 + _nth_one(~self.high[beyond], zero - self.zeros[beyond])
+        return out
+
     def find(self, x: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
         """Places of the integers ``x`` in a sequence of different ones, -1 where they are not (before place ``below``)."""
         x = np.asarray(x, np.uint64)
         out = np.full(len(x), -1)
-        upper, lower = x >> np.uint64(self.bits), x & np.uint64((1 << self.bits) - 1)
-        live = np.flatnonzero(upper < np.uint64(len(self.high) * 64 - self.n))
-        h = upper[live].astype(np.int64)
-        zeros = np.arange(len(self.rank)) * 64 - self.rank
-        word = np.searchsorted(zeros, h - 1, "right") - 1  # select of the zero before the group of h
-        word = np.maximum(word, 0)
-        at = np.where(h > 0, word * 64 + _nth_one(~self.high[word], np.maximum(h - 1 - zeros[word], 0)) + 1, 0)
-        i = at - h
-        while len(live):
-            one = (at < len(self.high) * 64) & (i < self.n)
-            one[one] = (self.high[at[one] >> 6] >> (at[one] & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            live, at, i = live[one], at[one] + 1, i[one]
-            here, want = self._low(i), lower[live]
-            out[live[here == want]] = i[here == want]
-            on = here < want
-            live, at, i = live[on], at[on], i[on] + 1
+        upper = x >> np.uint64(self.bits)
+        live = np.flatnonzero(upper < np.uint64(int(self.zeros[-1])))
+        upper = upper[live].astype(np.int64)
+        at = self._group(upper)
+        end = self._next_zero(at + upper) - upper
+        want = x[live] & np.uint64((1 << self.bits) - 1)
+        on = np.flatnonzero(at < end)
+        live, at, end, want = live[on], at[on], end[on] - 1, want[on]
+        done: list[tuple] = []
+        while len(live):  # halve each group; the last integer left is compared
+            one = at == end
+            done.append((live[one], at[one], want[one]))
+            more = ~one
+            live, at, end, want = live[more], at[more], end[more], want[more]
+            middle = (at + end) >> 1
+            left = self._low(middle) >= want
+            at, end = np.where(left, at, middle + 1), np.where(left, middle, end)
+        if done:
+            live, at, want = (np.concatenate([d[k] for d in done]) for k in range(3))
+            hit = self._low(at) == want
+            out[live[hit]] = at[hit]
         return out if below is None else np.where(out < below, out, -1)
 
 
@@ -145,4 +176,4 @@ def opened(folder: str, name: str) -> dict[str, np.ndarray]:
     size = int.from_bytes(bytes(data[:8]), "little")
     head = json.loads(bytes(data[8 : 8 + size]))
     start = 8 + size
-    return {k: data[start + at : start + at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in head.items()}
+    return {k: np.asarray(data[start + at : start + at + n * np.dtype(t).itemsize].view(t)) for k, (t, n, at) in head.items()}

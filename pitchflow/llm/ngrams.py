@@ -80,7 +80,7 @@ class Model:
             name = self.levels[level].names[k]
             arrays = opened(self.folder, name) if name else {}
             kept = {x[:-4]: Sequence.named(arrays, x[:-4]) for x in arrays if x.endswith(".low")}
-            Model._maps[level, k] = kept | {x: np.asarray(a) for x, a in arrays.items() if "." not in x}
+            Model._maps[level, k] = kept | {x: a for x, a in arrays.items() if "." not in x}
         return Model._maps[level, k]
 
     def _by_shard(self, level: int, of: np.ndarray) -> Iterator[tuple[dict, np.ndarray, int]]:
