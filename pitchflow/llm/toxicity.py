@@ -45,6 +45,8 @@ ROUNDS = 8
 #: weight of their squares in the fit. The votes are features as well.
 PARTS = (3, 5)
 FEATURE_DOCS = 8
+#: Words that a task remembers at a time.
+MOST_KNOWN = 150_000
 PENALTY = 2e-4
 
 
@@ -95,10 +97,10 @@ class Known(dict):
         self.weights = weights
 
     def __missing__(self, written: str) -> tuple:
-        if len(self) > 500_000:
+        if len(self) > MOST_KNOWN:
             self.clear()
         word, lexicons = written.lower(), self.lexicons
-        held = [(kind, lexicons[kind][piece]) for kind, piece in pieces(word) if piece in lexicons[kind]]
+        held = [(kind, lexicons[kind][piece]) for kind, piece in pieces(word) if piece in lexicons[kind]] or ()
         insult, capitals = word in INSULTS, len(word) > 2 and written.isupper()
         total, own = 0.0, 0
         if self.weights is not None:
