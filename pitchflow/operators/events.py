@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import verdict
-from .possession import clamp, emitted
+from .possession import accepted, clamp, first_reject
 from .series import TRACK, ball_speed, threshold_segments, track_speed
 from .timejoin import TAKE, overlaps
 
 
-def detect_sprints(boxes: DataFrame, fps: float, params: dict = config.SPRINT) -> DataFrame:
-    """Fast segments of tracks with enough boxes; half continuity, half detector confidence, times the penalty."""
+def sprint_candidates(boxes: DataFrame, fps: float, params: dict = config.SPRINT) -> DataFrame:
+    """Fast segments of tracks with enough boxes, and a row for each track with fewer; with ``reject``. The confidence is
+    half continuity, half detector confidence, times the penalty."""
     size = F.count("*").over(Window.partitionBy(*TRACK))
-    moving = track_speed(boxes.withColumn("__size", size).where(F.col("__size") >= params["boxes"]), params["window"])
+    sized = boxes.withColumn("__size", size)
+    moving = track_speed(sized.where(F.col("__size") >= params["boxes"]), params["window"])
     found = threshold_segments(moving, "speed", params["threshold"], params["duration"], params["merge"], TRACK).drop("n", "mean")
     key = [F.col(c).alias(f"__{c}") for c in TRACK]
     samples = moving.select(*key, "t", "speed", F.col("conf").alias("c"))
@@ -25,7 +27,16 @@ def detect_sprints(boxes: DataFrame, fps: float, params: dict = config.SPRINT) -
     inside = found.join(samples, same).groupBy(*TRACK, "t_start", "t_end").agg(F.count("*").alias("n"), F.avg("c").alias("det"), F.avg("speed").alias("mean_speed"), F.max("speed").alias("peak_speed"))
     expected = F.greatest(F.lit(1.0), F.bround((F.col("t_end") - F.col("t_start")) * fps)) + 1
     conf = (0.5 * F.least(F.lit(1.0), F.col("n") / expected) + 0.5 * F.col("det")) * params["penalty"]
-    return emitted(inside.select(*TAKE, F.lit("sprint").alias("type"), F.col("track_id").alias("player_track_id"), "t_start", "t_end", "n", "mean_speed", "peak_speed", conf.alias("confidence")))
+    reject = first_reject((conf < config.MIN_EMIT, "sprint_below_min_emit_confidence"))
+    out = inside.select(*TAKE, F.lit("sprint").alias("type"), F.col("track_id").alias("player_track_id"), "t_start", "t_end", "n", "mean_speed", "peak_speed", conf.alias("confidence"), "det", reject.alias("reject"))
+    few = boxes.groupBy(*TRACK).agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n")).where(F.col("n") < params["boxes"])
+    short = few.select(*TAKE, F.lit("sprint").alias("type"), F.col("track_id").alias("player_track_id"), "t_start", "t_end", "n", F.lit("sprint_track_too_short").alias("reject"))
+    return out.unionByName(short, allowMissingColumns=True)
+
+
+def detect_sprints(boxes: DataFrame, fps: float, params: dict = config.SPRINT) -> DataFrame:
+    """Fast segments of tracks with enough boxes."""
+    return accepted(sprint_candidates(boxes, fps, params)).drop("det")
 
 
 def fast_ball(balls: DataFrame, frame_width: float, params: dict = config.SHOT) -> DataFrame:
@@ -38,10 +49,15 @@ def fast_ball(balls: DataFrame, frame_width: float, params: dict = config.SHOT)
     return out.withColumn("direction", share).drop("dx", "right", "left")
 
 
-def detect_shots(balls: DataFrame, frame_width: float, params: dict = config.SHOT) -> DataFrame:
-    found = fast_ball(balls, frame_width, params).where(F.col("direction") >= params["direction"])
+def shot_candidates(balls: DataFrame, frame_width: float, params: dict = config.SHOT) -> DataFrame:
+    """Segments of a fast ball with what a shot event says, and ``reject``."""
     conf = clamp(params["min"] + 0.1 * (F.col("peak") - params["threshold"]), params)
-    return emitted(found.select(*TAKE, F.lit("shot").alias("type"), "t_start", "t_end", "n", F.col("peak").alias("peak_speed"), "direction", conf.alias("confidence")))
+    reject = first_reject((F.col("direction") < params["direction"], "shot_direction_inconsistent"), (conf < config.MIN_EMIT, "shot_below_min_emit_confidence"))
+    return fast_ball(balls, frame_width, params).select(*TAKE, F.lit("shot").alias("type"), "t_start", "t_end", "n", F.col("peak").alias("peak_speed"), "direction", conf.alias("confidence"), reject.alias("reject"))
+
+
+def detect_shots(balls: DataFrame, frame_width: float, params: dict = config.SHOT) -> DataFrame:
+    return accepted(shot_candidates(balls, frame_width, params))
 
 
 def score_increments(readings: DataFrame, need: int = 2) -> DataFrame:
@@ -82,11 +98,13 @@ COLUMNS = (*TAKE, "type", "player_track_id", "t_start", "t_end", "confidence")
 
 
 def all_events(*parts: DataFrame) -> DataFrame:
-    """One table of the detectors' common columns, with ``acting_ids``: the tracks that did it (null where unknown)."""
+    """One table of the detectors' common columns, with ``acting_ids``: the tracks that did it (null where unknown), and
+    ``evidence`` (a VARIANT, null where a detector gives none)."""
     rows = []
     for p in parts:
         acting = F.col("acting_ids") if "acting_ids" in p.columns else F.lit(None).cast("array<bigint>")
-        rows.append(p.select(*[F.col(c) if c in p.columns else F.lit(None).cast("long").alias(c) for c in COLUMNS], acting.alias("acting_ids")))
+        told = F.col("evidence") if "evidence" in p.columns else F.lit(None).cast("variant")
+        rows.append(p.select(*[F.col(c) if c in p.columns else F.lit(None).cast("long").alias(c) for c in COLUMNS], acting.alias("acting_ids"), told.alias("evidence")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -1,27 +1,85 @@
-"""Every automatic event of every take in one go."""
+"""Every automatic event of every take in one go, and what was rejected on the way."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .duels import detect_dribbles, detect_saves
-from .events import all_events, basic_events
-from .possession import detect_passes, detect_possession, detect_tackles, detect_touches, possession_series, run_samples, runs_of, without_tackled_turnovers
+from .. import config
+from . import evidence as told
+from .duels import dribble_candidates, save_candidates
+from .events import shot_candidates, sprint_candidates
+from .possession import pass_candidates, possession_candidates, possession_series, run_samples, runs_of, tackle_candidates, touch_candidates
 from .series import ball_states
-from .timejoin import settled
+from .timejoin import TAKE, settled
 
+#: The reasons that rejected candidates for a pass or turnover are counted under.
+PASS_REASONS = {
+    "gap": "pass_gap_too_large", "not_kicked": "pass_passer_never_played_ball", "flight": "pass_flight_too_short", "debounce": "pass_debounced",
+    "too_far": "pass_ball_travel_too_far", "too_near": "pass_ball_travel_too_short", "team_unknown": "pass_team_confidence_too_low",
+    "turnover_disabled": "turnover_disabled",
+}
+COVERED = "turnover_suppressed_by_tackle"
+COLUMNS = (*TAKE, "type", "player_track_id", "t_start", "t_end", "confidence", "evidence", "reject")
 
-def take_events(balls: DataFrame, boxes: DataFrame, tracks: DataFrame, identities: DataFrame | None, frame_width: float, fps: float = 30.0) -> DataFrame:
-    """The events of all detectors, with ``acting_ids``; turnovers that a tackle covers are left out. ``identities`` as of
-    ``possession.run_samples``."""
+
+def _common(df: DataFrame, kind: str, **fields) -> DataFrame:
+    held = {c: F.col(c) if c in df.columns else F.lit(None).cast("bigint") for c in ("player_track_id",)}
+    out = df.withColumns(held).withColumn("evidence", told.pack(kind, **fields))
+    return out.select(*[F.col(c).cast("double").alias(c) if c in ("t_start", "t_end", "confidence") else F.col(c) for c in COLUMNS])
+
+
+def candidates(balls: DataFrame, boxes: DataFrame, tracks: DataFrame, identities: DataFrame | None, frame_width: float, fps: float = 30.0) -> DataFrame:
+    """One row for everything that a detector looked at, in every take: type (of the detector), player_track_id, t_start,
+    t_end, confidence, evidence, and ``reject``: the first rule that it fails, null for an event. A candidate for a pass is a
+    turnover once it is known to be one. ``identities`` as of ``possession.run_samples``."""
     states = settled(ball_states(balls, boxes))
     samples = settled(run_samples(possession_series(balls, boxes, tracks=tracks), identities))
-    runs = runs_of(samples)
-    passes = detect_passes(runs, tracks, states, fps).where("type is not null").withColumns({"player_track_id": F.col("passer"), "acting_ids": F.array("passer_track")})
-    tackles = settled(detect_tackles(runs, boxes, balls, tracks, fps)).withColumn("acting_ids", F.array("tackler"))
-    lost = without_tackled_turnovers(passes.where("type = 'turnover'"), tackles)
-    touches = detect_touches(balls, boxes, states, tracks=tracks, identities=identities).withColumn("acting_ids", F.array("raw_track_id"))
-    held = [df.withColumnRenamed("raw_track_ids", "acting_ids") for df in (detect_possession(runs, fps), detect_dribbles(samples, boxes, tracks, fps))]
-    saves = detect_saves(balls, boxes, tracks, frame_width).withColumn("acting_ids", F.array("player_track_id"))
-    return all_events(basic_events(boxes, balls, frame_width, fps), touches, *held, passes.where("type = 'pass'"), lost, tackles, saves)
+    runs = settled(runs_of(samples))
+    passes = settled(pass_candidates(runs, tracks, states, fps).withColumn("player_track_id", F.col("passer")))
+    named = F.create_map(*[F.lit(x) for kv in PASS_REASONS.items() for x in kv])
+    lost = (F.col("type") == "turnover") | F.col("reject").isin("turnover_disabled") | ((F.col("reject") == "confidence") & ~F.col("same"))
+    weak = F.when(F.col("reject") == "confidence", F.when(F.col("same"), "pass_below_min_emit_confidence").otherwise("turnover_below_min_emit_confidence"))
+    passes = passes.withColumns({"type": F.when(F.coalesce(lost, F.lit(False)), "turnover").otherwise("pass"), "reject": F.coalesce(weak, named[F.col("reject")])})
+    ball = {"ball_travel_px": "travel", "gap_s": "gap"}
+    parts = [
+        _common(sprint_candidates(boxes, fps), "sprint", track_id="player_track_id", peak_speed="peak_speed", mean_speed="mean_speed", mean_detection_confidence="det", n_boxes_in_window="n"),
+        _common(shot_candidates(balls, frame_width), "shot", peak_speed="peak_speed", direction_consistency="direction"),
+        _common(touch_candidates(balls, boxes, states, tracks=tracks, identities=identities), "touch", raw_track_id="raw_track_id", distance_px="dist", ball_confidence="ball_conf", ball_velocity_delta="delta_v"),
+        _common(possession_candidates(runs, fps), "possession", raw_track_ids="raw_track_ids", n_ball_samples="n", mean_distance_px="mean_dist"),
+        _common(dribble_candidates(samples, boxes, tracks, fps), "dribble", travel_bbox_heights="travel", contested=F.col("reject").isNull(), raw_track_ids="raw_track_ids"),
+        _common(passes.where("type = 'pass'"), "pass", passer_identity="passer", receiver_identity="receiver", passer_raw_track_id="passer_track", receiver_raw_track_id="receiver_track", kick_verified="kicked", **ball),
+        _common(
+            passes.where("type = 'turnover'"), "turnover", losing_identity="passer", receiving_identity="receiver", losing_raw_track_id="passer_track", receiving_raw_track_id="receiver_track",
+            losing_team="passer_team", receiving_team="receiver_team", **ball,
+        ),
+        _common(
+            tackle_candidates(runs, boxes, balls, tracks, fps), "tackle", tackler_identity="player_track_id", tackled_identity="loser", tackler_raw_track_id="tackler", tackled_raw_track_id="tackled",
+            closing_speed="closing_speed", gap_s="gap",
+        ),
+        _common(save_candidates(balls, boxes, tracks, frame_width), "save", goalkeeper_track_id="player_track_id", peak_speed_before="peak_before", peak_speed_after="peak_after", decelerated="decelerated", reversed_direction="reversed"),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = settled(every)
+    found = told.turnovers_without_tackles(every.where("reject is null"), config.TACKLE_WINDOW)
+    found = found.withColumn("reject", F.when(F.col("covered"), COVERED)).drop("covered")
+    return found.unionByName(every.where("reject is not null"))
+
+
+def events_of(every: DataFrame) -> DataFrame:
+    """The events among ``candidates``, with ``acting_ids``: the tracks that did them, by their evidence."""
+    out = every.where("reject is null").drop("reject")
+    return out.withColumn("acting_ids", told.acting_ids(out))
+
+
+def rejects_of(every: DataFrame) -> DataFrame:
+    """(stage, reason, n) of what was rejected; the stage is the type that the detector looks for."""
+    return every.where("reject is not null").groupBy(F.substring_index("reject", "_", 1).alias("stage"), F.col("reject").alias("reason")).agg(F.count("*").alias("n"))
+
+
+def take_events(balls: DataFrame, boxes: DataFrame, tracks: DataFrame, identities: DataFrame | None, frame_width: float, fps: float = 30.0) -> DataFrame:
+    """The events of all detectors, with ``evidence`` and ``acting_ids``; turnovers that a tackle covers are left out.
+    ``identities`` as of ``possession.run_samples``."""
+    return events_of(candidates(balls, boxes, tracks, identities, frame_width, fps))

@@ -16,16 +16,18 @@ from .timejoin import TAKE, nearest_in_time, nearest_player, settled
 def clamp(c: Column, params: dict) -> Column:
     return F.least(F.greatest(c, F.lit(params["min"])), F.lit(params["max"]))
 
+def first_reject(*rules: tuple[Column, str]) -> Column:
+    """The reason of the first rule that holds, in the order given; null if none does (a rule without answer does not)."""
+    return F.coalesce(*[F.when(rule, reason) for rule, reason in rules])
 
-def emitted(df: DataFrame) -> DataFrame:
-    return df.where(F.col("confidence") >= config.MIN_EMIT)
-
+def accepted(candidates: DataFrame) -> DataFrame:
+    """The candidates that no rule rejects."""
+    return candidates.where("reject is null").drop("reject")
 
 def drop_counts(df: DataFrame, stage: str) -> DataFrame:
     """(stage, reason, n) of the rows with a reject reason."""
     return df.where("reject is not null").groupBy(F.lit(stage).alias("stage"), F.col("reject").alias("reason")).agg(F.count("*").alias("n"))
 
-
 def merged_counts(*parts: DataFrame) -> DataFrame:
     """(stage, reason, n) of several stages' counts in one table."""
     out = parts[0]
@@ -33,7 +35,6 @@ def merged_counts(*parts: DataFrame) -> DataFrame:
         out = out.unionByName(p)
     return out.groupBy("stage", "reason").agg(F.sum("n").alias("n"))
 
-
 def possession_series(balls: DataFrame, boxes: DataFrame, params: dict = config.POSSESSION, tracks: DataFrame | None = None) -> DataFrame:
     """Balls with x, y and the track in possession: the nearest box, null beyond the distance. With ``tracks`` only
     players and goalkeepers can have the ball."""
@@ -43,7 +44,6 @@ def possession_series(balls: DataFrame, boxes: DataFrame, params: dict = config.
     near = nearest_player(rows, boxes, params["tolerance"])
     return near.withColumn("track_id", F.when(F.col("dist") <= params["distance"], F.col("track_id")))
 
-
 def run_samples(series: DataFrame, identities: DataFrame | None = None, params: dict = config.POSSESSION) -> DataFrame:
     """The samples with a track, with identity, identity_confidence and run_id. A loose ball does not end a run; another
     identity or a gap of ``merge`` does. ``identities``: video_id, take_id, track_id, identity, and confidence if known;
@@ -58,12 +58,10 @@ def run_samples(series: DataFrame, identities: DataFrame | None = None, params:
     new = (F.col("identity") != F.lag("identity").over(w)) | (F.round(F.col("t") - F.lag("t").over(w), 9) >= params["merge"])
     return held.withColumn("run_id", F.sum(F.when(new, 1).otherwise(0)).over(w))
 
-
 def possession_runs(series: DataFrame, identities: DataFrame | None = None, params: dict = config.POSSESSION) -> DataFrame:
     """Runs of samples of one identity, as ``run_samples`` cuts them."""
     return runs_of(run_samples(series, identities, params))
 
-
 def runs_of(samples: DataFrame) -> DataFrame:
     at = lambda f: f(F.struct("t", "track_id", "x", "y"), F.struct("t", "frame_index"))
     return samples.groupBy(*TAKE, "run_id").agg(
@@ -71,47 +69,79 @@ def runs_of(samples: DataFrame) -> DataFrame:
         F.avg("dist").alias("mean_dist"), F.sort_array(F.collect_set("track_id")).alias("raw_track_ids"), at(F.min_by).alias("first"), at(F.max_by).alias("last"),
     )
 
-
 def run_quality(distance: float = config.POSSESSION["distance"], fps: float = 30.0) -> Column:
     """Half continuity, half closeness, times the confidence of the identity."""
     frames = F.greatest(F.lit(1.0), F.bround((F.col("t_end") - F.col("t_start")) * fps)) + 1
     weight = config.CONTINUITY_WEIGHT
     return F.col("identity_confidence") * (weight * F.least(F.lit(1.0), F.col("n") / frames) + (1 - weight) * F.greatest(F.lit(0.0), 1 - F.col("mean_dist") / distance))
 
+def possession_candidates(runs: DataFrame, fps: float = 30.0, params: dict = config.POSSESSION) -> DataFrame:
+    """Every run with what a possession event says, and ``reject``."""
+    conf = clamp(run_quality(params["distance"], fps), params)
+    short = F.round(F.col("t_end") - F.col("t_start"), 9) < params["duration"]
+    reject = first_reject((short, "possession_run_below_min_duration"), (conf < config.MIN_EMIT, "possession_below_min_emit_confidence"))
+    return runs.select(*TAKE, F.lit("possession").alias("type"), F.col("identity").alias("player_track_id"), "t_start", "t_end", "n", "mean_dist", "raw_track_ids", conf.alias("confidence"), reject.alias("reject"))
 
 def detect_possession(runs: DataFrame, fps: float = 30.0, params: dict = config.POSSESSION) -> DataFrame:
-    long = runs.where(F.round(F.col("t_end") - F.col("t_start"), 9) >= params["duration"])
-    return emitted(long.select(*TAKE, F.lit("possession").alias("type"), F.col("identity").alias("player_track_id"), "t_start", "t_end", "n", "mean_dist", "raw_track_ids", clamp(run_quality(params["distance"], fps), params).alias("confidence")))
-
+    return accepted(possession_candidates(runs, fps, params))
 
 def contact_evidence(times: DataFrame, states: DataFrame, params: dict = config.TOUCH) -> DataFrame:
-    """``times`` with ``kicked``: whether the ball's velocity just before and just after differ by at least delta_v."""
+    """``times`` with ``kicked``: whether the ball's velocity just before and just after differ by at least delta_v, and
+    ``delta_v``, by how much (null where it is not known on both sides)."""
     w = params["window"]
     sides = times.select(*TAKE, "t").distinct().select(*TAKE, F.col("t").alias("__t0"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("__s")).withColumn("t", F.col("__t0") + F.col("__s") * w)
     near = nearest_in_time(sides, states.select(*TAKE, "t", "vx", "vy", "known"), w)
     at = lambda s: F.max(F.when(F.col("__s") == s, F.struct("near.vx", "near.vy", "near.known")))
     known = near.groupBy(*TAKE, F.col("__t0").alias("t")).agg(at(-1).alias("a"), at(1).alias("b")).where("a.known and b.known")
-    both = known.select(*TAKE, "t", (F.hypot(F.col("a.vx") - F.col("b.vx"), F.col("a.vy") - F.col("b.vy")) >= params["delta_v"]).alias("kicked"))
-    return times.join(both, [*TAKE, "t"], "left").withColumn("kicked", F.coalesce("kicked", F.lit(False)))
-
+    both = known.select(*TAKE, "t", F.hypot(F.col("a.vx") - F.col("b.vx"), F.col("a.vy") - F.col("b.vy")).alias("delta_v"))
+    return times.join(both, [*TAKE, "t"], "left").withColumn("kicked", F.coalesce(F.col("delta_v") >= params["delta_v"], F.lit(False)))
 
-def detect_touches(
+def touch_candidates(
     balls: DataFrame, boxes: DataFrame, states: DataFrame | None = None, params: dict = config.TOUCH, tracks: DataFrame | None = None, identities: DataFrame | None = None
 ) -> DataFrame:
-    """The ball near a box, once per identity and debounce gap; with ball states only where the ball changes its way.
-    ``tracks`` as of ``possession_series``, ``identities`` as of ``run_samples``; ``raw_track_id`` is the track that touched."""
-    near = possession_series(balls, boxes, params, tracks).where("track_id is not null").withColumnRenamed("track_id", "raw_track_id")
+    """Every ball with what a touch event says, and ``reject``: unsure balls, balls with no player near in time or place,
+    balls too soon after the identity's last touch, balls that keep their way, too little confidence. A rejected ball does not
+    count as a touch for those after it."""
+    if tracks is not None:
+        boxes = boxes.join(eligible(tracks).select(*TAKE, "track_id"), [*TAKE, "track_id"], "left_semi")
+    sure = balls.where(F.col("conf") >= params["conf"]).select(*TAKE, "frame_index", "t", "conf", cx().alias("x"), cy().alias("y"))
+    near = nearest_player(sure, boxes, params["tolerance"]).withColumnRenamed("track_id", "raw_track_id")
     if identities is not None:
         known = identities.select(*TAKE, F.col("track_id").alias("raw_track_id"), "identity")
-        near = near.join(known, [*TAKE, "raw_track_id"], "left").withColumn("track_id", F.coalesce("identity", "raw_track_id"))
+        near = near.join(known, [*TAKE, "raw_track_id"], "left").withColumn("track_id", F.coalesce("identity", "raw_track_id")).drop("identity")
     else:
         near = near.withColumn("track_id", F.col("raw_track_id"))
-    hits = debounced(near.select(*TAKE, "track_id", "t", "conf", "dist", "raw_track_id"), params["debounce"], [*TAKE, "track_id"])
     if states is not None:
-        hits = contact_evidence(hits, states, params).where("kicked").drop("kicked")
-    conf = params["min"] + (1 - F.col("dist") / params["distance"]) * F.col("conf") * (params["max"] - params["min"])
-    return emitted(hits.select(*TAKE, F.lit("touch").alias("type"), F.col("track_id").alias("player_track_id"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), "dist", "raw_track_id", clamp(conf, params).alias("confidence")))
+        near = contact_evidence(near, states, config.TOUCH | params)
+    else:
+        near = near.withColumns({"kicked": F.lit(True), "delta_v": F.lit(None).cast("double")})
+    conf = clamp(params["min"] + (1 - F.col("dist") / params["distance"]) * F.col("conf") * (params["max"] - params["min"]), params)
+    far = first_reject((F.col("raw_track_id").isNull(), "touch_no_track_near_ball_in_time"), (F.col("dist") > params["distance"], "touch_ball_too_far_from_any_player"))
+    weak = first_reject((~F.col("kicked"), "touch_no_contact_evidence"), (conf < config.MIN_EMIT, "touch_below_min_emit_confidence"))
+    rows = settled(near.withColumns({"far": far, "weak": weak, "confidence": conf}))
+    able = rows.where("far is null")
+    key = [*TAKE, "track_id"]
+    kept = debounced(able.where("weak is null").select(*key, "t").distinct(), params["debounce"], key)
+    # a kept time stands after the balls of its own instant, of which the first good one is the touch
+    mark = kept.select(*key, "t", F.lit(1).alias("__mark"))
+    both = able.withColumn("__mark", F.lit(0)).unionByName(mark, allowMissingColumns=True)
+    w = Window.partitionBy(*key)
+    last = F.last(F.when(F.col("__mark") == 1, F.col("t")), ignorenulls=True).over(w.orderBy("t", "__mark"))
+    again = F.row_number().over(Window.partitionBy(*key, "t", "__mark", F.col("weak").isNull()).orderBy("frame_index")) > 1
+    told = both.withColumns({"__soon": F.round(F.col("t") - last, 9) < params["debounce"], "__again": again & F.col("weak").isNull()}).where("__mark = 0")
+    told = told.withColumn("reject", F.when(F.col("__soon") | F.col("__again"), "touch_debounced").otherwise(F.col("weak")))
+    columns = [*TAKE, F.lit("touch").alias("type"), F.col("track_id").alias("player_track_id"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), "dist", "raw_track_id", F.col("conf").alias("ball_conf"), "delta_v", "confidence"]
+    out = told.select(*columns, "reject").unionByName(rows.where("far is not null").select(*columns, F.col("far").alias("reject")))
+    dim = balls.where(F.col("conf") < params["conf"]).select(*TAKE, F.lit("touch").alias("type"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), F.col("conf").alias("ball_conf"), F.lit("touch_ball_conf_too_low").alias("reject"))
+    return out.unionByName(dim, allowMissingColumns=True)
 
+def detect_touches(
+    balls: DataFrame, boxes: DataFrame, states: DataFrame | None = None, params: dict = config.TOUCH, tracks: DataFrame | None = None, identities: DataFrame | None = None
+) -> DataFrame:
+    """The ball near a box, once per identity and debounce gap; with ball states only where the ball changes its way.
+    ``tracks`` as of ``possession_series``, ``identities`` as of ``run_samples``; ``raw_track_id`` is the track that touched."""
+    found = accepted(touch_candidates(balls, boxes, states, params, tracks, identities))
+    return found.drop("ball_conf", "delta_v")
 
 def teammates(a: str, b: str, params: dict = config.KIT, team: float = config.PASS["team"]) -> Column:
     """Same team? Kit colours first (struct ``kit``: l, a, b), then team clusters; null when neither says."""
@@ -119,8 +149,11 @@ def teammates(a: str, b: str, params: dict = config.KIT, team: float = config.PA
     sure = (F.col(f"{a}.team_confidence") >= team) & (F.col(f"{b}.team_confidence") >= team)
     return F.when(d <= params["same"], True).when(d >= params["different"], False).when(sure, F.col(f"{a}.team") == F.col(f"{b}.team"))
 
-
 def detect_passes(runs: DataFrame, tracks: DataFrame, states: DataFrame | None = None, fps: float = 30.0, params: dict = config.PASS) -> DataFrame:
+    """``pass_candidates`` without the gap and the teams."""
+    return pass_candidates(runs, tracks, states, fps, params).drop("gap", "passer_team", "receiver_team", "same")
+
+def pass_candidates(runs: DataFrame, tracks: DataFrame, states: DataFrame | None = None, fps: float = 30.0, params: dict = config.PASS) -> DataFrame:
     """Passes and turnovers between neighbouring runs, and rejects with their reason: one row a candidate, ``type`` null
     for a reject. One scan holds the passer's debounce: an emitted pass re-arms it, a turnover does not. Without
     ``same_colour_required`` a change to the other team is a pass too; without ``turnovers`` it is a reject."""
@@ -146,7 +179,7 @@ def detect_passes(runs: DataFrame, tracks: DataFrame, states: DataFrame | None =
     conf = clamp(closeness * (F.col("a.quality") + F.col("b.quality")) / 2, params)
     off = F.when(~F.col("same") & F.lit(not params["turnovers"]), "turnover_disabled")
     rows = rows.withColumns({"early": early, "late": F.coalesce(late, off, F.when(conf < config.MIN_EMIT, "confidence")), "confidence": conf, "passer": F.col("a.identity"), "receiver": F.col("b.identity"), "passer_track": F.col("a.last.track_id"), "receiver_track": F.col("b.first.track_id"), "t_end": F.col("b.t_start")})
-    item = F.struct("t", "t_end", "receiver", "travel", "confidence", "same", "early", "late", "passer_track", "receiver_track", "kicked")
+    item = F.struct("t", "t_end", "receiver", "travel", "confidence", "same", "early", "late", "passer_track", "receiver_track", "kicked", "gap", F.col("ta.team").alias("passer_team"), F.col("tb.team").alias("receiver_team"))
     held = rows.groupBy(*TAKE, "passer").agg(F.array_sort(F.collect_list(item)).alias("all"))
     scan = F.expr(
         f"""aggregate(all, named_struct('last', cast(-1e18 as double), 'out', transform(slice(all, 1, 0), r -> struct(r, cast(null as string) as reason))),
@@ -157,39 +190,46 @@ def detect_passes(runs: DataFrame, tracks: DataFrame, states: DataFrame | None =
     )
     out = held.select(*TAKE, "passer", F.explode(scan).alias("o")).select(*TAKE, "passer", "o.r.*", F.col("o.reason").alias("reject"))
     kind = F.when(F.col("reject").isNull(), F.when(F.col("same"), "pass").otherwise("turnover"))
-    return out.select(*TAKE, kind.alias("type"), "passer", "receiver", F.col("t").alias("t_start"), "t_end", "travel", "confidence", "reject", "passer_track", "receiver_track", "kicked")
-
+    return out.select(*TAKE, kind.alias("type"), "passer", "receiver", F.col("t").alias("t_start"), "t_end", "travel", "confidence", "reject", "passer_track", "receiver_track", "kicked", "gap", "passer_team", "receiver_team", "same")
 
-def detect_tackles(runs: DataFrame, boxes: DataFrame, balls: DataFrame, tracks: DataFrame, fps: float = 30.0, params: dict = config.TACKLE) -> DataFrame:
-    """B wins the ball from A of the other team cluster within ``gap`` after closing in on it fast enough."""
+def tackle_candidates(runs: DataFrame, boxes: DataFrame, balls: DataFrame, tracks: DataFrame, fps: float = 30.0, params: dict = config.TACKLE) -> DataFrame:
+    """Every change from a run of A to one of B, and ``reject``: B wins the ball from A of the other team cluster within
+    ``gap`` after closing in on it fast enough over the time looked back on, which the event spans."""
     w = Window.partitionBy(*TAKE).orderBy("run_id")
     now = F.struct("identity", "t_start", "t_end", "first", "last", run_quality(fps=fps).alias("quality"))
     pairs = runs.select(*TAKE, now.alias("a"), F.lead(now).over(w).alias("b")).where("b is not null and a.identity <> b.identity")
-    gap = F.round(F.col("b.t_start") - F.col("a.t_end"), 9)
-    pairs = pairs.where((gap >= 0) & (gap <= params["gap"])).select(*TAKE, F.col("a.last.track_id").alias("tackled"), F.col("b.first.track_id").alias("tackler"), F.col("b.identity").alias("player"), F.col("a.t_end").alias("t_a"), F.col("b.t_start").alias("t_b"), ((F.col("a.quality") + F.col("b.quality")) / 2).alias("quality"))
+    pairs = pairs.select(*TAKE, F.col("a.last.track_id").alias("tackled"), F.col("b.first.track_id").alias("tackler"), F.col("a.identity").alias("loser"), F.col("b.identity").alias("player"), F.round(F.col("b.t_start") - F.col("a.t_end"), 9).alias("gap"), F.col("b.t_start").alias("t_b"), ((F.col("a.quality") + F.col("b.quality")) / 2).alias("quality"))
     team = tracks.select(*TAKE, F.col("track_id").alias("id"), "team", F.col("team_confidence").alias("sure"), F.col("t_start").alias("born"))
     for name in ("tackled", "tackler"):
         side = team.toDF("v_", "k_", f"id_{name}", f"team_{name}", f"sure_{name}", f"born_{name}")
-        pairs = pairs.join(side, (F.col("video_id") == F.col("v_")) & (F.col("take_id") == F.col("k_")) & (F.col(name) == F.col(f"id_{name}"))).drop("v_", "k_")
-    pairs = pairs.where((F.col("sure_tackled") >= params["team"]) & (F.col("sure_tackler") >= params["team"]) & (F.col("team_tackled") != F.col("team_tackler")))
-    pairs = pairs.select(*TAKE, "tackled", "tackler", "player", "t_a", "t_b", "quality", F.greatest(F.col("t_b") - params["lookback"], F.col("born_tackler")).alias("t0"))
+        pairs = pairs.join(side, (F.col("video_id") == F.col("v_")) & (F.col("take_id") == F.col("k_")) & (F.col(name) == F.col(f"id_{name}")), "left").drop("v_", "k_")
+    sure = (F.col("sure_tackled") >= params["team"]) & (F.col("sure_tackler") >= params["team"]) & (F.col("team_tackled") != F.col("team_tackler")).isNotNull()
+    early = first_reject(
+        (~F.col("gap").between(0, params["gap"]), "tackle_gap_too_large"), (~F.coalesce(sure, F.lit(False)), "tackle_team_confidence_too_low"),
+        (F.col("team_tackled") == F.col("team_tackler"), "tackle_same_team_not_opponent"), (F.col("born_tackler").isNull(), "tackle_missing_tackler_track"),
+    )
+    pairs = pairs.select(*TAKE, "tackled", "tackler", "loser", "player", "gap", "t_b", "quality", F.greatest(F.col("t_b") - params["lookback"], F.col("born_tackler")).alias("t0"), early.alias("early"))
     tol = config.POSSESSION["tolerance"]
     pairs = settled(pairs)
-    at = pairs.select(*TAKE, F.col("tackler").alias("track_id"), F.explode(F.array("t0", "t_b")).alias("t")).distinct()
+    at = pairs.where("early is null").select(*TAKE, F.col("tackler").alias("track_id"), F.explode(F.array("t0", "t_b")).alias("t")).distinct()
     box = nearest_in_time(at, boxes.select(*TAKE, "track_id", "t", "x1", "y1", "x2", "y2"), tol, keys=(*TAKE, "track_id")).select(*TAKE, F.col("track_id").alias("tackler"), "t", cx("near.").alias("x"), cy("near.").alias("y"), height("near.").alias("h"))
     ball = nearest_in_time(at.select(*TAKE, "t").distinct(), balls.select(*TAKE, "t", "x1", "y1", "x2", "y2"), tol).select(*TAKE, "t", cx("near.").alias("bx"), cy("near.").alias("by"))
     places = box.join(ball, [*TAKE, "t"])
     ends = pairs
     for name, when in (("p0", "t0"), ("p1", "t_b")):
         side = places.select(*TAKE, "tackler", F.col("t").alias(when), *[F.col(c).alias(f"{name}{c}") for c in ("x", "y", "h", "bx", "by")])
-        ends = ends.join(side, [*TAKE, "tackler", when])
+        ends = ends.join(side, [*TAKE, "tackler", when], "left")
     dist = lambda p: F.hypot(F.col(f"{p}x") - F.col(f"{p}bx"), F.col(f"{p}y") - F.col(f"{p}by"))
     dt = F.col("t_b") - F.col("t0")
-    speed = F.when(dt > 0, (dist("p0") - dist("p1")) / dt / ((F.col("p0h") + F.col("p1h")) / 2)).otherwise(0.0)
-    out = ends.withColumn("closing_speed", speed).where(F.col("closing_speed") >= params["speed"])
+    speed = F.when(dt > 0, (dist("p0") - dist("p1")) / dt / ((F.col("p0h") + F.col("p1h")) / 2)).when(dist("p0").isNotNull() & dist("p1").isNotNull(), 0.0)
+    out = ends.withColumn("closing_speed", speed)
     conf = clamp(F.col("quality") * F.least(F.lit(1.0), (F.col("closing_speed") - params["speed"]) / 2), params)
-    return emitted(out.select(*TAKE, F.lit("tackle").alias("type"), F.col("player").alias("player_track_id"), "tackler", "tackled", F.col("t_a").alias("t_start"), F.col("t_b").alias("t_end"), "closing_speed", conf.alias("confidence")))
+    slow = F.col("closing_speed").isNull() | (F.col("closing_speed") < params["speed"])
+    reject = F.coalesce("early", first_reject((slow, "tackle_insufficient_closing_speed"), (conf < config.MIN_EMIT, "tackle_below_min_emit_confidence")))
+    return out.select(*TAKE, F.lit("tackle").alias("type"), F.col("player").alias("player_track_id"), "tackler", "tackled", F.col("t0").alias("t_start"), F.col("t_b").alias("t_end"), "closing_speed", conf.alias("confidence"), reject.alias("reject"), "loser", "gap")
 
+def detect_tackles(runs: DataFrame, boxes: DataFrame, balls: DataFrame, tracks: DataFrame, fps: float = 30.0, params: dict = config.TACKLE) -> DataFrame:
+    return accepted(tackle_candidates(runs, boxes, balls, tracks, fps, params)).drop("loser", "gap")
 
 def without_tackled_turnovers(turnovers: DataFrame, tackles: DataFrame, window: float = config.TACKLE_WINDOW) -> DataFrame:
     """Turnovers that are not the loser's side of a tackle between the same tracks."""

@@ -41,7 +41,7 @@ where_ as (select s.*, (b.x1 + b.x2) / 2 as qx, (b.y1 + b.y2) / 2 as qy, row_num
 apart_ as (select b.video_id, b.take_id, b.tackler, b.t, b.ph, sqrt(pow(px - qx, 2) + pow(py - qy, 2)) as d from body b join where_ w using (video_id, take_id, tackler, t) where b.rn = 1 and w.rn = 1),
 closed as (select w.*, case when t_b > t0 then (a.d - b.d) / (t_b - t0) / ((a.ph + b.ph) / 2) else 0 end as speed from won w join apart_ a on a.video_id = w.video_id and a.take_id = w.take_id and a.tackler = w.tackler and a.t = w.t0
   join apart_ b on b.video_id = w.video_id and b.take_id = w.take_id and b.tackler = w.tackler and b.t = w.t_b),
-tackles as (select video_id, take_id, 'tackle' as type, player as player_track_id, tackler, tackled, t_a as t_start, t_b as t_end, speed as closing_speed, least(greatest(quality * least(1.0, (speed - 1) / 2), 0.1), 0.3) as confidence from closed where speed >= 1)"""
+tackles as (select video_id, take_id, 'tackle' as type, player as player_track_id, tackler, tackled, t0 as t_start, t_b as t_end, speed as closing_speed, least(greatest(quality * least(1.0, (speed - 1) / 2), 0.1), 0.3) as confidence from closed where speed >= 1)"""
 
 PASS_ROW = "video_id, take_id, type, passer, receiver, round(t_start, 6) as t_start, round(t_end, 6) as t_end, round(travel, 6) as travel, round(confidence, 6) as confidence, reject, passer_track, receiver_track, kicked"
 SQL["e7_e8_passes_turnovers"] = BASE + PASSES + f"select {PASS_ROW} from passes"
@@ -51,10 +51,11 @@ SQL["j9_turnovers_without_tackles"] = BASE + PASSES + TACKLES + f"""select {PASS
   (select 1 from tackles k where k.confidence >= 0.15 and k.video_id = p.video_id and k.take_id = p.take_id and k.tackler = p.receiver_track and k.tackled = p.passer_track and abs(p.t_end - k.t_end) <= 0.5)"""
 
 TOUCHES = STATES + """, near40 as (select b.video_id, b.take_id, case when n.track_id = 10 then 9 else n.track_id end as id, n.track_id as raw, b.t, b.conf, n.d as dist, row_number() over (partition by b.video_id, b.take_id, case when n.track_id = 10 then 9 else n.track_id end order by b.t) as k from balls b join nearest n on n.best = 1 and b.video_id = n.video_id and b.take_id = n.take_id and b.frame_index = n.frame_index where b.conf >= 0.3 and n.d <= 40),
-hits as (select *, t as last_ from near40 where k = 1
-  union all select u.*, case when round(u.t - h.last_, 9) >= 0.3 then u.t else h.last_ end from hits h join near40 u on u.video_id = h.video_id and u.take_id = h.take_id and u.id = h.id and u.k = h.k + 1),
-marks as (select * from hits where last_ = t)""" + KICKS + """,
-touches as (select k.*, least(greatest(0.1 + (1 - k.dist / 40) * k.conf * 0.35, 0.1), 0.45) as c from marks k join kicked using (video_id, take_id, t))"""
+marks as (select video_id, take_id, t from near40)""" + KICKS + """,
+able as (select n.*, least(greatest(0.1 + (1 - n.dist / 40) * n.conf * 0.35, 0.1), 0.45) as c, row_number() over (partition by video_id, take_id, id order by t) as turn from near40 n join kicked using (video_id, take_id, t) where c >= 0.15),
+hits as (select *, t as last_ from able where turn = 1
+  union all select u.*, case when round(u.t - h.last_, 9) >= 0.3 then u.t else h.last_ end from hits h join able u on u.video_id = h.video_id and u.take_id = h.take_id and u.id = h.id and u.turn = h.turn + 1),
+touches as (select * from hits where last_ = t)"""
 SQL["e4_detect_touches"] = BASE + TOUCHES + """
 select video_id, take_id, 'touch' as type, id as player_track_id, round(t, 6) as t_start, round(t, 6) as t_end, round(dist, 6) as dist, raw as raw_track_id, round(c, 6) as confidence from touches where c >= 0.15"""
 

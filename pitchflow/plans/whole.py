@@ -73,7 +73,7 @@ def _spelled(df):
 
 @query(FLOW + " select video_id, take_id, type, player_track_id, round(t_start, 6) as t_start, round(t_end, 6) as t_end, round(confidence, 6)::double as confidence, acting from flow")
 def e21_take_events(spark, sf_dir):
-    return rounded(_spelled(_flow(spark, sf_dir)))
+    return rounded(_spelled(_flow(spark, sf_dir).drop("evidence")))
 
 
 @query(FLOW + " select video_id, take_id, type, player_track_id, round(t_start, 6) as t_start, round(confidence, 6)::double as confidence from flow where len(list_intersect(string_split(acting, ','), ['2', '9', '10'])) > 0")

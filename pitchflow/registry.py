@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import more, players, proofs, whole  # noqa: F401
+from .plans import more, players, proofs, rejects, whole  # noqa: F401
 from .plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
