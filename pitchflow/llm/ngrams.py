@@ -6,7 +6,7 @@ word of the corpus with its exact count; an n-gram of two or more words is in it
 weigh stays with the shorter context, so everything adds up to at most one).
 
 A level is made by one pass over the texts, in which tasks look up the level before, count their own chunk of text and emit
-(context node, word, count) rows; these are shuffled to shards, and a shard writes itself as one file of compact arrays into
+(context node, word, count) rows, packed by shard; a shard gathers them and writes itself as one file of compact arrays into
 the shared folder: its contexts and, by monotone pointers, each context's run of successors, both as Elias-Fano sequences
 (runs made monotone by adding the end of the run before), and a byte a successor and a context for the smoothed values.
 Executors map these files into memory and never hold the model as objects; it grows with the corpus and is nowhere
@@ -16,13 +16,16 @@ the successors of that context. A context with many successors is spread over se
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +40,42 @@ SHARD_TOKENS, CHUNK = 1 << 20, 1 << 19
 BYTES_A_TOKEN = 6
 #: A context that stands for more than this part of a shard is spread.
 HOT = 1 / 8
-END = b"\n"  # no word holds white space
+#: Texts are taken apart so many bytes at a time.
+BUFFER = 1 << 18
+_SPACE = re.compile(rb"[ \t-\r]")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_MIX = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 29, 32))
+#: The hash of the end of a text, which is a token as words are.
+END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words with A-Z in lower case, and the end."""
-    return [*text.lower().split(), END]
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    return tuple(np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64))) for base in (_BASE, _BACK))
+
+
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of the words of a text, A-Z in lower case.
+
+    The hash is a polynomial in the bytes, from running sums over the text, so whole texts are hashed in a few array
+    operations; words longer than BUFFER have another hash.
+    """
+    data = _LOWER[np.frombuffer(text, np.uint8)]
+    edge = np.flatnonzero(np.diff(~_IS_SPACE[data], prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    if len(data) > 2 * BUFFER:  # it holds a giant word: word by word
+        one = lambda w: np.uint64(xxhash.xxh3_64_intdigest(w)) if len(w) > BUFFER else hashed(w)[1][0]
+        return start, np.array([one(data[i:j].tobytes()) for i, j in zip(start, end, strict=True)], np.uint64)
+    up, down = _powers(2 * BUFFER)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    h = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _MIX[1]
+    h = (h ^ h >> _MIX[3]) * _MIX[0]
+    return start, h ^ h >> _MIX[2]
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -147,39 +180,84 @@ class Model:
         return out
 
 
-class Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self)
-        return code
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], column: int, chunk: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, list[tuple]]]:
-    """(words, code of each token, number of the row of each token, rows) for runs of rows of at least ``chunk`` tokens
-    (or the last ones). A row is (its other values, tokens of it in this run); texts longer than that come in
-    parts, of which the later ones begin with the ORDER - 1 tokens before, marked by a row number of -1 - row."""
-    codes, parts, of, rows, n = Codes(), [], [], [], 0
-    for b in batches:
-        others = [b.column(k).to_pylist() for k in range(b.num_columns) if k != column]
-        for k, text in enumerate(b.column(column).to_pylist()):
-            words = tokens(text)
-            for at in range(0, len(words), chunk):
-                before = words[max(0, at - ORDER + 1) : at]
-                some = words[at : at + chunk]
-                parts.append(np.fromiter(map(codes.__getitem__, before + some), np.int64, len(before) + len(some)))
-                row = np.full(len(parts[-1]), len(rows))
-                row[: len(before)] = -1 - len(rows)
-                of.append(row)
-                rows.append((tuple(x[k] for x in others), len(some)))
-                n += len(some)
-                if n >= chunk:
-                    yield list(codes), np.concatenate(parts), np.concatenate(of), rows
-                    codes, parts, of, rows, n = Codes(), [], [], [], 0
-    if rows:
-        yield list(codes), np.concatenate(parts), np.concatenate(of), rows
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about BUFFER bytes, cut at white space."""
+    at = 0
+    while len(text) - at > BUFFER and (cut := _SPACE.search(text, at + BUFFER)):
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:]
+
+
+def _buffers(texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, bool, bool]]:
+    """(hashes of the tokens of some texts, how many of each, whether the first is the last of the buffer before, whether the
+    last goes on). Small texts go together, large ones in parts."""
+    some: list[bytes] = []
+
+    def joined() -> tuple[np.ndarray, np.ndarray, bool, bool]:
+        ends = np.cumsum([len(x) + 1 for x in some])
+        start, h = hashed(b"\n".join(some))
+        of = np.searchsorted(ends, start, "right")
+        out = np.full(len(h) + len(some), END)
+        out[np.arange(len(h)) + of] = h
+        return out, np.bincount(of, minlength=len(some)) + 1, False, False
+
+    size = 0
+    for text in texts:
+        if some and size + len(text) > BUFFER:
+            yield joined()
+            some, size = [], 0
+        if len(text) <= BUFFER:
+            some.append(text)
+            size += len(text) + 1
+            continue
+        parts = list(_parts(text))
+        for k, part in enumerate(parts):
+            h, on = hashed(part)[1], k < len(parts) - 1
+            h = h if on else np.append(h, END)
+            yield h, np.array([len(h)]), k > 0, on
+    if some:
+        yield joined()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list, bool]]:
+    """(hashes of the words, code of each token, number of the row of each token, first values of the rows, whether the last
+    row goes on) for runs of rows of at least ``chunk`` tokens (or the last ones). A run that begins inside a text has the
+    ORDER - 1 tokens before in front, with the row number -1; the text is row 0 there."""
+    ids: list = []
+
+    def texts() -> Iterator[bytes]:
+        for b in batches:
+            for k, text in zip(b.column(0), b.column(column), strict=True):
+                ids.append(k.as_py() if column else None)
+                yield text.as_py()
+
+    hashes, sizes, n, before = [], [], 0, np.zeros(0, np.uint64)
+
+    def run(on: bool) -> tuple:
+        nonlocal hashes, sizes, n, before
+        h, size = np.concatenate([before, *hashes]), np.concatenate(sizes)
+        words, seq = np.unique(h, return_inverse=True)
+        row = np.append(np.full(len(before), -1), np.repeat(np.arange(len(size)), size))
+        out = words, seq, row, ids[: len(size)], on
+        del ids[: len(size) - on]
+        before = h[-ORDER + 1 :] if on else before[:0]
+        hashes, sizes, n = [], [], 0
+        return out
+
+    for h, size, goes_on, on in _buffers(texts()):
+        if goes_on and sizes:
+            sizes[-1][-1] += size[0]
+            size = size[1:]
+        hashes.append(h)
+        sizes.append(size)
+        if not len(size):
+            sizes.pop()
+        n += len(h)
+        if n >= chunk:
+            yield run(on)
+    if hashes:
+        yield run(False)
 
 
 def _pairs(first: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -190,13 +268,13 @@ def _pairs(first: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _joined(row: np.ndarray) -> np.ndarray:
     """Whether a token and the next one are of one text."""
-    own = np.where(row < 0, -1 - row, row)
+    own = np.maximum(row, 0)
     return own[1:] == own[:-1]
 
 
-def _emitted(model: Model, level: int, words: list[bytes], seq: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _emitted(model: Model, level: int, words: np.ndarray, seq: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context node, word's node, count) of the n-grams of ``level`` in a run of texts that can occur LEAST times."""
-    node, count = model.find_words(_hashes(words))
+    node, count = model.find_words(words)
     able = count >= LEAST
     now = np.flatnonzero(_joined(row) & able[seq[:-1]] & able[seq[1:]])  # pairs by the place of their first word
     if level == 1:
@@ -213,13 +291,36 @@ def _emitted(model: Model, level: int, words: list[bytes], seq: np.ndarray, row:
     return found[p], node[c], n
 
 
-ROW = "shard long, context long, word long, n long"
+ROW = "shard long, data binary"
+
+
+def _packed(shard: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row a shard with its n-grams: contexts as steps, all columns in the narrowest type, compressed."""
+    order = np.lexsort((context, shard))
+    shard, context, word, n = (np.asarray(x)[order] for x in (shard, context, word, n))
+    ends = np.append(np.flatnonzero(np.diff(shard)) + 1, len(shard)) if len(shard) else np.zeros(0, np.int64)
+    squeeze, rows = zstandard.ZstdCompressor(level=1), []
+    for lo, hi in zip(np.append(0, ends)[:-1], ends, strict=True):
+        columns = [np.diff(context[lo:hi], prepend=0), word[lo:hi], n[lo:hi]]
+        columns = [c.astype(np.min_scalar_type(c.max())) for c in columns]
+        head = np.array([hi - lo, *[c.itemsize for c in columns]], np.int64)
+        rows.append(squeeze.compress(b"".join(c.tobytes() for c in (head, *columns))))
+    first = np.append(0, ends)[:-1]
+    return pa.RecordBatch.from_arrays([pa.array(shard[first].astype(np.int64)), pa.array(rows, pa.binary())], ["shard", "data"])
 
 
-def _rows(shard: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(shard), 1 << 16):
-        columns = [np.asarray(x[k : k + (1 << 16)]).view(np.int64) for x in (shard, context, word, n)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "context", "word", "n"])
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, count) of the rows of a shard; a word is an unsigned number."""
+    parts: list[list[np.ndarray]] = [[], [], []]
+    for blob in blobs:
+        data = zstandard.ZstdDecompressor().decompress(blob)
+        size, *widths = np.frombuffer(data, np.int64, 4).tolist()
+        at = 32
+        for k, width in enumerate(widths):
+            column = np.frombuffer(data, f"u{width}", size, at)
+            parts[k].append(np.cumsum(column.astype(np.int64)) if k == 0 else column.astype(np.uint64 if k == 1 else np.int64))
+            at += width * size
+    return tuple(np.concatenate(p) for p in parts)
 
 
 def _built(rows: DataFrame, model: Model, level: int, last: bool) -> Level:
@@ -229,8 +330,9 @@ def _built(rows: DataFrame, model: Model, level: int, last: bool) -> Level:
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         shard = int(part["shard"].iloc[0])
-        order = np.lexsort((part["word"].to_numpy().view(np.uint64), part["context"].to_numpy()))
-        context, word, n = (part[c].to_numpy()[order] for c in ("context", "word", "n"))
+        context, word, n = _unpacked(part["data"].tolist())
+        order = np.lexsort((word, context))
+        context, word, n = context[order], word[order], n[order]
         new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
         n, context, word = np.add.reduceat(n, new), context[new], word[new]
         kept = n >= (LEAST if level else 1)
@@ -238,8 +340,9 @@ def _built(rows: DataFrame, model: Model, level: int, last: bool) -> Level:
         sums = np.append(0, np.cumsum(n))
         spread: tuple = (np.zeros(0, np.int64), np.zeros(0))
         if level == 0:
-            arrays = Sequence.of(word.view(np.uint64)).arrays("keys")
+            arrays = Sequence.of(word).arrays("keys")
         else:
+            word = word.astype(np.int64)
             begin = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
             of, ends = context[begin], np.append(begin, len(context))
             total = model.counts(level - 1, of)
@@ -287,14 +390,14 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     for level in range(order):
 
         def part(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
-            for words, seq, row, _ in _chunks(batches, 0, CHUNK):
+            for words, seq, row, *_ in _chunks(batches, 0, CHUNK):
                 if level == 0:
                     n = np.bincount(seq[row >= 0], minlength=len(words))
-                    h = _hashes(words)
-                    yield from _rows((h % np.uint64(model.shards)).astype(np.int64), np.zeros(len(h), np.int64), h, n)
+                    h, n = words[n > 0], n[n > 0]
+                    yield _packed(h % np.uint64(model.shards), np.zeros(len(h), np.int64), h, n)
                 else:
                     context, word, n = _emitted(model, level, words, seq, row)
-                    yield from _rows(model.route(level, context, word), context, word, n)
+                    yield _packed(model.route(level, context, word), context, word, n)
 
         model.levels.append(_built(rows.mapInArrow(part, ROW), model, level, level == order - 1))
     return model
@@ -309,9 +412,9 @@ def _uri(spark: SparkSession, folder: str) -> str:
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
-def _logs(model: Model, words: list[bytes], seq: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _logs(model: Model, words: np.ndarray, seq: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token its count, log10 of its base probability, log10 of the model's."""
-    node, count = model.find_words(_hashes(words))
+    node, count = model.find_words(words)
     single = (count + PLUS) / (model.tokens + PLUS * (model.words + 1))
     p = single[seq]
     if len(model.levels) > 1 and len(seq) > 1:
@@ -342,17 +445,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = None  # the row that went on in the next run of texts
-        for words, seq, row, rows in _chunks(batches, 1, CHUNK):
+        for words, seq, row, ids, on in _chunks(batches, 1, CHUNK):
             count, base, own = _logs(model, words, seq, row)
             ok = row >= 0
             at = row[ok]
-            sums = np.stack([np.bincount(at, minlength=len(rows)), np.bincount(at, (count[ok] > 0), len(rows)), np.bincount(at, base[ok], len(rows)), np.bincount(at, own[ok], len(rows))])
+            sums = np.stack([np.bincount(at, minlength=len(ids)), *[np.bincount(at, x[ok], len(ids)) for x in (count > 0, base, own)]])
             if open_ is not None:
                 sums[:, 0] += open_
-            open_ = None if words[seq[-1]] == END else sums[:, -1]
-            done = len(rows) - (open_ is not None)
-            ids = pa.array([r[0][0] for r in rows[:done]], pa.string())
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(x[:done].astype(t)) for x, t in zip(sums, ("int64", "int64", "float64", "float64"), strict=True)]], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            open_, done = (sums[:, -1] if on else None), len(ids) - on
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:done], pa.string()), *[pa.array(x[:done].astype(t)) for x, t in zip(sums, ("int64", "int64", "float64", "float64"), strict=True)]], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
