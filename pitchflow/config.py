@@ -23,7 +23,13 @@ PHRASES = (
     ("goal", "goal"), ("scores", "goal"), ("score", "goal"), ("assist", "assist"), ("tackle", "tackle"), ("save", "save"), ("sprint", "sprint"), ("run", "sprint"),
     ("dribble", "dribble"), ("celebrat", "key_moment"),
 )
-COLOURS = ("white", "black", "red", "blue", "green", "yellow", "orange", "purple", "grey", "light blue", "dark blue")
+#: The colours that an annotation can name and what each looks like (CIELAB).
+COLOURS = {
+    "white": (100.0, 0.0, 0.0), "black": (0.0, 0.0, 0.0), "grey": (53.59, 0.0, 0.0), "gray": (53.59, 0.0, 0.0), "red": (53.24, 80.09, 67.2), "maroon": (25.53, 48.05, 38.06),
+    "orange": (74.94, 23.93, 78.95), "yellow": (97.14, -21.55, 94.48), "green": (87.73, -86.18, 83.18), "blue": (52.76, -2.7, -3.38), "navy": (12.97, 47.53, -64.7),
+    "sky": (91.11, -48.09, -14.13), "cyan": (91.11, -48.09, -14.13), "purple": (29.78, 58.93, -36.49), "pink": (60.32, 98.23, -60.83), "light blue": (83.92, -11.0, -11.0),
+    "dark green": (36.08, -43.0, 42.0),
+}
 DRIBBLE = {"duration": 1.0, "contest": 2.0, "travel": 1.0, "team": 0.5, "min": 0.1, "max": 0.35}
 SAVE = {"window": 3, "threshold": 0.12, "duration": 0.3, "merge": 0.3, "conf": 0.3, "keeper": 300.0, "reaction": 1.0, "ratio": 0.3, "min": 0.1, "max": 0.2}
 REGION = {"window": 3.0, "confidence": 0.45}

@@ -38,17 +38,27 @@ def event_type(phrase: Column) -> Column:
 
 
 def annotation(line: Column) -> Column:
-    """struct<t, jersey_number, team_colour, action_phrase, event_type>, null for a line that does not parse."""
-    colours = "|".join(sorted(COLOURS, key=len, reverse=True))
-    form = rf"(?i)^\s*(?:min\s+)?((?:\d+:)?\d+:[0-5]\d)\s*(?:[-–—:|]+\s*)?(?:player\s+)?#(\d+)\s*(?:(?:in\s+)?({colours})\b)?\s*(.*?)\s*$"
-    get = lambda k: F.regexp_extract(line, form, k)
-    phrase = F.regexp_replace(get(4), r"\s+", " ")
+    """struct<t, jersey_number, team_colour, action_phrase, event_type>, null for a line that does not parse.
+
+    A time comes first, after "Min " if that is there, then a dash or colon and the word player, if there. A colour (with "in"
+    before it or not) and the number after # may stand anywhere; the phrase is what is left. Only time and number must be there.
+    """
+    start = r"(?s)^(?:Min )?((?:\d{1,2}:)?\d{1,2}:\d{2})(.*)$"
+    text = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    clock = F.split(F.regexp_extract(text, start, 1), ":")
+    t = F.aggregate(clock, F.lit(0), lambda acc, x: acc * 60 + F.coalesce(x.try_cast("int"), F.lit(0))).cast("double")
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, start, 2), r"^\s*(?:[—:-]\s*)?", ""), r"(?i)^\s*player\b\s*", "")
+    coloured = rf"(?is)^(.*?)\b(?:in\s+)?({'|'.join(sorted(COLOURS, key=len, reverse=True))})\b(.*)$"
+    named = F.regexp_extract(rest, coloured, 2)
+    plain = F.regexp_replace(rest, coloured, "$1$3")
+    numbered = r"(?s)^(.*?)#\s*(\d+)(.*)$"
+    phrase = F.trim(F.regexp_replace(F.regexp_replace(plain, numbered, "$1$3"), r"\s+", " "))
     return F.when(
-        line.rlike(form) & (phrase != ""),
+        ~skipped(line) & text.rlike(start) & plain.rlike(numbered),
         F.struct(
-            seconds(get(1)).alias("t"),
-            get(2).cast("int").alias("jersey_number"),
-            F.when(get(3) == "", F.lit("unspecified")).otherwise(F.lower(get(3))).alias("team_colour"),
+            t.alias("t"),
+            F.regexp_extract(plain, numbered, 2).try_cast("int").alias("jersey_number"),
+            F.when(named == "", F.lit("unspecified")).otherwise(F.lower(named)).alias("team_colour"),
             phrase.alias("action_phrase"),
             event_type(phrase).alias("event_type"),
         ),
@@ -57,7 +67,13 @@ def annotation(line: Column) -> Column:
 
 def skipped(line: Column) -> Column:
     """Blank, comment and address lines."""
-    return line.rlike(r"^\s*$|^\s*#(?!\d)|^\s*https?://")
+    return line.rlike(r"^\s*$|^\s*#|^\s*https?://")
+
+
+def colour_reference(name: Column) -> Column:
+    """struct<l, a, b>: what a named colour looks like; null for a name that is not known."""
+    table = F.create_map(*[x for word, lab in COLOURS.items() for x in (F.lit(word), F.struct(*[F.lit(v).alias(k) for k, v in zip("lab", lab, strict=True)]))])
+    return table[F.lower(name)]
 
 
 def verdict(text: Column) -> Column:

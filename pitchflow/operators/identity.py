@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.geometry import cx, cy, height, iou
-from .timejoin import TAKE
+from .timejoin import TAKE, settled
 
 
 def assemble_tracks(detections: DataFrame) -> DataFrame:
@@ -27,7 +29,8 @@ def assemble_tracks(detections: DataFrame) -> DataFrame:
 def stitch_identities(tracks: DataFrame, p: dict = config.STITCH) -> DataFrame:
     """Greedy forward chains of the track headers of a take in order of (t_start, id): identity (the chain's first id)
     and confidence of each track. The nearest follower wins, among equals one of the same sure team (where ``tracks`` has
-    team and team_confidence), then the lowest id. A take's headers are few; its boxes stay where they are."""
+    team and team_confidence), then the lowest id. Boxes stay where they are: only track headers are read, and a take is cut
+    wherever a whole gap passes without any track, as no chain reaches over it; the pieces are chained apart."""
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t_start", "track_id"], ignore_index=True)
@@ -60,7 +63,11 @@ def stitch_identities(tracks: DataFrame, p: dict = config.STITCH) -> DataFrame:
     sides = [F.col(c) if c in tracks.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("team", "int"), ("team_confidence", "double"))]
     flat = tracks.select(*TAKE, "track_id", "t_start", "t_end", "mean_conf", *sides, *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("first", "last") for c in "xyh"])
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.select(*TAKE, "track_id").schema)
-    return flat.groupBy(*TAKE).applyInPandas(chain, f"{kind}, identity long, confidence double")
+    w = Window.partitionBy(*TAKE).orderBy("t_start", "track_id")
+    over = F.max("t_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    alone = F.coalesce((F.col("t_start") - over >= p["gap"]).cast("int"), F.lit(0))
+    cut = flat.withColumn("__new", alone).withColumn("__piece", F.sum("__new").over(w)).drop("__new")
+    return cut.groupBy(*TAKE, "__piece").applyInPandas(chain, f"{kind}, identity long, confidence double")
 
 
 def digit_votes(reads: DataFrame, keys: Sequence[str], p: dict = config.VOTE) -> DataFrame:
@@ -120,46 +127,54 @@ def active_windows(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy(*TAKE, "track_id").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
 
 
-def _two_means(x: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Two centres of at least two points, the best of some fixed starts, and every point's distances to them."""
-    draw, best = np.random.default_rng(p["seed"]), None
-    for _ in range(p["restarts"]):
-        centres = x[draw.choice(len(x), 2, replace=False)]
-        for _ in range(100):
-            label = np.argmin(((x[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)
-            moved = np.stack([x[label == k].mean(axis=0) if (label == k).any() else centres[k] for k in (0, 1)])
-            if np.array_equal(moved, centres):
-                break
-            centres = moved
-        far = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(axis=2))
-        spread = round(float((far.min(axis=1) ** 2).sum()), 9)
-        if best is None or spread < best[0]:
-            best = (spread, centres, far)
-    return best[1:]
+def two_means(points: DataFrame, keys: Sequence[str] = TAKE, p: dict = config.TEAMS, rounds: int = 100) -> DataFrame:
+    """(keys, id, label, own, other): the two clusters of the points of each key, with every point's distances to its own
+    centre and to the other one. ``points``: keys, id, x (array of doubles, as long for all). Keys with one point have none.
+
+    Several starts run side by side: the first centre is the point of least hash (another hash each time), the second the
+    point farthest from it. A round is one job of grouped sums: points meet the centres of their key by a join, and partial
+    sums meet, so nothing gathers the points of a key however many there are. Rounds end when no centre moves. The start of
+    least spread counts (ties: the first); label 0 is the cluster of the smaller centre.
+    """
+    keys = list(keys)
+    pts = settled(points.select(*keys, "id", "x"))
+    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
+    drawn = pts.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(p["restarts"] - 1))))
+    one = drawn.groupBy(*keys, "r").agg(F.min_by("x", F.struct(F.xxhash64("id", F.col("r") + p["seed"]), "id")).alias("c0"), F.count("*").alias("n")).where("n > 1").drop("n")
+    far = pts.join(one, keys).groupBy(*keys, "r").agg(F.max_by("x", F.struct(F.round(apart(F.col("x"), F.col("c0")), 9), -F.xxhash64("id"))).alias("c1"))
+    centres = settled(one.join(far, [*keys, "r"]))
+    d0, d1 = apart(F.col("x"), F.col("c0")), apart(F.col("x"), F.col("c1"))
+    label = F.when(d0 <= d1, 0).otherwise(1)
+    for _ in range(rounds):
+        told = pts.join(centres, keys).withColumn("__in", label)
+        mean = told.groupBy(*keys, "r", "__in").agg(F.transform(vector_to_array(Summarizer.mean(array_to_vector("x"))), lambda v: F.round(v, 9)).alias("m"))
+        sums = mean.groupBy(*keys, "r").agg(*[F.max(F.when(F.col("__in") == k, F.col("m"))).alias(f"m{k}") for k in (0, 1)])
+        after = centres.join(sums, [*keys, "r"])
+        new = [F.coalesce(f"m{k}", f"c{k}") for k in (0, 1)]  # a cluster without points keeps its centre
+        moved = after.select(*keys, "r", new[0].alias("c0"), new[1].alias("c1"), ((new[0] != F.col("c0")) | (new[1] != F.col("c1"))).alias("moved"))
+        moved = settled(moved)
+        centres = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
+    spread = pts.join(centres, keys).groupBy(*keys, "r").agg(F.round(F.sum(F.least(d0, d1)), 6).alias("spread"))
+    best = spread.groupBy(*keys).agg(F.min_by("r", F.struct("spread", "r")).alias("r"))
+    chosen = centres.join(best, [*keys, "r"])
+    less = F.col("c0") <= F.col("c1")
+    chosen = chosen.select(*keys, F.when(less, F.col("c0")).otherwise(F.col("c1")).alias("c0"), F.when(less, F.col("c1")).otherwise(F.col("c0")).alias("c1"))
+    out = pts.join(chosen, keys).withColumns({"__a": F.sqrt(d0), "__b": F.sqrt(d1)})
+    return out.select(*keys, "id", F.when(F.col("__a") <= F.col("__b"), 0).otherwise(1).alias("label"), F.least("__a", "__b").alias("own"), F.greatest("__a", "__b").alias("other"))
 
 
 def assign_teams(colours: DataFrame, p: dict = config.TEAMS) -> DataFrame:
     """Two clusters of the tracks of each take by colour (l, a, b): team and team_confidence, 0.5 half way between the
-    clusters. Team 0 is the darker one. With fewer than two usable tracks there is no team. A take has a colour a track."""
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("track_id", ignore_index=True)
-        points = pdf[["l", "a", "b"]].to_numpy(float)
-        usable = ~np.isnan(points).any(axis=1)
-        team, conf = np.full(len(pdf), -1), np.zeros(len(pdf))
-        x = points[usable]
-        if len(x) >= 2:
-            centres, far = _two_means(x, p)
-            order = np.lexsort(centres.T[::-1])
-            far = far[:, order]
-            own, total = far.argmin(axis=1), far.sum(axis=1)
-            team[usable] = own
-            conf[usable] = np.where(total > 0, far.max(axis=1) / np.where(total > 0, total, 1), 0.5)
-        return pdf[[*TAKE, "track_id"]].assign(team=pd.array(np.where(team < 0, None, team), dtype="Int32"), team_confidence=conf)
-
-    rows = colours.select(*TAKE, "track_id", "l", "a", "b")
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*TAKE, "track_id").schema)
-    return rows.groupBy(*TAKE).applyInPandas(split, f"{kind}, team int, team_confidence double")
+    clusters. Team 0 is the darker one. With fewer than two usable tracks there is no team."""
+    lab = F.array(*[F.col(c).cast("double") for c in "lab"])
+    usable = colours.select(*TAKE, F.col("track_id").alias("id"), lab.alias("x")).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    told = two_means(usable, TAKE, p)
+    total = F.col("own") + F.col("other")
+    teams = told.select(*TAKE, F.col("id").alias("track_id"), F.col("label").cast("int").alias("team"), F.when(total > 0, F.col("other") / total).otherwise(0.5).alias("team_confidence"))
+    every = colours.select(*TAKE, "track_id").join(teams, [*TAKE, "track_id"], "left")
+    return every.withColumn("team_confidence", F.coalesce("team_confidence", F.lit(0.0)))
 
 
 def teams_by_embedding(crops: DataFrame, p: dict = config.TEAMS) -> DataFrame:
@@ -167,22 +182,13 @@ def teams_by_embedding(crops: DataFrame, p: dict = config.TEAMS) -> DataFrame:
 
     Vectors are scaled to length one (zero ones stay) and the crops of a take fall into two clusters; a track gets the label
     of most of its crops. Team 0 is the cluster of the smaller centre. Crops without a vector do not count; a track without
-    a usable crop, or in a take with one, has no team and share 0. A take has a bounded number of crops a track.
+    a usable crop, or in a take with one, has no team and share 0.
     """
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = np.zeros(len(pdf), int)
-        if len(pdf) >= 2:
-            pdf = pdf.sort_values(["track_id", "crop"], ignore_index=True)
-            centres, far = _two_means(np.stack(pdf["unit"].to_numpy()).astype(float), p)
-            label = far[:, np.lexsort(centres.T[::-1])].argmin(axis=1)
-        return pdf[[*TAKE, "track_id", "crop"]].assign(label=pd.array(label if len(pdf) >= 2 else [None] * len(pdf), dtype="Int32"))
-
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v))
     usable = crops.where(F.size("vector") > 0).withColumn("__n", norm)
-    unit = usable.select(*TAKE, "track_id", "crop", F.transform("vector", lambda v: F.when(F.col("__n") > 0, v.cast("double") / F.col("__n")).otherwise(0.0)).alias("unit"))
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in unit.select(*TAKE, "track_id", "crop").schema)
-    teams = majority_teams(unit.groupBy(*TAKE).applyInPandas(split, f"{kind}, label int"))
+    unit = F.transform("vector", lambda v: F.when(F.col("__n") > 0, v.cast("double") / F.col("__n")).otherwise(0.0))
+    told = two_means(usable.select(*TAKE, F.struct("track_id", "crop").alias("id"), unit.alias("x")), TAKE, p)
+    teams = majority_teams(told.select(*TAKE, "id.track_id", "id.crop", F.col("label").cast("int").alias("label")))
     every = crops.select(*TAKE, "track_id").distinct().join(teams, [*TAKE, "track_id"], "left")
     return every.withColumn("team_confidence", F.coalesce("team_confidence", F.lit(0.0)))
 

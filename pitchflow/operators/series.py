@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.geometry import cx, cy, height, in_heights
-from .timejoin import TAKE, bracket, nearest_in_time
+from .timejoin import TAKE, active_events, bracket, nearest_in_time, settled
 
 TRACK = (*TAKE, "track_id")
 
@@ -122,59 +120,101 @@ def running_counts(grid: DataFrame, events: DataFrame, keys: Sequence[str]) -> D
     return rows.withColumn("n", F.sum(1 - F.col("__g")).over(w)).where("__g = 1").drop("__g")
 
 
-def plausible_balls(balls: DataFrame, frame_width: float, params: dict = config.BALL) -> DataFrame:
+def plausible_balls(balls: DataFrame, frame_width: float, params: dict = config.BALL, block: int = 256) -> DataFrame:
     """``balls`` of each video without jumps faster than ``speed`` frame widths a second from the last accepted one. As many
     rejected samples in a row as ``reseed`` that agree with one another are accepted after all; they replace a first sample
-    that nothing has confirmed. A video's balls are one group: at most one sample a frame."""
+    that nothing has confirmed.
+
+    The scan over a video is cut where every way it may have gone comes to the same state: at the last sample of ``reseed``
+    + 1 in a row that agree with one another. Whatever was accepted before, the first of them is either accepted, and
+    then all are, or it opens a doubt that all of them strengthen and that is accepted at the ``reseed``-th. Either way the
+    last one is accepted and confirmed, so the pieces between such samples are scanned apart, many in a task. Only the samples
+    of one piece are held together; a ball that never agrees with itself so long gives a long piece.
+    """
     if frame_width <= 0:
         return balls
-    rows = balls.select("video_id", "frame_index", "t", cx().alias("x"), cy().alias("y"))
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "frame_index"], ignore_index=True)
-        t, x, y = (pdf[c].to_numpy() for c in ("t", "x", "y"))
-
-        def near(a: int, b: int) -> bool:
-            if t[b] <= t[a]:
-                return x[a] == x[b] and y[a] == y[b]
-            return np.hypot(x[b] - x[a], y[b] - y[a]) / (t[b] - t[a]) / frame_width <= params["speed"]
-
-        keep, last, kept, firm, doubt = np.zeros(len(pdf), bool), 0, 1, False, []
-        keep[0] = True
-        for k in range(1, len(pdf)):
-            if near(last, k):
-                keep[k], last, kept, firm, doubt = True, k, kept + 1, True, []
-                continue
-            doubt = [*doubt, k] if doubt and near(doubt[-1], k) else [k]
-            if len(doubt) >= params["reseed"]:
-                if not firm and kept == 1:
-                    keep[last] = False
-                keep[doubt] = True
-                last, kept, firm, doubt = k, kept + len(doubt), True, []
-        return pdf.loc[keep, ["video_id", "frame_index", "t"]]
-
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("video_id", "frame_index", "t").schema)
-    good = rows.groupBy("video_id").applyInPandas(scan, kind)
-    return balls.join(good.distinct(), ["video_id", "frame_index", "t"], "left_semi")
-
-
-def cumulative_motion(pairs: DataFrame) -> DataFrame:
+    rows = settled(balls.select("video_id", "frame_index", "t", cx().alias("__x"), cy().alias("__y")).distinct())
+    w = Window.partitionBy("video_id").orderBy("t", "frame_index")
+    dt = F.col("t") - F.lag("t").over(w)
+    far = F.hypot(F.col("__x") - F.lag("__x").over(w), F.col("__y") - F.lag("__y").over(w))
+    agrees = F.when(dt > 0, far / dt / frame_width <= params["speed"]).otherwise((F.col("__x") == F.lag("__x").over(w)) & (F.col("__y") == F.lag("__y").over(w)))
+    seen = rows.withColumn("__agrees", F.coalesce(agrees, F.lit(False)))
+    recent = F.min(F.col("__agrees").cast("int")).over(w.rowsBetween(-params["reseed"] + 1, 0))
+    place = F.row_number().over(w)
+    firm = seen.withColumn("__firm", (recent == 1) & (place > params["reseed"]))
+    # a piece begins with the firm sample that the one before it ends with; cuts stand at least ``block`` samples apart
+    cut = firm.withColumns({"__n": place}).withColumn("__mark", F.when(F.col("__firm"), F.floor(F.col("__n") / block)))
+    fresh = F.col("__firm") & ~F.col("__mark").eqNullSafe(F.max("__mark").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    cut = cut.withColumn("__cut", fresh.cast("int"))
+    piece = F.sum("__cut").over(w)
+    cut = cut.withColumn("__piece", piece)
+    both = cut.select("video_id", "frame_index", "t", "__x", "__y", "__piece", F.col("__cut").alias("__head")).unionByName(
+        cut.where("__cut = 1").select("video_id", "frame_index", "t", "__x", "__y", (F.col("__piece") - 1).alias("__piece"), F.lit(0).alias("__head"))
+    )
+    item = F.struct("t", "frame_index", F.struct("t", "frame_index").alias("__id"), F.col("__x").alias("x"), F.col("__y").alias("y"), "__head")
+    pieces = both.groupBy("video_id", "__piece").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    near = lambda a, b: f"if({b}.t > {a}.t, sqrt(pow({b}.x - {a}.x, 2) + pow({b}.y - {a}.y, 2)) / ({b}.t - {a}.t) / {frame_width} <= {params['speed']}, {a}.x = {b}.x and {a}.y = {b}.y)"
+    ids = f"cast(array() as array<struct<t:{rows.schema['t'].dataType.simpleString()},frame_index:{rows.schema['frame_index'].dataType.simpleString()}>>)"
+    state = f"named_struct('last', all[0], 'kept', array(all[0].__id), 'firm', all[0].__head = 1, 'doubt', {ids}, 'end', all[0])"
+    scan = f"""aggregate(slice(all, 2, size(all)), {state}, (s, b) -> if({near("s.last", "b")},
+            named_struct('last', b, 'kept', s.kept || array(b.__id), 'firm', true, 'doubt', {ids}, 'end', b),
+            transform(array(if(size(s.doubt) > 0 and {near("s.end", "b")}, s.doubt || array(b.__id), array(b.__id))), d -> if(size(d) >= {params["reseed"]},
+                named_struct('last', b, 'kept', if(not s.firm and size(s.kept) = 1, d, s.kept || d), 'firm', true, 'doubt', {ids}, 'end', b),
+                named_struct('last', s.last, 'kept', s.kept, 'firm', s.firm, 'doubt', d, 'end', b)))[0]), s -> s.kept)"""
+    good = pieces.select("video_id", F.explode(F.expr(scan)).alias("__id")).select("video_id", "__id.*").distinct()
+    return balls.join(good, ["video_id", "frame_index", "t"], "left_semi")
+
+
+#: Rows of a block in ``cumulative_motion`` and balls of a piece in ``plausible_balls``.
+BLOCK = 256
+_ONE = "named_struct('a', 1D, 'b', 0D, 'tx', 0D, 'c', 0D, 'd', 1D, 'ty', 0D)"
+
+
+def _after(step: str, now: str) -> str:
+    """SQL of one affine map after another."""
+    linear = {"a": ("a", "a", "b", "c"), "b": ("a", "b", "b", "d"), "c": ("c", "a", "d", "c"), "d": ("c", "b", "d", "d")}
+    parts = [f"'{k}', {step}.{p} * {now}.{q} + {step}.{r} * {now}.{s}" for k, (p, q, r, s) in linear.items()]
+    parts += [f"'{t}', {step}.{p} * {now}.tx + {step}.{q} * {now}.ty + {step}.{t}" for t, p, q in (("tx", "a", "b"), ("ty", "c", "d"))]
+    order = {"a": 0, "b": 1, "tx": 2, "c": 3, "d": 4, "ty": 5}
+    return "named_struct(" + ", ".join(sorted(parts, key=lambda x: order[x.split("'")[1]])) + ")"
+
+
+def _products(rows: str, start: str = _ONE) -> str:
+    """SQL of the running products of an array of maps (null: none), as an array of the same length."""
+    kind = "array<struct<a:double,b:double,tx:double,c:double,d:double,ty:double>>"
+    step = _after("m", "acc.now")
+    return f"""aggregate({rows}, named_struct('now', {start}, 'out', cast(array() as {kind})),
+        (acc, m) -> transform(array(if(m.a is null or m.b is null or m.tx is null or m.c is null or m.d is null or m.ty is null, acc.now, {step})),
+            p -> named_struct('now', p, 'out', acc.out || array(p)))[0], acc -> acc.out)"""
+
+
+def cumulative_motion(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The affine map from the first instant of each take to every other: the product of the frame-to-frame maps a, b, tx,
-    c, d, ty in order of t. An instant whose map is null keeps the one before."""
-    names = ["a", "b", "tx", "c", "d", "ty"]
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", ignore_index=True)
-        step, now, out = pdf[names].to_numpy(float), np.eye(3), np.empty((len(pdf), 6))
-        for k in range(len(pdf)):
-            if not np.isnan(step[k]).any():
-                now = np.vstack([step[k].reshape(2, 3), [0.0, 0.0, 1.0]]) @ now
-            out[k] = now[:2].ravel()
-        pdf[names] = out
-        return pdf
+    c, d, ty in order of t. An instant whose map is null keeps the one before.
 
+    Products are taken in blocks of a take's instants; the products of whole blocks, of which there are ``block`` times
+    fewer, are multiplied up the same way, level over level, and each block starts from the product of those before it. So no
+    task holds more than a block, however long the take."""
+    names = ["a", "b", "tx", "c", "d", "ty"]
     rows = pairs.select(*TAKE, "t", *[F.col(c).cast("double").alias(c) for c in names])
-    return rows.groupBy(*TAKE).applyInPandas(product, rows.schema)
+    place = F.row_number().over(Window.partitionBy(*TAKE).orderBy("t")) - 1
+    level = settled(rows.withColumn("__at", place.cast("long")).select(*TAKE, "__at", F.struct("t", *names).alias("m")))
+    out = _multiplied(level, block)
+    back = level.select(*TAKE, "__at", "m.t").join(out, [*TAKE, "__at"])
+    return back.select(*TAKE, "t", *[F.col(f"p.{c}").alias(c) for c in names])
+
+
+def _multiplied(level: DataFrame, block: int) -> DataFrame:
+    """(__at, p): the product of the maps (``m``) of each take up to place __at."""
+    blocks = level.groupBy(*TAKE, F.floor(F.col("__at") / block).alias("__block")).agg(F.array_sort(F.collect_list(F.struct("__at", "m"))).alias("__rows"))
+    inner = settled(blocks.select(*TAKE, "__block", F.expr("__rows[0].__at").alias("__first"), F.expr(_products("transform(__rows, r -> r.m)")).alias("__p")))
+    if inner.where("__block > 0").isEmpty():
+        return inner.select(*TAKE, "__first", F.posexplode("__p").alias("__k", "p")).select(*TAKE, (F.col("__first") + F.col("__k")).alias("__at"), "p")
+    whole = inner.select(*TAKE, F.col("__block").alias("__at"), F.element_at("__p", -1).alias("m"))
+    before = _multiplied(whole, block).select(*TAKE, (F.col("__at") + 1).alias("__block"), F.col("p").alias("__start"))
+    led = inner.join(before, [*TAKE, "__block"], "left").withColumn("__start", F.coalesce("__start", F.expr(_ONE)))
+    flat = led.select(*TAKE, "__first", "__start", F.posexplode("__p").alias("__k", "__m"))
+    return flat.select(*TAKE, (F.col("__first") + F.col("__k")).alias("__at"), F.expr(_after("__m", "__start")).alias("p"))
 
 
 def to_reference(points: DataFrame, motion: DataFrame) -> DataFrame:
@@ -203,10 +243,12 @@ def compensated_jump(a: str, b: str) -> Column:
 
 def resample_boxes(grid: DataFrame, boxes: DataFrame, gap: float, tolerance: float) -> DataFrame:
     """A box of each track at every grid instant: between two samples at most ``gap`` apart, else the nearest (ties: the
-    earlier) within ``tolerance``. ``grid``: video_id, take_id, t."""
+    earlier) within ``tolerance``. ``grid``: video_id, take_id, t. An instant meets the tracks alive then (their boxes' first
+    to last instant, and the tolerance on either side), by buckets of time, not all tracks of its take."""
     sides = ("x1", "y1", "x2", "y2")
-    ids = boxes.select(*TRACK).distinct()
-    asked = grid.select(*TAKE, "t").distinct().join(ids, list(TAKE))
+    edge = tolerance * 1.001  # rounding never parts an instant from a track a whole tolerance away
+    lives = boxes.groupBy(*TRACK).agg((F.min("t") - edge).alias("t_start"), (F.max("t") + edge).alias("t_end"))
+    asked = active_events(grid.select(*TAKE, "t").distinct(), lives, keys=TAKE).select(*TAKE, F.col("e_track_id").alias("track_id"), "t")
     held = bracket(asked, boxes.select(*TRACK, "t", *sides), sides, keys=TRACK)
     before, after = F.col("t") - F.col("before.t"), F.col("after.t") - F.col("t")
     span = F.round(F.col("after.t") - F.col("before.t"), 9)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.geometry import area, cx, cy
+from ..functions.text import colour_reference
 from .timejoin import TAKE, bracket, nearest_in_time
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -166,11 +167,13 @@ def overall_selection(selected: DataFrame) -> DataFrame:
 
 
 def nearest_colour(colours: DataFrame, asked: DataFrame, most: float = config.COLOUR_DISTANCE) -> DataFrame:
-    """``asked`` (video_id, take_id, colour l, a, b as ``ref``) with the track of nearest colour, null beyond ``most``, and
-    its distance either way."""
+    """``asked`` (video_id, take_id, colour l, a, b as ``ref``, or its name as ``colour``) with the track of nearest colour,
+    null beyond ``most``, and its distance either way; neither for a name that is not known or a take without colours."""
+    if "ref" not in asked.columns:
+        asked = asked.withColumn("ref", colour_reference(F.col("colour")))
     lab = colours.select(*TAKE, "track_id", F.struct("l", "a", "b").alias("lab")).where("lab.l is not null and lab.a is not null and lab.b is not null")
     d = F.round(F.sqrt(sum((F.col(f"lab.{k}") - F.col(f"ref.{k}")) ** 2 for k in "lab")), 9)
-    best = asked.join(lab, list(TAKE)).withColumn("__d", d).groupBy(*asked.columns).agg(F.min(F.struct(F.col("__d").alias("dist"), "track_id")).alias("m"))
+    best = asked.join(lab, list(TAKE), "left").withColumn("__d", d).groupBy(*asked.columns).agg(F.min(F.when(F.col("__d").isNotNull(), F.struct(F.col("__d").alias("dist"), "track_id"))).alias("m"))
     return best.select(*asked.columns, F.when(F.col("m.dist") <= most, F.col("m.track_id")).alias("track_id"), F.col("m.dist").alias("dist"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import geometry as g
 from ..functions import text
 from ..operators import duels, events as ev
@@ -257,3 +258,39 @@ def x4_x6_texts(spark, sf_dir):
     )
     out = rows.select("event_id", text.number_answer(F.col("n")).alias("n"), text.goal_box_answer(F.col("b")).alias("b"), text.score(F.col("s")).alias("s"), text.clock(F.col("t")).alias("clock"))
     return out.select("event_id", "n.digits", "n.confidence", "b.x1", "s.home", "s.away", "clock")
+
+
+_WORDS = list(config.COLOURS)
+_NAMED = ", ".join(f"'{w}'" for w in _WORDS)
+_LINE = f"""case event_id % 5 when 0 then 'Min ' || clock || ' — Player #' || number || ' in ' || name || ' makes a pass' when 1 then clock || ': In ' || upper(name) || ' player #' || number || '  shoots'
+  when 2 then '1:' || clock || ' # ' || number || ' ' || name || ' scores a  goal' when 3 then 'Min ' || clock || '-blues win, #' || number || ' saves' else 'Min ' || clock || ' player in ' || name || ' runs' end"""
+
+
+@query(f""", said as (select event_id, list_extract([{_NAMED}], cast(event_id % {len(_WORDS)} as int) + 1) as name, printf('%d:%02d', event_id % 90, event_id % 60) as clock, (event_id % 30)::varchar as number from events),
+lines as (select event_id, trim({_LINE}) as line from said),
+cut as (select event_id, regexp_extract(line, '^(?:Min )?((?:\\d{{1,2}}:)?\\d{{1,2}}:\\d{{2}})(.*)$', 1) as at_, regexp_replace(regexp_replace(regexp_extract(line, '^(?:Min )?((?:\\d{{1,2}}:)?\\d{{1,2}}:\\d{{2}})(.*)$', 2), '^\\s*(?:[—:-]\\s*)?', ''), '^\\s*player\\b\\s*', '', 'i') as rest from lines),
+col as (select *, lower(regexp_extract(rest, '\\b(?:in\\s+)?({"|".join(sorted(_WORDS, key=len, reverse=True))})\\b', 1, 'i')) as name, regexp_replace(rest, '\\b(?:in\\s+)?({"|".join(sorted(_WORDS, key=len, reverse=True))})\\b', '', 'i') as plain from cut)
+select event_id as line_no, list_reduce(list_transform(string_split(at_, ':'), lambda x: x::int), lambda a, x: a * 60 + x)::double as t, regexp_extract(plain, '#\\s*(\\d+)', 1)::int as jersey_number, case when name = '' then 'unspecified' else name end as team_colour,
+trim(regexp_replace(regexp_replace(plain, '#\\s*(\\d+)', ''), '\\s+', ' ', 'g')) as action_phrase, case event_id % 5 when 0 then 'pass' when 1 then 'shot' when 2 then 'goal' when 3 then 'save' end as event_type from col where plain like '%#%'""")
+def x1_colours_and_orders(spark, sf_dir):
+    """Lines that name every colour, before or after the number."""
+    rows = ad._read(spark, sf_dir, "events").selectExpr("event_id", f"element_at(array({_NAMED}), cast(event_id % {len(_WORDS)} as int) + 1) as name", "concat(cast(event_id % 90 as string), ':', lpad(cast(event_id % 60 as string), 2, '0')) as clock", "cast(event_id % 30 as string) as number")
+    lines = rows.selectExpr("event_id as line_no", f"{_LINE} as line")
+    return lines.select("line_no", text.annotation(F.col("line")).alias("a")).where("a is not null").select("line_no", "a.*")
+
+
+@query(f""", tr as (select distinct video_id, take_id, track_id from boxes), words(i, name, l, a, b) as (values {", ".join(f"({i}, '{w}', {lab[0]}e0, {lab[1]}e0, {lab[2]}e0)" for i, (w, lab) in enumerate(config.COLOURS.items()))}),
+seen as (select t.*, l + track_id - 3 as l, a + take_id as a, b from tr t join words on i = (track_id * 5 + video_id) % {len(_WORDS)}),
+asked as (select video_id, take_id, coalesce(name, 'tartan') as colour, l, a, b from takes left join words on i = (video_id * 6 + take_id) % {len(_WORDS) + 1}),
+near_ as (select k.video_id, k.take_id, colour, track_id, round(sqrt(pow(s.l - k.l, 2) + pow(s.a - k.a, 2) + pow(s.b - k.b, 2)), 9) as d, row_number() over (partition by k.video_id, k.take_id order by round(sqrt(pow(s.l - k.l, 2) + pow(s.a - k.a, 2) + pow(s.b - k.b, 2)), 9), track_id) as rn from asked k join seen s using (video_id, take_id))
+select video_id, take_id, colour, case when d <= 8 then track_id end as track_id, round(d, 6) as dist from near_ where rn = 1""")
+def j12_named_colours(spark, sf_dir):
+    """Tracks by a colour's name; a name that no table knows finds none."""
+    words = F.array(*[F.lit(w) for w in _WORDS])
+    word = lambda k: F.element_at(words, (k % len(_WORDS) + 1).cast("int"))
+    looks = ad.tracks(spark, sf_dir).select("video_id", "take_id", "track_id", text.colour_reference(word(F.col("track_id") * 5 + F.col("video_id"))).alias("c"))
+    colours = looks.select("video_id", "take_id", "track_id", (F.col("c.l") + F.col("track_id") - 3).alias("l"), (F.col("c.a") + F.col("take_id")).alias("a"), F.col("c.b").alias("b"))
+    at = (F.col("video_id") * 6 + F.col("take_id")) % (len(_WORDS) + 1)
+    asked = ad.takes(spark, sf_dir).select("video_id", "take_id", F.when(at < len(_WORDS), F.upper(F.element_at(words, (at + 1).cast("int")))).otherwise("tartan").alias("named"))
+    found = target.nearest_colour(colours, asked.withColumnRenamed("named", "colour"))
+    return rounded(found.withColumn("colour", F.lower("colour")).drop("ref"))

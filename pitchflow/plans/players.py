@@ -91,11 +91,12 @@ def t5_teams_by_embedding(spark, sf_dir):
 
 @query(""", points as (select video_id, take_id, frame_index, t from frames),
 near2 as (select p.video_id, p.take_id, p.frame_index, b.track_id, b.x1, b.y1, b.x2, b.y2, row_number() over (partition by p.video_id, p.frame_index, b.track_id order by round(abs(b.t - p.t), 9), b.t) as rn from points p join boxes b on b.video_id = p.video_id and b.take_id = p.take_id and round(abs(b.t - p.t), 9) <= 0.3 where b.track_id <> 11)
-select video_id, take_id, frame_index, track_id, track_id // 3 as chain, round(x1 / 1280, 6) as x1, round(y1 / 720, 6) as y1, round(x2 / 1280, 6) as x2, round(y2 / 720, 6) as y2, round(y2 - y1, 6) as height, (track_id % 2)::int as team from near2 where rn = 1""")
+select video_id, take_id, frame_index, track_id, track_id // 3 as chain, round(x1 / 1280, 8) as x1, round(y1 / 720, 8) as y1, round(x2 / 1280, 8) as x2, round(y2 / 720, 8) as y2, round(y2 - y1, 6) as height, (track_id % 2)::int as team from near2 where rn = 1""")
 def j16_players_at(spark, sf_dir):
     points = ad.frames(spark, sf_dir).select("video_id", "take_id", "frame_index", "t")
     tracks = ad.tracks(spark, sf_dir).withColumn("identity", F.expr("cast(floor(track_id / 3) as bigint)"))
-    return rounded(stats.players_at(points, ad.boxes(spark, sf_dir), tracks, ad.WIDTH, HEIGHT).drop("t", "team_confidence"))
+    out = stats.players_at(points, ad.boxes(spark, sf_dir), tracks, ad.WIDTH, HEIGHT).drop("t", "team_confidence")
+    return out.withColumns({c: F.round(c, 8) for c in ("x1", "y1", "x2", "y2")})  # shares of 1280 end at the eighth digit
 
 
 @query("""select video_id, take_id, i as place, round(t_start + 10 * (i + 0.5) / n, 6) as t from (select *, unnest(range(n)) as i from (select *, case when take_id % 2 = 0 then 1 else 2 end as n from takes))""")

@@ -164,3 +164,14 @@ rg as (select *, lag(t_first) over w as came, lag(score) over w as was from rf w
 select video_id, take_id, 'goal' as type, round(came, 6) as t_start, round(t_first, 6) as t_end, round(t_first, 6) as t_after, 0.75e0 as confidence, 'scoreboard' as source from rg where score = was + 1
 union all select video_id, take_id, 'goal', t_start, t_end, t_end, 0.5e0, 'goal_line_crossing' from (""" + _lines[1] + """) where take_id % 2 = 0
 union all select * from (""" + _inside[1] + ") where take_id % 2 = 1"
+
+_FROM = "case when b.t > f.{0}t then sqrt(pow(b.x - f.{0}x, 2) + pow(b.y - f.{0}y, 2)) / (b.t - f.{0}t) / 1280 <= 10 else b.x = f.{0}x and b.y = f.{0}y end"
+SQL["w13_plausible_balls"] = BASE + f""", jumpy as (select * replace (case when frame_index % 37 < 2 then x1 + 900 else x1 end as x1, case when frame_index % 37 < 2 then x2 + 900 else x2 end as x2) from balls),
+bb as (select *, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y, row_number() over (partition by video_id order by t, frame_index) as k from jumpy),
+fold as (select video_id, k, t as l_t, x as l_x, y as l_y, [k] as kept, false as firm, []::bigint[] as doubt, t as d_t, x as d_x, y as d_y from bb where k = 1
+  union all select n.video_id, n.k, case when ok or len(more) >= 5 then n.t else l_t end, case when ok or len(more) >= 5 then n.x else l_x end, case when ok or len(more) >= 5 then n.y else l_y end,
+    case when ok then list_append(kept, n.k) when len(more) < 5 then kept when not firm and len(kept) = 1 then more else list_concat(kept, more) end, firm or ok or len(more) >= 5, case when ok or len(more) >= 5 then [] else more end, n.t, n.x, n.y
+  from (select b.*, f.l_t, f.l_x, f.l_y, f.kept, f.firm, {_FROM.format("l_")} as ok, case when len(f.doubt) > 0 and {_FROM.format("d_")} then list_append(f.doubt, b.k) else [b.k] end as more
+    from fold f join bb b on b.video_id = f.video_id and b.k = f.k + 1) n),
+good as (select video_id, unnest(arg_max(kept, k)) as k from fold group by video_id)
+select video_id, frame_index, round(t, 6) as t, take_id, round(x1, 6) as x1, round(y1, 6) as y1, round(x2, 6) as x2, round(y2, 6) as y2, round(conf, 6) as conf from bb join good using (video_id, k)"""
