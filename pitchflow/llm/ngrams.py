@@ -36,7 +36,7 @@ ORDER = 3
 #: Weight of single words' smoothing, as in the base score; discount of longer n-grams; how often these must occur.
 PLUS, DISCOUNT, LEAST = 0.1, 0.75, 2
 #: A shard is for so many tokens of the corpus; a task works on so many tokens at a time.
-SHARD_TOKENS, CHUNK = 1 << 20, 1 << 19
+SHARD_TOKENS, CHUNK = 1 << 22, 1 << 20
 BYTES_A_TOKEN = 6
 #: A context that stands for more than this part of a shard is spread.
 HOT = 1 / 8
