@@ -237,14 +237,19 @@ def _publish(spark: SparkSession, folder: str, found: DataFrame) -> None:
     however many files there are."""
     Path = spark._jvm.org.apache.hadoop.fs.Path
     fs = Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.rename(Path(f"{folder}/_archives"), Path(f"{folder}/archives"))
+
+    def show(name: str) -> None:
+        if not fs.rename(Path(f"{folder}/_{name}"), Path(f"{folder}/{name}")):  # false, no exception, where it fails
+            raise OSError(f"{folder}/_{name} could not be renamed to {name}")
+
+    show("archives")
     manifest = found.groupBy("file").agg(
         F.sum("copies").alias("n_records"),
         F.min("page_id").alias("first_page"),
         F.max("page_id").alias("last_page"),
     )
     manifest.withColumn("path", F.format_string(f"{folder}/archives/file=%d", "file")).write.json(f"{folder}/_manifest")
-    fs.rename(Path(f"{folder}/_manifest"), Path(f"{folder}/manifest"))
+    show("manifest")
 
 
 def members(data: bytes) -> Iterator[bytes]:
