@@ -235,11 +235,20 @@ def merge_fragments(boxes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def structure_votes(candidates: DataFrame, least: float = 0.3, need: int = 2) -> DataFrame:
-    """A goal box a take: the median box of the candidates that overlap the median of all enough, if there are enough."""
+    """A goal box a take: the median box of the candidates that overlap the median of all enough, if there are enough
+    (n_inliers, of n_sampled). ``representative`` is the one real candidate nearest to it, whole, with its posts or whatever
+    columns it has: largest overlap with the box, of equal ones the earliest. No more than medians and one row a take are
+    gathered."""
     box = ("x1", "y1", "x2", "y2")
-    middle = lambda df: df.groupBy(*TAKE).agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in box], F.count("*").alias("n_inliers"))
-    near = candidates.join(middle(candidates).drop("n_inliers"), list(TAKE)).where(iou("", "m_") >= least)
-    return middle(near.select(*candidates.columns)).where(F.col("n_inliers") >= need).select(*TAKE, *[F.col(f"m_{c}").alias(c) for c in box], "n_inliers")
+    middle = lambda df, p, n: df.groupBy(*TAKE).agg(*[F.percentile(c, 0.5).alias(f"{p}{c}") for c in box], F.count("*").alias(n))
+    rest = [c for c in candidates.columns if c not in TAKE]
+    near = candidates.join(middle(candidates, "m_", "n_sampled"), list(TAKE)).where(iou("", "m_") >= least)
+    near = settled(near.select(*candidates.columns, "n_sampled"))
+    final = middle(near, "f_", "n_inliers").where(F.col("n_inliers") >= need)
+    timed = "t" in candidates.columns
+    order = F.struct(F.round(iou("", "f_"), 9), -F.col("t") if timed else F.lit(0))
+    one = near.join(final, list(TAKE)).groupBy(*TAKE).agg(F.max_by(F.struct(*rest), order).alias("representative"), F.first("n_sampled").alias("n_sampled"))
+    return final.join(one, list(TAKE)).select(*TAKE, *[F.col(f"f_{c}").alias(c) for c in box], "n_inliers", "n_sampled", *([F.col("representative.t").alias("t_anchor")] if timed else []), "representative")
 
 
 def extend_chains(chain: DataFrame, tracks: DataFrame, least: float = config.TARGET["height"]) -> DataFrame:

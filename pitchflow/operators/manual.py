@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from .events import candidate_windows
+from .identity import merge_fragments
+from .stats import attribute
 from .target import _match
 from .timejoin import TAKE, drop_near, nearest_in_time
 
@@ -75,3 +78,13 @@ def union_chains(chains: DataFrame, tracks: DataFrame) -> DataFrame:
     ids = chains.select(*TAKE, "track_id").distinct().join(tracks.select(*TAKE, "track_id", "t_start"), [*TAKE, "track_id"], "left")
     w = Window.partitionBy(*TAKE).orderBy(F.asc_nulls_last("t_start"), "track_id")
     return ids.withColumn("place", F.row_number().over(w)).select(*TAKE, "track_id", "place")
+
+
+def target_windows(boxes: DataFrame, targets: DataFrame, events: DataFrame, params: dict = config.KEY_MOMENT) -> DataFrame:
+    """Where a target may have had a key moment: fast windows of its tracks merged into one, less those that its sprints,
+    dribbles and possession overlap; of each take those of highest peak. ``targets``: video_id, take_id, track_id of one
+    player; ``events`` with ``acting_ids``."""
+    own = merge_fragments(boxes, targets)
+    name = targets.select(*TAKE, "track_id").join(boxes.select(*TAKE, "track_id").distinct(), [*TAKE, "track_id"], "left_semi").groupBy(*TAKE).agg(F.min("track_id").alias("player_track_id"))
+    taken = attribute(events.where(F.col("type").isin("sprint", "dribble", "possession")), targets).drop("player_track_id")
+    return candidate_windows(own, taken.join(name, list(TAKE)).select(*TAKE, "player_track_id", "t_start", "t_end"), params)

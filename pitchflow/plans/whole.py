@@ -290,7 +290,7 @@ select video_id, take_id, round(median(x1), 6) as x1, round(median(y1), 6) as y1
 def t28_structure_votes(spark, sf_dir):
     far = "if(frame_index % 25 = 0, 900, 0)"
     rows = ad.frames(spark, sf_dir).where("frame_index % 5 = 0").selectExpr("video_id", "take_id", "t", f"cast(100 + frame_index % 7 + {far} as double) as x1", "200D as y1", f"cast(300 + frame_index % 5 + {far} as double) as x2", "cast(300 + frame_index % 3 as double) as y2")
-    return rounded(identity.structure_votes(rows))
+    return rounded(identity.structure_votes(rows).drop("n_sampled", "t_anchor", "representative"))
 
 
 @query("select cls, count(*) as n from (select case when frame_index % 11 = 0 then null when frame_index % 9 = 0 then 'staff ' || track_id when frame_index % 5 = 0 then 'ball' else 'player' end as cls from boxes) where cls is null or cls not in ('player', 'ball') group by 1")
@@ -387,3 +387,37 @@ coalesce(k.n, 0)::bigint as n_goals, coalesce(g.n, 0)::bigint as n_assists from
 def p13_goals_told(spark, sf_dir):
     videos, (found, given) = ad.frames(spark, sf_dir).select("video_id").distinct(), _goal_tables(spark, sf_dir)
     return goals.goal_availability(videos, ad.takes(spark, sf_dir), videos.where("video_id % 2 = 0"), found, given)
+
+
+_voted = SQL["t28_structure_votes"][len(BASE) :]
+_last = _voted.rindex("\nselect video_id, take_id, round(median(x1)")
+
+
+@query(_voted[:_last] + """, gf as (select video_id, take_id, median(x1) as p, median(y1) as q, median(x2) as r, median(y2) as s, count(*) as n from gk group by 1, 2 having count(*) >= 2),
+gj as (select k.video_id, k.take_id, k.t, k.x1, k.y1, k.x2, k.y2, n, greatest(least(k.x2, r) - greatest(k.x1, p), 0) * greatest(least(k.y2, s) - greatest(k.y1, q), 0) as j, (k.x2 - k.x1) * (k.y2 - k.y1) + (r - p) * (s - q) as u from gk k join gf using (video_id, take_id))
+select video_id, take_id, n as n_inliers, (select count(*) from gc c where c.video_id = g.video_id and c.take_id = g.take_id) as n_sampled, round(t, 6) as t_anchor, x1::double as x1, x2::double as x2, x1 + 10e0 as left_post, x2 - 10e0 as right_post
+from gj g qualify row_number() over (partition by video_id, take_id order by round(j / (u - j), 9) desc, t) = 1""")
+def t28_representative(spark, sf_dir):
+    """The real goal structure nearest to the voted box, with its posts."""
+    far = "if(frame_index % 25 = 0, 900, 0)"
+    rows = ad.frames(spark, sf_dir).where("frame_index % 5 = 0").selectExpr("video_id", "take_id", "t", f"cast(100 + frame_index % 7 + {far} as double) as x1", "200D as y1", f"cast(300 + frame_index % 5 + {far} as double) as x2", "cast(300 + frame_index % 3 as double) as y2")
+    posts = rows.withColumn("posts", F.array(F.col("x1") + 10, F.col("x2") - 10))
+    out = identity.structure_votes(posts)
+    return rounded(out.select("video_id", "take_id", "n_inliers", "n_sampled", "t_anchor", "representative.x1", "representative.x2", F.expr("representative.posts[0]").alias("left_post"), F.expr("representative.posts[1]").alias("right_post")))
+
+
+_tracked = re.sub(r"\b(boxes|smooth|steps|speeds|ranked|hot|runs_)\b", r"\g<1>_t", BASE[BASE.index("smooth as (") : BASE.index("segs as (")].rstrip().rstrip(","))
+
+
+_SHOWN = "(track_id = 3 and frame_index % 80 < 25 or track_id = 0 and frame_index % 80 >= 25)"
+
+
+@query(FLOW + f""", boxes_t as (select video_id, take_id, (select min(track_id) from boxes m where m.track_id in (0, 3) and m.video_id = b.video_id and m.take_id = b.take_id) as track_id, frame_index, t, x1, y1, x2, y2, conf from boxes b where {_SHOWN}), """ + _tracked + """,
+found_t as (select video_id, take_id, track_id, min(t) as t_start, max(t) as t_end, max(speed) as peak from runs__t group by video_id, take_id, track_id, run having round(max(t) - min(t), 9) >= 0.5)
+select video_id, take_id, track_id, round(t_start, 6) as t_start, round(t_end, 6) as t_end, round(peak, 6) as peak, row_number() over (partition by video_id, take_id, track_id order by peak desc, t_start) as rank from found_t c
+where not exists (select 1 from flow h where (h.type in ('dribble', 'possession') or h.type = 'sprint' and h.video_id % 2 = 1) and len(list_intersect(string_split(h.acting, ','), ['0', '3'])) > 0 and h.video_id = c.video_id and h.take_id = c.take_id and c.t_end > h.t_start and c.t_start < h.t_end) qualify rank <= 6""")
+def e12_target_windows(spark, sf_dir):
+    """Windows for key moments of the followed player, whose two tracks show in turn and are taken as one."""
+    wanted = ad.tracks(spark, sf_dir).where("track_id in (0, 3)").select("video_id", "take_id", "track_id")
+    found = _flow(spark, sf_dir).where("type <> 'sprint' or video_id % 2 = 1")
+    return rounded(manual.target_windows(ad.boxes(spark, sf_dir).where(_SHOWN), wanted, found))

@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EXTENSIONS = ("mp4", "mov", "mkv", "avi", "m4v")
 
 
+def conformed(value: Column, has: T.DataType, wanted: T.DataType) -> Column:
+    """A value as ``wanted``, at every depth: NaN that stands for a missing integer becomes null, structs get the fields of
+    the schema in its order (null where the file has none), other fields are left out."""
+    if isinstance(wanted, T.ArrayType) and isinstance(has, T.ArrayType):
+        return F.transform(value, lambda x: conformed(x, has.elementType, wanted.elementType))
+    if isinstance(wanted, T.StructType) and isinstance(has, T.StructType):
+        held = {f.name: f.dataType for f in has}
+        fields = [(conformed(value[f.name], held[f.name], f.dataType) if f.name in held else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(wanted, T.IntegralType) and isinstance(has, T.DoubleType | T.FloatType):
+        return F.when(~F.isnan(value), value).cast(wanted)
+    return value.cast(wanted)
+
+
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet record table; NaN in an integer column of ``schema`` becomes null, nested boxes become columns."""
+    """A Parquet record table with the columns of ``schema`` in their types, nested ones too (see ``conformed``), after any
+    others of the file; a column that the file lacks is an error. A nested box becomes columns."""
     df = spark.read.parquet(path)
-    for f in schema:
-        if f.name in df.columns and isinstance(f.dataType, T.IntegerType | T.LongType) and isinstance(df.schema[f.name].dataType, T.DoubleType):
-            df = df.withColumn(f.name, F.when(~F.isnan(f.name), F.col(f.name)).cast(f.dataType))
+    missing = [f.name for f in schema if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    df = df.withColumns({f.name: conformed(F.col(f.name), df.schema[f.name].dataType, f.dataType) for f in schema})
     return df.select("*", "bbox.*").drop("bbox") if "bbox" in df.columns else df
 
 
+def track_boxes(tracks: DataFrame) -> DataFrame:
+    """One row a box out of track records that hold their boxes as an array: the track's video_id, take_id and id (as
+    track_id), and frame_index, t, x1, y1, x2, y2, conf. Tracks without boxes give none."""
+    flat = tracks.select("video_id", "take_id", F.col("id").alias("track_id"), F.explode("boxes").alias("b"))
+    return flat.select("video_id", "take_id", "track_id", "b.frame_index", "b.t", "b.bbox.*", "b.conf")
+
+
 def write_records(df: DataFrame, path: str) -> None:
     df.write.partitionBy("video_id").parquet(path)
 
@@ -31,9 +54,15 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """video_id (the file's stem), line_no from 1, line."""
-    files = spark.read.text(path, wholetext=True).withColumn("video_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1))
-    return files.select("video_id", F.posexplode(F.split("value", r"\r?\n"))).select("video_id", (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
+    """video_id (the file's stem), line_no from 1, line.
+
+    Lines are read as a stream, a large file in several tasks, and numbered by file, block and order in the block; no file is
+    held whole. An end of line at the end of a file does not begin another line."""
+    # files that are read in one task get numbers that grow along it, so order by block first and by number inside
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn("__n", F.monotonically_increasing_id())
+    w = Window.partitionBy("file_path").orderBy("file_block_start", "__n")
+    stem = F.regexp_extract(F.url_decode("file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return lines.select(stem.alias("video_id"), F.row_number().over(w).alias("line_no"), F.col("value").alias("line"))
 
 
 def discover_videos(listing: DataFrame) -> DataFrame:

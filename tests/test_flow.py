@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,7 +162,33 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "clip2 77.txt").write_text("# note\r\n\n1:02 player #7 shoots\n")
     lines = records.read_sidecars(spark, f"{tmp_path}/s").orderBy("line_no").collect()
-    assert [r.line for r in lines] == ["# note", "", "1:02 player #7 shoots", ""] and lines[0].line_no == 1
+    assert [r.line for r in lines] == ["# note", "", "1:02 player #7 shoots"] and lines[0].line_no == 1 and lines[0].video_id == "clip2 77"
+
+
+def test_long_sidecars_and_nested_records(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    for name, n in (("a", 30_000), ("b", 7)):
+        (tmp_path / "s" / f"{name}.txt").write_text("\n".join(f"{name} {k}" for k in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # a file larger than a task's share
+    try:
+        lines = records.read_sidecars(spark, f"{tmp_path}/s")
+        assert lines.rdd.getNumPartitions() > 1 and lines.count() == 30_007
+        assert lines.where("line <> concat(video_id, ' ', line_no)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    kind = f"video_id long, take_id double, id long, team double, boxes array<struct<frame_index:double,t:double,bbox:{box},conf:double>>"
+    nan = float("nan")
+    rows = [(1, 0.0, 7, nan, [(3.0, 0.12, (1.0, 2.0, 3.0, 4.0), 0.5), (nan, 0.16, (1.0, 2.0, 3.0, 4.0), 0.5)]), (1, 0.0, 8, 1.0, [])]
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/t")
+    wanted = spark.createDataFrame([], f"video_id long, take_id long, team int, boxes array<struct<frame_index:int,t:double,bbox:{box},conf:double,extra:string>>").schema
+    back = records.read_records(spark, f"{tmp_path}/t", wanted)
+    assert {r.id: (r.team, r.take_id) for r in back.collect()} == {7: (None, 0), 8: (1, 0)}
+    assert dict(back.dtypes)["boxes"].startswith("array<struct<frame_index:int")
+    assert [tuple(r) for r in records.track_boxes(back).orderBy("t").collect()] == [(1, 0, 7, 3, 0.12, 1.0, 2.0, 3.0, 4.0, 0.5), (1, 0, 7, None, 0.16, 1.0, 2.0, 3.0, 4.0, 0.5)]
+    with pytest.raises(ValueError, match="no column other"):
+        records.read_records(spark, f"{tmp_path}/t", T.StructType([T.StructField("other", T.LongType())]))
 
 
 def test_compensated_jump(spark):
