@@ -3,9 +3,10 @@ tolerance, so one long take spreads over many tasks."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import point_to_box
@@ -15,10 +16,27 @@ TAKE = ("video_id", "take_id")
 BROADER = 1.001
 
 
+#: Folders of the tables that ``settled`` has written in this process.
+_SETTLED: list[str] = []
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint where the session has a folder for them, so that what reads it several times reads rows and
-    not its plan; without a folder as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+    """``df`` as a table in the session's checkpoint folder, where it has one, so that what reads it several times reads rows
+    and not its plan, a lost executor costs no more than the step after it, and readers take the columns they need. Without a
+    folder as it is. The table stays until ``unsettle``."""
+    folder = df.sparkSession.sparkContext.getCheckpointDir()
+    if folder is None:
+        return df
+    _SETTLED.append(f"{folder}/settled-{uuid.uuid4().hex}")
+    df.write.parquet(_SETTLED[-1])
+    return df.sparkSession.read.schema(df.schema).parquet(_SETTLED[-1])
+
+
+def unsettle(spark: SparkSession) -> None:
+    """Delete the tables of ``settled``, once the results that read them are written."""
+    while _SETTLED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def assign_take(points: DataFrame, takes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchflow import config
-from pitchflow.operators import identity, manual, series
+from pitchflow.operators import identity, manual, series, timejoin
 
 AFFINE = ("a", "b", "tx", "c", "d", "ty")
 
@@ -130,3 +130,14 @@ def test_target_windows(spark):
     events = spark.createDataFrame([(0, 0, "dribble", 2, 5.0, 6.0, [2]), (0, 0, "possession", 3, 1.0, 2.0, [3]), (0, 0, "touch", 1, 1.0, 2.0, [1])], kind)
     got = manual.target_windows(df, own, events).orderBy("t_start").collect()
     assert [(r.track_id, round(r.t_start), round(r.t_end)) for r in got] == [(1, 1, 2), (1, 9, 10)] and [r.rank for r in got] == [1, 2]
+
+
+def test_settled_tables_go_when_they_are_done_with(spark):
+    rows = timejoin.settled(spark.range(5).withColumn("v", F.to_variant_object(F.struct("id"))))
+    (folder,) = {f.rsplit("/", 1)[0] for f in rows.inputFiles()}
+    assert rows.select(F.variant_get("v", "$.id", "long").alias("x")).agg(F.sum("x")).first()[0] == 10
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert store.exists(path)
+    timejoin.unsettle(spark)
+    assert not store.exists(path)
