@@ -13,7 +13,7 @@ from ..operators import events as ev
 from ..operators import filters, flow, goals, identity, manual, memory, possession, stats, target, timejoin
 from . import adapters as ad
 from .proofs import TOUCHES
-from .queries import BASE, QUERIES, SQL, _passes, _possession, _touches, query, rounded
+from .queries import BASE, QUERIES, SQL, _happened, _passes, _possession, _touches, query, rounded
 
 HEIGHT = 720
 
@@ -421,3 +421,35 @@ def e12_target_windows(spark, sf_dir):
     wanted = ad.tracks(spark, sf_dir).where("track_id in (0, 3)").select("video_id", "take_id", "track_id")
     found = _flow(spark, sf_dir).where("type <> 'sprint' or video_id % 2 = 1")
     return rounded(manual.target_windows(ad.boxes(spark, sf_dir).where(_SHOWN), wanted, found))
+
+
+_AFFINE = "1 + (frame_index % 5) / 50e0 as a, (frame_index % 7 - 3) / 40e0 as b, frame_index % 11 - 5e0 as tx, (track_id % 3 - 1) / 30e0 as c, 1 - (frame_index % 4) / 60e0 as d, track_id - 6e0 as ty"
+_CORNERS = [(x, y) for x in ("x1", "x2") for y in ("y1", "y2")]
+
+
+@query(f""", moved as (select video_id, take_id, track_id, frame_index, x1, y1, x2, y2, {_AFFINE} from boxes)
+select video_id, take_id, track_id, frame_index, """ + ", ".join(f"round({f}({', '.join(f'{p} * {x} + {q} * {y} + {t}' for x, y in _CORNERS)}), 6) as {name}" for name, f, (p, q, t) in (("left", "least", ("a", "b", "tx")), ("top", "least", ("c", "d", "ty")), ("right", "greatest", ("a", "b", "tx")), ("bottom", "greatest", ("c", "d", "ty")))) + " from moved")
+def g7_warped_boxes(spark, sf_dir):
+    """Every box under an affine map of its own."""
+    rows = ad.boxes(spark, sf_dir).selectExpr("video_id", "take_id", "track_id", "frame_index", "x1", "y1", "x2", "y2", *_AFFINE.replace("e0", "D").split(", "))
+    out = rows.withColumn("w", g.warped(*[F.col(c) for c in ("a", "b", "tx", "c", "d", "ty")]))
+    return rounded(out.select("video_id", "take_id", "track_id", "frame_index", F.col("w.x1").alias("left"), F.col("w.y1").alias("top"), F.col("w.x2").alias("right"), F.col("w.y2").alias("bottom")))
+
+
+@query(""", said as (select video_id, frame_index, case when frame_index % 3 = 0 then null else frame_index % 4 end as colour, case when frame_index % 5 < 2 then null else frame_index % 6 end as hint, frame_index % 7 as candidates from frames)
+select video_id, frame_index, case when candidates > 0 then coalesce(colour, hint) end as track_id, case when candidates = 0 then 'no_candidates' when colour = hint then 'corroborated' when colour is not null and hint is not null then 'disagreement'
+  when colour is not null then 'colour_only' when hint is not null then 'arrow_fallback' else 'no_confident_signal' end as how from said""")
+def j14_colour_and_hint(spark, sf_dir):
+    """What a colour and an arrow say together."""
+    rows = ad.frames(spark, sf_dir).selectExpr("video_id", "frame_index", "if(frame_index % 3 = 0, null, frame_index % 4) as colour", "if(frame_index % 5 < 2, null, frame_index % 6) as hint", "frame_index % 7 as candidates")
+    return rows.select("video_id", "frame_index", target.combined(F.col("colour"), F.col("hint"), F.col("candidates")).alias("c")).select("video_id", "frame_index", "c.*")
+
+
+@query()
+def r4_export_in_budget(spark, sf_dir):
+    """The best clips of each player up to some twenty seconds in all."""
+    ranked = stats.rank_events(rounded(_happened(spark, sf_dir)))
+    return rounded(stats.select_export(stats.dedupe_clips(stats.clip_ranges(ranked, ad.takes(spark, sf_dir))), budget=20.01))
+
+
+SQL["r4_export_in_budget"] = "select * from (" + SQL["r3_dedupe_clips"] + ") qualify sum(clip_end - clip_start) over (partition by video_id, player_track_id order by rank) <= 20.01 or row_number() over (partition by video_id, player_track_id order by rank) = 1"
