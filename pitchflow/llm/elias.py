@@ -87,6 +87,21 @@ class Sequence:
         at = word * 64 + _nth_one(self.high[word], i - self.rank[word])
         return (at - i).astype(np.uint64) << np.uint64(self.bits) | self._low(i)
 
+    def both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th integers and the ones after them."""
+        i = np.asarray(i, np.int64)
+        word = np.searchsorted(self.rank, i, "right") - 1
+        off = _nth_one(self.high[word], i - self.rank[word]).astype(np.uint64)
+        rest = self.high[word] >> off >> _1  # ones after it in this word
+        after = word * 64 + off.astype(np.int64) + 1 + np.bitwise_count((rest & (~rest + _1)) - _1)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            beyond = np.searchsorted(self.rank, i[far] + 1, "right") - 1
+            after[far] = beyond * 64 + _nth_one(self.high[beyond], i[far] + 1 - self.rank[beyond])
+        bits = np.uint64(self.bits)
+        one = (word * 64 + off.astype(np.int64) - i).astype(np.uint64) << bits | self._low(i)
+        return one, (after - i - 1).astype(np.uint64) << bits | self._low(i + 1)
+
     def _group(self, h: np.ndarray) -> np.ndarray:
         """Place of the first integer whose upper part is at least h (h below the number of zeros): a select of the zero
         before its group."""

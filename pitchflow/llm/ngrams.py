@@ -118,7 +118,7 @@ class Model:
 
     def _by_shard(self, level: int, of: np.ndarray) -> Iterator[tuple[dict, np.ndarray, int]]:
         """(shard, places of ``of`` in it, its first node); shards without a file are left out."""
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.min_scalar_type(self.shards)), kind="stable")  # a radix sort, where shards are few
         ends = np.searchsorted(of[order], np.arange(self.shards + 1))
         for k in np.flatnonzero(np.diff(ends)):
             if self.levels[level].names[k]:
@@ -138,8 +138,8 @@ class Model:
         """How often n-grams occur in the corpus."""
         out = np.zeros(len(node), np.int64)
         for s, at, first in self._by_shard(level, np.searchsorted(self.levels[level].first, node, "right") - 1):
-            i = node[at] - first
-            out[at] = (s["sums"][i + 1] - s["sums"][i]).astype(np.int64)
+            lo, hi = s["sums"].both(node[at] - first)
+            out[at] = (hi - lo).astype(np.int64)
         return out
 
     def route(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -149,35 +149,37 @@ class Model:
         parts = np.where(above.hot[at] == context, above.parts[at], 1) if len(above.hot) else np.ones(len(context), np.int64)
         return ((_hash(context) + _hash(word + 1) % parts.astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
 
-    def find(self, level: int, context: np.ndarray, word: np.ndarray, values: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """(node, discounted share) of the n-grams of ``level``; -1 and 0 of those that are not in it."""
-        node, share = np.full(len(context), -1), np.zeros(len(context))
+    def find(self, level: int, context: np.ndarray, word: np.ndarray, values: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, discounted share, rest) of the n-grams of ``level`` with these contexts (nodes of the level before) and last
+        words: -1 and 0 of those that are not in it, such as all of word -1. ``rest`` is the mass that the context leaves to
+        shorter ones: 1 for one without successors."""
+        node, share, rest = np.full(len(context), -1), np.zeros(len(context)), np.ones(len(context))
         for s, at, first in self._by_shard(level, self.route(level, context, word)):
-            of, back = np.unique(context[at], return_inverse=True)
-            p = s["contexts"].find(of)[back]
+            if level == 1:  # words come often
+                of, back = np.unique(context[at], return_inverse=True)
+                p = s["contexts"].find(of)[back]
+            else:
+                p = s["contexts"].find(context[at])
             at, p = at[p >= 0], p[p >= 0]
-            lo, hi = s["pointers"][p].astype(np.int64), s["pointers"][p + 1].astype(np.int64)
-            before = np.where(lo > 0, s["words"][np.maximum(lo - 1, 0)], np.uint64(0)) if len(p) else np.zeros(0, np.uint64)
+            if values:
+                rest[at] = s["rest_levels"][s["rest"][p]]
+            at, p = at[word[at] >= 0], p[word[at] >= 0]
+            if not len(p):
+                continue
+            lo, hi = (x.astype(np.int64) for x in s["pointers"].both(p))
+            before = np.where(lo > 0, s["words"][np.maximum(lo - 1, 0)], np.uint64(0))
             i = s["words"].find(before + (word[at] + 1).astype(np.uint64), hi)
             at, i = at[i >= 0], i[i >= 0]
             node[at] = first + i
             if values:
                 share[at] = s["share_levels"][s["share"][i]]
-        return node, share
-
-    def rest(self, level: int, context: np.ndarray) -> np.ndarray:
-        """The mass that contexts (nodes of the level before ``level``) leave to shorter ones: 1 without successors."""
-        out, above = np.ones(len(context)), self.levels[level - 1]
-        at = np.minimum(np.searchsorted(above.hot, context), max(0, len(above.hot) - 1))
-        hot = above.hot[at] == context if len(above.hot) else np.zeros(len(context), bool)
-        if hot.any():
-            own = above.rest[at[hot]]
-            out[hot] = np.where(np.isnan(own), 1.0, own)
-        cool = np.flatnonzero(~hot)
-        for s, k, _ in self._by_shard(level, (_hash(context[cool]) % np.uint64(self.shards)).astype(np.int64)):
-            p = s["contexts"].find(context[cool[k]])
-            out[cool[k[p >= 0]]] = s["rest_levels"][s["rest"][p[p >= 0]]]
-        return out
+        above = self.levels[level - 1]
+        if values and len(above.hot):  # a spread context is in several shards
+            k = np.minimum(np.searchsorted(above.hot, context), len(above.hot) - 1)
+            hot = above.hot[k] == context
+            own = above.rest[k[hot]]
+            rest[hot] = np.where(np.isnan(own), 1.0, own)
+        return node, share, rest
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -237,7 +239,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, chunk: int) -> Itera
     def run(on: bool) -> tuple:
         nonlocal hashes, sizes, n, before
         h, size = np.concatenate([before, *hashes]), np.concatenate(sizes)
-        words, seq = np.unique(h, return_inverse=True)
+        seq, words = pd.factorize(h)
         row = np.append(np.full(len(before), -1), np.repeat(np.arange(len(size)), size))
         out = words, seq, row, ids[: len(size)], on
         del ids[: len(size) - on]
@@ -282,7 +284,7 @@ def _emitted(model: Model, level: int, words: np.ndarray, seq: np.ndarray, row:
         a, b, _, n = _pairs(seq[now], seq[now + 1])
         return node[a], node[b], n
     a, b, back, _ = _pairs(seq[now], seq[now + 1])
-    found, _ = model.find(1, node[a], node[b], values=False)
+    found = model.find(1, node[a], node[b], values=False)[0]
     pair = np.full(len(seq), -1)
     pair[now] = np.where(found[back] >= 0, back, -1)
     whole = np.flatnonzero((pair[:-2] >= 0) & (pair[1:-1] >= 0)) if len(seq) > 2 else np.zeros(0, np.int64)
@@ -420,23 +422,16 @@ def _logs(model: Model, words: np.ndarray, seq: np.ndarray, row: np.ndarray) ->
     if len(model.levels) > 1 and len(seq) > 1:
         now = np.flatnonzero(_joined(row) & (node[seq[:-1]] >= 0))
         a, b, back, _ = _pairs(seq[now], seq[now + 1])
-        known = np.flatnonzero(node[b] >= 0)
-        found, share = np.full(len(a), -1), np.zeros(len(a))
-        found[known], share[known] = model.find(1, node[a[known]], node[b[known]])
-        some, at = np.unique(a, return_inverse=True)
-        two = share + model.rest(1, node[some])[at] * single[b]
+        found, share, rest = model.find(1, node[a], node[b])
+        two = share + rest * single[b]
         p[now + 1] = two[back]
         if len(model.levels) > 2 and len(seq) > 2:
             pair = np.full(len(seq), -1)
             pair[now] = np.where(found[back] >= 0, back, -1)
             whole = np.flatnonzero((pair[:-2] >= 0) & _joined(row)[1:])
             x, c, again, _ = _pairs(pair[whole], seq[whole + 2])
-            known = np.flatnonzero(node[c] >= 0)
-            share = np.zeros(len(x))
-            _, share[known] = model.find(2, found[x[known]], node[c[known]])
-            some, at = np.unique(x, return_inverse=True)
-            left = model.rest(2, found[some])[at]
-            p[whole + 2] = share[again] + left[again] * p[whole + 2]
+            _, share, rest = model.find(2, found[x], node[c])
+            p[whole + 2] = share[again] + rest[again] * p[whole + 2]
     return count[seq], np.log10(single)[seq], np.log10(p)
 
 
