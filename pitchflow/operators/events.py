@@ -19,12 +19,12 @@ def sprint_candidates(boxes: DataFrame, fps: float, params: dict = config.SPRINT
     sized = boxes.withColumn("__size", size)
     moving = track_speed(sized.where(F.col("__size") >= params["boxes"]), params["window"])
     found = threshold_segments(moving, "speed", params["threshold"], params["duration"], params["merge"], TRACK).drop("n", "mean")
-    key = [F.col(c).alias(f"__{c}") for c in TRACK]
-    samples = moving.select(*key, "t", "speed", F.col("conf").alias("c"))
-    same = (F.col("t") >= F.col("t_start") - 1e-9) & (F.col("t") <= F.col("t_end") + 1e-9)
-    for c in TRACK:
-        same = same & (F.col(c) == F.col(f"__{c}"))
-    inside = found.join(samples, same).groupBy(*TRACK, "t_start", "t_end").agg(F.count("*").alias("n"), F.avg("c").alias("det"), F.avg("speed").alias("mean_speed"), F.max("speed").alias("peak_speed"))
+    # segments of a track do not overlap, so the one that a sample is in is the last that began: no join that moves every box
+    marks = found.dropna(subset=list(TRACK)).select(*TRACK, (F.col("t_start") - 1e-9).alias("t"), F.struct("t_start", "t_end").alias("span"), F.lit(0).alias("p"))
+    samples = moving.select(*TRACK, "t", "speed", F.col("conf").alias("c"), F.lit(None).cast(marks.schema["span"].dataType).alias("span"), F.lit(1).alias("p"))
+    began = F.last("span", ignorenulls=True).over(Window.partitionBy(*TRACK).orderBy("t", "p"))
+    placed = samples.unionByName(marks, allowMissingColumns=True).withColumn("span", began).where("p = 1 and t <= span.t_end + 1e-9D").select(*TRACK, "speed", "c", "span.*")
+    inside = placed.groupBy(*TRACK, "t_start", "t_end").agg(F.count("*").alias("n"), F.avg("c").alias("det"), F.avg("speed").alias("mean_speed"), F.max("speed").alias("peak_speed"))
     expected = F.greatest(F.lit(1.0), F.bround((F.col("t_end") - F.col("t_start")) * fps)) + 1
     conf = (0.5 * F.least(F.lit(1.0), F.col("n") / expected) + 0.5 * F.col("det")) * params["penalty"]
     reject = first_reject((conf < config.MIN_EMIT, "sprint_below_min_emit_confidence"))

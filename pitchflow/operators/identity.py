@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.geometry import cx, cy, height, iou
-from .timejoin import TAKE, settled
+from .timejoin import TAKE, of_tracks, settled
 
 
 def assemble_tracks(detections: DataFrame) -> DataFrame:
@@ -226,8 +226,7 @@ def claimed_track(votes: DataFrame, keys: Sequence[str], margin: float = 0.2) ->
 
 def merge_fragments(boxes: DataFrame, targets: DataFrame) -> DataFrame:
     """Boxes of a target's tracks as one track of each take, with the smallest of their ids; of equal instants one box."""
-    own = targets.select(*TAKE, "track_id").distinct()
-    rows = boxes.join(own, [*TAKE, "track_id"], "left_semi")
+    rows = of_tracks(boxes, targets.select(*TAKE, "track_id").distinct())
     rest = [c for c in boxes.columns if c not in (*TAKE, "track_id", "t")]
     one = rows.groupBy(*TAKE, "t").agg(F.min_by(F.struct(*rest), "track_id").alias("b"))
     ids = rows.groupBy(*TAKE).agg(F.min("track_id").alias("track_id"))

@@ -4,7 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from pitchflow.operators import series, timejoin
+from pitchflow.operators import events, possession, series, timejoin
+from pitchflow.plans import adapters
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def _plan(df):
@@ -40,3 +43,34 @@ def test_motion_is_sent_to_no_task_whole(spark):
     balls, _ = _tables(spark)
     steps = balls.select("video_id", "take_id", "t", *[F.lit(v).alias(c) for c, v in zip(("a", "b", "tx", "c", "d", "ty"), (1.0, 0.0, 1.0, 0.0, 1.0, 1.0), strict=True)])
     assert "BroadcastHashJoin" not in _plan(series.to_reference(balls, series.cumulative_motion(steps)))
+
+
+def test_tasks_grow_with_the_frames(spark, monkeypatch):
+    monkeypatch.setattr(timejoin, "FRAMES", 50, raising=False)
+    frames = adapters.frames(spark, SMALL)
+    assert frames.rdd.getNumPartitions() == 20
+    assert timejoin.dealt(frames.limit(10)).rdd.getNumPartitions() == 20  # as a settled table is, to meet the frames
+    monkeypatch.undo()
+    assert adapters.frames(spark, SMALL).rdd.getNumPartitions() == 8
+
+
+def test_tracks_meet_dealt_boxes_in_place(spark):
+    balls, boxes, tracks = (make(spark, SMALL) for make in (adapters.balls, adapters.boxes, adapters.tracks))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        for df in (
+            possession.possession_series(balls, boxes, tracks=tracks),
+            timejoin.nearest_in_time(balls, boxes, 0.15, by=("track_id",)),
+            events.sprint_candidates(boxes, 25.0),
+        ):
+            assert "REPARTITION_BY_NUM" in _plan(df) and "ENSURE_REQUIREMENTS" not in _plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_boxes_of_tracks_are_those_of_a_join(spark):
+    boxes = spark.createDataFrame([(0, 0, 1, 1), (0, 0, 2, 2), (0, 1, 1, 3), (None, 0, 1, 4), (0, 0, None, 5), (0, 0, 1, 6)], "video_id long, take_id long, track_id long, n int")
+    tracks = spark.createDataFrame([(0, 0, 1, 7), (0, 1, 2, 8), (None, 0, 1, 9), (0, 0, None, 1)], "video_id long, take_id long, track_id long, team int")
+    assert sorted(r.n for r in timejoin.of_tracks(boxes, tracks).collect()) == [1, 6]
+    assert sorted((r.n, r.team) for r in timejoin.of_tracks(boxes, tracks, "team").collect()) == [(1, 7), (6, 7)]
