@@ -74,3 +74,31 @@ def test_boxes_of_tracks_are_those_of_a_join(spark):
     tracks = spark.createDataFrame([(0, 0, 1, 7), (0, 1, 2, 8), (None, 0, 1, 9), (0, 0, None, 1)], "video_id long, take_id long, track_id long, team int")
     assert sorted(r.n for r in timejoin.of_tracks(boxes, tracks).collect()) == [1, 6]
     assert sorted((r.n, r.team) for r in timejoin.of_tracks(boxes, tracks, "team").collect()) == [(1, 7), (6, 7)]
+
+
+def test_players_of_balls_are_looked_up_in_place(spark):
+    balls, boxes, tracks, known = (make(spark, SMALL) for make in (adapters.balls, adapters.boxes, adapters.tracks, adapters.identities))
+    states = series.ball_states(balls, boxes)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        samples = possession.run_samples(possession.possession_series(balls, boxes, tracks=tracks), known)
+        for df in (possession.touch_candidates(balls, boxes, states, tracks=tracks, identities=known), samples, possession.pass_candidates(possession.runs_of(samples), tracks, states)):
+            assert "REPARTITION_BY_NUM" in _plan(df) and "ENSURE_REQUIREMENTS" not in _plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_rows_of_unknown_tracks_stay_as_in_a_left_join(spark):
+    rows = spark.createDataFrame([(0, 0, 1, 1), (0, 0, 2, 2), (0, 1, 1, 3), (None, 0, 1, 4), (0, 0, None, 5)], "video_id long, take_id long, raw long, n int")
+    tracks = spark.createDataFrame([(0, 0, 1, 7), (0, 0, 1, 8), (None, 0, 1, 9), (0, 0, None, 1)], "video_id long, take_id long, track_id long, identity int")
+    got = timejoin.of_tracks(rows, tracks, "identity", key="raw", keep=True)
+    want = rows.join(tracks.withColumnRenamed("track_id", "raw"), ["video_id", "take_id", "raw"], "left")
+    assert sorted(map(str, got.select("n", "identity").collect())) == sorted(map(str, want.select("n", "identity").collect()))
+
+
+def test_rows_of_one_instant_share_its_contact(spark):
+    states = spark.createDataFrame([(0, 0, 0.9, 0.0, 0.0, True), (0, 0, 1.1, 9.0, 0.0, True), (None, 0, 0.9, 0.0, 0.0, True), (None, 0, 1.1, 9.0, 0.0, True)], "video_id long, take_id long, t double, vx double, vy double, known boolean")
+    times = spark.createDataFrame([(0, 0, 1.0, "a"), (0, 0, 1.0, "a"), (0, 0, 1.0, None), (0, 0, 3.0, "b"), (0, 1, 1.0, "c"), (None, 0, 1.0, "d"), (0, 0, None, "e")], "video_id long, take_id long, t double, who string")
+    got = possession.contact_evidence(times, states, {"window": 0.1, "delta_v": 5.0})
+    assert sorted(str((r.who, r.delta_v, r.kicked)) for r in got.collect()) == sorted(str((w, 9.0 if w in ("a", None) else None, w in ("a", None))) for w in ("a", "a", None, "b", "c", "d", "e"))
