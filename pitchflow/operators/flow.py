@@ -11,7 +11,7 @@ from .duels import dribble_candidates, save_candidates
 from .events import shot_candidates, sprint_candidates
 from .possession import pass_candidates, possession_candidates, possession_series, run_samples, runs_of, tackle_candidates, touch_candidates
 from .series import ball_states
-from .timejoin import TAKE, settled
+from .timejoin import TAKE, apart, settled
 
 #: The reasons that rejected candidates for a pass or turnover are counted under.
 PASS_REASONS = {
@@ -59,9 +59,9 @@ def candidates(balls: DataFrame, boxes: DataFrame, tracks: DataFrame, identities
         ),
         _common(save_candidates(balls, boxes, tracks, frame_width), "save", goalkeeper_track_id="player_track_id", peak_speed_before="peak_before", peak_speed_after="peak_after", decelerated="decelerated", reversed_direction="reversed"),
     ]
-    every = parts[0]
+    every = apart(parts[0])
     for p in parts[1:]:
-        every = every.unionByName(p)
+        every = every.unionByName(apart(p))
     every = settled(every)
     found = told.turnovers_without_tackles(every.where("reject is null"), config.TACKLE_WINDOW)
     found = found.withColumn("reject", F.when(F.col("covered"), COVERED)).drop("covered")

@@ -2,9 +2,10 @@
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitchflow.operators import events, possession, series, timejoin
+from pitchflow.operators import events, flow, possession, series, timejoin
 from pitchflow.plans import adapters
 
 SMALL = "/root/testdata/sf0.001"
@@ -102,3 +103,17 @@ def test_rows_of_one_instant_share_its_contact(spark):
     times = spark.createDataFrame([(0, 0, 1.0, "a"), (0, 0, 1.0, "a"), (0, 0, 1.0, None), (0, 0, 3.0, "b"), (0, 1, 1.0, "c"), (None, 0, 1.0, "d"), (0, 0, None, "e")], "video_id long, take_id long, t double, who string")
     got = possession.contact_evidence(times, states, {"window": 0.1, "delta_v": 5.0})
     assert sorted(str((r.who, r.delta_v, r.kicked)) for r in got.collect()) == sorted(str((w, 9.0 if w in ("a", None) else None, w in ("a", None))) for w in ("a", "a", None, "b", "c", "d", "e"))
+
+
+def test_detectors_share_no_task(spark, monkeypatch):
+    balls, boxes = _tables(spark)
+    ranked = [df.select("video_id", "take_id", "t", F.row_number().over(Window.partitionBy("video_id", "take_id").orderBy("t", "frame_index")).alias("n")) for df in (balls, boxes)]
+    both = lambda of: of(ranked[0]).unionByName(of(ranked[1]))
+    apart = both(timejoin.apart)
+    assert _plan(apart).count("Coalesce") == 2
+    assert sorted(apart.collect()) == sorted(both(lambda df: df).collect())
+    seen = []
+    monkeypatch.setattr(flow, "settled", lambda df: seen.append(df) or df)
+    made = (make(spark, SMALL) for make in (adapters.balls, adapters.boxes, adapters.tracks, adapters.identities))
+    flow.candidates(*made, 1280.0, 25.0)
+    assert _plan(seen[-1]).count("Coalesce") == 9  # one for each detector's candidates
