@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.geometry import ninth
 from ..functions.text import verdict
 from .possession import accepted, clamp, first_reject
 from .series import TRACK, ball_speed, threshold_segments, track_speed
@@ -15,15 +16,21 @@ from .timejoin import TAKE, overlaps
 def sprint_candidates(boxes: DataFrame, fps: float, params: dict = config.SPRINT) -> DataFrame:
     """Fast segments of tracks with enough boxes, and a row for each track with fewer; with ``reject``. The confidence is
     half continuity, half detector confidence, times the penalty."""
-    size = F.count("*").over(Window.partitionBy(*TRACK))
-    sized = boxes.withColumn("__size", size)
-    moving = track_speed(sized.where(F.col("__size") >= params["boxes"]), params["window"])
-    found = threshold_segments(moving, "speed", params["threshold"], params["duration"], params["merge"], TRACK).drop("n", "mean")
-    # segments of a track do not overlap, so the one that a sample is in is the last that began: no join that moves every box
-    marks = found.dropna(subset=list(TRACK)).select(*TRACK, (F.col("t_start") - 1e-9).alias("t"), F.struct("t_start", "t_end").alias("span"), F.lit(0).alias("p"))
-    samples = moving.select(*TRACK, "t", "speed", F.col("conf").alias("c"), F.lit(None).cast(marks.schema["span"].dataType).alias("span"), F.lit(1).alias("p"))
-    began = F.last("span", ignorenulls=True).over(Window.partitionBy(*TRACK).orderBy("t", "p"))
-    placed = samples.unionByName(marks, allowMissingColumns=True).withColumn("span", began).where("p = 1 and t <= span.t_end + 1e-9D").select(*TRACK, "speed", "c", "span.*")
+    # every window below has the order of the first, but the last, where rows come in that order anyway; no box is looked at twice
+    w = Window.partitionBy(*TRACK).orderBy("t")
+    whole = Window.partitionBy(*TRACK).orderBy("t", "frame_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = boxes.withColumn("__size", F.count("*").over(whole))
+    moving = track_speed(sized.where(F.col("__size") >= params["boxes"]), params["window"]).withColumn("__hot", F.col("speed") >= params["threshold"])
+    was = F.last(F.when(F.col("__hot"), F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.col("__hot") & ~F.lag("__hot").over(w) & (ninth(F.col("t") - was) >= params["merge"])
+    cut = moving.select(*TRACK, "t", "speed", F.col("conf").alias("c"), "__hot", apart.alias("__apart"))
+    cut = cut.withColumn("__run", F.when(F.col("__hot"), F.sum(F.when(F.col("__apart"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    # segments of a track do not overlap, so the one that a sample is in is the last that began, if it has not ended
+    began = F.expr("max(__run) over (partition by video_id, take_id, track_id order by t range between unbounded preceding and 1e-9D following)")
+    held = cut.withColumn("__in", began).where("__in is not null").dropna(subset=list(TRACK))
+    span, hot = Window.partitionBy(*TRACK, "__in"), F.when(F.col("__hot") & (F.col("__run") == F.col("__in")), F.col("t"))
+    held = held.withColumns({"t_start": F.min(hot).over(span), "t_end": F.max(hot).over(span)})
+    placed = held.where((ninth(F.col("t_end") - F.col("t_start")) >= params["duration"]) & (F.col("t") <= F.col("t_end") + 1e-9))
     inside = placed.groupBy(*TRACK, "t_start", "t_end").agg(F.count("*").alias("n"), F.avg("c").alias("det"), F.avg("speed").alias("mean_speed"), F.max("speed").alias("peak_speed"))
     expected = F.greatest(F.lit(1.0), F.bround((F.col("t_end") - F.col("t_start")) * fps)) + 1
     conf = (0.5 * F.least(F.lit(1.0), F.col("n") / expected) + 0.5 * F.col("det")) * params["penalty"]

@@ -1,10 +1,12 @@
 """Tables dealt by take move no box again, and joins of settled tables send none to every task."""
 
+import random
 import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pitchflow.functions import geometry
 from pitchflow.operators import events, flow, possession, series, timejoin
 from pitchflow.plans import adapters
 
@@ -117,3 +119,38 @@ def test_detectors_share_no_task(spark, monkeypatch):
     made = (make(spark, SMALL) for make in (adapters.balls, adapters.boxes, adapters.tracks, adapters.identities))
     flow.candidates(*made, 1280.0, 25.0)
     assert _plan(seen[-1]).count("Coalesce") == 9  # one for each detector's candidates
+
+
+def test_nearest_boxes_of_odd_tables(spark):
+    """Equal, near equal and missing instants, boxes a whole tolerance away, tracks that come and go."""
+    rng, odd = random.Random(5), (0.0, 0.0, 1e-12, 0.1 + 0.2 - 0.3, 3e-9)
+    rows = [(v, k, rng.randrange(4), round(rng.uniform(-3, 9), 2) + rng.choice(odd), float(rng.randrange(9))) for v in (0, 1) for k in (0, 1) for _ in range(250)]
+    rows += rows[:40] + [(None, 0, 1, 1.0, 0.0), (0, None, 1, 1.0, 0.0), (0, 0, None, 1.0, 0.0), (0, 0, 1, None, 0.0)]
+    asked = [(v, k, n, round(rng.uniform(-4, 10), 2)) for v in (0, 1, 2) for k in (0, 1) for n in range(90)] + [(None, 0, 1, 1.0), (0, 0, 99, None)]
+    boxes = spark.createDataFrame(rows, "video_id long, take_id long, track_id long, t double, x double")
+    points = spark.createDataFrame(asked + asked[:5], "video_id long, take_id long, n long, t double")
+    want = []
+    for v, k, n, t in asked + asked[:5]:
+        near = {}
+        for w, j, tr, s, x in rows:
+            if None not in (v, k, t, w, j, tr, s) and (w, j) == (v, k) and round(abs(s - t) * 1e9) <= 150_000_000:
+                near[tr] = min(near.get(tr, (9e9,)), (round(abs(s - t) * 1e9), -s, -x))
+        want.append((str(v), k, n, str(t), sorted((tr, -s, -x) for tr, (_, s, x) in near.items())))
+    got = [(str(r.video_id), r.take_id, r.n, str(r.t), sorted(map(tuple, r.near))) for r in timejoin.near_boxes(points, boxes, 0.15).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_flow_asks_for_the_players_of_balls_once(spark, monkeypatch):
+    asked, find = [], possession.nearest_player
+    monkeypatch.setattr(possession, "nearest_player", lambda *a: asked.append(a) or find(*a))
+    made = [make(spark, SMALL) for make in (adapters.balls, adapters.boxes, adapters.tracks, adapters.identities)]
+    flow.candidates(*made, 1280.0, 25.0)
+    assert len(asked) == 1
+    assert _plan(events.sprint_candidates(made[1], 25.0)).count("Generate explode") == 2  # segments and their samples in one go; tracks with few boxes
+
+
+def test_nine_digits_are_those_of_round(spark):
+    rng = random.Random(3)
+    rows = [(x,) for x in [None, 0.0, -0.3, 0.1 + 0.2, 1e-9, 12.5] + [rng.uniform(-50, 50) for _ in range(3000)] + [k / 25 - (k - 3) / 25 for k in range(3000)]]
+    df = spark.createDataFrame(rows, "x double")
+    assert df.where(~geometry.ninth(F.col("x")).eqNullSafe(F.round("x", 9))).count() == 0
