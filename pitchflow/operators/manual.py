@@ -14,6 +14,8 @@ from .stats import attribute
 from .target import _match
 from .timejoin import TAKE, drop_near, nearest_in_time
 
+#: Types of events that leave no room for a key moment.
+TAKEN = ("sprint", "dribble", "possession")
 EVENT = ("type", "player_track_id", "t_start", "t_end", "confidence", "source")
 
 
@@ -86,5 +88,5 @@ def target_windows(boxes: DataFrame, targets: DataFrame, events: DataFrame, para
     player; ``events`` with ``acting_ids``."""
     own = merge_fragments(boxes, targets)
     name = targets.select(*TAKE, "track_id").join(boxes.select(*TAKE, "track_id").distinct(), [*TAKE, "track_id"], "left_semi").groupBy(*TAKE).agg(F.min("track_id").alias("player_track_id"))
-    taken = attribute(events.where(F.col("type").isin("sprint", "dribble", "possession")), targets).drop("player_track_id")
+    taken = attribute(events.where(F.col("type").isin(*TAKEN)), targets).drop("player_track_id")
     return candidate_windows(own, taken.join(name, list(TAKE)).select(*TAKE, "player_track_id", "t_start", "t_end"), params)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitchflow.functions import geometry
-from pitchflow.operators import events, flow, possession, series, timejoin
+from pitchflow.operators import events, flow, manual, possession, series, timejoin
 from pitchflow.plans import adapters
 
 SMALL = "/root/testdata/sf0.001"
@@ -154,3 +154,11 @@ def test_nine_digits_are_those_of_round(spark):
     rows = [(x,) for x in [None, 0.0, -0.3, 0.1 + 0.2, 1e-9, 12.5] + [rng.uniform(-50, 50) for _ in range(3000)] + [k / 25 - (k - 3) / 25 for k in range(3000)]]
     df = spark.createDataFrame(rows, "x double")
     assert df.where(~geometry.ninth(F.col("x")).eqNullSafe(F.round("x", 9))).count() == 0
+
+
+def test_parts_of_the_flow_are_those_of_the_whole(spark):
+    made = [make(spark, SMALL) for make in (adapters.balls, adapters.boxes, adapters.tracks, adapters.identities)]
+    every = flow.candidates(*made, 1280.0, 25.0).drop("evidence").cache()
+    told = lambda df: sorted(map(str, df.drop("evidence", "acting_ids").collect()))
+    assert told(flow.take_events(*made, 1280.0, 25.0, manual.TAKEN)) == told(every.where("reject is null").where(F.col("type").isin(*manual.TAKEN)).drop("reject"))
+    every.unpersist()
