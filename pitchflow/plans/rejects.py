@@ -74,7 +74,7 @@ def _given(spark, sf_dir) -> tuple:
 
 @query(REJECTS)
 def p7_flow_rejects(spark, sf_dir):
-    return flow.rejects_of(flow.candidates(*_given(spark, sf_dir)))
+    return flow.take_rejects(*_given(spark, sf_dir))
 
 
 _DELTA = f"""select h.*, (select sqrt(pow(a.vx - b.vx, 2) + pow(a.vy - b.vy, 2)) from sides a join sides b using (video_id, take_id, t)

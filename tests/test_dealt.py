@@ -161,4 +161,5 @@ def test_parts_of_the_flow_are_those_of_the_whole(spark):
     every = flow.candidates(*made, 1280.0, 25.0).drop("evidence").cache()
     told = lambda df: sorted(map(str, df.drop("evidence", "acting_ids").collect()))
     assert told(flow.take_events(*made, 1280.0, 25.0, manual.TAKEN)) == told(every.where("reject is null").where(F.col("type").isin(*manual.TAKEN)).drop("reject"))
+    assert told(flow.take_rejects(*made, 1280.0, 25.0)) == told(flow.rejects_of(every))
     every.unpersist()
